@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memloom.llm import chat, decontam, mixing, token_counts
+from memloom.llm import chat, decontam, mixing, substring_dedup, token_counts
 from memloom.llm._common import table
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup_substrings(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hard = "\\### Assistant: </turn> ok"
@@ -33,7 +37,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_chat_formatting, op5_token_counts, op8_pareto_mix, op9_decontaminate)}
+    return {f.__name__: f for f in (op2_substring_dedup, op3_chat_formatting, op5_token_counts, op8_pareto_mix, op9_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
