@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memloom.llm import chat, decontam, mixing, substring_dedup, token_counts
+from memloom.llm import chat, decontam, mixing, near_dedup, substring_dedup, token_counts
 from memloom.llm._common import table
 
 
@@ -36,8 +36,12 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_substring_dedup, op3_chat_formatting, op5_token_counts, op8_pareto_mix, op9_decontaminate)}
+    return {f.__name__: f for f in (op2_substring_dedup, op3_chat_formatting, op5_token_counts, op8_pareto_mix, op9_decontaminate, op10_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:
