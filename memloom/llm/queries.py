@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memloom.llm import chat, decontam, mixing, near_dedup, substring_dedup, token_counts
+from memloom.llm import chat, decontam, mixing, near_dedup, quality, substring_dedup, token_counts
 from memloom.llm._common import table
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cols = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance")
+    return quality.quality(table(spark, sf_dir, "documents")).select(*cols)
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup_substrings(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
@@ -41,7 +46,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_substring_dedup, op3_chat_formatting, op5_token_counts, op8_pareto_mix, op9_decontaminate, op10_near_duplicates)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_substring_dedup, op3_chat_formatting, op5_token_counts, op8_pareto_mix, op9_decontaminate, op10_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:
