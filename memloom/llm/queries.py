@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memloom.llm import chat, decontam, mixing, near_dedup, quality, substring_dedup, token_counts
+from memloom.llm import chat, decontam, langid, mixing, near_dedup, quality, substring_dedup, token_counts
 from memloom.llm._common import table
 
 
@@ -32,6 +32,11 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"), "n_words", F.col("words_within")[0].alias("words_within_limit"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = langid.identify(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", langid.is_held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op8_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.pareto_mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -46,7 +51,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_substring_dedup, op3_chat_formatting, op5_token_counts, op8_pareto_mix, op9_decontaminate, op10_near_duplicates)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_substring_dedup, op3_chat_formatting, op5_token_counts, op6_language_id, op8_pareto_mix, op9_decontaminate, op10_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:
