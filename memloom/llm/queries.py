@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memloom.llm import chat, decontam, langid, mixing, near_dedup, quality, substring_dedup, token_counts
+from memloom.llm import chat, decontam, langid, mixing, near_dedup, quality, secret_scan, substring_dedup, token_counts
 from memloom.llm._common import table
 
 
@@ -27,6 +27,10 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(turns.unionByName(more)))
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digests(secret_scan.scan(table(spark, sf_dir, "documents")))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = token_counts.token_prefixes(table(spark, sf_dir, "documents"), budgets=(2048,))
     return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"), "n_words", F.col("words_within")[0].alias("words_within_limit"))
@@ -51,7 +55,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_substring_dedup, op3_chat_formatting, op5_token_counts, op6_language_id, op8_pareto_mix, op9_decontaminate, op10_near_duplicates)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_substring_dedup, op3_chat_formatting, op4_secret_scan, op5_token_counts, op6_language_id, op8_pareto_mix, op9_decontaminate, op10_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:
