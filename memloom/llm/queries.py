@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memloom.llm import chat, decontam, langid, mixing, near_dedup, quality, secret_scan, substring_dedup, token_counts
+from memloom.llm import chat, decontam, langid, mixing, near_dedup, pii, quality, secret_scan, substring_dedup, token_counts
 from memloom.llm._common import table
 
 
@@ -41,6 +41,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.is_held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(pii.find(table(spark, sf_dir, "documents")))
+
+
 def op8_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.pareto_mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -55,7 +59,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_substring_dedup, op3_chat_formatting, op4_secret_scan, op5_token_counts, op6_language_id, op8_pareto_mix, op9_decontaminate, op10_near_duplicates)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_substring_dedup, op3_chat_formatting, op4_secret_scan, op5_token_counts, op6_language_id, op7_personal_data, op8_pareto_mix, op9_decontaminate, op10_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:
