@@ -9,6 +9,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from memloom.llm._common import row_slices
 
@@ -18,6 +19,12 @@ BLOCK_BYTES = 32 << 20
 
 #: ASCII letters go to lower case, other ASCII characters but digits to space.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 or 48 <= c <= 57 else 32 for c in range(256))
+_FOUND = [
+    T.StructField("n_words", T.LongType()),
+    T.StructField("n_hit", T.LongType()),
+    T.StructField("items", T.ArrayType(T.StringType())),
+    T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))),
+]
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 
@@ -76,7 +83,7 @@ def offsets(text: str, ranges: list[tuple[int, int]]) -> list[dict]:
     return [{"start": at[lo][0], "end": at[hi - 1][1]} for lo, hi in ranges]
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WINDOW, block_bytes: int = BLOCK_BYTES, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per document row: n_words, n_hit, items (ids of items with an occurring window, sorted as strings), spans.
 
     A window is `width` consecutive words of an item; an item with fewer words, but not none, is one window.
@@ -84,8 +91,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id",
     most `block_bytes` of text and each block's automaton is sent to the tasks, so what is sent never grows with the
     documents, and many items only mean more blocks, whose findings are put together for each document row.
     Null or empty texts have no words; null items and items without words have no window; repeated documents or items
-    give repeated rows or the same item; other columns are not looked at. No documents: an empty result.
+    give repeated rows or the same item; other columns are not looked at, and pass through if named in `carry`. No
+    documents: an empty result.
     """
+    through = list(dict.fromkeys([id_col, *carry]))
     rows = items.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t")).where(F.col("t").isNotNull())
     held: list[list[tuple]] = [[]]
     size = 0
@@ -114,17 +123,16 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id",
                         row[2] |= ids
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(id_col),
+                        *[batch.column(c) for c in through],
                         pa.array([r[0] for r in found], pa.int64()),
                         pa.array([sum(hi - lo for lo, hi in r[1]) for r in found], pa.int64()),
                         pa.array([sorted(r[2], key=lambda x: x.encode()) for r in found], pa.list_(pa.string())),
                         pa.array([offsets(t, r[1]) for t, r in zip(texts, found)], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
                     ],
-                    names=[id_col, "n_words", "n_hit", "items", "spans"],
+                    names=[*through, "n_words", "n_hit", "items", "spans"],
                 )
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(work, f"`{id_col}` {kind}, n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>")
+    return docs.select(*dict.fromkeys([*through, text_col])).mapInArrow(work, T.StructType([*[docs.schema[c] for c in through], *_FOUND]))
 
 
 def _merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:

@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from memloom.llm._common import mix, row_slices, runs, window_starts
 
@@ -175,10 +176,10 @@ def train(labelled: DataFrame, *, sample_rows: int = SAMPLE_ROWS) -> Model | Non
     return Model(languages, (w[:-1] * idf[:, None] * SCALE).astype(np.float32), w[-1].astype(np.float32), t)
 
 
-def predict(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document row: lang_pred and score (calibrated odds of it, 0 to 1); `und` and 0 for a null text, one without letters, or without a model."""
+def predict(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document row: lang_pred and score (calibrated odds of it, 0 to 1); `und` and 0 for a null text, one without letters, or without a model. Columns named in `carry` pass through."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    kind = docs.schema[id_col].dataType.simpleString()
+    through = list(dict.fromkeys([id_col, *carry]))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = held.value
@@ -195,9 +196,10 @@ def predict(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", tex
                     score[full] = p[np.arange(len(full)), best]
                     for r, k in zip(full.tolist(), best.tolist()):
                         lang[r] = own.languages[k]
-                yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(lang, pa.string()), pa.array(score)], names=[id_col, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in through], pa.array(lang, pa.string()), pa.array(score)], names=[*through, "lang_pred", "score"])
 
-    return docs.select(id_col, text_col).mapInArrow(work, f"`{id_col}` {kind}, lang_pred string, score double")
+    schema = T.StructType([*[docs.schema[c] for c in through], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return docs.select(*dict.fromkeys([*through, text_col])).mapInArrow(work, schema)
 
 
 def is_held_out(id_col: str = "doc_id") -> Column:
@@ -205,12 +207,12 @@ def is_held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS, carry: tuple[str, ...] = ()) -> DataFrame:
     """Train on the labelled documents that are not held out, predict all: id, lang_pred, score, a row per document row.
 
     Null or letterless texts: `und`, 0. Null languages do not train. No training rows or no documents: `und` for all,
     or no rows. Repeated rows count as often as they stand there; the sample is chosen by id, so reruns agree; other
-    columns are left out. Only the text is looked at when predicting.
+    columns are left out unless `carry` names them. Only the text is looked at when predicting.
     """
     learn = docs.where(F.col(id_col).isNotNull() & ~is_held_out(id_col)).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    return predict(docs, train(learn, sample_rows=sample_rows), id_col=id_col, text_col=text_col)
+    return predict(docs, train(learn, sample_rows=sample_rows), id_col=id_col, text_col=text_col, carry=carry)

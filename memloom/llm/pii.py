@@ -114,40 +114,38 @@ def confident_patterns(tokens: DataFrame, texts: DataFrame, stash: Stash, *, sup
     return trust.where(F.col("trust") >= confidence)
 
 
-def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, confidence: float = CONFIDENCE, rounds: int = ROUNDS, keep_text: bool = False) -> DataFrame:
+def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, confidence: float = CONFIDENCE, rounds: int = ROUNDS, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per document row: base and spans (arrays of struct<start, rank, end, kind>; kinds email, ip, card, phone, context).
 
     Base spans by fixed forms; `context` spans are identifier-like tokens that follow a high-confidence pattern and
     touch no base span. Null texts count as empty; empty texts have none; equal places go by kind; repeated rows and
     ids give repeated results (and count as often as evidence occurs, but support counts different identifiers); other
-    columns are left out; no documents give no rows. Places count code points.
+    columns are left out unless `carry` names them; no documents give no rows. Places count code points.
     """
     stash = Stash(docs.sparkSession)
     text = F.col("_text")
-    found = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    through = {f"_keep{k}": c for k, c in enumerate(dict.fromkeys([id_col, *carry]))}
+    found = docs.select(*[F.col(c).alias(k) for k, c in through.items()], F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     forms = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE, "token": TOKEN}
     found = found.withColumns({f"_{k}": hits(text, p) for k, p in forms.items()})
     placed = [spans(text, F.col(f"_{k}"), forms[k]).alias(k) for k in KINDS]
     tokens = F.when(F.size("_token") > 0, _tokens(text, F.col("_token"))).otherwise(F.array().cast("array<struct<start:bigint,end:bigint,core:string,lead:string>>")).alias("tokens")
-    found = found.select("_id", *(["_text"] if keep_text else []), *placed, tokens)
-    base = labelled(_base(*[F.col(k) for k in KINDS]))
-    found = found.select("_id", *(["_text"] if keep_text else []), base.alias("base"), "tokens")
+    found = found.select(*through, *placed, tokens)
+    found = found.select(*through, labelled(_base(*[F.col(k) for k in KINDS])).alias("base"), "tokens")
     over = lambda t: F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))
     marked = F.transform("tokens", lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), t["core"].alias("core"), t["lead"].alias("lead"), over(t).alias("known")))
-    found = stash.keep(found.withColumn("tokens", marked))
+    found = stash.keep(found.withColumn("tokens", marked).withColumn("_row", F.monotonically_increasing_id()))
     evidence = found.where(F.size("tokens") > 0).select(F.explode("tokens").alias("t")).select("t.lead", "t.core", "t.known")
     patterns = stash.keep(confident_patterns(evidence, docs.select(F.col(text_col).alias("text")), stash, support=support, confidence=confidence, rounds=rounds))
     n_patterns = patterns.count()
-    kept = ["_id", *(["_text"] if keep_text else []), "base"]
+    names = [F.col(k).alias(c) for k, c in through.items()]
     if not n_patterns:
-        return found.select(F.col("_id").alias(id_col), *(["_text"] if keep_text else []), "base", F.col("base").alias("spans"))
-    found = found.withColumn("_row", F.monotonically_increasing_id())
-    found = stash.keep(found)
+        return found.select(*names, "base", F.col("base").alias("spans"))
     new = found.select("_row", F.explode(F.filter("tokens", lambda t: ~t["known"])).alias("t")).join(_small(patterns.select(F.col("lead").alias("_lead")), n_patterns), F.col("t.lead") == F.col("_lead"))
     new = new.groupBy("_row").agg(F.collect_set(F.struct(F.col("t.start").alias("start"), F.lit(len(KINDS)).alias("rank"), F.col("t.end").alias("end"), F.lit("context").alias("kind"))).alias("more"))
-    out = found.select("_row", *kept).join(new, "_row", "left")
+    out = found.join(new, "_row", "left")
     every = F.when(F.col("more").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "more")))
-    return out.select(F.col("_id").alias(id_col), *(["_text"] if keep_text else []), "base", every.alias("spans"))
+    return out.select(*names, "base", every.alias("spans"))
 
 
 def masked(text: Column, found: Column) -> Column:
