@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Words of the contracts: runs of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Text bytes that a task works on at once.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

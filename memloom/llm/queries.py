@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memloom.llm import chat, decontam, langid, mixing, near_dedup, pii, quality, secret_scan, substring_dedup, token_counts
+from memloom.llm import chat, decontam, langid, mixing, near_dedup, oracles, pii, quality, secret_scan, substring_dedup, token_counts
 from memloom.llm._common import table
 
 
@@ -63,4 +63,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """op1 holds documents against trained references, op4 to op7 add what SQL cannot say: those are tested by brute force."""
+    return {
+        "op2_substring_dedup": oracles.OP2,
+        "op3_chat_formatting": oracles.OP3,
+        "op8_pareto_mix": oracles.OP8,
+        "op9_decontaminate": oracles.OP9,
+        "op10_near_duplicates": oracles.OP10,
+    }
