@@ -1,0 +1,10 @@
+"""Registered queries, a module for each family of operators."""
+
+import importlib
+
+FAMILIES = ("scoring", "retrieval", "metrics")
+
+
+def load() -> None:
+    for name in FAMILIES:
+        importlib.import_module(f"memloom.plans.{name}_queries")
