@@ -2,7 +2,7 @@
 
 import importlib
 
-FAMILIES = ("scoring", "retrieval", "metrics")
+FAMILIES = ("scoring", "retrieval", "metrics", "rollouts", "sft")
 
 
 def load() -> None:
