@@ -2,7 +2,7 @@
 
 import importlib
 
-FAMILIES = ("scoring", "retrieval", "metrics", "rollouts", "sft")
+FAMILIES = ("scoring", "retrieval", "metrics", "rollouts", "sft", "curation")
 
 
 def load() -> None:
