@@ -2,7 +2,7 @@
 
 import importlib
 
-FAMILIES = ("scoring", "retrieval", "metrics", "rollouts", "sft", "curation")
+FAMILIES = ("scoring", "retrieval", "metrics", "rollouts", "sft", "curation", "instances", "memory")
 
 
 def load() -> None:
