@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from memloom.functions.text import split_words, within
+from memloom.functions.text import split_words, strip, within
 
 _PUNCTUATION = r"""[!"#$%&'()*+,\-./:;<=>?@\[\\\]^_`{|}~]"""
 
@@ -13,14 +13,14 @@ _PUNCTUATION = r"""[!"#$%&'()*+,\-./:;<=>?@\[\\\]^_`{|}~]"""
 def strip_thinking(text: Column, tag: str = "think") -> Column:
     """What stands between the first and the second closing tag, trimmed; "Empty" if an opening tag is left in it; a text without a closing tag stays."""
     parts = F.split(text, f"</{tag}>", -1)
-    body = F.when(F.size(parts) > 1, F.trim(F.element_at(parts, 2))).otherwise(text)
+    body = F.when(F.size(parts) > 1, strip(F.element_at(parts, 2))).otherwise(text)
     return F.when(F.contains(body, F.lit(f"<{tag}>")), F.lit("Empty")).otherwise(body)
 
 
 def extract_boxed(text: Column) -> Column:
     """The first boxed group without inner braces, trimmed; else the whole text, trimmed."""
     found = F.regexp_extract(text, r"\\boxed\{([^{}]*)\}", 1)
-    return F.when(text.rlike(r"\\boxed\{[^{}]*\}"), F.trim(found)).otherwise(F.trim(text))
+    return F.when(text.rlike(r"\\boxed\{[^{}]*\}"), strip(found)).otherwise(strip(text))
 
 
 def extract_prefixed(text: Column) -> Column:
@@ -28,13 +28,13 @@ def extract_prefixed(text: Column) -> Column:
     after = F.regexp_extract(text, r"(?i)answer:[ \t]*([^\n]*)", 1)
     first = F.regexp_extract(text, r"^([^\n]*)", 1)
     picked = F.when(text.rlike("(?i)answer:"), after).otherwise(first)
-    return F.trim(F.regexp_replace(picked, r"^(?i:answer:[ \t]*)+", ""))
+    return strip(F.regexp_replace(picked, r"^(?i:answer:[ \t]*)+", ""))
 
 
 def extract_last_tag(text: Column, tag: str = "answer") -> Column:
     """The body of the last <tag>...</tag>, trimmed; null without one."""
     found = F.regexp_extract_all(text, F.lit(f"(?s)<{tag}>(.*?)</{tag}>"), F.lit(1))
-    return F.when(F.size(found) > 0, F.trim(F.element_at(found, -1)))
+    return F.when(F.size(found) > 0, strip(F.element_at(found, -1)))
 
 
 def count_tags(text: Column, tag: str = "answer") -> Column:
@@ -44,7 +44,7 @@ def count_tags(text: Column, tag: str = "answer") -> Column:
 def normalize_answer(text: Column) -> Column:
     """Lower case, no ASCII punctuation, no English articles, single spaces."""
     bare = F.regexp_replace(F.lower(text), _PUNCTUATION, "")
-    return F.trim(F.regexp_replace(F.regexp_replace(bare, r"(?<![\p{L}\p{N}_])(a|an|the)(?![\p{L}\p{N}_])", " "), r"\s+", " "))
+    return strip(F.regexp_replace(F.regexp_replace(bare, r"(?<![\p{L}\p{N}_])(a|an|the)(?![\p{L}\p{N}_])", " "), r"\s+", " "))
 
 
 def exact_match(prediction: Column, golds: Column) -> Column:
@@ -87,7 +87,7 @@ def set_f1(prediction: Column, gold: Column) -> Column:
     p, g = words(prediction), words(gold)
     common = F.size(F.array_intersect(p, g))
     f1 = 2.0 * common / (F.size(p) + F.size(g))
-    blank = prediction.isNull() | gold.isNull() | (F.trim(prediction) == "") | (F.trim(gold) == "")
+    blank = prediction.isNull() | gold.isNull() | (strip(prediction) == "") | (strip(gold) == "")
     return F.when(blank, 0.0).when(F.lower(prediction) == F.lower(gold), 1.0).when(common == 0, 0.0).otherwise(f1)
 
 
@@ -102,20 +102,20 @@ def containment(prediction: Column, gold: Column) -> Column:
 
 def multi_part_recall(prediction: Column, gold: Column) -> Column:
     """Share of `;` parts that stand in the prediction. Several parts: lower-cased parts against the prediction as it is; one part: both lower-cased."""
-    parts = F.transform(F.split(gold, ";"), lambda p: F.lower(F.trim(p)))
+    parts = F.transform(F.split(gold, ";"), lambda p: F.lower(strip(p)))
     several = F.size(F.filter(parts, lambda p: F.contains(prediction, p))) / F.size(parts)
-    return F.when(F.size(parts) > 1, several).otherwise(within(F.trim(gold), prediction).cast("double"))
+    return F.when(F.size(parts) > 1, several).otherwise(within(strip(gold), prediction).cast("double"))
 
 
 def strict_integer_label(prediction: Column, gold: Column) -> Column:
     """1.0 if the boxed prediction, without quotes, is all digits and equals the gold."""
     label = F.regexp_replace(extract_boxed(prediction), "[\"']", "")
-    return (label.rlike(r"^[0-9]+$") & (label == F.trim(gold))).cast("double")
+    return (label.rlike(r"^[0-9]+$") & (label == strip(gold))).cast("double")
 
 
 def hierarchical_label(prediction: Column, gold: Column, weights: tuple[float, ...] = (0.5, 0.3, 0.2)) -> Column:
     """`a > b > c` labels: weights of the leading levels that agree; 0 if either is not of that form."""
-    p, g = (F.transform(F.split(t, ">"), lambda x: F.lower(F.trim(x))) for t in (prediction, gold))
+    p, g = (F.transform(F.split(t, ">"), lambda x: F.lower(strip(x))) for t in (prediction, gold))
     score, same = F.lit(0.0), F.lit(True)
     for k, w in enumerate(weights, 1):
         same = same & (F.try_element_at(p, F.lit(k)) == F.try_element_at(g, F.lit(k)))
@@ -174,4 +174,4 @@ def multi_objective_score(answer: Column, gold: Column) -> Column:
 
 def is_answer_correct(prediction: Column, gold: Column) -> Column:
     """Both not blank, and the trimmed gold stands in the prediction in any case; false for null."""
-    return F.coalesce((F.trim(prediction) != "") & (F.trim(gold) != "") & within(F.trim(gold), F.trim(prediction)), F.lit(False))
+    return F.coalesce((strip(prediction) != "") & (strip(gold) != "") & within(strip(gold), strip(prediction)), F.lit(False))

@@ -48,6 +48,11 @@ def newline_numbered(text: Column) -> Column:
     return F.regexp_replace(text, r"(?<=\.) (?=\d+\.)", "\n")
 
 
+def strip(text: Column) -> Column:
+    """Without white space of any kind at its ends."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def within(needle: Column, hay: Column) -> Column:
     """Lower-cased containment; an empty needle is contained."""
     return F.contains(F.lower(hay), F.lower(needle))
