@@ -2,7 +2,7 @@
 
 import importlib
 
-FAMILIES = ("scoring", "retrieval", "metrics", "rollouts", "sft", "curation", "instances", "memory", "chunking")
+FAMILIES = ("scoring", "retrieval", "metrics", "rollouts", "sft", "curation", "instances", "memory", "chunking", "io")
 
 
 def load() -> None:
