@@ -17,7 +17,11 @@ WIDTH = 13
 #: Words of a minimiser: enough that a frequent word or pair of words does not make a bucket of its own.
 MINIMISER = 3
 #: Buckets to a shuffle partition: a task works on one bucket at a time.
-BUCKETS = 8
+BUCKETS = 4
+#: Text bytes cut into runs at once: larger slices make fewer, better packed blocks.
+SLICE = 8 << 20
+#: What blocks are packed with.
+LEVEL = 3
 
 
 def superkmers(words: Words, width: int = WIDTH, m: int = MINIMISER) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -74,7 +78,7 @@ def _pack(words: Words, ids: np.ndarray, tags: np.ndarray, firsts: np.ndarray, r
     text = " ".join(words.vocab.take(pa.array(codes)).to_pylist()) if len(codes) < 64 else _joined(words.vocab.take(pa.array(codes)))
     body = text if isinstance(text, bytes) else text.encode("utf-8", "surrogatepass")
     head = np.array([len(row)], np.int64).tobytes() + np.diff(ids[row], prepend=0).astype(np.int64).tobytes() + tags[row].astype(np.int32).tobytes() + (start - firsts[row]).astype(np.int32).tobytes() + n.astype(np.int32).tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(head + body)
+    return zstandard.ZstdCompressor(level=LEVEL).compress(head + body)
 
 
 def _joined(strings: pa.Array) -> bytes:
@@ -101,7 +105,7 @@ def _ranges(ids: np.ndarray, tags: np.ndarray, lo: np.ndarray, hi: np.ndarray) -
 def _spread(batches: Iterator[pa.RecordBatch], n_buckets: int) -> Iterator[pa.RecordBatch]:
     """Texts to packed runs, one block for each bucket that a slice of texts meets; and ranges already known, as blocks of their own."""
     for whole in batches:
-        for batch in row_slices(whole, "text"):
+        for batch in row_slices(whole, "text", SLICE):
             words = split_words(batch.column("text"))
             ids, tags = batch.column("id").to_numpy(), batch.column("tag").to_numpy()
             start, n, least = superkmers(words)
@@ -115,7 +119,7 @@ def _spread(batches: Iterator[pa.RecordBatch], n_buckets: int) -> Iterator[pa.Re
                 r, s, c = row[known], start[known] - words.offsets[row[known]], n[known]
                 head = np.array([-len(r)], np.int64).tobytes() + ids[r].astype(np.int64).tobytes() + tags[r].astype(np.int32).tobytes() + s.astype(np.int32).tobytes() + (s + c + WIDTH - 1).astype(np.int32).tobytes()
                 out_b.append(int(mix(ids[r[:1]].astype(np.uint64))[0] % np.uint64(n_buckets)))
-                out_p.append(zstandard.ZstdCompressor(level=1).compress(head))
+                out_p.append(zstandard.ZstdCompressor(level=LEVEL).compress(head))
             sent = np.flatnonzero(~known)
             by = sent[np.argsort(bucket[sent], kind="stable")]
             b = bucket[by]
@@ -224,7 +228,10 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     columns are left out; no documents give no rows.
     """
     kind = docs.schema[id_col].dataType
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn("tag", F.pmod(F.xxhash64("text"), F.lit(1 << 30)).cast("int"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    # ids that repeat need their texts told apart; where none does, the mark costs nothing
+    repeats = rows.where(F.col("id").isNotNull()).groupBy("id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
+    rows = rows.withColumn("tag", F.pmod(F.xxhash64("text"), F.lit(1 << 30)).cast("int") if repeats else F.lit(0))
     found = covered_ranges(rows.where(F.col("id").isNotNull() & (F.length("text") >= 2 * WIDTH - 1)))
     found = found.groupBy("id", "tag").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
     joined = rows.join(found, ["id", "tag"], "left").select("id", "text", "ranges")
