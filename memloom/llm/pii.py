@@ -19,9 +19,10 @@ IP_PARTS = r"^0*(25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})(\.0*(25[0-5]|2[0-4][0
 #: What may be an identifier: a token with four digits or more, or with @, from its first letter, digit or plus to its last letter or digit.
 TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
 _EDGES = r"^[^A-Za-z0-9+]+|[^A-Za-z0-9]+$"
-#: A pattern is the two words before a token, lower-cased. It needs this many different known identifiers, and after
-#: the rounds this share of everything that follows it in the corpus must be identifiers.
-SUPPORT, CONFIDENCE, ROUNDS = 5, 0.7, 3
+#: A pattern is the two words before a token, lower-cased. It needs this many different known identifiers and this
+#: share of all of them (so that the patterns of a corpus ten times as large are no others), and after the rounds this
+#: share of everything that follows it in the corpus must be identifiers.
+SUPPORT, SHARE, CONFIDENCE, ROUNDS = 5, 1 / 1000, 0.7, 3
 #: Characters looked at for the words before a token; patterns sent to every task at most (more are joined by shuffle).
 REACH, SENT = 160, 500_000
 _WHITE = r"[\x20\x09-\x0D]+"
@@ -83,17 +84,18 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= SENT else df
 
 
-def confident_patterns(tokens: DataFrame, texts: DataFrame, stash: Stash, *, support: int = SUPPORT, confidence: float = CONFIDENCE, rounds: int = ROUNDS) -> DataFrame:
+def confident_patterns(tokens: DataFrame, texts: DataFrame, stash: Stash, *, support: int = SUPPORT, share: float = SHARE, confidence: float = CONFIDENCE, rounds: int = ROUNDS) -> DataFrame:
     """Patterns (lead, trust) that mark identifiers, from tokens (lead, core, known) and texts (text).
 
     Graph of patterns and instances: an edge joins a lead to a core that follows it, with its number of occurrences.
     Instances seen as a base kind anywhere are known and score 1. Round by round, a pattern's trust is the score of what
     follows it, summed over occurrences, over all occurrences of its two words in the corpus, whatever follows; an
     unknown instance scores 1 - product(1 - trust) over the patterns that it follows. Only leads of `support` or more
-    different known instances are patterns at all.
+    different known instances, and of `share` or more of all of them, are patterns at all.
     """
     edges = tokens.where(F.col("lead").isNotNull()).groupBy("lead", "core").agg(F.count("*").alias("n"), F.max("known").alias("known"))
-    seeds = edges.where("known").groupBy("lead").agg(F.count("*").alias("seeds")).where(F.col("seeds") >= support).select("lead")
+    n_known = tokens.where("known").select("core").distinct().count()
+    seeds = edges.where("known").groupBy("lead").agg(F.count("*").alias("seeds")).where(F.col("seeds") >= max(support, n_known * share)).select("lead")
     seeds = stash.keep(seeds)
     n_patterns = seeds.count()
     if not n_patterns:
