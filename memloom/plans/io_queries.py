@@ -95,11 +95,12 @@ def a7_write_metrics(spark, d):
     return spark.read.schema("source string, n long").json(path)
 
 
-def _streamed(spark: SparkSession, rows: DataFrame, make, mode: str, parts: int = 4) -> DataFrame:
-    """The table a stream leaves, reading `rows` from files, a few at a time, until all are read."""
+def streamed(spark: SparkSession, arrivals: list[DataFrame], make, mode: str, files: int = 4) -> DataFrame:
+    """The table a stream leaves that reads the arrivals, one after the other, as files, a few at a time, until all are read."""
     path = shared(spark)
-    rows.write.parquet(f"{path}/in")
-    source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", parts).parquet(f"{path}/in")
+    for rows in arrivals:  # written in turn, so that the stream takes them in turn
+        rows.write.mode("append").parquet(f"{path}/in")
+    source = spark.readStream.schema(arrivals[0].schema).option("maxFilesPerTrigger", files).parquet(f"{path}/in")
     made = make(source)
     if mode == "append":
         q = made.writeStream.format("parquet").option("checkpointLocation", f"{path}/at").trigger(availableNow=True).start(f"{path}/out")
@@ -112,13 +113,15 @@ def _streamed(spark: SparkSession, rows: DataFrame, make, mode: str, parts: int
 
 @query()
 def k1_stream_memory_state(spark, d):
-    log = ops(spark, d).repartitionByRange(8, "chunk_idx", "op_idx")
-    return _streamed(spark, log, lambda s: memory_stream.stream_memory_state(s, instance="user_id"), "append")
+    log = ops(spark, d)
+    # an instance's operations of some days stand in one file
+    arrivals = [log.where(F.floor(F.col("chunk_idx") / 8) == k).repartition("user_id") for k in range(4)]
+    return streamed(spark, arrivals, lambda s: memory_stream.stream_memory_state(s, instance="user_id"), "append")
 
 
 @query(f"SELECT data_source, count(*) AS n, round(avg(score), 6) AS score FROM ({SCORED}) GROUP BY data_source")
 def k2_stream_scores(spark, d):
     rows = results(spark, d).where(~F.contains("gold", F.lit(";"))).select(F.col("doc_id").cast("string").alias("question"), "data_source", "pred", "gold", "judge").withColumn("ts", F.lit("2024-01-01 05:00:00").cast("timestamp"))
     rows = rows.unionByName(rows.where("cast(question as int) % 2 = 0"))
-    out = _streamed(spark, rows.repartition(6), lambda s: memory_stream.stream_scores(s, time="ts"), "update")
+    out = streamed(spark, [rows.repartition(6)], lambda s: memory_stream.stream_scores(s, time="ts"), "update")
     return out.groupBy("data_source").agg(F.max_by("n", "batch").alias("n"), F.round(F.max_by("score", "batch"), 6).alias("score"))
