@@ -141,7 +141,7 @@ def g14_strict_integer_label(spark, d):
     return pairs(spark, d).select("conv_id", "turn", A.strict_integer_label(said, gold).alias("score"))
 
 
-@query(_q("round(CASE WHEN conv_id % 5 = 0 THEN 0.0 WHEN lower(aw[1]) <> lower(pw[1]) AND turn % 3 = 0 THEN 0.0 WHEN turn % 3 = 0 THEN CASE WHEN conv_id % 2 = 0 THEN 1.0 ELSE 0.8 END ELSE CASE WHEN conv_id % 2 = 0 THEN 1.0 ELSE 0.8 END END, 6)", "score", f"SELECT * FROM ({PAIRS}) WHERE NOT contains(aw[1] || pw[1], '>')"))
+@query(_q("round(CASE WHEN conv_id % 5 = 0 THEN 0.0 WHEN lower(aw[1]) <> lower(pw[1]) AND turn % 3 = 0 THEN 0.0 WHEN turn % 3 = 0 THEN CASE WHEN conv_id % 2 = 0 THEN 1.0 ELSE 0.8 END ELSE CASE WHEN conv_id % 2 = 0 THEN 1.0 ELSE 0.8 END END::DOUBLE, 6)", "score", f"SELECT * FROM ({PAIRS}) WHERE NOT contains(aw[1] || pw[1], '>')"))
 def g15_hierarchical_label(spark, d):
     head = F.when(F.col("turn") % 3 == 0, F.col("aw")[0]).otherwise(F.col("pw")[0])
     gold = F.concat_ws(" > ", F.col("pw")[0], F.lit("B"), F.lit("c"))
@@ -180,7 +180,7 @@ def g19_set_label_f1(spark, d):
     return pairs(spark, d).select("conv_id", "turn", F.round(scoring.set_label_f1(F.from_json(said, "array<string>"), F.array(*[F.lit(x) for x in ("one", "two", "three")])), 6).alias("f1"))
 
 
-@query(_q(f"CASE WHEN turn % 3 = 0 THEN 0.0 ELSE 1.0 + CASE WHEN {norm('aw[1]')} = {norm('pw[1]')} THEN 1.0 ELSE 0.0 END END", "score", f"SELECT * FROM ({PAIRS}) WHERE regexp_full_match(aw[1] || pw[1], '[A-Za-z]+')"))
+@query(_q(f"CASE WHEN turn % 3 = 0 THEN 0.0 ELSE 1.0 + CASE WHEN {norm('aw[1]')} = {norm('pw[1]')} THEN 1.0 ELSE 0.0 END END::DOUBLE", "score", f"SELECT * FROM ({PAIRS}) WHERE regexp_full_match(aw[1] || pw[1], '[A-Za-z]+')"))
 def g20_multi_objective_score(spark, d):
     said = F.concat(F.lit("<answer>same; "), F.col("pw")[0], F.when(F.col("turn") % 3 == 0, "; extra").otherwise(""), F.lit("</answer>"))
     base = pairs(spark, d).where(F.concat(F.col("aw")[0], F.col("pw")[0]).rlike("^[A-Za-z]+$"))
