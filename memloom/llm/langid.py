@@ -26,7 +26,8 @@ EPOCHS, ALPHA, BETA, L1, L2 = 4, 0.3, 1.0, 1e-3, 1e-4
 #: x = SCALE * (count / n-grams of the text) * idf.
 SCALE = 20.0
 UNKNOWN = "und"
-_SLICE = 2 << 20
+#: Text bytes at once: n-gram arrays are some 200 times as large.
+_SLICE = 512 << 10
 
 
 @functools.cache
