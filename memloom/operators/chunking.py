@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memloom.functions.text import SENTENCE_END, seeded, seeded_int, split_words, strip, token_count
+from memloom.operators.grouped import by_group
 
 
 def pack_places(sizes: np.ndarray, target, sep: int, guard: bool = True) -> np.ndarray:
@@ -45,11 +46,9 @@ def pack_greedy(df: DataFrame, *, group: str, order: str, tokens: str, max_token
     """
     low = None if min_tokens is None else min_tokens or max(100, max_tokens // 20)
 
-    def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("o", ignore_index=True)
-
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
         def target(chunk: int) -> int:
-            h = int(hashlib.md5(f"{seed}|{key[0]}|{chunk}".encode()).hexdigest()[:8], 16)
+            h = int(hashlib.md5(f"{seed}|{rows['g'].iloc[0]}|{chunk}".encode()).hexdigest()[:8], 16)
             return low + h % (max_tokens - low + 1)
 
         places = pack_places(rows["n"].to_numpy(np.int64), max_tokens if low is None else target, sep_tokens, guard)
@@ -57,7 +56,7 @@ def pack_greedy(df: DataFrame, *, group: str, order: str, tokens: str, max_token
 
     rows = df.select(F.col(group).alias("g"), F.col(order).alias("o"), F.col(tokens).cast("long").alias("n"))
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    return rows.groupBy("g").applyInPandas(one, f"g {kinds['g']}, o {kinds['o']}, chunk_idx long").withColumnsRenamed({"g": group, "o": order})
+    return by_group(rows, "g", ["o"], one, f"g {kinds['g']}, o {kinds['o']}, chunk_idx long").withColumnsRenamed({"g": group, "o": order})
 
 
 def join_chunks(df: DataFrame, places: DataFrame, *, group: str, order: str, text: str, sep: str = "\n") -> DataFrame:
@@ -134,12 +133,11 @@ def segment_sessions(df: DataFrame, max_tokens: int = 2048, *, key: str, turn: s
     """(key, turn, segment): turns of a session packed in order; when one does not fit, a user turn before it moves along, so that a question stays with its answer."""
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("t", ignore_index=True)
         return rows.assign(segment=_segments(rows["n"].tolist(), rows["r"].tolist(), max_tokens))[["k", "t", "segment"]]
 
     rows = df.select(F.col(key).alias("k"), F.col(turn).alias("t"), F.col(role).alias("r"), F.col(tokens).cast("long").alias("n"))
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    return rows.groupBy("k").applyInPandas(one, f"k {kinds['k']}, t {kinds['t']}, segment long").withColumnsRenamed({"k": key, "t": turn})
+    return by_group(rows, "k", ["t"], one, f"k {kinds['k']}, t {kinds['t']}, segment long").withColumnsRenamed({"k": key, "t": turn})
 
 
 def _merged(sizes: list[int], lo: int, hi: int) -> list[int]:
@@ -158,12 +156,11 @@ def merge_segments(df: DataFrame, lo: int = 1800, hi: int = 2048, *, key: str, o
     """(key, order, chunk_idx): segments appended in order; over `hi` the chunk closes before, from `lo` on it closes at once."""
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("o", ignore_index=True)
         return rows.assign(chunk_idx=_merged(rows["n"].tolist(), lo, hi))[["k", "o", "chunk_idx"]]
 
     rows = df.select(F.col(key).alias("k"), F.col(order).alias("o"), F.col(tokens).cast("long").alias("n"))
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    return rows.groupBy("k").applyInPandas(one, f"k {kinds['k']}, o {kinds['o']}, chunk_idx long").withColumnsRenamed({"k": key, "o": order})
+    return by_group(rows, "k", ["o"], one, f"k {kinds['k']}, o {kinds['o']}, chunk_idx long").withColumnsRenamed({"k": key, "o": order})
 
 
 def wrap_chunks(df: DataFrame, templates: list[str], *, instance: str, chunk: str, text: str, base: str = "2024-01-01", seed: str = "wrap") -> DataFrame:

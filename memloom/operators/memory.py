@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memloom.functions.text import split_words, token_count
+from memloom.operators.grouped import by_group
 
 TYPES = ("core", "semantic", "episodic")
 #: Columns of an operation log, in order of use.
@@ -93,22 +94,21 @@ def apply_memory_ops(ops: DataFrame, *, instance: str, enabled: tuple[str, ...]
     rows, kind = _log(ops, instance)
 
     def one(log: pd.DataFrame) -> pd.DataFrame:
-        log = log.sort_values(["chunk_idx", "op_idx"], ignore_index=True)
         return log.assign(status=_fold(log[list(LOG)], enabled, strict)[1])
 
     schema = f"i {kind}, chunk_idx long, op_idx long, name string, memory_type string, memory_id string, content string, status string"
-    return rows.groupBy("i").applyInPandas(one, schema).withColumnRenamed("i", instance)
+    return by_group(rows, "i", ["chunk_idx", "op_idx"], one, schema).withColumnRenamed("i", instance)
 
 
 def memory_state(ops: DataFrame, *, instance: str, enabled: tuple[str, ...] = TYPES, strict: bool = True) -> DataFrame:
     """(instance, memory_type, memory_id, content, pos): what is held after the last operation."""
     rows, kind = _log(ops, instance)
 
-    def one(key: tuple, log: pd.DataFrame) -> pd.DataFrame:
-        state, _ = _fold(log.sort_values(["chunk_idx", "op_idx"])[list(LOG)], enabled, strict)
-        return pd.DataFrame([(key[0], *r) for r in state.rows()], columns=["i", "memory_type", "memory_id", "content", "pos"])
+    def one(log: pd.DataFrame) -> pd.DataFrame:
+        state, _ = _fold(log[list(LOG)], enabled, strict)
+        return pd.DataFrame([(log["i"].iloc[0], *r) for r in state.rows()], columns=["i", "memory_type", "memory_id", "content", "pos"])
 
-    return rows.groupBy("i").applyInPandas(one, f"i {kind}, memory_type string, memory_id string, content string, pos long").withColumnRenamed("i", instance)
+    return by_group(rows, "i", ["chunk_idx", "op_idx"], one, f"i {kind}, memory_type string, memory_id string, content string, pos long").withColumnRenamed("i", instance)
 
 
 def final_state_by_id(ops: DataFrame, *, keys: list[str], order: list[str], name: str, content: str) -> DataFrame:

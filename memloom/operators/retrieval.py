@@ -25,12 +25,14 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, *, corpus: str = "corpus",
     tokens = docs.select(corpus, doc, word_tokens(F.col(text)).alias("_w"))
     sizes = tokens.select(corpus, doc, F.size("_w").alias("dl"))
     stats = sizes.groupBy(corpus).agg(F.count("*").alias("n_docs"), (F.sum("dl") / F.count("*")).alias("avgdl"))
-    tf = tokens.select(corpus, doc, F.size("_w").alias("dl"), F.explode("_w").alias("term")).groupBy(corpus, doc, "dl", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy(corpus, "term").agg(F.count("*").alias("df")).join(stats, corpus)
+    wanted = queries.select(query, corpus, F.explode(word_tokens(F.col(query_text))).alias("term")).groupBy(query, corpus, "term").agg(F.count("*").alias("times"))
+    asked = wanted.select(corpus, "term").distinct()
+    # frequencies in documents only of words that are asked for; document frequencies of all, for the vocabulary's mean
+    tf = tokens.select(corpus, doc, F.size("_w").alias("dl"), F.explode("_w").alias("term")).join(asked, [corpus, "term"], "left_semi").groupBy(corpus, doc, "dl", "term").agg(F.count("*").alias("tf"))
+    df = tokens.select(corpus, F.explode(F.array_distinct("_w")).alias("term")).groupBy(corpus, "term").agg(F.count("*").alias("df")).join(stats, corpus)
     df = df.withColumn("raw", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = df.groupBy(corpus).agg(F.avg("raw").alias("mean_idf"))
-    wanted = queries.select(query, corpus, F.explode(word_tokens(F.col(query_text))).alias("term")).groupBy(query, corpus, "term").agg(F.count("*").alias("times"))
-    idf = df.join(wanted.select(corpus, "term").distinct(), [corpus, "term"], "left_semi").join(mean, corpus)
+    idf = df.join(asked, [corpus, "term"], "left_semi").join(mean, corpus)
     idf = idf.select(corpus, "term", "avgdl", F.when(F.col("raw") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
     met = tf.join(wanted.join(idf, [corpus, "term"]), [corpus, "term"])
     part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))

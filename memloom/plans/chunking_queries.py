@@ -6,13 +6,13 @@ from pyspark.sql import functions as F
 
 from memloom.functions.text import newline_numbered, token_count
 from memloom.operators import chunking as C
-from memloom.plans.registry import query, table
+from memloom.plans.registry import query, spread, table
 
 _W = r"len(list_filter(string_split_regex(trim({}), '[ \t\n\r\f\v]+'), lambda x: x <> ''))"
 
 
 def docs(spark, d):
-    return table(spark, d, "documents").withColumn("n", token_count(F.col("text")))
+    return spread(table(spark, d, "documents")).withColumn("n", token_count(F.col("text")))
 
 
 def _pack(items: str, most: int, sep: int) -> str:
@@ -44,17 +44,17 @@ _SENT = r"SELECT doc_id, unnest(string_split(regexp_replace(text, '([.!?])\s+',
 
 @query(f"WITH RECURSIVE s AS ({_SENT}), t AS (SELECT doc_id AS g, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS i, s, {_W.format('s')} AS n FROM s WHERE trim(s) <> ''), {_pack('t', 120, 1)} SELECT g AS doc_id, c AS chunk_idx, count(*) AS n_items, trim(string_agg(t.s, ' ' ORDER BY i)) AS text FROM p JOIN t USING (g, i) GROUP BY g, c".replace(" WHERE doc_id < 300", ""))
 def b3_chunk_sentences(spark, d):
-    return C.chunk_sentences(table(spark, d, "documents"), 120, key="doc_id", text="text")
+    return C.chunk_sentences(spread(table(spark, d, "documents")), 120, key="doc_id", text="text")
 
 
 @query()
 def b3b_chunk_sentences_plain(spark, d):
-    return C.chunk_sentences(table(spark, d, "documents"), 8, key="doc_id", text="text", count_sep=False, guard=False)
+    return C.chunk_sentences(spread(table(spark, d, "documents")), 8, key="doc_id", text="text", count_sep=False, guard=False)
 
 
 @query(f"WITH RECURSIVE a AS (SELECT source AS g, doc_id, 'd' || doc_id AS title, 'd' || doc_id || ': ' || text AS w FROM documents), b AS (SELECT g, doc_id, title, CASE WHEN {_W.format('w')} > 800 THEN substr(w, 1, 2800) ELSE w END AS w FROM a), t AS (SELECT g, row_number() OVER (PARTITION BY g ORDER BY doc_id) AS i, title, w, {_W.format('w')} AS n FROM b WHERE {_W.format('w')} <= 800), {_pack('t', 800, 1)} SELECT g AS source, c AS chunk_idx, trim(string_agg(w, chr(10) ORDER BY i)) AS text, string_agg(title, ',' ORDER BY i) AS titles FROM p JOIN t USING (g, i) GROUP BY g, c")
 def b4_pack_titled(spark, d):
-    rows = table(spark, d, "documents").withColumn("title", F.concat(F.lit("d"), "doc_id"))
+    rows = spread(table(spark, d, "documents")).withColumn("title", F.concat(F.lit("d"), "doc_id"))
     return C.pack_titled(rows, 800, group="source", order="doc_id", title="title", text="text").withColumn("titles", F.array_join("titles", ","))
 
 
@@ -65,7 +65,7 @@ def b5_render_session(spark, d):
 
 @query()
 def b6_split_long_turns(spark, d):
-    return C.split_long_turns(table(spark, d, "conversations"), 200, key=["conv_id", "turn"], role="role", text="text")
+    return C.split_long_turns(spread(table(spark, d, "conversations")), 200, key=["conv_id", "turn"], role="role", text="text")
 
 
 @query()

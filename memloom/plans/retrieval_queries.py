@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from memloom.functions.text import split_words, token_count, word_tokens
 from memloom.operators import retrieval as R
-from memloom.plans.registry import query, table
+from memloom.plans.registry import query, spread, table
 
 _TOK = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]+')"
 SCORES = f"""
@@ -26,7 +26,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY s DESC, doc_id)
 
 
 def _docs(spark, d):
-    return table(spark, d, "documents").select("doc_id", "source", "text")
+    return spread(table(spark, d, "documents").select("doc_id", "source", "text"))
 
 
 def _asked(spark, d):
