@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memloom.llm._common import Words, equal_windows, mix, row_slices, runs, split_words, window_hashes, window_starts
+from memloom.llm._common import Words, equal_windows, mix, row_slices, split_words, window_hashes, window_starts
 
 REPEAT_WIDTH = 8
 SYMBOLS = "#*$%&|<>"
