@@ -54,6 +54,17 @@ def test_stages(spark, folder):
     assert sorted(map(repr, P.run(spark, folder).collect())) == sorted(map(repr, mixed.collect()))
 
 
+def test_near_copies_down_to_four_fifths_go(spark, tmp_path):
+    base = [f"w{k}" for k in range(104)]  # 100 runs of five words
+    at = lambda *places: " ".join("other" + w if k in places else w for k, w in enumerate(base))
+    rows = [(1, " ".join(base)), (2, at(20, 60)), (3, " ".join("z" + w for w in base)), (4, " ".join("z" + w for w in at(20, 40, 60).split()))]
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(100)} for _, t in rows]
+    assert 0.8 <= len(sets[0] & sets[1]) / len(sets[0] | sets[1]) < 0.85 and len(sets[2] & sets[3]) / len(sets[2] | sets[3]) < 0.8
+    docs = spark.createDataFrame([(i, t, "aa", "s", len(t)) for i, t in rows], SCHEMA)
+    groups = brute.near(rows, 80)
+    assert sorted(r.doc_id for r in P.near_duplicates(spark, docs, str(tmp_path)).collect()) == [i for i, _ in rows if groups[i][2]] == [1, 3, 4]
+
+
 def test_empty_tables(spark, folder, tmp_path):
     for name in ("documents", "benchmark"):
         spark.read.parquet(f"{folder}/{name}.parquet").where("false").write.parquet(f"{tmp_path}/{name}.parquet")
