@@ -19,10 +19,10 @@ IP_PARTS = r"^0*(25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})(\.0*(25[0-5]|2[0-4][0
 #: What may be an identifier: a token with four digits or more, or with @, from its first letter, digit or plus to its last letter or digit.
 TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
 _EDGES = r"^[^A-Za-z0-9+]+|[^A-Za-z0-9]+$"
-#: A pattern is the two words before a token, lower-cased. It needs this many different known identifiers and this
-#: share of all of them (so that the patterns of a corpus ten times as large are no others), and after the rounds this
-#: share of everything that follows it in the corpus must be identifiers.
-SUPPORT, SHARE, CONFIDENCE, ROUNDS = 5, 1 / 1000, 0.7, 3
+#: A pattern is the two words before a token, lower-cased. It needs this many different identifiers (known, or found
+#: with this confidence in an earlier round), and this share of everything that follows it in the corpus must be
+#: identifiers. Neither grows with the corpus.
+SUPPORT, CONFIDENCE, ROUNDS = 5, 0.7, 3
 #: Characters looked at for the words before a token; patterns sent to every task at most (more are joined by shuffle).
 REACH, SENT = 160, 500_000
 _WHITE = r"[\x20\x09-\x0D]+"
@@ -84,35 +84,40 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= SENT else df
 
 
-def confident_patterns(tokens: DataFrame, texts: DataFrame, stash: Stash, *, support: int = SUPPORT, share: float = SHARE, confidence: float = CONFIDENCE, rounds: int = ROUNDS) -> DataFrame:
+def confident_patterns(tokens: DataFrame, texts: DataFrame, stash: Stash, *, support: int = SUPPORT, confidence: float = CONFIDENCE, rounds: int = ROUNDS) -> DataFrame:
     """Patterns (lead, trust) that mark identifiers, from tokens (lead, core, known) and texts (text).
 
     Graph of patterns and instances: an edge joins a lead to a core that follows it, with its number of occurrences.
-    Instances seen as a base kind anywhere are known and score 1. Round by round, a pattern's trust is the score of what
-    follows it, summed over occurrences, over all occurrences of its two words in the corpus, whatever follows; an
-    unknown instance scores 1 - product(1 - trust) over the patterns that it follows. Only leads of `support` or more
-    different known instances, and of `share` or more of all of them, are patterns at all.
+    Instances seen as a base kind anywhere are known and score 1. Round by round, leads of `support` or more different
+    instances that score `confidence` or more take part, so what one round finds lets in leads of the next; a lead's
+    trust is the score of what follows it, summed over occurrences, over all occurrences of its two words in the corpus,
+    whatever follows; an unknown instance scores 1 - product(1 - trust) over the taking-part leads that it follows.
+
+    Before any join on instances, leads go that cannot be patterns whatever the scores: those followed by fewer than
+    `support` different tokens, or by tokens in less than `confidence` of their occurrences, which bounds their trust.
+    They do not vouch for instances either.
     """
-    edges = tokens.where(F.col("lead").isNotNull()).groupBy("lead", "core").agg(F.count("*").alias("n"), F.max("known").alias("known"))
-    n_known = tokens.where("known").select("core").distinct().count()
-    seeds = edges.where("known").groupBy("lead").agg(F.count("*").alias("seeds")).where(F.col("seeds") >= max(support, n_known * share)).select("lead")
-    seeds = stash.keep(seeds)
-    n_patterns = seeds.count()
-    if not n_patterns:
-        return seeds.withColumn("trust", F.lit(0.0))
+    edges = stash.keep(tokens.where(F.col("lead").isNotNull()).groupBy("lead", "core").agg(F.count("*").alias("n")))
+    leads = stash.keep(edges.groupBy("lead").agg(F.sum("n").alias("most"), F.count("*").alias("cores")).where(F.col("cores") >= support).select("lead", "most"))
+    n_leads = leads.count()
+    if not n_leads:
+        return leads.select("lead", F.lit(0.0).alias("trust"))
     words = F.filter(F.split(F.lower(F.col("text")), _WHITE), lambda w: w != "")
     pairs = F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 2, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
-    followed = texts.where(F.col("text").isNotNull()).select(F.explode(pairs).alias("lead")).join(_small(seeds, n_patterns), "lead").groupBy("lead").agg(F.count("*").alias("total"))
-    edges = stash.keep(edges.join(_small(seeds, n_patterns), "lead"))
-    totals = stash.keep(followed)
-    scores = edges.groupBy("core").agg(F.max(F.col("known").cast("double")).alias("score"))
-    known = stash.keep(scores)
-    trust = None
+    followed = texts.where(F.col("text").isNotNull()).select(F.explode(pairs).alias("lead")).join(_small(leads.select("lead"), n_leads), "lead").groupBy("lead").agg(F.count("*").alias("total"))
+    able = stash.keep(followed.join(leads, "lead").where(F.col("most") >= F.col("total") * confidence).select("lead", "total"))
+    n_able = able.count()
+    if not n_able:
+        return able.select("lead", F.lit(0.0).alias("trust"))
+    edges = stash.keep(edges.join(_small(able, n_able), "lead"))
+    seen = tokens.where("known").select("core").distinct().withColumn("score", F.lit(1.0))
+    known = stash.keep(edges.select("core").distinct().join(seen, "core", "left").select("core", F.coalesce("score", F.lit(0.0)).alias("score")))
+    scores, trust = known, None
     for _ in range(rounds):
-        sums = edges.join(scores, "core").groupBy("lead").agg(F.sum(F.col("n") * F.col("score")).alias("mass"))
-        trust = stash.keep(sums.join(totals, "lead").select("lead", F.least(F.col("mass") / F.col("total"), F.lit(1.0)).alias("trust")))
-        miss = edges.join(_small(trust, n_patterns), "lead").groupBy("core").agg(F.sum(F.log(F.greatest(1 - F.col("trust"), F.lit(1e-9)))).alias("logs"))
-        scores = known.join(miss, "core").select("core", F.when(F.col("score") > 0, F.col("score")).otherwise(1 - F.exp("logs")).alias("score"))
+        sums = edges.join(scores, "core").groupBy("lead", "total").agg(F.sum(F.col("n") * F.col("score")).alias("mass"), F.count_if(F.col("score") >= confidence).alias("seeds"))
+        trust = stash.keep(sums.where(F.col("seeds") >= support).select("lead", F.least(F.col("mass") / F.col("total"), F.lit(1.0)).alias("trust")))
+        miss = edges.join(_small(trust, n_able), "lead").groupBy("core").agg(F.sum(F.log(F.greatest(1 - F.col("trust"), F.lit(1e-9)))).alias("logs"))
+        scores = known.join(miss, "core", "left").select("core", F.when(F.col("score") > 0, F.col("score")).otherwise(F.coalesce(1 - F.exp("logs"), F.lit(0.0))).alias("score"))
     return trust.where(F.col("trust") >= confidence)
 
 

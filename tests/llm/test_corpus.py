@@ -210,6 +210,21 @@ def test_personal_data_finds_unseen_identifiers(spark):
     assert not any("context" in s for i, s in found.items() if i != 100)
 
 
+def test_personal_data_support_does_not_grow(spark):
+    data = [(k, f"Well, account number 10.0.{k}.7 it is") for k in range(12)] + [(100, "old account number ZX-991-2284, sir")]
+    data += [(200 + k, " ".join(f"u{k}x{j}@mail.org" for j in range(1000))) for k in range(13)]  # 13,000 other known ones
+    found = {r.doc_id: r.spans for r in pii.digests(pii.find(spark.createDataFrame(data, "doc_id long, text string"))).collect()}
+    assert found[100] == "context:19:30"
+
+
+def test_personal_data_found_in_a_round_seeds_the_next(spark):
+    data = [(k, f"account number 10.0.{k}.7") for k in range(30)]
+    data += [(100 + k, f"account number ZX-{k}-2284 or order code ZX-{k}-2284 here") for k in range(6)]  # no base kind follows the second phrase
+    data += [(200, "with order code QQ-7-1234 now")]
+    found = {r.doc_id: r.spans for r in pii.digests(pii.find(spark.createDataFrame(data, "doc_id long, text string"))).collect()}
+    assert found[200] == "context:16:25"
+
+
 def test_masking(spark):
     df = spark.createDataFrame([(1, "é a@b.c and +1 (628) 555-5978!"), (2, "none"), (3, "")], "doc_id long, text string")
     out = pii.find(df, carry=("text",)).select("doc_id", pii.masked(F.col("text"), F.col("spans")).alias("t"))
