@@ -15,9 +15,9 @@ from memloom.llm._common import Words, equal_windows, mix, row_slices, split_wor
 
 REPEAT_WIDTH = 8
 SYMBOLS = "#*$%&|<>"
-#: A language needs this share of the labelled words to be a reference, and a word this share of its language's words
-#: to be common: so there are at most 100 references of at most 500 words.
-LEAST_LANGUAGE, LEAST_WORD = 1 / 100, 1 / 500
+#: Words that a language needs to be a reference, whatever the others have, and the share of its language's words that
+#: a word needs to be common: so a reference has at most 500 words.
+LEAST_WORDS, LEAST_WORD = 10_000, 1 / 500
 #: (distance above which a document fails, words below which the rule says nothing): character classes, common words.
 CLASS_RULE, WORD_RULE = (0.27, 50), (0.33, 100)
 
@@ -85,29 +85,30 @@ def _heavy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64()))], names=["lang", "word", "n"])
 
 
-def language_references(docs: DataFrame) -> dict[str, Reference]:
-    """References of the languages of (text, lang), from all texts with a language.
+def language_references(docs: DataFrame, least_words: int = 1) -> dict[str, Reference]:
+    """References of all languages of (text, lang) with `least_words` words or more, from all texts with a language.
 
     A word of share s in a language has at least share s / 2 in slices that hold at least s / 2 of the language's words
     as that word; so summing what slices report leaves at most 1000 words a language, proven, of which a second pass
-    counts every occurrence, together with the character classes. What comes to the driver is bounded by those shares.
+    counts every occurrence, together with the character classes. So at most 1000 words a language come to the driver.
     """
     docs = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang")
     heavy = docs.mapInArrow(_heavy, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    totals = {r["lang"]: r["n"] for r in heavy.where(F.col("word").isNull() & (F.col("n") > 0)).orderBy(F.desc("n"), "lang").limit(round(1 / LEAST_LANGUAGE)).collect()}
-    everything = sum(totals.values())
-    totals = {k: v for k, v in totals.items() if v >= everything * LEAST_LANGUAGE}
+    totals = {r["lang"]: r["n"] for r in heavy.where(F.col("word").isNull() & (F.col("n") >= max(1, least_words))).select("lang", "n").collect()}
     if not totals:
         return {}
     spark = docs.sparkSession
-    least = spark.createDataFrame([(k, v * LEAST_WORD / 2) for k, v in totals.items()], "lang string, least double")
-    found = heavy.where(F.col("word").isNotNull()).join(F.broadcast(least), "lang").where("n >= least").select("lang", "word").collect()
-    likely = {k: sorted(r["word"] for r in found if r["lang"] == k) for k in totals}
-    order = sorted(likely)
+    least = spark.createDataFrame([(k, v * LEAST_WORD) for k, v in totals.items()], "lang string, least double")
+    found = heavy.where(F.col("word").isNotNull()).join(F.broadcast(least), "lang").where(F.col("n") >= F.col("least") / 2).select("lang", "word").toArrow()
+    likely: dict[str, list[str]] = {k: [] for k in totals}
+    for lang, word in zip(found.column("lang").to_pylist(), found.column("word").to_pylist()):
+        likely[lang].append(word)
+    order, n_classes = sorted(likely), len(CLASSES)
+    held = [pa.array(sorted(likely[k]), pa.string()) for k in order]
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width = max(len(w) for w in likely.values()) + 1
-        sums = np.zeros((len(order), width + len(CLASSES)), np.int64)
+        # of each language met: its classes, its likely words, all other words
+        sums: dict[int, np.ndarray] = {}
         for whole in batches:
             for batch in row_slices(whole, "text"):
                 lang = pc.fill_null(pc.index_in(batch.column("lang"), pa.array(order)), -1).to_numpy().astype(np.int64)
@@ -115,23 +116,26 @@ def language_references(docs: DataFrame) -> dict[str, Reference]:
                 small = _lower(words)
                 chars = class_counts(batch.column("text"))
                 rows = lang[words.rows()]
-                for k, name in enumerate(order):
-                    if (lang == k).any():
-                        place = pc.fill_null(pc.index_in(small, pa.array(likely[name], pa.string())), len(likely[name])).to_numpy().astype(np.int64)
-                        sums[k, :width] += np.bincount(place[words.codes[rows == k]], minlength=width)
-                        sums[k, width:] += chars[lang == k].sum(axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(order), pa.array(sums.tolist(), pa.list_(pa.int64()))], names=["lang", "sums"])
+                for k in np.unique(lang[lang >= 0]).tolist():
+                    own = len(held[k])
+                    place = pc.fill_null(pc.index_in(small, held[k]), own).to_numpy().astype(np.int64)
+                    counts = np.append(chars[lang == k].sum(axis=0), np.bincount(place[words.codes[rows == k]], minlength=own + 1))
+                    sums[k] = sums[k] + counts if k in sums else counts
+        yield pa.RecordBatch.from_arrays([pa.array([order[k] for k in sums], pa.string()), pa.array([x.tolist() for x in sums.values()], pa.list_(pa.int64()))], names=["lang", "sums"])
 
     places = docs.mapInArrow(exact, "lang string, sums array<long>").select("lang", F.posexplode("sums").alias("at", "n"))
-    counts = {(r["lang"], r["at"]): r["n"] for r in places.groupBy("lang", "at").agg(F.sum("n").alias("n")).collect()}
-    width = max(len(w) for w in likely.values()) + 1
+    counted = places.groupBy("lang", "at").agg(F.sum("n").alias("n")).join(F.broadcast(least), "lang")
+    counted = counted.where((F.col("at") < n_classes) | (F.col("n") >= F.col("least"))).select("lang", "at", "n").toArrow()
+    counts: dict[str, dict[int, int]] = {k: {} for k in order}
+    for lang, at, n in zip(*[counted.column(c).to_pylist() for c in ("lang", "at", "n")]):
+        counts[lang][at] = n
     out = {}
-    for name in order:
-        n = np.array([counts[name, k] for k in range(width + len(CLASSES))], float)
-        words, chars = n[: len(likely[name]) + 1], n[width:]
-        common = np.flatnonzero(words[:-1] >= words.sum() * LEAST_WORD)
-        shares = np.append(words[common], words.sum() - words[common].sum()) / max(1.0, words.sum())
-        out[name] = Reference(chars / max(1.0, chars.sum()), [likely[name][i] for i in common], shares)
+    for name, words in zip(order, held):
+        chars = np.array([counts[name].get(k, 0) for k in range(n_classes)], float)
+        common = sorted(k - n_classes for k in counts[name] if n_classes <= k < n_classes + len(words))
+        n = np.array([counts[name][k + n_classes] for k in common], float)
+        shares = np.append(n, totals[name] - n.sum()) / totals[name]
+        out[name] = Reference(chars / max(1.0, chars.sum()), words.take(pa.array(common, pa.int64())).to_pylist(), shares)
     return out
 
 
@@ -164,6 +168,8 @@ def quality(docs: DataFrame, references: dict[str, Reference] | None = None, *,
     A document's histograms of character classes and of common words are held against every reference, and the nearest
     counts, so a missing or wrong language does not matter. It fails the rule if the distance is above the rule's bound
     and the document has the rule's least number of words; shorter ones pass that rule, as their histograms say little.
+    A language with LEAST_WORDS words or more has a reference, however large the others are. A document whose own
+    language has none is held against nothing: its distances are null and only the base rules decide.
     base_failed: under 20 words, or over 30% of words in 8-word windows that occur again in the text.
 
     Null and empty texts have no words: all counts 0, distances 1, base_failed. Without any language (or no documents
@@ -171,7 +177,7 @@ def quality(docs: DataFrame, references: dict[str, Reference] | None = None, *,
     results; other columns are left out.
     """
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    refs = language_references(source) if references is None else references
+    refs = language_references(source, LEAST_WORDS) if references is None else references
     kind = docs.schema[id_col].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,12 +196,14 @@ def quality(docs: DataFrame, references: dict[str, Reference] | None = None, *,
                         place = pc.fill_null(pc.index_in(small, pa.array(r.words, pa.string())), k).to_numpy().astype(np.int64)
                         found.append(distances(np.bincount(rows * (k + 1) + place[words.codes], minlength=len(n) * (k + 1)).reshape(len(n), k + 1), r.shares))
                     by_word = np.min(found, axis=0)
+                own = batch.column("lang")
+                mute = pc.and_(pc.is_valid(own), pc.invert(pc.is_in(own, pa.array(list(refs), pa.string())))).to_numpy(zero_copy_only=False)
                 repeats = repeated_words(words)
                 failed = (n < 20) | (100 * repeats > 30 * n)
                 good = ~failed
                 for rule, d in ((class_rule, by_class), (word_rule, by_word)):
                     if d is not None:
-                        good &= (d <= rule[0]) | (n < rule[1])
+                        good &= (d <= rule[0]) | (n < rule[1]) | mute
                 none = pa.nulls(len(n), pa.float64())
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -205,8 +213,8 @@ def quality(docs: DataFrame, references: dict[str, Reference] | None = None, *,
                         pa.array(chars[:, CLASSES.index("symbol")]),
                         pa.array([duplicate_lines(t) for t in texts.to_pylist()], pa.int64()),
                         pa.array(repeats),
-                        none if by_class is None else pa.array(by_class),
-                        none if by_word is None else pa.array(by_word),
+                        none if by_class is None else pa.array(by_class, mask=mute),
+                        none if by_word is None else pa.array(by_word, mask=mute),
                         pa.array(failed),
                         pa.array(good),
                     ],
@@ -214,4 +222,4 @@ def quality(docs: DataFrame, references: dict[str, Reference] | None = None, *,
                 )
 
     schema = f"id {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, class_distance double, word_distance double, base_failed boolean, kept boolean"
-    return source.select("id", "text").mapInArrow(work, schema).withColumnRenamed("id", id_col)
+    return source.mapInArrow(work, schema).withColumnRenamed("id", id_col)

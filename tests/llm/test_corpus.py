@@ -87,6 +87,21 @@ def test_quality_keeps_prose_and_drops_junk(spark):
     assert kept == set(range(60))
 
 
+def test_quality_of_languages_beside_a_large_one(spark):
+    rng = random.Random(6)
+
+    def prose(letters):
+        common, rare = ["".join(rng.choice(letters) for _ in range(2)) for _ in range(5)], ["".join(rng.choice(letters) for _ in range(6)) for _ in range(400)]
+        return lambda k: " ".join(rng.choice(common) if rng.random() < 0.45 else rng.choice(rare) for _ in range(k)) + "."
+
+    large, small, tiny = (prose(x) for x in (string.ascii_lowercase, "абвгдежзиклмнопрст", "αβγδεζηθικλμνξοπρ"))
+    data = [(k, large(13_000), "en") for k in range(100)] + [(200 + k, small(300), "ru") for k in range(40)] + [(300, tiny(300), "el")]  # ru: 12,000 of 1.3 million
+    data += [(400, " ".join(f"{w}$%#" for w in data[100][1].split()), "ru")]
+    found = {r.doc_id: r for r in quality.quality(spark.createDataFrame(data, "doc_id long, text string, lang string").repartition(4)).collect()}
+    assert {i for i, r in found.items() if not r.kept} == {400}
+    assert found[300].class_distance is None and found[300].word_distance is None and found[200].word_distance < 0.33
+
+
 def test_heavy_words_are_exact(spark):
     df = spark.createDataFrame([("a b b c " * 50, "en"), ("A a q " * 100, "en")], "text string, lang string")
     ref = quality.language_references(df)["en"]
