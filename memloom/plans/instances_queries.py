@@ -44,9 +44,11 @@ def c4_link_evidence(spark, d):
 
 @query("SELECT b.item_id, d.source, max(d.doc_id) AS evidence_idx FROM benchmark b JOIN documents d ON contains(d.text, substr(b.text, 1, 40)) GROUP BY ALL")
 def c5_link_evidence_by_containment(spark, d):
-    asked = table(spark, d, "benchmark").select("item_id", F.substring("text", 1, 40).alias("context"))
-    asked = asked.withColumn("source", F.explode(F.transform(F.sequence(F.lit(0), F.lit(19)), lambda i: F.concat(F.lit("src"), i))))
-    return C.link_evidence_by_containment(asked, docs(spark, d), instance="source", question="item_id", context="context", text="text", chunk="doc_id")
+    # every source that the documents have; in a struct, since rows without a source are an instance too
+    held = docs(spark, d).withColumn("instance", F.struct("source"))
+    asked = table(spark, d, "benchmark").select("item_id", F.substring("text", 1, 40).alias("context")).crossJoin(held.select("instance").distinct())
+    out = C.link_evidence_by_containment(asked, held, instance="instance", question="item_id", context="context", text="text", chunk="doc_id")
+    return out.select("item_id", "instance.source", "evidence_idx")
 
 
 @query("SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 10 AS instance_id, (row_number() OVER (ORDER BY doc_id) - 1) % 10 AS chunk_idx FROM documents")
