@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -26,17 +26,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and the executors share; one of our own only where the session names none."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that the driver and the executors share: the session's; one of our own only in a local session that names none."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        held = spark.sparkContext.getCheckpointDir()
-        if held is None:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="memloom-"))
-            held = spark.sparkContext.getCheckpointDir()
-        found = held
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="memloom-"))
+        found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
 
+def carried(columns: Iterable[str], outputs: Iterable[str]) -> dict[str, tuple[str, str]]:
+    """Private name of each column that passes through an operator, with its own name and the one it comes out under.
+
+    That is its own, or with `_in` at its end where the operator has an output of that name.
+    """
+    taken = set(outputs)
+    out: dict[str, tuple[str, str]] = {}
+    for k, c in enumerate(dict.fromkeys(columns)):
+        name = c
+        while name in taken:
+            name += "_in"
+        taken.add(name)
+        out[f"_keep{k}"] = (c, name)
+    return out
+
+
 class Stash:
     """Tables written to the shared folder to cut lineage and to share work between jobs; drop() removes one."""
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from memloom.llm import chat, decontam, langid, mixing, near_dedup, pii, quality, secret_scan, substring_dedup, token_counts
 from memloom.llm._common import Stash
+from memloom.llm._spans import masked
 from memloom.llm.components import components
 from tests.llm import brute
 
@@ -160,7 +161,9 @@ def test_secret_scan_tells_random_from_regular(spark):
     b64 = string.ascii_letters + string.digits
     secret = ["".join(rng.choice(b64) for _ in range(rng.choice([32, 40, 44]))) for _ in range(120)]
     regular = [w for k in range(60) for w in (f"release-candidate-version-{k:04d}-final", f"aaaaaaaaaaaaaaaaaaaaaaaaaa{k:04d}", f"path/to/some/folder/with/data/{k:05d}")]
-    data = [(k, f"see {t} here") for k, t in enumerate(secret + regular)]
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 8))) for _ in range(300)]
+    prose = lambda: " ".join(rng.choice(words) for _ in range(400))  # noqa: E731  what tokens are held against
+    data = [(k, f"see {t} here {prose()}") for k, t in enumerate(secret + regular)]
     got = {r.doc_id: r.spans for r in secret_scan.digests(secret_scan.scan(spark.createDataFrame(data, "doc_id long, text string"))).collect()}
     hit = {k for k, s in got.items() if "random" in s}
     assert len(hit & set(range(120))) >= 100
@@ -242,7 +245,7 @@ def test_personal_data_found_in_a_round_seeds_the_next(spark):
 
 def test_masking(spark):
     df = spark.createDataFrame([(1, "é a@b.c and +1 (628) 555-5978!"), (2, "none"), (3, "")], "doc_id long, text string")
-    out = pii.find(df, carry=("text",)).select("doc_id", pii.masked(F.col("text"), F.col("spans")).alias("t"))
+    out = pii.find(df, carry=("text",)).select("doc_id", masked(F.col("text"), F.col("spans")).alias("t"))
     assert {r.doc_id: r.t for r in out.collect()} == {1: "é <EMAIL> and <PHONE>!", 2: "none", 3: ""}
 
 
