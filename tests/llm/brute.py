@@ -84,14 +84,14 @@ def leaks(docs, items):
     for i, t in items:
         w = cut.findall(lower(t or ""))
         for k in range(max(1, len(w) - 9) if w else 0):
-            windows[tuple(w[k : k + 10])].add(str(i))
+            windows[tuple(w[k : k + 10])].update(() if i is None else (str(i),))
     sizes = {len(k) for k in windows}
     out = []
     for i, t in docs:
         w, hit, found = cut.findall(lower(t or "")), set(), set()
         for n in sizes:
             for k in range(len(w) - n + 1):
-                if held := windows.get(tuple(w[k : k + n])):
+                if (held := windows.get(tuple(w[k : k + n]))) is not None:
                     hit.update(range(k, k + n))
                     found |= held
         out.append((i, len(w), len(hit), len(found), sha(",".join(sorted(found))), bool(hit)))

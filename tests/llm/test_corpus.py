@@ -276,7 +276,7 @@ def test_mix(docs, rows, none, spark):
 
 
 def test_decontaminate(docs, rows, none, spark):
-    items = [(1, rows[6][1]), (2, "Tür é Ñ"), (3, None), (4, "..."), (5, rows[6][1]), (10, "a a a a a a a a a a a"), (11, "x it's we'll")]
+    items = [(1, rows[6][1]), (2, "Tür é Ñ"), (3, None), (4, "..."), (5, rows[6][1]), (10, "a a a a a a a a a a a"), (11, "x it's we'll"), (None, rows[8][1]), (None, "don't 123")]
     bench = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit("clash"))
     want = sorted(brute.leaks([(r[0], r[1]) for r in rows], items), key=repr)
     for block in (decontam.BLOCK_BYTES, 30):
@@ -287,9 +287,22 @@ def test_decontaminate(docs, rows, none, spark):
     got = decontam.decontaminate(spark.createDataFrame([(1, text)], "doc_id long, text string"), bench).first()
     assert [text[s.start : s.end] for s in got.spans] == ["x it's  we'll"]
     assert decontam.decontaminate(none, bench).count() == 0
+    kept = decontam.decontaminate(docs.withColumns({c: F.lit("own") for c in ("n_hit", "spans", "_text", "_keep0")}), bench, carry=("n_hit", "spans", "_text", "_keep0"))
+    assert kept.columns == ["doc_id", "n_hit_in", "spans_in", "_text", "_keep0", "n_words", "n_hit", "items", "spans"] and kept.where("n_hit_in = 'own' and spans_in = 'own' and _text = 'own'").count() == len(rows)
     assert decontam.decontaminate(docs, bench.where("false")).where("n_hit > 0").count() == 0
 
 
+def test_many_items_in_bounded_memory(spark):
+    rng = random.Random(7)
+    items = [(k, make(rng, 40, [f"w{j}" for j in range(5000)])) for k in range(200)]
+    data = [(k, f"{make(rng, 20, ['x', 'y'])} {items[k][1].upper() if k % 2 else make(rng, 40, ['z', 'q'])} {items[(k + 7) % 200][1][30:150]}") for k in range(200)] + [(500, "x " * 400_000 + items[3][1])]
+    docs, bench = spark.createDataFrame(data, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")
+    want = sorted(brute.leaks(data, items), key=repr)
+    for block in (1 << 20, 5000):
+        found = decontam.decontaminate(docs, bench, block_bytes=block)
+        assert collected(found.select("doc_id", "n_words", "n_hit", F.size("items").alias("n"), F.sha2(F.array_join("items", ","), 256).alias("sha"), (F.col("n_hit") > 0).alias("c")), "doc_id", "n_words", "n_hit", "n", "sha", "c") == want
+
+
 def test_near_duplicates(docs, rows, none):
     got = near_dedup.near_duplicates(docs)
     want = brute.near([(r[0], r[1]) for r in rows if r[0] is not None])
