@@ -15,18 +15,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from memloom.llm._common import mix, row_slices, runs, window_starts
+from memloom.llm._common import carried, mix, row_slices, runs, window_starts
 
 SIZES = (1, 2, 3)
 #: Places that n-grams are hashed into.
 PLACES = 1 << 14
-#: Most labelled rows that the model is fitted on, and most languages (those with most rows) that it knows.
-SAMPLE_ROWS, MOST_LANGUAGES = 4000, 1000
+#: Most labelled rows that the model is fitted on. A labelled language has LEAST_ROWS of them if it has as many.
+SAMPLE_ROWS, LEAST_ROWS = 4000, 4
 EPOCHS, ALPHA, BETA, L1, L2 = 4, 0.3, 1.0, 1e-3, 1e-4
 #: x = SCALE * (count / n-grams of the text) * idf.
 SCALE = 20.0
 UNKNOWN = "und"
-#: Text bytes at once: n-gram arrays are some 200 times as large.
+#: Text bytes at once: n-gram arrays are some 200 times as large. A longer text is read in stretches of as many characters.
 _SLICE = 512 << 10
 
 
@@ -38,7 +38,7 @@ def _letters() -> np.ndarray:
 def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Hashed n-grams of each text, flat, with offsets; none for a text without letters.
 
-    Letters are lower-cased; whatever stands between two letters counts as one space, as do start and end.
+    Letters are lower-cased; what follows a run of letters counts as one space, as does the end of the text.
     """
     low = [(t or "").lower() for t in texts]
     raw = np.frombuffer((" " + "".join(t + " " for t in low)).encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -73,6 +73,33 @@ def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return merged, out
 
 
+def stretches(texts: list[str | None], limit: int) -> Iterator[tuple[int, int, list[str | None]]]:
+    """(first row, last row + 1, texts) of what is worked on at once: many short texts, or one stretch of a long one.
+
+    A text of more than `limit` characters comes in stretches that end at white space where there is any; the n-grams of
+    each are those of a text of its own.
+    """
+    lo, size = 0, 0
+    for r, t in enumerate(texts):
+        n = len(t or "")
+        if size and size + n > limit:
+            yield lo, r, texts[lo:r]
+            lo, size = r, 0
+        if n > limit:
+            at = 0
+            while at < n:
+                end = min(n, at + limit)
+                if end < n and (gap := max(t.rfind(" ", at, end), t.rfind("\n", at, end))) > at:
+                    end = gap + 1
+                yield r, r + 1, [t[at:end]]
+                at = end
+            lo, size = r + 1, 0
+        else:
+            size += n
+    if lo < len(texts):
+        yield lo, len(texts), texts[lo:]
+
+
 class Model(NamedTuple):
     languages: list[str]
     weights: np.ndarray  # PLACES x languages, times idf and SCALE
@@ -123,8 +150,10 @@ def _temperature(logits: np.ndarray, y: np.ndarray) -> float:
 def train(labelled: DataFrame, *, sample_rows: int = SAMPLE_ROWS) -> Model | None:
     """A model of rows (id, text, lang); None without any labelled text that has a letter.
 
-    Document frequencies are counted over all rows. Weights are fitted on at most about `sample_rows` rows, spread over
-    the languages and chosen by a hash of the id, of which only n-gram counts reach the driver.
+    Document frequencies are counted over all rows. Weights are fitted on about `sample_rows` rows at most, spread over
+    the languages, of which only n-gram counts reach the driver. Every labelled language is known; more of them than
+    `sample_rows` / LEAST_ROWS are an error, as their sample would have no bound. Rows are drawn by a hash of id and
+    text; equal rows are drawn together, and then stand in the sample once.
     """
     labelled = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
 
@@ -132,13 +161,17 @@ def train(labelled: DataFrame, *, sample_rows: int = SAMPLE_ROWS) -> Model | Non
         df, n = np.zeros(PLACES, np.int64), 0
         for whole in batches:
             for batch in row_slices(whole, "text", _SLICE):
-                flat, offsets = grams(batch.column("text").to_pylist())
-                for lo, hi in zip(offsets[:-1], offsets[1:]):
-                    if hi > lo:
-                        seen = np.zeros(PLACES, bool)
+                open_row, seen = -1, np.zeros(PLACES, bool)
+                for first, _, texts in stretches(batch.column("text").to_pylist(), _SLICE):
+                    flat, offsets = grams(texts)
+                    for k, (lo, hi) in enumerate(zip(offsets[:-1], offsets[1:])):
+                        if first + k != open_row:
+                            df += seen
+                            n += bool(seen.any())
+                            open_row, seen = first + k, np.zeros(PLACES, bool)
                         seen[flat[lo:hi]] = True
-                        df += seen
-                        n += 1
+                df += seen
+                n += bool(seen.any())
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, PLACES, dtype=np.int32)), pa.array(np.concatenate([[n], df]))], names=["place", "n"])
 
     found = labelled.select("text").mapInArrow(frequencies, "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).toPandas()
@@ -147,21 +180,33 @@ def train(labelled: DataFrame, *, sample_rows: int = SAMPLE_ROWS) -> Model | Non
     df = np.zeros(PLACES)
     df[found.place[found.place >= 0]] = found.n[found.place >= 0]
     idf = np.log((1 + n_docs) / (1 + df)) + 1.0
-    counts = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
-    share = sample_rows / max(1, len(counts))
+    most = max(1, sample_rows // LEAST_ROWS)
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").limit(most + 1).collect()
+    if len(counts) > most:
+        raise ValueError(f"more than {most} languages: raise sample_rows")
+    share = sample_rows / len(counts)
     rates = labelled.sparkSession.createDataFrame([(r["lang"], min(1.0, share / r["n"])) for r in counts], "lang string, rate double")
-    draw = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit("sample")), F.lit(1 << 40)).cast("double") / float(1 << 40)
+    draw = F.pmod(F.xxhash64(F.col("id").cast("string"), F.col("text"), F.lit("sample")), F.lit(1 << 40)).cast("double") / float(1 << 40)
     sample = labelled.withColumn("draw", draw).join(F.broadcast(rates), "lang").where("draw < rate")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in row_slices(whole, "text", _SLICE):
-                flat, offsets = grams(batch.column("text").to_pylist())
-                held = [np.unique(flat[lo:hi], return_counts=True) for lo, hi in zip(offsets[:-1], offsets[1:])]
-                yield pa.RecordBatch.from_arrays([batch.column("draw"), batch.column("lang"), pa.array([f.astype("<i4").tobytes() for f, _ in held], pa.binary()), pa.array([c.astype("<i4").tobytes() for _, c in held], pa.binary())], names=["draw", "lang", "places", "counts"])
-
-    got = sample.select("draw", "lang", "text").mapInArrow(vectors, "draw double, lang string, places binary, counts binary").collect()
-    got = sorted((r for r in got if r["places"]), key=lambda r: (r["draw"] * 7919 % 1, r["lang"], bytes(r["places"]), bytes(r["counts"])))
+                counts = [np.zeros(0, np.int64)] * batch.num_rows
+                for first, _, texts in stretches(batch.column("text").to_pylist(), _SLICE):
+                    flat, offsets = grams(texts)
+                    for k, (lo, hi) in enumerate(zip(offsets[:-1], offsets[1:])):
+                        if hi > lo:
+                            own = np.bincount(flat[lo:hi], minlength=PLACES)
+                            counts[first + k] = own + counts[first + k] if len(counts[first + k]) else own
+                held = [np.flatnonzero(c) for c in counts]
+                yield pa.RecordBatch.from_arrays([batch.column("draw"), batch.column("lang"), pa.array([at.astype("<i4").tobytes() for at in held], pa.binary()), pa.array([c[at].astype("<i4").tobytes() for c, at in zip(counts, held)], pa.binary())], names=["draw", "lang", "places", "counts"])
+
+    # rows alike (one id and text, one language) are one row of the sample, so a draw of any text brings one row; what
+    # is drawn beyond twice the sample, which takes hashes far from even, is left in the tables
+    drawn = sample.select("draw", "lang", "text").mapInArrow(vectors, "draw double, lang string, places binary, counts binary").where(F.length("places") > 0)
+    got = drawn.groupBy("draw", "lang").agg(F.min(F.struct("places", "counts")).alias("v")).orderBy("draw", "lang").limit(2 * sample_rows).select("draw", "lang", "v.*").collect()
+    got = sorted(got, key=lambda r: (r["draw"] * 7919 % 1, r["lang"], bytes(r["places"]), bytes(r["counts"])))
     languages = sorted({r["lang"] for r in got}, key=lambda x: x.encode())
     if not languages:
         return None
@@ -177,30 +222,43 @@ def train(labelled: DataFrame, *, sample_rows: int = SAMPLE_ROWS) -> Model | Non
     return Model(languages, (w[:-1] * idf[:, None] * SCALE).astype(np.float32), w[-1].astype(np.float32), t)
 
 
+def logits(texts: list[str | None], model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """(n-grams of each text, a row of logits for each text that has any)."""
+    n, sums = np.zeros(len(texts), np.int64), np.zeros((len(texts), len(model.languages)))
+    for first, last, part in stretches(texts, _SLICE):
+        flat, offsets = grams(part)
+        own = np.diff(offsets)
+        full = np.flatnonzero(own)
+        n[first:last] += own
+        if len(full):
+            sums[first + full] += np.stack([np.add.reduceat(model.weights[:, k][flat].astype(np.float64), offsets[:-1][full]) for k in range(len(model.languages))], axis=1)
+    full = n > 0
+    return n, sums[full] / n[full, None] + model.bias
+
+
 def predict(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row per document row: lang_pred and score (calibrated odds of it, 0 to 1); `und` and 0 for a null text, one without letters, or without a model. Columns named in `carry` pass through."""
+    """One row per document row: lang_pred and score (calibrated odds of it, 0 to 1); `und` and 0 for a null text, one without letters, or without a model. Columns named in `carry` pass through, one of the name of an output with `_in` at its end."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    through = list(dict.fromkeys([id_col, *carry]))
+    through = carried([id_col, *carry], ("lang_pred", "score"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = held.value
         for whole in batches:
-            for batch in row_slices(whole, text_col, _SLICE):
+            for batch in row_slices(whole, "_text", _SLICE):
                 lang, score = [UNKNOWN] * batch.num_rows, np.zeros(batch.num_rows)
-                flat, offsets = grams(batch.column(text_col).to_pylist())
-                n = np.diff(offsets)
-                full = np.flatnonzero(n)
-                if own is not None and len(full):
-                    logits = np.stack([np.add.reduceat(own.weights[:, k][flat].astype(np.float64), offsets[:-1][full]) for k in range(len(own.languages))], axis=1)
-                    p = _softmax((logits / n[full, None] + own.bias) / own.temperature)
-                    best = p.argmax(axis=1)
-                    score[full] = p[np.arange(len(full)), best]
-                    for r, k in zip(full.tolist(), best.tolist()):
-                        lang[r] = own.languages[k]
-                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in through], pa.array(lang, pa.string()), pa.array(score)], names=[*through, "lang_pred", "score"])
-
-    schema = T.StructType([*[docs.schema[c] for c in through], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return docs.select(*dict.fromkeys([*through, text_col])).mapInArrow(work, schema)
+                if own is not None:
+                    n, found = logits(batch.column("_text").to_pylist(), own)
+                    full = np.flatnonzero(n)
+                    if len(full):
+                        p = _softmax(found / own.temperature)
+                        best = p.argmax(axis=1)
+                        score[full] = p[np.arange(len(full)), best]
+                        for r, k in zip(full.tolist(), best.tolist()):
+                            lang[r] = own.languages[k]
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in through], pa.array(lang, pa.string()), pa.array(score)], names=[*[name for _, name in through.values()], "lang_pred", "score"])
+
+    schema = T.StructType([*[T.StructField(name, docs.schema[c].dataType) for c, name in through.values()], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return docs.select(*[F.col(c).alias(k) for k, (c, _) in through.items()], F.col(text_col).alias("_text")).mapInArrow(work, schema)
 
 
 def is_held_out(id_col: str = "doc_id") -> Column:
@@ -211,7 +269,7 @@ def is_held_out(id_col: str = "doc_id") -> Column:
 def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS, carry: tuple[str, ...] = ()) -> DataFrame:
     """Train on the labelled documents that are not held out, predict all: id, lang_pred, score, a row per document row.
 
-    Null or letterless texts: `und`, 0. Null languages do not train. No training rows or no documents: `und` for all,
+    Null or letterless texts: `und`, 0. A text of any length is one row; its memory is that of one stretch of it. Null languages do not train. No training rows or no documents: `und` for all,
     or no rows. Repeated rows count as often as they stand there; the sample is chosen by id, so reruns agree; other
     columns are left out unless `carry` names them. Only the text is looked at when predicting.
     """
