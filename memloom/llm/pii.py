@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from memloom.llm._common import Stash
-from memloom.llm._spans import hits, kept_if, labelled, spans, written
+from memloom.llm._common import Stash, carried
+from memloom.llm._spans import hits, kept_if, labelled, let, masked, spans, touching, written  # noqa: F401  masked: for users of find()
 
 #: Fixed patterns of the base kinds, in forms that take linear time: possessive runs, starts only where a run starts.
 EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -18,14 +18,16 @@ IP_PARTS = r"^0*(25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})(\.0*(25[0-5]|2[0-4][0
 
 #: What may be an identifier: a token with four digits or more, or with @, from its first letter, digit or plus to its last letter or digit.
 TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
-_EDGES = r"^[^A-Za-z0-9+]+|[^A-Za-z0-9]+$"
+_EDGES = r"^[^A-Za-z0-9+]++|(?<![^A-Za-z0-9])[^A-Za-z0-9]++$"
 #: A pattern is the two words before a token, lower-cased. It needs this many different identifiers (known, or found
 #: with this confidence in an earlier round), and this share of everything that follows it in the corpus must be
 #: identifiers. Neither grows with the corpus.
 SUPPORT, CONFIDENCE, ROUNDS = 5, 0.7, 3
-#: Characters looked at for the words before a token; patterns sent to every task at most (more are joined by shuffle).
-REACH, SENT = 160, 500_000
+#: Patterns sent to every task at most (more are joined by shuffle).
+SENT = 500_000
 _WHITE = r"[\x20\x09-\x0D]+"
+#: The last two words of what stands before a token, of whatever length; it is tried at starts of words only.
+_LAST_TWO = r"(?<![^\x20\x09-\x0D])([^\x20\x09-\x0D]++[\x20\x09-\x0D]++[^\x20\x09-\x0D]++)[\x20\x09-\x0D]*+$"
 
 
 def digits(text: Column) -> Column:
@@ -58,8 +60,7 @@ def _base(email: Column, ip: Column, card: Column, phone: Column) -> dict[str, C
 
 def _leading(gap: Column) -> Column:
     """The last two words of what stands before a token, lower-cased; null if there are not two."""
-    words = F.filter(F.split(F.lower(F.right(gap, F.lit(REACH))), _WHITE), lambda w: w != "")
-    return F.when(F.size(words) >= 2, F.concat_ws(" ", F.element_at(words, -2), F.element_at(words, -1)))
+    return F.nullif(F.regexp_replace(F.lower(F.regexp_extract(gap, _LAST_TWO, 1)), _WHITE, " "), F.lit(""))
 
 
 def _tokens(text: Column, found: Column) -> Column:
@@ -92,6 +93,8 @@ def confident_patterns(tokens: DataFrame, texts: DataFrame, stash: Stash, *, sup
     instances that score `confidence` or more take part, so what one round finds lets in leads of the next; a lead's
     trust is the score of what follows it, summed over occurrences, over all occurrences of its two words in the corpus,
     whatever follows; an unknown instance scores 1 - product(1 - trust) over the taking-part leads that it follows.
+    All pairs of neighbouring words are counted, with partial sums, under 64-bit names before the leads are looked up
+    among them, so that no join sees a row for each occurrence (two pairs of one name would only lower a trust).
 
     Before any join on instances, leads go that cannot be patterns whatever the scores: those followed by fewer than
     `support` different tokens, or by tokens in less than `confidence` of their occurrences, which bounds their trust.
@@ -102,10 +105,13 @@ def confident_patterns(tokens: DataFrame, texts: DataFrame, stash: Stash, *, sup
     n_leads = leads.count()
     if not n_leads:
         return leads.select("lead", F.lit(0.0).alias("trust"))
+    # every two neighbouring words that another word follows, counted before anything is joined; 64-bit names keep rows short
     words = F.filter(F.split(F.lower(F.col("text")), _WHITE), lambda w: w != "")
-    pairs = F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 2, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
-    followed = texts.where(F.col("text").isNotNull()).select(F.explode(pairs).alias("lead")).join(_small(leads.select("lead"), n_leads), "lead").groupBy("lead").agg(F.count("*").alias("total"))
-    able = stash.keep(followed.join(leads, "lead").where(F.col("most") >= F.col("total") * confidence).select("lead", "total"))
+    named = let(F.transform(words, lambda w: F.xxhash64(w)), lambda w: F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 2, F.lit(0))), F.slice(w, 2, F.greatest(F.size(w) - 2, F.lit(0))), lambda a, b: F.xxhash64(a, b)))
+    followed = texts.where(F.col("text").isNotNull()).select(F.explode(named).alias("name")).groupBy("name").agg(F.count("*").alias("total"))
+    halves = F.split("lead", " ")
+    leads = leads.withColumn("name", F.xxhash64(F.xxhash64(halves[0]), F.xxhash64(halves[1])))
+    able = stash.keep(followed.join(_small(leads, n_leads), "name").where(F.col("most") >= F.col("total") * confidence).select("lead", "total"))
     n_able = able.count()
     if not n_able:
         return able.select("lead", F.lit(0.0).alias("trust"))
@@ -125,27 +131,27 @@ def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sup
     """One row per document row: base and spans (arrays of struct<start, rank, end, kind>; kinds email, ip, card, phone, context).
 
     Base spans by fixed forms; `context` spans are identifier-like tokens that follow a high-confidence pattern and
-    touch no base span. Null texts count as empty; empty texts have none; equal places go by kind; repeated rows and
+    touch no base span. Null texts count as empty; empty texts have none; a text of any length is one row, its work linear in its matches; equal places go by kind; repeated rows and
     ids give repeated results (and count as often as evidence occurs, but support counts different identifiers); other
-    columns are left out unless `carry` names them; no documents give no rows. Places count code points.
+    columns are left out unless `carry` names them (one of the name base or spans comes out as base_in or spans_in); no
+    documents give no rows. Places count code points.
     """
     stash = Stash(docs.sparkSession)
     text = F.col("_text")
-    through = {f"_keep{k}": c for k, c in enumerate(dict.fromkeys([id_col, *carry]))}
-    found = docs.select(*[F.col(c).alias(k) for k, c in through.items()], F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    through = carried([id_col, *carry], ("base", "spans"))
+    found = docs.select(*[F.col(c).alias(k) for k, (c, _) in through.items()], F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     forms = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE, "token": TOKEN}
     found = found.withColumns({f"_{k}": hits(text, p) for k, p in forms.items()})
     placed = [spans(text, F.col(f"_{k}"), forms[k]).alias(k) for k in KINDS]
     tokens = F.when(F.size("_token") > 0, _tokens(text, F.col("_token"))).otherwise(F.array().cast("array<struct<start:bigint,end:bigint,core:string,lead:string>>")).alias("tokens")
     found = found.select(*through, *placed, tokens)
     found = found.select(*through, labelled(_base(*[F.col(k) for k in KINDS])).alias("base"), "tokens")
-    over = lambda t: F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))
-    marked = F.transform("tokens", lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), t["core"].alias("core"), t["lead"].alias("lead"), over(t).alias("known")))
+    marked = F.zip_with("tokens", touching(F.col("tokens"), F.col("base")), lambda t, on: F.struct(t["start"].alias("start"), t["end"].alias("end"), t["core"].alias("core"), t["lead"].alias("lead"), on.alias("known")))
     found = stash.keep(found.withColumn("tokens", marked).withColumn("_row", F.monotonically_increasing_id()))
     evidence = found.where(F.size("tokens") > 0).select(F.explode("tokens").alias("t")).select("t.lead", "t.core", "t.known")
     patterns = stash.keep(confident_patterns(evidence, docs.select(F.col(text_col).alias("text")), stash, support=support, confidence=confidence, rounds=rounds))
     n_patterns = patterns.count()
-    names = [F.col(k).alias(c) for k, c in through.items()]
+    names = [F.col(k).alias(c) for k, (_, c) in through.items()]
     if not n_patterns:
         return found.select(*names, "base", F.col("base").alias("spans"))
     new = found.select("_row", F.explode(F.filter("tokens", lambda t: ~t["known"])).alias("t")).join(_small(patterns.select(F.col("lead").alias("_lead")), n_patterns), F.col("t.lead") == F.col("_lead"))
@@ -155,20 +161,6 @@ def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sup
     return out.select(*names, "base", every.alias("spans"))
 
 
-def masked(text: Column, found: Column) -> Column:
-    """The text with each span replaced by its kind in angle brackets; a span that begins inside an earlier one is part of it."""
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
-
-    def step(state: Column, s: Column) -> Column:
-        inside = s["start"] < state["at"]
-        gap = F.substring(text, (state["at"] + 1).cast("int"), (s["start"] - state["at"]).cast("int"))
-        # what overlaps only reaches further
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.when(inside, state["out"]).otherwise(F.concat(state["out"], gap, F.lit("<"), F.upper(s["kind"]), F.lit(">"))).alias("out"))
-
-    walked = F.aggregate(found, start, step)
-    return F.when(F.size(found) > 0, F.concat(walked["out"], F.substring(text, (walked["at"] + 1).cast("int"), F.length(text)))).otherwise(text)
-
-
 def digests(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
     return found.select(id_col, *[count(k).alias(f"n_{k}") for k in KINDS], F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
