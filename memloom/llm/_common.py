@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Words of the contracts: runs of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -73,6 +74,24 @@ class Stash:
                 target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+#: A key with more than this share of a table's rows is hot. So there are never more hot keys than its inverse.
+HOT_SHARE = 1 / 50_000
+
+
+def keyed_join(rows: DataFrame, facts: DataFrame, key: str, size: str, n_rows: int, stash: Stash, least: int = 64) -> DataFrame:
+    """rows joined to facts, which has one row per key and in `size` how many of the n_rows rows have it.
+
+    Rows of hot keys stay where they are: their facts are sent to them, 50,000 short rows at most. The others are joined
+    by shuffle. So no task gets a whole hot key.
+    """
+    facts = stash.keep(facts)
+    hot = F.col(size) > max(least, int(n_rows * HOT_SHARE))
+    if not facts.where(hot).take(1):
+        return rows.join(facts, key)
+    few = F.broadcast(facts.where(hot))
+    return rows.join(few, key).unionByName(rows.join(few.select(key), key, "left_anti").join(facts.where(~hot), key))
+
+
 def row_slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in row ranges of about `limit` bytes of text each; a longer single row stands alone."""
     if not batch.num_rows:

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memloom.llm._common import Stash
+from memloom.llm._common import Stash, keyed_join
 
 #: Links that a task unites at once.
 UNION_ROWS = 200_000
@@ -51,19 +51,23 @@ def components(links: DataFrame, stash: Stash) -> DataFrame:
 
     Each task first unites its own links by union-find. Then two steps alternate until nothing changes: every node
     hands its larger neighbours, then its smaller ones, to the least of them (large star, small star). Each is an
-    aggregation with partial sums and a join; each round is written to the shared folder, which cuts the lineage.
+    aggregation with partial sums and a join, in which the many links of a hub stay where they are; each round is
+    written to the shared folder, which cuts the lineage.
     """
+
+    def least(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("size"))
+
     edges = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").mapInArrow(_united, "a long, b long").distinct()
     edges = stash.keep(edges)
     mark = None
     while True:
+        n = 2 * edges.count()
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        small_least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(small_least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("x")).select("x.*").where("a <> b").distinct()
+        large = stash.keep(keyed_join(both, least(both), "a", "size", n, stash).where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")))
+        small = keyed_join(large, least(large), "a", "size", n, stash).select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("x")).select("x.*").where("a <> b").distinct()
         kept = stash.keep(small)
-        stash.drop(edges)
+        stash.drop(edges, large)
         edges = kept
         now = tuple(edges.agg(F.count("*"), F.sum(F.col("a").cast("decimal(38,0)")), F.sum(F.col("b").cast("decimal(38,0)")), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == mark:

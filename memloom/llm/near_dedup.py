@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from memloom.llm._common import PLACES, Stash, mix, row_slices, runs, split_words, string_hashes, window_hashes, window_starts
+from memloom.llm._common import PLACES, Stash, keyed_join, mix, row_slices, runs, split_words, string_hashes, window_hashes, window_starts
 from memloom.llm.components import components
 
 SHINGLE = 5
@@ -18,6 +18,8 @@ BANDS, ROWS = 20, 4
 SLOTS = BANDS * ROWS
 #: Elements whose permutations a task holds at once (SLOTS bytes each).
 HELD = 400_000
+#: Nodes of a bucket, or pairs of a centre, that meet in one task; more are dealt to several.
+PART = 256
 #: Ids sent to every task at most; more of them are joined by a shuffle.
 SENT_IDS = 4_000_000
 
@@ -135,12 +137,19 @@ def _alike(common: Column, a: Column, b: Column, percent: int) -> Column:
     return 100 * common >= percent * (a + b - common)
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int, stash: Stash) -> DataFrame:
     """Of pairs (a, b), those whose full sets are alike."""
-    x, y = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
-    both = pairs.select("a", "b").join(x, "a").join(y, "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    return both.where(_alike(common, F.size("sa"), F.size("sb"), percent)).select("a", "b")
+    dealt, n_pairs, own = pairs.select("a", "b"), pairs.count(), {}
+    # pairs of one end are dealt in parts, and its set is there once for each of them
+    for end in ("a", "b"):
+        asked = pairs.groupBy(end).agg(F.count("*").alias("asked"))
+        parts = F.ceil(F.col("asked") / PART).cast("int")
+        dealt = keyed_join(dealt, asked, end, "asked", n_pairs, stash).withColumn(f"part_{end}", F.pmod(F.hash("a", "b"), parts)).drop("asked")
+        held = sets.select(F.col("id").alias(end), F.col("shingles").alias(f"of_{end}")).join(asked, end)
+        own[end] = held.select(end, f"of_{end}", F.explode(F.sequence(F.lit(0), parts - 1)).alias(f"part_{end}"))
+    both = dealt.join(own["a"], ["a", "part_a"]).join(own["b"], ["b", "part_b"])
+    common = F.size(F.array_intersect("of_a", "of_b"))
+    return both.where(_alike(common, F.size("of_a"), F.size("of_b"), percent)).select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
@@ -168,41 +177,47 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     nodes = rows.where((F.col("n") > 0) & F.col("id").isNotNull()).groupBy(name).agg(F.min("id").alias("id"), F.first("bands").alias("bands"))
     nodes = stash.keep(nodes)
     keys = nodes.select("id", F.explode("bands").alias("key"))
+    n_keys = BANDS * nodes.count()
     full = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    met = stash.keep(keys.join(full, "key"))
+    met = stash.keep(keyed_join(keys, full, "key", "size", n_keys, stash))
     rank = met.groupBy("id").agg(F.sum("size").alias("rank"))
-    ranked = met.join(rank, "id").select("key", "id", "rank")
-    centre = ranked.groupBy("key").agg(F.max(F.struct("rank", (-F.col("id")).alias("neg"))).alias("c")).select("key", (-F.col("c.neg")).alias("c"))
+    ranked = met.join(rank, "id")
+    centre = ranked.groupBy("key").agg(F.max(F.struct("rank", (-F.col("id")).alias("neg"))).alias("c"), F.count("*").alias("size")).select("key", "size", (-F.col("c.neg")).alias("c"))
     centre = stash.keep(centre)
-    stars = met.join(centre, "key").where("id <> c").groupBy("id", "c").agg(F.count("*").alias("times"))
+    stars = keyed_join(met.drop("size"), centre, "key", "size", n_keys, stash).where("id <> c").groupBy("id", "c").agg(F.count("*").alias("times"))
     stars = stars.groupBy("id").agg(F.max(F.struct("times", (-F.col("c")).alias("neg"))).alias("x"))
     pairs = stash.keep(stars.select(F.col("id").alias("a"), (-F.col("x.neg")).alias("b")))
     wanted = met.select("id").distinct()
     n_wanted = wanted.count()
     sets = texts.join(F.broadcast(wanted) if n_wanted <= SENT_IDS else wanted, "id").mapInArrow(_sets, "id long, shingles array<long>")
     sets = stash.keep(sets)
-    links = stash.keep(_linked(pairs, sets, percent))
+    links = stash.keep(_linked(pairs, sets, percent, stash))
     groups = stash.keep(components(links, stash))
 
-    labelled = met.join(groups, "id", "left").withColumn("g", F.coalesce("component", "id")).select("key", "id", "g")
-    open_keys = labelled.groupBy("key").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi").select("key")
-    labelled = stash.keep(labelled.join(open_keys, "key"))
+    labelled = met.join(groups, "id", "left").withColumn("g", F.coalesce("component", "id")).select("key", "id", "g", "size")
+    open_keys = labelled.groupBy("key").agg(F.min("g").alias("lo"), F.max("g").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("key", "size")
+    labelled = stash.keep(keyed_join(labelled.drop("size"), open_keys, "key", "size", n_keys, stash))
     unsettled = labelled.select("id", "g").distinct()
-    spread = unsettled.join(sets, "id").select("id", "g", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
-    across = spread.groupBy("s").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi").select("s")
-    bound = spread.join(across, "s").groupBy("id", "g", "n").agg(F.count("*").alias("most"))
+    spread = stash.keep(unsettled.join(sets, "id").select("id", "g", F.size("shingles").alias("n"), F.explode("shingles").alias("s")))
+    # a shingle that two groups have, with how many nodes have it: frequent ones are not gathered anywhere
+    across = spread.groupBy("s").agg(F.min("g").alias("lo"), F.max("g").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("s", "size")
+    bound = keyed_join(spread, across, "s", "size", spread.count(), stash).groupBy("id", "g", "n").agg(F.count("*").alias("most"))
     bound = stash.keep(bound.where(_alike(F.col("most"), F.col("n"), F.col("most"), percent)))
     # first common band by the band keys themselves, which hold their band's number
-    able = labelled.join(bound.drop("g"), "id").join(nodes.select("id", "bands"), "id")
-    main = labelled.join(centre, "key").where("id = c").select("key", F.col("g").alias("main"))
-    able = stash.keep(able.join(main, "key"))
-    left = able.where("g <> main").select("key", *[F.col(x).alias(f"{x}_a") for x in ("id", "g", "n", "most", "bands")])
-    right = able.select("key", "main", *[F.col(x).alias(f"{x}_b") for x in ("id", "g", "n", "most", "bands")])
+    able = stash.keep(labelled.join(bound.drop("g"), "id").join(nodes.select("id", "bands"), "id"))
+    main = labelled.join(centre.select("key", "c"), (labelled["key"] == centre["key"]) & (labelled["id"] == centre["c"])).select(labelled["key"], F.col("g").alias("main"))
+    size = able.groupBy("key").agg(F.count("*").alias("size"))
+    able = stash.keep(keyed_join(able.drop("size"), size.join(main, "key"), "key", "size", n_keys, stash))
+    # a bucket of many such nodes is dealt in parts: those outside its main group meet each part of it
+    parts = F.ceil(F.col("size") / PART).cast("int")
+    left = able.where("g <> main").select("key", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), *[F.col(x).alias(f"{x}_a") for x in ("id", "g", "n", "most", "bands")])
+    right = able.select("key", F.pmod(F.hash("id"), parts).alias("part"), "main", *[F.col(x).alias(f"{x}_b") for x in ("id", "g", "n", "most", "bands")])
     common = F.least("most_a", "most_b")
     once = (F.col("g_b") == F.col("main")) | (F.col("id_a") < F.col("id_b"))
     may = (F.col("g_a") != F.col("g_b")) & once & _alike(common, F.col("n_a"), F.col("n_b"), percent) & (F.element_at(F.array_intersect("bands_a", "bands_b"), 1) == F.col("key"))
-    rest = left.join(right, "key").where(may).select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
-    more = _linked(rest, sets, percent)
+    rest = left.join(right, ["key", "part"]).where(may).select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
+    rest = stash.keep(rest)
+    more = _linked(rest, sets, percent, stash)
     groups = stash.keep(components(links.unionByName(more), stash))
 
     named = nodes.select(*name, "id").join(groups, "id", "left").select(*name, F.coalesce("component", "id").alias("component"))
