@@ -178,12 +178,36 @@ def test_token_counts(docs, rows, none):
     found = token_counts.token_prefixes(docs, budgets=(10, 2048))
     assert collected(found, "doc_id", "n_bytes", "n_tokens") == sorted([(r[0], len((r[1] or "").encode()), count(r[1] or "")) for r in rows], key=repr)
     assert token_counts.token_prefixes(none).count() == 0
-    sample = docs.where("doc_id in (4, 6, 12) or text like '%endoftext%'").dropDuplicates(["doc_id"])
-    for r in token_counts.token_prefixes(sample, with_prefixes=True).join(sample.select("doc_id", "text"), "doc_id").collect():
-        for at in range(0, len(r.text) + 1, 3):
-            assert token_counts.tokens_at(r.prefixes, r.text, at) == count(r.text[:at]), (r.text, at)
-    for r in token_counts.truncate_to_budget(docs, 10).join(docs.select("doc_id", F.col("text").alias("whole")).distinct(), "doc_id").where("text is not null").collect():
-        assert count(r.text) == r.n_tokens <= 10 and r.whole.lstrip(" \t\n\r\x0b\x0c").startswith(r.text.lstrip(" \t\n\r\x0b\x0c"))
+    kept = token_counts.token_prefixes(docs.where("doc_id is not null and doc_id <> 10").dropDuplicates(["doc_id"]), with_prefixes=True).cache()
+    for r in kept.collect():
+        assert r.prefixes == [count(r.text[:k]) for k in range(len(r.text) + 1)] if len(r.text) < 700 else r.prefixes[-1] == r.n_tokens
+    asked = kept.where("length(text) > 3").select("text", token_counts.tokens_at(F.col("prefixes"), 3).alias("three"), token_counts.tokens_at(F.col("prefixes"), 10**6).alias("all"), token_counts.chars_within(F.col("prefixes"), 10).alias("ten"), "prefixes").collect()
+    assert all(r.three == count(r.text[:3]) and r["all"] == count(r.text) and r.ten == max(k for k, n in enumerate(r.prefixes) if n <= 10) for r in asked)
+    white = " \t\n\r\x0b\x0c"
+    for whole_words in (True, False):
+        cut = token_counts.truncate_to_budget(kept, 10, whole_words=whole_words).join(kept.select("doc_id", F.col("text").alias("whole")), "doc_id").collect()
+        for r in cut:
+            assert count(r.text) == r.n_tokens <= 10 and r.whole.startswith(r.text)
+            if r.whole != r.text and whole_words:
+                assert (not r.text or r.text[-1] not in white) and (not r.text or r.whole[len(r.text)] in white)
+                longer = brute.words(r.whole)[: len(brute.words(r.text)) + 1]
+                assert count(" ".join(longer)) > 10
+
+
+def test_prefixes_of_words_by_the_dynamic_programme():
+    from tokenizers import Tokenizer
+
+    path = token_counts.vocabulary("word_bpe_49k.json")
+    library, rng = Tokenizer.from_file(path), random.Random(1)
+    words = ["it's", "don't", "we'll", "''s", "x'l", "aaaaaaaaaaaaaaaaaaaaaaaa", "日本語のテキスト", "İstanbul", "éx", "a<|endoftext|>b", "Straße", "ﬁne", "123abc456", "!!!???...", "🎈🎈ab", "ΣΑΣ", "a\u00a0\u00a0b", "e\u0301x", "\x1cq"]
+    words += ["".join(rng.choice(string.ascii_letters + string.digits + "'!-.") for _ in range(rng.randint(1, 40))) for _ in range(200)]
+    machine = token_counts.counter("word_bpe_49k.json")
+    for w in words:
+        assert list(machine.word(w)) == [len(library.encode(w[:k], add_special_tokens=False)) for k in range(len(w) + 1)], w
+    assert len(machine.word("xyz" * 100_000)) == 300_001
+    for other in ("byte_bpe_50k.json",):
+        with pytest.raises(ValueError, match="word-end"):
+            token_counts.Counter(token_counts.vocabulary(other))
 
 
 def test_language_id(spark, docs, none):
