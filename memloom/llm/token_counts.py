@@ -38,11 +38,13 @@ class Counter:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Regex, Tokenizer
+        from tokenizers.pre_tokenizers import Split
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.pattern = _checked(spec)
+        self.split = Split(Regex(self.pattern.pattern), "removed", invert=True)  # the library's own reading of the pattern
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
@@ -113,7 +115,7 @@ class Counter:
     def _of_piece(self, part: str) -> array:
         """Tokens of each prefix of a pre-token, by code points."""
         if (found := self.pieces.get(part)) is None:
-            if part.isascii():
+            if part.isascii() and part.isprintable():
                 found = self.piece(part)
             else:
                 raw = [c.encode() for c in part]
@@ -137,7 +139,7 @@ class Counter:
         if simple:
             places = [m.span() for m in self.pattern.finditer(low)]
         else:
-            places = [at for _, at in self.library.pre_tokenizer.pre_tokenize_str(low)]
+            places = [at for _, at in self.split.pre_tokenize_str(low)]
         if places == [(0, len(low))]:
             return self._of_piece(low)
         out = array("i", [0])
