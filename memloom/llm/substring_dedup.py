@@ -14,38 +14,72 @@ from pyspark.sql import functions as F
 from memloom.llm._common import PLACES, Words, equal_windows, mix, row_slices, runs, split_words, string_hashes, window_hashes, window_starts
 
 WIDTH = 13
-#: Words of a minimiser: enough that a frequent word or pair of words does not make a bucket of its own.
-MINIMISER = 3
-#: Buckets to a shuffle partition: a task works on one bucket at a time.
-BUCKETS = 4
+#: Words of a minimiser, and of that of windows whose first one is hot.
+MINIMISER, LONG = 3, 8
+#: Windows of a bucket, about: a task holds one bucket at a time, and one of twice as many in parts.
+WINDOWS = 500_000
+#: A minimiser is hot if it has this share of all windows, and HOT of them at least. So there are never more than 2 / HOT_SHARE.
+HOT_SHARE, HOT = 1e-5, 100_000
 #: Text bytes cut into runs at once: larger slices make fewer, better packed blocks.
 SLICE = 8 << 20
 #: What blocks are packed with.
 LEVEL = 3
 
 
-def superkmers(words: Words, width: int = WIDTH, m: int = MINIMISER) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, n_windows, minimiser hash) of each run of neighbouring windows of a row that share a minimiser at one place.
-
-    The minimiser of a window is its m-word run of least hash, the leftmost of equals. Equal windows have equal
-    minimisers, wherever they stand.
-    """
-    starts = window_starts(words.offsets, width)
-    if not len(starts):
-        return starts, starts, np.zeros(0, np.uint64)
-    grams = window_hashes(string_hashes(words.vocab)[words.codes], m)
+def _minimisers(hashes: np.ndarray, starts: np.ndarray, width: int, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and place of the m-word run of least hash, the leftmost of equals, of each window."""
+    grams = window_hashes(hashes, m)
     best, at = grams[starts], np.zeros(len(starts), np.int64)
     for j in range(1, width - m + 1):
         there = grams[starts + j]
         less = there < best
         best[less] = there[less]
         at[less] = j
-    place = starts + at
-    new = np.concatenate([[True], (place[1:] != place[:-1]) | (starts[1:] != starts[:-1] + 1)])
+    return best, starts + at
+
+
+def superkmers(words: Words, hot: np.ndarray | None = None, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, n_windows, minimiser hash) of each run of neighbouring windows of a row that share a minimiser at one place.
+
+    Equal windows have equal minimisers, wherever they stand. Windows whose minimiser is `hot` (sorted hashes) go by a
+    longer one, which a frequent phrase shares with its surroundings: that too depends on nothing but the window.
+    """
+    starts = window_starts(words.offsets, width)
+    if not len(starts):
+        return starts, starts, np.zeros(0, np.uint64)
+    hashes = string_hashes(words.vocab)[words.codes]
+    best, place = _minimisers(hashes, starts, width, MINIMISER)
+    if hot is not None and len(hot):
+        frequent = hot[np.minimum(np.searchsorted(hot, best), len(hot) - 1)] == best
+        if frequent.any():
+            again, place[frequent] = _minimisers(hashes, starts[frequent], width, LONG)
+            best[frequent] = mix(again + np.uint64(LONG))
+    new = np.concatenate([[True], (place[1:] != place[:-1]) | (best[1:] != best[:-1]) | (starts[1:] != starts[:-1] + 1)])
     first = np.flatnonzero(new)
     return starts[first], np.diff(np.append(first, len(starts))), best[first]
 
 
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's number of windows (key null), and the minimisers of at least half the hot share of them, with how many they have."""
+    keys, counts, total = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
+    for whole in batches:
+        for batch in row_slices(whole, "text", SLICE):
+            _, n, least = superkmers(split_words(batch.column("text")))
+            total += int(n.sum())
+            keys, back = np.unique(np.concatenate([keys, least]), return_inverse=True)
+            counts = np.bincount(back, np.concatenate([counts, n]), len(keys)).astype(np.int64)
+    often = counts >= max(2, total * HOT_SHARE / 2)
+    yield pa.RecordBatch.from_arrays([pa.array([None, *keys[often].view(np.int64).tolist()], pa.int64()), pa.array([total, *counts[often].tolist()], pa.int64())], names=["key", "n"])
+
+
+def plan_of(docs: DataFrame) -> tuple[int, np.ndarray]:
+    """(number of windows, hot minimisers). A minimiser of share s has at least s / 2 in tasks that hold half of its windows, so none is missed."""
+    found = docs.select("text").mapInArrow(_met, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    total = found.where("key is null").agg(F.sum("n")).first()[0] or 0
+    hot = found.where(F.col("key").isNotNull() & (F.col("n") >= max(HOT, total * HOT_SHARE) / 2)).select("key").toArrow().column("key").to_numpy()
+    return total, np.sort(hot.astype(np.int64).view(np.uint64))
+
+
 def _repeats(words: Words, start: np.ndarray, size: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """Which runs (of `size` words from `start`) occur, word for word, in an earlier document of the same slice.
 
@@ -102,23 +136,24 @@ def _ranges(ids: np.ndarray, tags: np.ndarray, lo: np.ndarray, hi: np.ndarray) -
     return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(tags.astype(np.int32)), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], names=["id", "tag", "lo", "hi"])
 
 
-def _spread(batches: Iterator[pa.RecordBatch], n_buckets: int) -> Iterator[pa.RecordBatch]:
+def _spread(batches: Iterator[pa.RecordBatch], n_buckets: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Texts to packed runs, one block for each bucket that a slice of texts meets; and ranges already known, as blocks of their own."""
     for whole in batches:
         for batch in row_slices(whole, "text", SLICE):
             words = split_words(batch.column("text"))
             ids, tags = batch.column("id").to_numpy(), batch.column("tag").to_numpy()
-            start, n, least = superkmers(words)
+            start, n, least = superkmers(words, hot)
             if not len(start):
                 continue
             row = np.searchsorted(words.offsets, start, "right") - 1
             known = _repeats(words, start, n + WIDTH - 1, ids[row])
             bucket = (least % np.uint64(n_buckets)).astype(np.int64)
-            out_b, out_p = [], []
+            out_b, out_n, out_p = [], [], []
             if known.any():
                 r, s, c = row[known], start[known] - words.offsets[row[known]], n[known]
                 head = np.array([-len(r)], np.int64).tobytes() + ids[r].astype(np.int64).tobytes() + tags[r].astype(np.int32).tobytes() + s.astype(np.int32).tobytes() + (s + c + WIDTH - 1).astype(np.int32).tobytes()
                 out_b.append(int(mix(ids[r[:1]].astype(np.uint64))[0] % np.uint64(n_buckets)))
+                out_n.append(0)
                 out_p.append(zstandard.ZstdCompressor(level=LEVEL).compress(head))
             sent = np.flatnonzero(~known)
             by = sent[np.argsort(bucket[sent], kind="stable")]
@@ -127,12 +162,26 @@ def _spread(batches: Iterator[pa.RecordBatch], n_buckets: int) -> Iterator[pa.Re
             for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(b)]):
                 part = by[lo:hi]
                 out_b.append(int(b[lo]))
+                out_n.append(int(n[part].sum()))
                 out_p.append(_pack(words, ids, tags, words.offsets, row[part], start[part], n[part]))
-            yield pa.RecordBatch.from_arrays([pa.array(out_b, pa.int32()), pa.array(out_p, pa.binary())], names=["bucket", "block"])
+            yield pa.RecordBatch.from_arrays([pa.array(out_b, pa.int32()), pa.array(out_n, pa.int64()), pa.array(out_p, pa.binary())], names=["bucket", "n", "block"])
+
+
+def _covered(codes: np.ndarray, starts: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Which windows also start in a document of smaller id: windows are sorted, and each group of equals knows its smallest."""
+    if not len(starts):
+        return np.zeros(0, bool)
+    hashes = window_hashes(mix(codes.astype(np.uint64) + np.uint64(1)), WIDTH)[starts]
+    order, group = equal_windows(codes, starts, hashes, WIDTH)
+    heads = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    least = np.minimum.reduceat(owner[order], heads)
+    covered = np.zeros(len(starts), bool)
+    covered[order] = owner[order] > least[group]
+    return covered
 
 
 def _count(blocks: list[bytes]) -> pa.RecordBatch | None:
-    """Covered word ranges of one bucket: its windows are sorted; each group of equals knows its smallest document."""
+    """Covered word ranges of one bucket."""
     parts = [_unpack(b) for b in blocks]
     ids, tags, begin, n = (np.concatenate([p[k] for p in parts]) for k in range(4))
     if not len(ids):
@@ -142,14 +191,7 @@ def _count(blocks: list[bytes]) -> pa.RecordBatch | None:
     size = n + WIDTH - 1
     first = np.cumsum(size) - size
     starts = np.repeat(first, n) + runs(n)
-    hashes = window_hashes(mix(words.codes.astype(np.uint64) + np.uint64(1)), WIDTH)[starts]
-    order, group = equal_windows(words.codes, starts, hashes, WIDTH)
-    owner = np.repeat(ids, n)
-    heads = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-    least = np.minimum.reduceat(owner[order], heads)
-    covered = np.zeros(len(starts), bool)
-    covered[order] = owner[order] > least[group]
-    at = np.flatnonzero(covered)
+    at = np.flatnonzero(_covered(words.codes, starts, np.repeat(ids, n)))
     if not len(at):
         return None
     run = np.repeat(np.arange(len(n)), n)
@@ -161,40 +203,69 @@ def _count(blocks: list[bytes]) -> pa.RecordBatch | None:
     return _ranges(ids[k], tags[k], lo, lo + (last - head) + WIDTH)
 
 
+def _count_in_parts(blocks: list[bytes], parts: int) -> Iterator[pa.RecordBatch]:
+    """As _count, for a bucket of many windows: each part takes those of some hashes, so equal ones stay together, and unpacks one block at a time."""
+    vocab: dict[str, int] = {}
+    for part in range(parts):
+        held: list[tuple[np.ndarray, ...]] = []
+        for block in blocks:
+            ids, tags, begin, n, text = _unpack(zstandard.ZstdDecompressor().decompress(block))
+            words = split_words(pa.array([text], pa.binary()).cast(pa.string()))
+            codes = np.array([vocab.setdefault(w, len(vocab)) for w in words.vocab.to_pylist()], np.int64)[words.codes]
+            size = n + WIDTH - 1
+            first = np.cumsum(size) - size
+            starts = np.repeat(first, n) + runs(n)
+            hashes = window_hashes(mix(codes.astype(np.uint64) + np.uint64(1)), WIDTH)[starts]
+            mine = np.flatnonzero((hashes >> np.uint64(40)) % np.uint64(parts) == part)
+            run = np.repeat(np.arange(len(n)), n)[mine]
+            held.append((codes[starts[mine][:, None] + np.arange(WIDTH)].astype(np.int32), ids[run], tags[run], begin[run] + starts[mine] - first[run]))
+        codes, ids, tags, lo = (np.concatenate([h[k] for h in held]) for k in range(4))
+        at = np.flatnonzero(_covered(codes.ravel().astype(np.int64), np.arange(len(ids)) * WIDTH, ids))
+        if len(at):
+            yield _ranges(ids[at], tags[at], lo[at], lo[at] + WIDTH)
+
+
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks, sorted by bucket, to covered ranges; one bucket is held at a time."""
+    """Blocks, sorted by bucket, to covered ranges; one bucket is held at a time, packed until it is known how large it is."""
     held: list[bytes] = []
-    now = None
+    now, size = None, 0
+
+    def counted() -> Iterator[pa.RecordBatch]:
+        if size > 2 * WINDOWS:
+            yield from _count_in_parts(held, -(-size // WINDOWS))
+        elif held and (out := _count([zstandard.ZstdDecompressor().decompress(b) for b in held])) is not None:
+            yield out
+
     for batch in batches:
-        for bucket, block in zip(batch.column("bucket").to_pylist(), batch.column("block").to_pylist()):
+        for bucket, n, block in zip(*[batch.column(c).to_pylist() for c in ("bucket", "n", "block")]):
             if bucket != now and held:
-                if (out := _count(held)) is not None:
-                    yield out
-                held = []
+                yield from counted()
+                held, size = [], 0
             now = bucket
-            raw = zstandard.ZstdDecompressor().decompress(block)
-            k = int(np.frombuffer(raw, np.int64, 1)[0])
-            if k < 0:
+            if n:
+                held.append(block)
+                size += n
+            else:  # ranges that were known at once
+                raw = zstandard.ZstdDecompressor().decompress(block)
+                k = -int(np.frombuffer(raw, np.int64, 1)[0])
                 at, cols = 8, []
                 for kind in (np.int64, np.int32, np.int32, np.int32):
-                    cols.append(np.frombuffer(raw, kind, -k, at))
-                    at += -k * np.dtype(kind).itemsize
+                    cols.append(np.frombuffer(raw, kind, k, at))
+                    at += k * np.dtype(kind).itemsize
                 yield _ranges(*cols)
-            else:
-                held.append(raw)
-    if held and (out := _count(held)) is not None:
-        yield out
+    yield from counted()
 
 
 def covered_ranges(docs: DataFrame) -> DataFrame:
     """(id, tag, lo, hi): word ranges of documents (id long, tag int, text) that a smaller id's windows cover."""
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    n_buckets = n * BUCKETS
-    blocks = docs.mapInArrow(lambda it: _spread(it, n_buckets), "bucket int, block binary")
+    total, hot = plan_of(docs)
+    n_buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // WINDOWS))
+    blocks = docs.mapInArrow(lambda it: _spread(it, n_buckets, hot), "bucket int, n long, block binary")
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_buckets // 16)
     return blocks.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_gather, "id long, tag int, lo int, hi int")
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in row_slices(whole, "text"):
             n_words, n_removed, digest, kept_text = [], [], [], []
@@ -210,22 +281,26 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 n_words.append(len(words))
                 n_removed.append(len(words) - len(left))
                 digest.append(hashlib.sha256(line).hexdigest())
-                kept_text.append(line.decode("utf-8", "surrogatepass"))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digest, pa.string()), pa.array(kept_text, pa.string())], names=["id", "n_words", "n_removed", "kept_sha256", "kept_text"])
+                if with_text:
+                    kept_text.append(line.decode("utf-8", "surrogatepass"))
+            columns = [batch.column("id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digest, pa.string())]
+            yield pa.RecordBatch.from_arrays([*columns, *[pa.array(kept_text, pa.string())] * with_text], names=["id", "n_words", "n_removed", "kept_sha256", *["kept_text"] * with_text])
 
 
-def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document row: n_words, n_removed, kept_sha256, kept_text (kept words joined by one space).
+def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
+    """One row per document row: n_words, n_removed, kept_sha256, and with `with_text` kept_text (kept words joined by one space).
 
     A word goes if a window of 13 words over it also starts in a document with a smaller id. Each text is cut into
-    super-k-mers, which are dealt by their minimiser: a window and its equals always meet in one bucket. A slice of
-    texts sends a passage that repeats in it once, for its smallest document (the others are settled there), so a
+    super-k-mers, which are dealt by their minimiser: a window and its equals always meet in one bucket. There are as
+    many buckets as the windows, counted first, ask for; windows of a hot minimiser are dealt by a longer one. A slice
+    of texts sends a passage that repeats in it once, for its smallest document (the others are settled there), so a
     passage that very many documents share arrives as often as there are slices, not documents. A bucket sorts its
-    windows, compares neighbours word by word, and gives only the covered ranges back, which are joined to the texts.
+    windows, compares neighbours word by word, and gives only the covered ranges back, which are joined to the texts; a
+    bucket that is too large all the same is sorted in parts.
 
     Null or empty texts: no words, digest of the empty string. A null id neither removes nor loses words. Rows that
-    share an id are judged each by its own text and never against each other. Repeats inside one document stay. Other
-    columns are left out; no documents give no rows.
+    share an id are judged each by its own text and never against each other. Repeats inside one document stay. A text
+    of any length is one row, worked on by itself. Other columns are left out; no documents give no rows.
     """
     kind = docs.schema[id_col].dataType
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -235,4 +310,5 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     found = covered_ranges(rows.where(F.col("id").isNotNull() & (F.length("text") >= 2 * WIDTH - 1)))
     found = found.groupBy("id", "tag").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
     joined = rows.join(found, ["id", "tag"], "left").select("id", "text", "ranges")
-    return joined.mapInArrow(_cut, "id long, n_words long, n_removed long, kept_sha256 string, kept_text string").withColumn("id", F.col("id").cast(kind)).withColumnRenamed("id", id_col)
+    schema = "id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
+    return joined.mapInArrow(lambda it: _cut(it, with_text), schema).withColumn("id", F.col("id").cast(kind)).withColumnRenamed("id", id_col)

@@ -3,13 +3,16 @@
 import random
 import string
 
+import numpy as np
+import pyarrow as pa
 import pytest
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from memloom.llm import chat, decontam, langid, mixing, near_dedup, pii, quality, secret_scan, substring_dedup, token_counts
-from memloom.llm._common import Stash
+from memloom.llm._common import Stash, split_words
 from memloom.llm._spans import masked
 from memloom.llm.components import components
 from tests.llm import brute
@@ -122,6 +125,29 @@ def test_substring_dedup_of_a_hot_passage(spark):
     assert collected(substring_dedup.dedup_substrings(df), "doc_id", "n_words", "n_removed", "kept_sha256") == sorted(brute.substrings(data), key=repr)
 
 
+def test_substring_dedup_of_a_hot_minimiser(spark, monkeypatch):
+    rng = random.Random(5)
+    vocab = [f"v{k}" for k in range(400)]
+    phrase, shared = "in the hot", make(rng, 30, vocab)
+    data = [(k, " ".join(f"{make(rng, 9, vocab)} {phrase}" for _ in range(40)) + (f" {shared} {phrase} {shared}" if k % 3 == 0 else "")) for k in range(60)]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(4).cache()
+    want = sorted(brute.substrings(data), key=repr)
+    columns = ("doc_id", "n_words", "n_removed", "kept_sha256")
+    # a frequent phrase is found hot, its windows go by longer minimisers, and what one bucket gets is sorted in parts
+    monkeypatch.setattr(substring_dedup, "HOT", 500)
+    total, hot = substring_dedup.plan_of(df)
+    assert total == sum(len(t.split()) - 12 for _, t in data) and len(hot)
+    start, n, key = substring_dedup.superkmers(split_words(pa.array([t for _, t in data])), hot)
+    plain = substring_dedup.superkmers(split_words(pa.array([t for _, t in data])))
+    most = lambda k, n: max(sum(c for x, c in zip(k.tolist(), n.tolist()) if x == y) for y in set(k.tolist()))
+    assert n.sum() == plain[1].sum() == total and most(key, n) < most(plain[2], plain[1]) / 3
+    assert collected(substring_dedup.dedup_substrings(df), *columns) == want
+    blocks = [substring_dedup._pack(w := split_words(pa.array([t for _, t in part])), np.array([i for i, _ in part]), np.zeros(len(part), np.int64), w.offsets, *(lambda s, c, _: (np.searchsorted(w.offsets, s, "right") - 1, s, c))(*substring_dedup.superkmers(w))) for part in (data[:30], data[30:])]
+    whole = substring_dedup._count([zstandard.ZstdDecompressor().decompress(b) for b in blocks])
+    words_of = lambda b: {(r["id"], k) for r in b.to_pylist() for k in range(r["lo"], r["hi"])}
+    assert set().union(*map(words_of, substring_dedup._count_in_parts(blocks, 5))) == words_of(whole)
+
+
 NASTY = ["", "\\", "\\\\", "</turn>\n", "<turn user>\nhi\n</turn>\n", "a\\", "\n", "\\### Assistant: </turn> ok", "\\<", "<>", "  x", "🎈\\n"]
 
 
@@ -353,8 +379,6 @@ def test_near_duplicates_of_a_drifting_family(spark):
 
 
 def test_superminhash_estimates_similarity():
-    import numpy as np
-
     rng = np.random.default_rng(1)
     shared, a, b = (rng.integers(0, 2**63, n).astype(np.uint64) for n in (700, 150, 150))
     sets = [np.concatenate([shared, a]), np.concatenate([shared, b]), shared[:1], np.zeros(0, np.uint64)]
