@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import unicodedata
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -21,13 +23,23 @@ LEAST_WORDS, LEAST_WORD = 10_000, 1 / 500
 #: (distance above which a document fails, words below which the rule says nothing): character classes, common words.
 CLASS_RULE, WORD_RULE = (0.27, 50), (0.33, 100)
 
-#: Character classes by first byte; continuation bytes are in none.
-CLASSES = ("lower", "upper", "digit", "white", "point", "symbol", "other", "beyond")
-_CLASS = np.full(256, CLASSES.index("other"), np.int64)
-for _name, _chars in (("lower", "abcdefghijklmnopqrstuvwxyz"), ("upper", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), ("digit", "0123456789"), ("white", " \t\n\r\x0b\x0c"), ("point", ".,;:?!'\"()-"), ("symbol", SYMBOLS)):
-    _CLASS[list(_chars.encode())] = CLASSES.index(_name)
-_CLASS[0x80:0xC0] = len(CLASSES)
-_CLASS[0xC0:] = CLASSES.index("beyond")
+#: Character classes. ASCII by the sets below; beyond it by the general category of Unicode, so that every script has
+#: letters with and without case, marks, digits and points of its own.
+CLASSES = ("lower", "upper", "letter", "mark", "digit", "white", "space", "point", "symbol", "sign", "other")
+_ASCII = {"lower": "abcdefghijklmnopqrstuvwxyz", "upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "digit": "0123456789", "white": " \t\n\r\x0b\x0c", "point": ".,;:?!'\"()-", "symbol": SYMBOLS}
+_BEYOND = {"Ll": "lower", "Lu": "upper", "Lt": "upper", "L": "letter", "M": "mark", "N": "digit", "Z": "space", "P": "point", "S": "sign"}
+
+
+def class_of(char: str) -> str:
+    if char.isascii():
+        return next((name for name, chars in _ASCII.items() if char in chars), "other")
+    category = unicodedata.category(char)
+    return _BEYOND.get(category) or _BEYOND.get(category[0], "other")
+
+
+@functools.cache
+def _class_numbers() -> np.ndarray:
+    return np.fromiter((CLASSES.index(class_of(chr(c))) for c in range(0x110000)), np.uint8, 0x110000)
 
 
 class Reference(NamedTuple):
@@ -40,12 +52,10 @@ class Reference(NamedTuple):
 
 def class_counts(texts: pa.Array) -> np.ndarray:
     """A row of class counts for each text."""
-    texts = pa.concat_arrays([pc.fill_null(texts, "")])
-    size = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
-    offsets = np.frombuffer(texts.buffers()[1], np.int64 if pa.types.is_large_string(texts.type) else np.int32)
-    raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[int(offsets[texts.offset]) if len(texts) else 0 :][: int(size.sum())]
-    width = len(CLASSES) + 1
-    return np.bincount(np.repeat(np.arange(len(size)), size) * width + _CLASS[raw], minlength=len(size) * width).reshape(-1, width)[:, :-1]
+    held = [t or "" for t in texts.to_pylist()]
+    points = np.frombuffer("".join(held).encode("utf-32-le", "surrogatepass"), np.uint32)
+    width, rows = len(CLASSES), np.repeat(np.arange(len(held)), [len(t) for t in held])
+    return np.bincount(rows * width + _class_numbers()[points], minlength=len(held) * width).reshape(-1, width)
 
 
 def distances(counts: np.ndarray, shares: np.ndarray) -> np.ndarray:
@@ -174,7 +184,7 @@ def quality(docs: DataFrame, references: dict[str, Reference] | None = None, *,
 
     Null and empty texts have no words: all counts 0, distances 1, base_failed. Without any language (or no documents
     at all) there is no reference: distances are null and only the base rules decide. Repeated rows and ids give repeated
-    results; other columns are left out.
+    results; a text of any length is one row, whose memory is some 20 times its size; other columns are left out.
     """
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     refs = language_references(source, LEAST_WORDS) if references is None else references

@@ -8,7 +8,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from memloom.llm import langid, pii, secret_scan
+from memloom.llm import langid, pii, quality, secret_scan
 from memloom.llm._spans import before, masked, touching
 
 LETTERS = {name: (form, alphabet) for name, form, alphabet in secret_scan.ENCODINGS}
@@ -221,3 +221,58 @@ def test_a_repeated_id_brings_one_row_to_the_sample(spark):
     assert found.where("doc_id < 900 and lang_pred <> case when doc_id = 7 then lang_pred else 'bb' end").count() <= 4
     with pytest.raises(ValueError, match="languages"):
         langid.train(spark.createDataFrame([(k, "ab", f"l{k}") for k in range(9)], "id long, text string, lang string"), sample_rows=8)
+
+
+def verdicts(docs):
+    """Distances and verdicts of (id, text, lang) rows, one character and one word at a time."""
+    import re
+
+    low = lambda w: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in w)
+    words = lambda t: [low(w) for w in re.findall(r"[^\x20\x09-\x0D]+", t or "")]
+    chars, counted = {}, {}
+    for _, t, lang in docs:
+        if lang is not None and t is not None:
+            chars.setdefault(lang, Counter()).update(map(quality.class_of, t))
+            counted.setdefault(lang, Counter()).update(words(t))
+    refs = {k: (chars[k], {w: n for w, n in c.items() if n >= sum(c.values()) / 500}, sum(c.values())) for k, c in counted.items() if sum(c.values()) >= quality.LEAST_WORDS}
+
+    def distance(p, q):
+        if not sum(p.values()):
+            return 1.0
+        p, q = ({k: v / sum(x.values()) for k, v in x.items()} for x in (p, q))
+        part = lambda x, y: sum(v * math.log2(v / ((v + y.get(k, 0)) / 2)) for k, v in x.items() if v)
+        return math.sqrt(max(0.0, (part(p, q) + part(q, p)) / 2))
+
+    out = {}
+    for i, t, lang in docs:
+        w, by_class, by_word = words(t), [], []
+        for own, common, total in refs.values():
+            by_class.append(distance(Counter(map(quality.class_of, t or "")), own))
+            by_word.append(distance(Counter(x if x in common else None for x in w), {**common, None: total - sum(common.values())}))
+        if lang is not None and lang not in refs:
+            by_class, by_word = [], []
+        seen = Counter(tuple(w) for w in zip(*[(re.findall(r"[^\x20\x09-\x0D]+", t or ""))[k:] for k in range(8)]))
+        hit = {k + j for k, x in enumerate(zip(*[(re.findall(r"[^\x20\x09-\x0D]+", t or ""))[k:] for k in range(8)])) if seen[x] > 1 for j in range(8)}
+        good = len(w) >= 20 and 100 * len(hit) <= 30 * len(w)
+        for (most, least), d in ((quality.CLASS_RULE, by_class), (quality.WORD_RULE, by_word)):
+            good &= not d or min(d) <= most or len(w) < least
+        out[i] = (min(by_class, default=None), min(by_word, default=None), good)
+    return out
+
+
+def test_quality_verdicts(spark):
+    rng = random.Random(12)
+
+    def prose(letters, marks):
+        common, rare = ["".join(rng.choice(letters) for _ in range(2)) for _ in range(6)], ["".join(rng.choice(letters) for _ in range(6)) for _ in range(300)]
+        return lambda k: " ".join(rng.choice(common) if rng.random() < 0.45 else rng.choice(rare).capitalize() + rng.choice(marks) for _ in range(k))
+
+    latin, greek, han = prose(string.ascii_lowercase + "éü", ".,"), prose("αβγδεζηθικλμνξοπρ", ";."), prose("日本語字体中文", "。、")
+    data = [(k, f(rng.randint(30, 400)), lang) for k in range(150) for f, lang in [((latin, "la"), (greek, "el"), (han, "zh"))[k % 3]]]
+    data += [(200, greek(300).upper(), "el"), (201, greek(200).replace(" ", " ٣٤٥ "), "el"), (202, latin(300).replace("e", "e\u0301\u0302"), "la"), (203, None, "la"), (204, "", None), (205, latin(120), "xx"), (206, latin(60), None), (207, "w " * 200, "la"), (208, "# $ % " * 40, "zh")]
+    want = verdicts(data)
+    got = {r.doc_id: (r.class_distance, r.word_distance, r.kept) for r in quality.quality(spark.createDataFrame(data, "doc_id long, text string, lang string").repartition(4)).collect()}
+    assert {i: g[2] for i, g in got.items()} == {i: w[2] for i, w in want.items()}
+    for i, w in want.items():
+        assert got[i][:2] == (pytest.approx(w[0], abs=1e-9) if w[0] is not None else None, pytest.approx(w[1], abs=1e-9) if w[1] is not None else None), i
+    assert got[0][2] and not got[200][2]
