@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from memloom.llm._common import WORD, Stash
+from memloom.llm._common import WORD, Stash, carried
 
 MAX_COPIES = 3
 WEIGHTS = (1, 2, 3)
@@ -48,57 +50,97 @@ def source_targets(sizes: DataFrame, *, source_col: str = "source", size_col: st
     return per.select(source_col, "source_size", target.alias("target"))
 
 
-def pareto_mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[int, ...] = WEIGHTS, share: float = 1.0, max_copies: int = MAX_COPIES, seed: str = "mix", steps: int = STEPS) -> DataFrame:
+def _cut(rows: DataFrame, want: DataFrame, small: Callable[[DataFrame], DataFrame], steps: int) -> DataFrame:
+    """(key, want, cut, before): the class in which each key's running sum of sizes reaches what it wants, and the sum before it.
+
+    Where all rows together are no more than that, the cut lies beyond the last class. Running sums go over coarse
+    classes first, so that no window holds more than the square root of all classes.
+    """
+    side = int(steps**0.5) or 1
+    classes = rows.groupBy("key", "step").agg(F.sum("size").alias("words")).withColumn("coarse", F.floor(F.col("step") / side).cast("int"))
+    so_far = lambda w: F.coalesce(F.sum("words").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    coarse = classes.groupBy("key", "coarse").agg(F.sum("words").alias("words")).withColumn("before_coarse", so_far(Window.partitionBy("key").orderBy("coarse"))).drop("words")
+    classes = classes.join(coarse, ["key", "coarse"]).withColumn("before", F.col("before_coarse") + so_far(Window.partitionBy("key", "coarse").orderBy("step")))
+    reached = F.when((F.col("before") < F.col("want")) & (F.col("want") < F.col("before") + F.col("words")), F.struct("step", "before"))
+    per = classes.join(small(want), "key").groupBy("key", "want").agg(F.min(reached).alias("at"), F.sum("words").alias("all"))
+    whole = F.col("all") <= F.col("want")
+    # a sum that ends exactly at a class's end is reached by whole classes: the next one is cut, and gives nothing
+    ends = classes.join(small(want), "key").where(F.col("before") + F.col("words") <= F.col("want")).groupBy("key").agg(F.max(F.struct("step", (F.col("before") + F.col("words")).alias("before"))).alias("end"))
+    per = per.join(ends, "key", "left")
+    cut = F.when(whole, F.lit(steps)).when(F.col("at").isNotNull(), F.col("at.step")).otherwise(F.coalesce(F.col("end.step") + 1, F.lit(0)))
+    before = F.when(whole, F.col("all")).when(F.col("at").isNotNull(), F.col("at.before")).otherwise(F.coalesce(F.col("end.before"), F.lit(0)))
+    return per.where("want > 0").select("key", "want", cut.cast("int").alias("cut"), before.alias("before"))
+
+
+def _at_cut(rows: DataFrame, cut: DataFrame, small: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Rows of the cut classes, in order, with extra: whether they still fit."""
+    inside = rows.join(small(cut), "key").where(F.col("step") == F.col("cut"))
+    order = Window.partitionBy("key").orderBy("quotient", "_id", "size", "_row").rowsBetween(Window.unboundedPreceding, 0)
+    return inside.withColumn("extra", (F.col("before") + F.sum("size").over(order) <= F.col("want")).cast("long")).select(*_ROW, "extra")
+
+
+def _lack(cut: DataFrame, inside: DataFrame, small: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(key, want): what is left of what each key wanted."""
+    words = inside.groupBy("key").agg(F.sum(F.col("size") * F.col("extra")).alias("words"))
+    return cut.join(small(words), "key", "left").select("key", (F.col("want") - F.col("before") - F.coalesce("words", F.lit(0))).alias("want"))
+
+
+_ROW = ("key", "step", "quotient", "_id", "size", "_row")
+
+
+def pareto_mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[int, ...] = WEIGHTS, share: float = 1.0, max_copies: int = MAX_COPIES, seed: str = "mix", steps: int = STEPS, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per document row: id, size (words), source_size, target, copies, taken (= copies * size).
 
-    A document of a source is expected `target / source_size` times. The whole part of that is allocated for certain;
-    for the rest each document draws random odds u / (1 - u), divided by its inclusion odds p / (1 - p), p being the
-    part left over (it differs by source). The documents with the smallest quotients are drawn once more, as many as fit
-    into the source's target in words; what it then lacks goes to one more document, the best fitting of those left. u
-    comes from a digest of seed and id, so reruns agree.
+    A document of a source is expected `target / source_size` times. The whole part of that is allocated for certain to
+    every document of the source; for the rest, inclusion odds rise with the square root of the document's size, so that
+    long documents, of which a sample of few holds few, are likelier. Each document draws random odds u / (1 - u) and is
+    ranked by them over its inclusion odds (a factor that all documents of a source share is left out, as it moves none
+    past another); those with the smallest quotients are drawn once more, as many as fit into the source's target in
+    words. Where the draw stops at a document that does not fit, it goes on among those that do, in the same order; what
+    then is still lacking goes to one more document, the best fitting of those left. u comes from a digest of seed and
+    id, so reruns agree.
 
-    The running sum never sorts a source: quotients are cut into `steps` classes, whole classes are summed before any
-    shuffle of rows, and only the one class in which the target falls is put in order. Null text: size 0, taken 0;
-    null source: a source of its own, last; null id: one shared random number; rows alike in quotient: by id, then
-    size; repeated rows each count; an empty table gives no rows; other columns are left out.
+    No source is ever sorted: quotients are cut into `steps` classes, whole classes are summed before any shuffle of
+    rows, and only the one class in which the target falls is put in order. Null text: size 0, taken 0; null source: a
+    source of its own, last; null id: the random number goes by the text; rows alike in quotient: by id, then size;
+    repeated rows each count; a text of any length is one row; an empty table gives no rows; other columns are left out
+    unless `carry` names them (one of the name of an output comes out with `_in` at its end), and then written once.
     """
     stash = Stash(docs.sparkSession)
-    u = (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("_id").cast("string"), F.lit("")))), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
-    sized = stash.keep(docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), word_count(F.col(text_col)).alias("size")).withColumn("u", u).withColumn("_row", F.monotonically_increasing_id()))
+    through = carried([id_col, *carry], ("size", "source_size", "target", "copies", "taken"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    name = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("text "), F.md5(text)))
+    u = (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), name)), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
+    sized = docs.select(*[F.col(c).alias(k) for k, (c, _) in through.items()], F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), word_count(F.col(text_col)).alias("size"), u.alias("u"))
+    sized = stash.keep(sized.withColumn("_row", F.monotonically_increasing_id()))
     targets = stash.keep(source_targets(sized, source_col="_source", size_col="size", weights=weights, share=share, max_copies=max_copies))
     key = F.coalesce(F.concat(F.lit("="), F.col("_source")), F.lit("null"))
     expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     targets = targets.select(key.alias("key"), "source_size", "target", F.floor(expected).cast("long").alias("certain")).withColumn("rest", F.greatest(F.col("target") - F.col("certain") * F.col("source_size"), F.lit(0.0)))
-    targets = targets.withColumn("p", F.when(F.col("source_size") > 0, F.col("rest") / F.col("source_size")).otherwise(F.lit(0.0)))
-    # within a source the quotient rises with u, so classes of u are classes of the quotient
-    step = F.least(F.floor(F.col("u") * steps), F.lit(steps - 1)).cast("int")
-    sized = sized.withColumns({"key": key, "step": step})
-    classes = sized.groupBy("key", "step").agg(F.sum("size").alias("words"))
-    # running sums over classes: coarse classes first, so that no window holds more than the square root of them
-    side = int(steps**0.5) or 1
-    classes = classes.withColumn("coarse", F.floor(F.col("step") / side).cast("int"))
-    coarse = classes.groupBy("key", "coarse").agg(F.sum("words").alias("words")).withColumn("before_coarse", F.coalesce(F.sum("words").over(Window.partitionBy("key").orderBy("coarse").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("words")
-    fine = Window.partitionBy("key", "coarse").orderBy("step")
-    classes = classes.join(coarse, ["key", "coarse"]).withColumn("before", F.col("before_coarse") + F.coalesce(F.sum("words").over(fine.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     few = targets.count() <= 100_000  # rows of a fixed width: at most some MB
     small = F.broadcast if few else (lambda x: x)
-    classes = classes.join(small(targets.select("key", "rest")), "key")
-    cut = classes.where((F.col("before") < F.col("rest")) & (F.col("rest") <= F.col("before") + F.col("words"))).select("key", F.col("step").alias("cut"), "before")
-    # at most one class of each source is cut
-    plan = targets.join(small(cut), "key", "left")
-    placed = sized.join(small(plan), "key", "left")
-    quotient = (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")))
-    order = Window.partitionBy("key", "step").orderBy("quotient", "_id", "size", "_row")
-    inside = placed.where(F.col("step") == F.col("cut")).withColumn("quotient", quotient)
-    inside = inside.withColumn("end", F.col("before") + F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    inside = inside.withColumn("extra", (F.col("end") <= F.col("rest")).cast("long"))
-    outside = placed.where(F.col("cut").isNull() | (F.col("step") != F.col("cut"))).withColumn("extra", F.coalesce((F.col("step") < F.col("cut")).cast("long"), F.lit(0)))
-    cols = ["key", "u", "_row", "_id", "size", "source_size", "target", "certain", "extra"]
-    drawn = stash.keep(inside.select(cols).unionByName(outside.select(cols)))
-    # what a source still lacks after its whole draws goes to the one document not drawn that fits it best
-    lack = drawn.groupBy("key").agg(F.sum(F.col("size") * F.col("extra")).alias("words")).join(small(targets.select("key", "rest")), "key").select("key", (F.col("rest") - F.col("words")).alias("lack"))
-    left = drawn.where(F.col("extra") == 0).join(small(lack), "key").withColumn("off", F.abs(F.col("size") - F.col("lack"))).where(F.col("off") < F.col("lack"))
-    last = left.groupBy("key").agg(F.min(F.struct("off", "u", "_id", "size", "_row")).alias("best")).select("key", F.col("best._row").alias("_last"))
-    out = drawn.join(small(last), "key", "left")
-    copies = F.col("certain") + F.col("extra") + F.coalesce((F.col("_row") == F.col("_last")).cast("long"), F.lit(0))
-    return out.select(F.col("_id").alias(id_col), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    quotient = F.col("u") / (1 - F.col("u")) / F.sqrt(F.greatest(F.col("size"), F.lit(1)).cast("double"))
+    step = F.least(F.floor(F.col("quotient") / (1 + F.col("quotient")) * steps), F.lit(steps - 1)).cast("int")
+    sized = sized.withColumns({"key": key, "quotient": quotient}).withColumn("step", step)
+    rows = sized.select(*_ROW)
+    # the draw itself, then one among what still fits; each leaves at most the rows of one class per source to be told apart
+    first = stash.keep(_cut(rows, targets.select("key", F.col("rest").alias("want")), small, steps))
+    inside = stash.keep(_at_cut(rows, first, small))
+    lack = stash.keep(_lack(first, inside, small))
+    later = rows.join(small(first.select("key", "cut")), "key").where(F.col("step") > F.col("cut")).drop("cut")
+    left = later.unionByName(inside.where("extra = 0").drop("extra")).join(small(lack), "key")
+    fits = (F.col("size") > 0) & (F.col("size") <= F.col("want"))
+    second = stash.keep(_cut(left.where(fits).drop("want"), lack, small, steps))
+    inside_again = stash.keep(_at_cut(left.where(fits).drop("want"), second, small))
+    lack_again = _lack(second, inside_again, small).withColumnRenamed("want", "lack")
+    lack_again = stash.keep(lack.join(small(lack_again), "key", "left").select("key", F.coalesce("lack", "want").alias("lack")))
+    over = left.join(small(second.select("key", "cut")), "key", "left").where(~fits | F.col("cut").isNull() | (F.col("step") > F.col("cut"))).select(*_ROW)
+    over = over.unionByName(inside_again.where("extra = 0").drop("extra")).join(small(lack_again), "key").withColumn("off", F.abs(F.col("size") - F.col("lack"))).where(F.col("off") < F.col("lack"))
+    last = over.groupBy("key").agg(F.min(F.struct("off", "quotient", "_id", "size", "_row")).alias("best")).select(F.col("best._row").alias("_row"), F.lit(1).cast("long").alias("extra"))
+    told = stash.keep(inside.select("_row", "extra").unionByName(inside_again.select("_row", "extra")).unionByName(last).groupBy("_row").agg(F.max("extra").alias("told")))
+    plan = targets.join(small(first.select("key", F.col("cut").alias("cut_1"))), "key", "left").join(small(lack.select("key", F.col("want").alias("room"))), "key", "left").join(small(second.select("key", F.col("cut").alias("cut_2"))), "key", "left")
+    out = sized.join(small(plan), "key", "left").join(F.broadcast(told) if told.count() <= 1_000_000 else told, "_row", "left")
+    again = (F.col("step") >= F.col("cut_1")) & (F.col("size") > 0) & (F.col("size") <= F.col("room")) & (F.col("step") < F.col("cut_2"))
+    drawn = F.coalesce((F.col("step") < F.col("cut_1")) | again, F.lit(False)).cast("long")
+    copies = F.col("certain") + F.greatest(drawn, F.coalesce("told", F.lit(0)))
+    return out.select(*[F.col(k).alias(n) for k, (_, n) in through.items()], "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))

@@ -39,7 +39,7 @@ FROM e GROUP BY conv_id
 OP8 = f"""
 WITH d AS (
   SELECT doc_id, source, len({WORDS.format("text")})::BIGINT AS size,
-    (('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u
+    (('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, 'text ' || md5(coalesce(text, '')))), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u
   FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS k FROM d GROUP BY source),
 w AS (SELECT *, ((k - 1) % 3 + 1)::BIGINT AS weight, 3 * source_size AS cap FROM s),
@@ -55,17 +55,19 @@ t AS (
   FROM l LEFT JOIN f ON true),
 p AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS certain FROM t),
 q AS (SELECT *, greatest(target - certain * source_size, 0) AS rest FROM p),
-o AS (
-  SELECT d.doc_id, d.size, d.u, q.*, least(floor(d.u * 65536), 65535) AS step,
-    (d.u / (1 - d.u)) / ((q.rest / q.source_size) / (1 - q.rest / q.source_size)) AS quotient
-  FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source),
-e AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY step, quotient, doc_id, size ROWS UNBOUNDED PRECEDING) AS reach FROM o),
-x AS (SELECT *, CASE WHEN rest > 0 AND reach <= rest THEN 1 ELSE 0 END AS extra FROM e),
-g AS (SELECT *, rest - sum(size * extra) OVER (PARTITION BY source) AS lack FROM x),
+o AS (SELECT d.doc_id, d.size, q.*, d.u / (1 - d.u) / sqrt(greatest(d.size, 1)::DOUBLE) AS quotient FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source),
+e AS (SELECT *, least(floor(quotient / (1 + quotient) * 65536), 65535) AS step FROM o),
+x AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY step, quotient, doc_id, size ROWS UNBOUNDED PRECEDING) AS reach FROM e),
+y AS (SELECT *, CASE WHEN rest > 0 AND reach <= rest THEN 1 ELSE 0 END AS extra FROM x),
+z AS (SELECT *, rest - sum(size * extra) OVER (PARTITION BY source) AS room FROM y),
+fits AS (SELECT *, extra = 0 AND size > 0 AND size <= room AS fit FROM z),
+again AS (SELECT *, sum(CASE WHEN fit THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY step, quotient, doc_id, size ROWS UNBOUNDED PRECEDING) AS reach_again FROM fits),
+more AS (SELECT *, CASE WHEN fit AND reach_again <= room THEN 1 ELSE extra END AS drawn FROM again),
+g AS (SELECT *, rest - sum(size * drawn) OVER (PARTITION BY source) AS lack FROM more),
 b AS (
-  SELECT *, CASE WHEN extra = 0 AND abs(size - lack) < lack THEN
-    row_number() OVER (PARTITION BY source ORDER BY CASE WHEN extra = 0 AND abs(size - lack) < lack THEN 0 ELSE 1 END, abs(size - lack), u, doc_id, size) END AS best FROM g)
-SELECT doc_id, size, source_size, target, ((certain + extra + CASE WHEN best = 1 THEN 1 ELSE 0 END) * size)::BIGINT AS taken FROM b
+  SELECT *, CASE WHEN drawn = 0 AND abs(size - lack) < lack THEN
+    row_number() OVER (PARTITION BY source ORDER BY CASE WHEN drawn = 0 AND abs(size - lack) < lack THEN 0 ELSE 1 END, abs(size - lack), quotient, doc_id, size) END AS best FROM g)
+SELECT doc_id, size, source_size, target, ((certain + drawn + CASE WHEN best = 1 THEN 1 ELSE 0 END) * size)::BIGINT AS taken FROM b
 """
 
 _NORMAL = r"regexp_extract_all(translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

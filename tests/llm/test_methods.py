@@ -8,7 +8,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from memloom.llm import langid, pii, quality, secret_scan
+from memloom.llm import langid, mixing, oracles, pii, quality, secret_scan
 from memloom.llm._spans import before, masked, touching
 
 LETTERS = {name: (form, alphabet) for name, form, alphabet in secret_scan.ENCODINGS}
@@ -276,3 +276,80 @@ def test_quality_verdicts(spark):
     for i, w in want.items():
         assert got[i][:2] == (pytest.approx(w[0], abs=1e-9) if w[0] is not None else None, pytest.approx(w[1], abs=1e-9) if w[1] is not None else None), i
     assert got[0][2] and not got[200][2]
+
+
+def mixed(rows, targets):
+    """Copies of each (place in rows), by sorting every source: the draw, a draw among what still fits, the best fitting one."""
+    import hashlib
+
+    out = {}
+    for source in {r[2] for r in rows}:
+        own = [(k, r[0], len((r[1] or "").split())) for k, r in enumerate(rows) if r[2] == source]
+        size, target = sum(s for *_, s in own), targets[source]
+        certain = int(target // size) if size else 0
+        room = max(target - certain * size, 0) if size else 0
+        order = []
+        for k, i, s in own:
+            name = str(i) if i is not None else "text " + hashlib.md5((rows[k][1] or "").encode()).hexdigest()
+            u = (int(hashlib.md5(f"mix:{name}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+            order.append((u / (1 - u) / math.sqrt(max(s, 1)), i if i is not None else -1, s, k))
+        order.sort()
+        out |= {k: certain for *_, k in order}
+        left = order
+        for able in (lambda s, room: True, lambda s, room: 0 < s <= room):
+            reach, kept, most = 0, [], room
+            for q in left:
+                if not able(q[2], most):
+                    kept.append(q)
+                    continue
+                reach += q[2]
+                if most > 0 and reach <= most:
+                    out[q[3]] += 1
+                    room -= q[2]
+                else:
+                    kept.append(q)
+            left = kept
+        best = min(((abs(q[2] - room), *q) for q in left if abs(q[2] - room) < room), default=None)
+        if best:
+            out[best[4]] += 1
+    return out
+
+
+@pytest.mark.parametrize("steps", [1 << 16, 7])
+def test_mix_by_sorting(spark, steps):
+    rng = random.Random(8)
+    sizes = [0, 1, 2, 5, 30, 80, 200, 3000]
+    rows = [(k, "w " * rng.choice(sizes), f"s{k % 5}") for k in range(400)] + [(900, "w " * 40_000, "s0"), (901, "w " * 9000, "s4"), (902, None, "s1"), (903, "", "void"), (904, "w " * 7, "small"), (None, "w w", "s2"), (None, "w w w", "s2")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({c: F.lit("own") for c in ("size", "key", "step", "_row", "copies")}).repartition(5)
+    got = mixing.pareto_mix(df, carry=("text", "source", "key", "_row", "copies"), steps=steps).collect()
+    assert all(r["key"] == r["_row"] == r.copies_in == "own" for r in got)
+    targets = {r.source: r.target for r in got}
+    want = mixed(rows, targets)
+    line = lambda i, t, s, c: (i if i is not None else -1, t or "", s, c)
+    assert sorted(line(r.doc_id, r.text, r.source, r.copies) for r in got if r.size) == sorted(line(*rows[k], c) for k, c in want.items() if (rows[k][1] or "").split())
+    taken = Counter()
+    for r in got:
+        taken[r.source] += r.taken
+    off = {s: taken[s] - t for s, t in targets.items()}
+    assert all(abs(d) <= 7 + 0.02 * targets[s] for s, d in off.items() if s not in ("s0", "small")), off
+
+
+def test_long_documents_are_likelier(spark):
+    rows = [(k, "w " * (400 if k % 2 else 25), "a") for k in range(4000)] + [(9000 + k, "w " * 200, "b") for k in range(1000)]
+    got = mixing.pareto_mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).toPandas()
+    own = got[got.doc_id < 4000]
+    extra = own.copies - own.copies.min()
+    assert extra[own["size"] == 400].mean() > 1.3 * extra[own["size"] == 25].mean()
+
+
+def test_mix_sql(spark, tmp_path):
+    import duckdb
+
+    rng = random.Random(18)
+    rows = [(k, "w " * rng.choice([0, 1, 3, 17, 90, 800]), rng.choice(["a", "b", "c", None])) for k in range(500)] + [(700, "w " * 30_000, "a")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents/*.parquet'")
+    want = sorted(con.sql(oracles.OP8).fetchall())
+    got = mixing.pareto_mix(spark.read.parquet(f"{tmp_path}/documents")).select("doc_id", "size", "source_size", "target", "taken").collect()
+    assert sorted(map(tuple, got)) == [pytest.approx(w) for w in want]
