@@ -144,7 +144,7 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int, stash: Stash) -> Da
     for end in ("a", "b"):
         asked = pairs.groupBy(end).agg(F.count("*").alias("asked"))
         parts = F.ceil(F.col("asked") / PART).cast("int")
-        dealt = keyed_join(dealt, asked, end, "asked", n_pairs, stash).withColumn(f"part_{end}", F.pmod(F.hash("a", "b"), parts)).drop("asked")
+        dealt = stash.keep(keyed_join(dealt, asked, end, "asked", n_pairs, stash).withColumn(f"part_{end}", F.pmod(F.hash("a", "b"), parts)).drop("asked"))
         held = sets.select(F.col("id").alias(end), F.col("shingles").alias(f"of_{end}")).join(asked, end)
         own[end] = held.select(end, f"of_{end}", F.explode(F.sequence(F.lit(0), parts - 1)).alias(f"part_{end}"))
     both = dealt.join(own["a"], ["a", "part_a"]).join(own["b"], ["b", "part_b"])
@@ -197,11 +197,12 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     labelled = met.join(groups, "id", "left").withColumn("g", F.coalesce("component", "id")).select("key", "id", "g", "size")
     open_keys = labelled.groupBy("key").agg(F.min("g").alias("lo"), F.max("g").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("key", "size")
     labelled = stash.keep(keyed_join(labelled.drop("size"), open_keys, "key", "size", n_keys, stash))
-    unsettled = labelled.select("id", "g").distinct()
-    spread = stash.keep(unsettled.join(sets, "id").select("id", "g", F.size("shingles").alias("n"), F.explode("shingles").alias("s")))
+    unsettled = stash.keep(labelled.select("id", "g").distinct())
+    n_spread = unsettled.join(nodes.select("id", "n"), "id").agg(F.sum("n")).first()[0] or 0
+    spread = unsettled.join(sets, "id").select("id", "g", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
     # a shingle that two groups have, with how many nodes have it: frequent ones are not gathered anywhere
     across = spread.groupBy("s").agg(F.min("g").alias("lo"), F.max("g").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("s", "size")
-    bound = keyed_join(spread, across, "s", "size", spread.count(), stash).groupBy("id", "g", "n").agg(F.count("*").alias("most"))
+    bound = keyed_join(spread, across, "s", "size", n_spread, stash).groupBy("id", "g", "n").agg(F.count("*").alias("most"))
     bound = stash.keep(bound.where(_alike(F.col("most"), F.col("n"), F.col("most"), percent)))
     # first common band by the band keys themselves, which hold their band's number
     able = stash.keep(labelled.join(bound.drop("g"), "id").join(nodes.select("id", "bands"), "id"))

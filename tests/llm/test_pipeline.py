@@ -54,6 +54,26 @@ def test_stages(spark, folder):
     assert sorted(map(repr, P.run(spark, folder).collect())) == sorted(map(repr, mixed.collect()))
 
 
+def test_columns_of_any_name_pass_through(spark, folder, tmp_path):
+    clash = [*"id n key tag ranges size source_size target taken kept items spans base step u x copies copy score lang_pred n_words n_hit quotient bands more tokens _row _id _text _source _keep0 _doc0 _last".split()]
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    docs.withColumns({c: F.lit(f"own {c}") for c in clash}).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{folder}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = P.run(spark, str(tmp_path))
+    kept = [c for c in clash if c != "copy"]
+    assert out.columns == [*docs.columns, *kept, "copy"] and out.where(" and ".join(f"`{c}` = 'own {c}'" for c in kept)).count() == out.count() > 0
+    assert sorted(map(repr, out.select(*docs.columns, "copy").collect())) == sorted(map(repr, P.run(spark, folder).collect()))
+
+
+def test_the_mix_meets_its_targets_where_ids_repeat(spark, tmp_path):
+    rows = [(k % 7 if k % 3 else None, "w " * (5 + k % 30), "aa", f"s{k % 3}", 1) for k in range(600)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    out = P.mix(spark, docs, str(tmp_path)).groupBy("source").agg(F.sum(F.size(F.split(F.trim("text"), " "))).alias("n")).collect()
+    size = {s: sum(len(r[1].split()) for r in rows if r[3] == s) for s in ("s0", "s1", "s2")}
+    want = {s: min(3 * size[s], sum(size.values()) * w / 6) for s, w in zip(size, (1, 2, 3))}
+    assert all(abs(r.n - want[r.source]) <= 40 for r in out)
+
+
 def test_near_copies_down_to_four_fifths_go(spark, tmp_path):
     base = [f"w{k}" for k in range(104)]  # 100 runs of five words
     at = lambda *places: " ".join("other" + w if k in places else w for k, w in enumerate(base))
