@@ -19,37 +19,56 @@ LEAST_SCORE = 0.5
 ALIKE = 80
 
 
+def _private(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs under private names, with the own name of each: no column of a document meets one of an operator."""
+    names = {f"_doc{k}": c for k, c in enumerate(docs.columns)}
+    return docs.toDF(*names), names
+
+
+def _name(names: dict[str, str], column: str) -> str:
+    return next(k for k, c in names.items() if c == column)
+
+
+def _own(found: DataFrame, names: dict[str, str]) -> DataFrame:
+    return found.select(*[F.col(k).alias(c) for k, c in names.items()])
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the model knows and is sure of; texts without letters go."""
-    found = langid.identify(docs, carry=tuple(docs.columns))
-    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(docs.columns)
+    held, names = _private(docs)
+    at = {f"{c}_col": _name(names, x) for c, x in (("id", "doc_id"), ("text", "text"), ("lang", "lang"))}
+    found = langid.identify(held, **at, carry=tuple(names))
+    return _own(found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)), names)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of least id of each group of near duplicates; rows without an id stay, as do all rows of an id that stays."""
-    gone = near_dedup.near_duplicates(docs, percent=ALIKE).where(~F.col("kept")).select("doc_id").distinct()
+    gone = near_dedup.near_duplicates(docs.select("doc_id", "text"), percent=ALIKE).where(~F.col("kept")).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of a benchmark item."""
-    found = decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"), carry=tuple(docs.columns))
-    return found.where("n_hit = 0").select(docs.columns)
+    held, names = _private(docs)
+    found = decontam.decontaminate(held, table(spark, sf_dir, "benchmark"), id_col=_name(names, "doc_id"), text_col=_name(names, "text"), carry=tuple(names))
+    return _own(found.where("n_hit = 0"), names)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with each found span replaced by its kind; n_chars follows the new text."""
-    found = pii.find(docs, carry=tuple(docs.columns))
-    text = F.when(F.col("text").isNotNull(), pii.masked(F.col("text"), F.col("spans")))
-    n_chars = F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return found.withColumn("text", text).withColumn("n_chars", n_chars).select(docs.columns)
+    held, names = _private(docs)
+    text, n_chars = _name(names, "text"), _name(names, "n_chars")
+    found = pii.find(held, id_col=_name(names, "doc_id"), text_col=text, carry=tuple(names))
+    found = found.withColumn(text, F.when(F.col(text).isNotNull(), pii.masked(F.col(text), F.col("spans"))))
+    return _own(found.withColumn(n_chars, F.when(F.size("spans") > 0, F.length(text).cast("long")).otherwise(F.col(n_chars))), names)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mix takes, a row for each copy, numbered from 0."""
-    taken = mixing.pareto_mix(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("copies")).where("copies > 0")
-    out = docs.join(taken, docs["doc_id"].eqNullSafe(taken["_id"])).drop("_id")
-    return out.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1))).drop("copies")
+    """Documents that the mix takes, a row for each copy, numbered from 0 in the column `copy` (in place of any of that name)."""
+    held, names = _private(docs.drop("copy"))
+    found = mixing.pareto_mix(held, id_col=_name(names, "doc_id"), source_col=_name(names, "source"), text_col=_name(names, "text"), carry=tuple(names)).where("copies > 0")
+    copies = found.select(*names, F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"))
+    return copies.select(*[F.col(k).alias(c) for k, c in names.items()], "copy")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -68,7 +87,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     stash = Stash(spark)
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = stash.keep(stage(spark, docs, sf_dir))
+        kept = stash.keep(stage(spark, docs, sf_dir))
+        stash.drop(docs)  # the table that the stage read, once its own is written
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
