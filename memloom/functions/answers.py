@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from memloom.functions.arrays import let, occurrences
 from memloom.functions.text import split_words, strip, within
 
 _PUNCTUATION = r"""[!"#$%&'()*+,\-./:;<=>?@\[\\\]^_`{|}~]"""
@@ -57,23 +58,22 @@ def substring_match(prediction: Column, golds: Column) -> Column:
     return F.exists(golds, lambda g: F.contains(normalize_answer(prediction), normalize_answer(g))).cast("double")
 
 
-def _words(text: Column) -> Column:
-    return F.filter(F.split(normalize_answer(text), " "), lambda w: w != "")
-
-
-def _count(words: Column, word: Column) -> Column:
-    return F.size(F.filter(words, lambda w: w == word))
-
-
 def overlap_f1(prediction: Column, gold: Column) -> Column:
     """Multiset F1 of normalised words; a yes, no or noanswer that differs scores 0."""
-    p, g = _words(prediction), _words(gold)
+    words = lambda t: F.filter(F.split(t, " "), lambda w: w != "")
     plain = F.array(*[F.lit(x) for x in ("yes", "no", "noanswer")])
-    a, b = normalize_answer(prediction), normalize_answer(gold)
-    differ = (a != b) & (F.array_contains(plain, a) | F.array_contains(plain, b))
-    common = F.aggregate(F.array_distinct(p), F.lit(0), lambda acc, w: acc + F.least(_count(p, w), _count(g, w)))
-    precision, recall = common / F.size(p), common / F.size(g)
-    return F.when(differ | (common == 0), F.lit(0.0)).otherwise(2 * precision * recall / (precision + recall))
+
+    def counted(t: Column) -> Column:
+        p, g = words(t["a"]), words(t["b"])
+        differ = (t["a"] != t["b"]) & (F.array_contains(plain, t["a"]) | F.array_contains(plain, t["b"]))
+        common = F.when(differ, F.lit(0)).otherwise(F.size(F.array_intersect(occurrences(p), occurrences(g))))
+        return let(F.struct(common.alias("c"), F.size(p).alias("p"), F.size(g).alias("g")), score)
+
+    def score(n: Column) -> Column:
+        precision, recall = n["c"] / n["p"], n["c"] / n["g"]
+        return F.when(n["c"] == 0, F.lit(0.0)).otherwise(2 * precision * recall / (precision + recall))
+
+    return let(F.struct(normalize_answer(prediction).alias("a"), normalize_answer(gold).alias("b")), counted)
 
 
 def token_f1(prediction: Column, golds: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memloom.functions.text import SENTENCE_END, seeded, seeded_int, split_words, strip, token_count
+from memloom.operators.curation import global_rank
 from memloom.operators.grouped import by_group
 
 
@@ -19,9 +20,10 @@ def pack_places(sizes: np.ndarray, target, sep: int, guard: bool = True) -> np.n
     A chunk takes items while the running size (items and separators so far) plus the next item stays within the
     target; the separator of the next item does not count in that test. A single larger item is a chunk of its own;
     without `guard` a first larger item leaves an empty chunk before it. `target` is a number or a function of the chunk
-    number. One search a chunk, not one step an item.
+    number. One binary search a chunk, not one step an item.
     """
     run = np.concatenate([[0], np.cumsum(sizes + sep)])
+    reach = run[:-1] + sizes  # what is used when an item stands last: never falls from item to item
     out = np.zeros(len(sizes), np.int64)
     at = chunk = 0
     while at < len(sizes):
@@ -30,9 +32,7 @@ def pack_places(sizes: np.ndarray, target, sep: int, guard: bool = True) -> np.n
             chunk += 1
             most = target(chunk) if callable(target) else target
         # item j fits behind items at..j-1 if their sizes and separators plus its own stay within the target
-        fits = run[at:-1] - run[at] + sizes[at:] <= most
-        stop = np.flatnonzero(~fits[1:])
-        end = at + 1 + (int(stop[0]) if len(stop) else len(fits) - 1)
+        end = max(at + 1, int(np.searchsorted(reach, run[at] + most, "right")))
         out[at:end] = chunk
         at, chunk = end, chunk + 1
     return out
@@ -74,10 +74,15 @@ def sentences(df: DataFrame, *, key: str, text: str, end_mark: str = "<|endoftex
 
 
 def chunk_sentences(df: DataFrame, max_tokens: int, *, key: str, text: str, counter="words", count_sep: bool = True, guard: bool = True) -> DataFrame:
-    """Sentences packed with a space between. Plain variant: count_sep=False, guard=False."""
+    """Sentences packed with a space between. Plain variant: count_sep=False, guard=False; there a first sentence that is too large leaves an empty chunk before it, which is a row."""
     rows = sentences(df, key=key, text=text).withColumn("n", token_count(F.col("sentence"), counter))
     places = pack_greedy(rows, group=key, order="pos", tokens="n", max_tokens=max_tokens, sep_tokens=int(count_sep), guard=guard)
-    return join_chunks(rows, places, group=key, order="pos", text="sentence", sep=" ")
+    chunks = join_chunks(rows, places, group=key, order="pos", text="sentence", sep=" ")
+    if guard:
+        return chunks
+    # chunk 1 is then the first that holds anything, and knows it from its own place: no other look at the groups
+    first = chunks.where("chunk_idx = 1").join(chunks.where("chunk_idx = 0").select(key), key, "left_anti")
+    return chunks.unionByName(first.select(key, F.lit(0).cast("long").alias("chunk_idx"), F.lit("").alias("text"), F.lit(0).cast("long").alias("n_items")))
 
 
 def pack_titled(df: DataFrame, max_tokens: int, *, group: str, order: str, title: str, text: str, counter="words") -> DataFrame:
@@ -199,14 +204,21 @@ def reformat_labeled_blocks(text: Column, mark: str = "label:") -> Column:
 
 
 def distribute_even(df: DataFrame, n_chunks: int, *, key: str, seed: str = "even", needed: int | None = None) -> DataFrame:
-    """Adds `chunk_idx`: rows in seeded order, total // n to a chunk and one more to the first total % n. With `needed` rows wanted the rows are repeated in turn."""
+    """Adds `chunk_idx`: rows in seeded order, total // n to a chunk and one more to the first total % n. With `needed` rows wanted the rows are repeated in turn. Ranks are global, so places are arithmetic and no task sorts the table."""
+    h = seeded(seed, F.col(key))
+    ranked = global_rank(df, [h, F.col(key)], F.substring(h, 1, 3))
     if needed is not None:
         n = df.count()
         copies = -(-needed // max(n, 1))
-        ranked = df.withColumn("_r", F.row_number().over(Window.orderBy(seeded(seed, F.col(key)), key)) - 1)
-        df = ranked.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(max(copies - 1, 0))))).where(F.col("copy") * n + F.col("_r") < needed).drop("_r")
-        return df.withColumn("chunk_idx", F.ntile(n_chunks).over(Window.orderBy("copy", seeded(seed, F.col(key)), key)) - 1)
-    return df.withColumn("chunk_idx", F.ntile(n_chunks).over(Window.orderBy(seeded(seed, F.col(key)), key)) - 1)
+        ranked = ranked.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(max(copies - 1, 0))))).withColumn("rank", F.col("copy") * n + F.col("rank")).where(F.col("rank") < needed)
+        total = F.lit(min(needed, n * copies))
+    else:
+        ranked = ranked.crossJoin(F.broadcast(df.agg(F.count("*").alias("_total"))))  # one row: the count
+        total = F.col("_total")
+    base, more = F.floor(total / n_chunks), F.pmod(total, F.lit(n_chunks))
+    inside = F.col("rank") < more * (base + 1)
+    place = F.when(inside, F.floor(F.col("rank") / (base + 1))).otherwise(more + F.floor((F.col("rank") - more * (base + 1)) / F.greatest(base, F.lit(1))))
+    return ranked.withColumn("chunk_idx", place.cast("int")).drop("rank", "_total")
 
 
 def ensure_label_coverage(chosen: DataFrame, pool: DataFrame, *, label: str, key: str, chunk: str = "chunk_idx", seed: str = "cover") -> DataFrame:

@@ -41,6 +41,12 @@ def link_evidence(qas: DataFrame, chunk_titles: DataFrame, *, instance: str, que
     return met.withColumn("evidence_idx", F.when(F.size("evidence_idx") > 0, F.col("evidence_idx")).otherwise(F.array(F.lit(0).cast("long"))))
 
 
+def link_evidence_by_context(qas: DataFrame, contexts: DataFrame, *, instance: str, question: str, context: str, chunk: str = "chunk_idx") -> DataFrame:
+    """Each question with the chunk that its context was packed into, by the context's id: `contexts` is (instance, context, chunk) as packing gives it. A context in several chunks: the last. Questions of contexts that no chunk has are left out."""
+    last = contexts.groupBy(instance, context).agg(F.max(chunk).alias("evidence_idx"))
+    return qas.join(last, [instance, context]).select(instance, question, "evidence_idx")
+
+
 def link_evidence_by_containment(qas: DataFrame, chunks: DataFrame, *, instance: str, question: str, context: str, text: str, chunk: str, strict: bool = False) -> DataFrame:
     """Each question with the chunks of its own instance that hold its context; the instance is the join key. The last chunk wins; `strict` repeats the row for every such chunk, each time with that last index."""
     met = qas.join(chunks.select(instance, chunk, F.col(text).alias("_t")), instance).where(F.contains("_t", F.col(context)))
@@ -118,12 +124,13 @@ def join_docs_questions(docs: DataFrame, qas: DataFrame, *, doc: str, question_d
 
 def prefix_join(parents: DataFrame, children: DataFrame, *, group: str, parent: str, child: str, strict: bool = True) -> DataFrame:
     """Parents with the children of the same group whose id starts with theirs (so 1_1 also takes 1_10; strict=False asks for the id's end or a separator). Parents without children stay."""
-    p, c = parents.alias("p"), children.alias("c")
-    starts = F.col(f"c.{child}").startswith(F.col(f"p.{parent}"))
+    # ids are short: a child looks for its parents by each of its own beginnings, so the join has a key
+    c = F.col(child)
+    ends = F.sequence(F.lit(0), F.length(c))
     if not strict:
-        rest = F.expr(f"substring(c.{child}, length(p.{parent}) + 1, 1)")
-        starts = starts & ((rest == "") | rest.rlike("[^0-9A-Za-z]"))
-    return p.join(c, (F.col(f"p.{group}") == F.col(f"c.{group}")) & starts, "left").select("p.*", F.col(f"c.{child}").alias(child))
+        ends = F.filter(ends, lambda n: (n == F.length(c)) | F.substring(c, n + 1, F.lit(1)).rlike("[^0-9A-Za-z]"))
+    heads = children.where(c.isNotNull()).select(F.col(group).alias("_g"), c.alias("_c"), F.explode(F.transform(ends, lambda n: F.left(c, n))).alias("_p"))
+    return parents.join(heads, (parents[group] == heads["_g"]) & (parents[parent] == heads["_p"]), "left").select(*[parents[x] for x in parents.columns], F.col("_c").alias(child))
 
 
 def flatten_nested_qas(df: DataFrame, *, person: str, sections: str, skip: tuple[str, ...] = ("profile",)) -> DataFrame:

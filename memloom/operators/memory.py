@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -32,6 +33,25 @@ class MemoryState:
         self.core = core
         self.items = items or {t: {} for t in TYPES[1:]}
         self.enabled = set(enabled)
+        # how often each content is held, and how many words all of them have
+        self.held = {t: Counter(self.items[t].values()) for t in TYPES[1:]}
+        self.words = {t: sum(len((c or "").split()) * n for c, n in self.held[t].items()) for t in TYPES[1:]}
+
+    def _put(self, kind: str, memory_id: str, content: str | None) -> None:
+        """The item as it is from now on; None: gone."""
+        items, held = self.items[kind], self.held[kind]
+        if memory_id in items:
+            old = items[memory_id]
+            held[old] -= 1
+            self.words[kind] -= len((old or "").split())
+            if not held[old]:
+                del held[old]
+        if content is None:
+            items.pop(memory_id, None)
+        else:
+            items[memory_id] = content
+            held[content] += 1
+            self.words[kind] += len(content.split())
 
     def apply(self, name: str, kind: str | None, memory_id: str | None, content: str | None, new_id: str, strict: bool = True) -> str:
         """ok, skipped or error. An insert of content that its type holds is skipped; an update of an unknown id is an error (ok if not strict); deleting an unknown id is ok."""
@@ -46,22 +66,22 @@ class MemoryState:
             return "ok" if name in ("update", "delete") else "error"
         held = self.items[kind]
         if name == "insert":
-            if content in held.values():
+            if content in self.held[kind]:
                 return "skipped"
-            held[new_id] = content or ""
+            self._put(kind, new_id, content or "")
             return "ok"
         if name == "update":
             if memory_id in held:
-                held[memory_id] = content or ""
+                self._put(kind, memory_id, content or "")
                 return "ok"
             return "error" if strict else "ok"
         if name == "delete":
-            held.pop(memory_id, None)
+            self._put(kind, memory_id, None)
             return "ok"
         return "error"
 
     def size(self) -> int:
-        return sum(len((t or "").split()) for t in (self.core if "core" in self.enabled else "", *(v for t in TYPES[1:] if t in self.enabled for v in self.items[t].values())))
+        return (len(self.core.split()) if "core" in self.enabled else 0) + sum(self.words[t] for t in TYPES[1:] if t in self.enabled)
 
     def rows(self) -> Iterator[tuple[str, str, str, int]]:
         if self.core:

@@ -8,6 +8,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from memloom.operators.grouped import by_group
 
 
 def instance_then_source(df: DataFrame, *, instance: str, source: str, score: str = "score", memory: str | None = None) -> DataFrame:
@@ -50,6 +53,14 @@ def offline_eval(df: DataFrame, *, source: str, scores: str) -> DataFrame:
     return df.groupBy(source).agg(F.avg(mean).alias("score"))
 
 
+def mean_std_at_n_by_variable(df: DataFrame, *, source: str, prompt: str, variables: list[str]) -> DataFrame:
+    """(source, variable, n, mean, std) as mean_std_at_n, for each of the variables that is a number; others are skipped. A response counts for all variables: n is the prompt's responses, null values left out of the means."""
+    numbers = [v for v in variables if isinstance(df.schema[v].dataType, T.NumericType)]
+    per = df.groupBy(source, prompt).agg(F.count("*").alias("n"), *[f(v).alias(f"{k}_{v}") for v in numbers for k, f in (("m", F.avg), ("s", F.stddev_pop))])
+    rows = per.select(source, "n", F.explode(F.array(*[F.struct(F.lit(v).alias("variable"), F.col(f"m_{v}").cast("double").alias("m"), F.col(f"s_{v}").alias("s")) for v in numbers])).alias("v")).select(source, "n", "v.*")
+    return rows.groupBy(source, "variable", "n").agg(F.avg("m").alias("mean"), F.avg(F.when(F.col("n") > 1, F.col("s"))).alias("std"), F.count("*").alias("n_prompts"))
+
+
 def mean_std_at_n(df: DataFrame, *, source: str, prompt: str, value: str) -> DataFrame:
     """(source, n, mean, std): mean@n per prompt and, for n > 1, its population deviation; averaged over a source's prompts of the same n."""
     per = df.groupBy(source, prompt).agg(F.count("*").alias("n"), F.avg(value).alias("m"), F.stddev_pop(value).alias("s"))
@@ -101,6 +112,34 @@ def bootstrap(df: DataFrame, *, group: str, value: str, statistics: dict[str, Ca
     return rows.groupBy("g").applyInPandas(one, f"g {kind}, statistic string, mean double, std double").withColumnRenamed("g", group)
 
 
+def _majority_values(codes: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Of each row of drawn answers, the first value of the most frequent one (ties: the one drawn first)."""
+    votes = (codes[:, :, None] == codes[:, None, :]).sum(axis=2)
+    return values[np.arange(len(codes)), votes.argmax(axis=1)]
+
+
+def majority_at_n(df: DataFrame, *, source: str, prompt: str, pred: str, value: str, order: str, resamples: int = 1000, seed: int = 42) -> DataFrame:
+    """(source, n, mean, std): the majority answer's value over resamples of n draws with replacement, for n = 2, 4, .. below a prompt's N, and N; averaged over a source's prompts.
+
+    The generator is seeded by prompt and n, and responses are put in order first, so results do not depend on where a
+    prompt is worked on. A prompt's responses (some tens) are held by one task.
+    """
+
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        codes, values, n_all = np.unique(rows["p"].to_numpy(), return_inverse=True)[1], rows["v"].to_numpy(float), len(rows)
+        out = []
+        for n in sorted({n for n in (2**k for k in range(1, 31)) if n < n_all} | ({n_all} if n_all > 1 else set())):
+            at = np.random.default_rng([seed, n, *rows["g"].iloc[0].encode()]).integers(0, n_all, (resamples, n))
+            found = _majority_values(codes[at], values[at])
+            out.append((rows["s"].iloc[0], n, float(found.mean()), float(found.std())))
+        return pd.DataFrame(out, columns=["s", "n", "m", "d"])
+
+    kind = df.schema[source].dataType.simpleString()
+    rows = df.select(F.to_json(F.struct(source, prompt)).alias("g"), F.col(source).alias("s"), F.coalesce(F.col(pred).cast("string"), F.lit("")).alias("p"), F.col(value).cast("double").alias("v"), F.col(order).alias("o"))
+    per = by_group(rows, "g", ["o"], one, f"s {kind}, n long, m double, d double")
+    return per.groupBy(F.col("s").alias(source), "n").agg(F.avg("m").alias("mean"), F.avg("d").alias("std"))
+
+
 def batch_stats(df: DataFrame, *, step: str, scalars: list[str], masked: list[str], mask: str, length: str, max_length: int, values: str | None = None, returns: str | None = None) -> DataFrame:
     """Per step: mean, max and min of scalar columns and of masked token arrays, share of clipped lengths, and (with values and returns) the variance explained, 1 - var(r - v) / (var(r) + 1e-5), by sample variances."""
     names = lambda c: [f(c).alias(f"{c}_{k}") for k, f in (("mean", F.avg), ("max", F.max), ("min", F.min))]
@@ -152,6 +191,45 @@ def trajectory_stats(steps: DataFrame, *, key: str, step: str, context: str, len
     return agg.select(key, F.when(F.col("m") != 0, F.col("total")).alias("tokens"), F.when(F.col("m") != 0, F.col("peak")).alias("peak"), F.when(some, F.col("work") / F.col("total")).alias("dependency"), F.when(some, F.col("last") / F.col("total")).alias("compression"))
 
 
+def trajectory_stats_from_steps(steps: DataFrame, *, key: str, step: str, think: str, act: str, info: str, matched: str) -> DataFrame:
+    """Per trajectory, from its steps' token counts (null: no such part): what the agent thought, did and was told.
+
+    After a step's act its context is reset to what it thought and did in this step; what it is told comes behind that.
+    tokens and peak (the fullest context at an act; both null unless matched), dependency = sum((context + length // 2)
+    * length) / all tokens with that reset, dependency_full the same without it, and compression = the context at the
+    last act / all tokens; null where there is nothing to divide by. Counts are taken to add up over parts.
+    """
+    t, r, i = (F.coalesce(F.col(c), F.lit(0)) for c in (think, act, info))
+    w = Window.partitionBy(key).orderBy(step)
+    rows = steps.select(key, step, t.alias("_t"), r.alias("_r"), i.alias("_i"), F.col(act).isNotNull().alias("_acts"), F.col(matched).alias("_m"))
+    all_ = F.col("_t") + F.col("_r") + F.col("_i")
+    rows = rows.withColumn("_c", F.coalesce(F.lag(all_).over(w), F.lit(0))).withColumn("_f", F.coalesce(F.sum(all_).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    rows = rows.withColumn("_at", F.col("_c") + F.col("_t") + F.col("_r"))
+
+    def work(c: Column, told: Column) -> Column:
+        part = lambda before, n: (before + F.floor(n / 2)) * n
+        return part(c, F.col("_t")) + part(c + F.col("_t"), F.col("_r")) + part(told, F.col("_i"))
+
+    agg = rows.groupBy(key).agg(
+        F.max("_m").alias("m"),
+        F.sum(all_).alias("total"),
+        F.max("_at").alias("peak"),
+        F.sum(work(F.col("_c"), F.col("_t") + F.col("_r"))).alias("work"),
+        F.sum(work(F.col("_f"), F.col("_f") + F.col("_t") + F.col("_r"))).alias("full"),
+        F.max_by(F.when(F.col("_acts"), F.col("_at")), F.when(F.col("_acts"), F.col(step))).alias("last"),
+    )
+    some = F.col("total") > 0
+    hit = lambda c: F.when(F.col("m") != 0, c)
+    return agg.select(
+        key,
+        hit(F.col("total")).alias("tokens"),
+        hit(F.when(F.col("peak") > 0, F.col("peak"))).alias("peak"),
+        F.when(some, F.col("work") / F.col("total")).alias("dependency"),
+        F.when(some, F.col("full") / F.col("total")).alias("dependency_full"),
+        F.when(some, F.coalesce("last", F.lit(0)) / F.col("total")).alias("compression"),
+    )
+
+
 def sample_for_logging(df: DataFrame, n: int, *, order: Column) -> DataFrame:
     """The first n rows by a seeded order: a top-n, no full sort."""
     return df.orderBy(order).limit(n)

@@ -2,34 +2,42 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from memloom.functions.text import split_words, word_tokens
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
-#: Names compared with an item at once.
-BLOCK = 10_000
+#: A query that few documents answer is filled up from the first NEAR * k of its corpus.
+NEAR = 8
+#: Names compared with an item at once; vectors of items, and of queries, multiplied at once.
+BLOCK, ROWS = 10_000, 4096
+#: Tasks that share the item blocks of one corpus.
+SPREAD = 8
 
 
 def bm25_scores(docs: DataFrame, queries: DataFrame, *, corpus: str = "corpus", doc: str = "doc", text: str = "text", query: str = "query_id", query_text: str = "query") -> DataFrame:
     """(query, corpus, doc, score) of documents that share a word with the query.
 
     Okapi BM25 within each corpus: idf = ln(N - df + 0.5) - ln(df + 0.5), a negative one replaced by EPSILON times the
-    mean idf of the corpus's vocabulary; a repeated query word counts again. Documents are tokenised once; only the
-    words of queries are joined with documents, on (corpus, word), so frequent words that nobody asks for never meet.
+    mean idf of the corpus's vocabulary; a repeated query word counts again. One pass over the documents counts how many
+    have each word, how many there are and how long they are; another one counts, of the words that are asked for only,
+    how often each document has them. Both add up before anything is shuffled, and only words of queries are joined.
     """
     tokens = docs.select(corpus, doc, word_tokens(F.col(text)).alias("_w"))
-    sizes = tokens.select(corpus, doc, F.size("_w").alias("dl"))
-    stats = sizes.groupBy(corpus).agg(F.count("*").alias("n_docs"), (F.sum("dl") / F.count("*")).alias("avgdl"))
     wanted = queries.select(query, corpus, F.explode(word_tokens(F.col(query_text))).alias("term")).groupBy(query, corpus, "term").agg(F.count("*").alias("times"))
     asked = wanted.select(corpus, "term").distinct()
     # frequencies in documents only of words that are asked for; document frequencies of all, for the vocabulary's mean
     tf = tokens.select(corpus, doc, F.size("_w").alias("dl"), F.explode("_w").alias("term")).join(asked, [corpus, "term"], "left_semi").groupBy(corpus, doc, "dl", "term").agg(F.count("*").alias("tf"))
-    df = tokens.select(corpus, F.explode(F.array_distinct("_w")).alias("term")).groupBy(corpus, "term").agg(F.count("*").alias("df")).join(stats, corpus)
+    # a document's row without a word carries its length
+    held = F.concat(F.array_distinct("_w"), F.array(F.lit(None).cast("string")))
+    counted = tokens.select(corpus, F.explode(held).alias("term"), F.size("_w").alias("dl")).groupBy(corpus, "term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("term").isNull(), F.col("dl"))).alias("dl"))
+    stats = counted.where(F.col("term").isNull()).select(corpus, F.col("df").alias("n_docs"), (F.col("dl") / F.col("df")).alias("avgdl"))
+    df = counted.where(F.col("term").isNotNull()).select(corpus, "term", "df").join(stats, corpus)
     df = df.withColumn("raw", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = df.groupBy(corpus).agg(F.avg("raw").alias("mean_idf"))
     idf = df.join(asked, [corpus, "term"], "left_semi").join(mean, corpus)
@@ -42,17 +50,21 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, *, corpus: str = "corpus",
 def bm25_topk(docs: DataFrame, queries: DataFrame, k: int, *, corpus: str = "corpus", doc: str = "doc", text: str = "text", query: str = "query_id", query_text: str = "query", min_score: float | None = None) -> DataFrame:
     """The k best documents of the query's corpus: score descending (rounded to 9 digits), ties by document order.
 
-    Documents without a common word score 0 and fill the list; at most k of them can be in it, and those are among the
-    first k + (scored documents) of the corpus, so no more are looked at. `min_score` cuts afterwards. A query without
-    words finds nothing.
+    Documents without a common word score 0 and fill the list where fewer than k score more. With s scored documents the
+    fill is among the first k + s of the corpus: a query of few looks at the first NEAR * k, which every task cuts down
+    to before any meet; one of many documents of which fewer than k score above 0 (a matter of negative idf) is held
+    against its whole corpus. `min_score` cuts afterwards. A query without words finds nothing.
     """
     scored = bm25_scores(docs, queries, corpus=corpus, doc=doc, text=text, query=query, query_text=query_text)
     asked = queries.where(F.size(word_tokens(F.col(query_text))) > 0).select(query, corpus)
-    counts = scored.groupBy(query, corpus).agg(F.count("*").alias("scored"))
-    places = docs.select(corpus, doc, F.row_number().over(Window.partitionBy(corpus).orderBy(doc)).alias("place"))
-    reach = asked.join(counts, [query, corpus], "left").withColumn("reach", F.coalesce("scored", F.lit(0)) + k)
-    fill = reach.join(places, corpus).where("place <= reach").select(query, corpus, doc, F.lit(0.0).alias("score"))
-    every = scored.unionByName(fill).groupBy(query, corpus, doc).agg(F.max_by("score", F.abs("score")).alias("score"))
+    counts = scored.groupBy(query, corpus).agg(F.count("*").alias("scored"), F.count_if(F.col("score") > 0).alias("above"))
+    short = asked.join(counts, [query, corpus], "left").fillna(0, ["scored", "above"]).where(F.col("above") < k).select(query, corpus, (F.col("scored") + k).alias("reach"))
+    place = F.row_number().over(Window.partitionBy(corpus).orderBy(doc))
+    first = docs.select(corpus, doc, place.alias("place")).where(F.col("place") <= NEAR * k)
+    fill = short.where(F.col("reach") <= NEAR * k).join(first, corpus).where("place <= reach").select(query, corpus, doc)
+    far = short.where(F.col("reach") > NEAR * k).select(query, corpus).join(docs.select(corpus, doc), corpus).join(scored.select(query, corpus, doc), [query, corpus, doc], "left_anti")
+    far = far.withColumn("place", F.row_number().over(Window.partitionBy(query, corpus).orderBy(doc))).where(F.col("place") <= k).drop("place")
+    every = scored.unionByName(fill.unionByName(far).withColumn("score", F.lit(0.0))).groupBy(query, corpus, doc).agg(F.max_by("score", F.abs("score")).alias("score"))
     every = every.withColumn("score", F.round("score", 9))
     rank = F.row_number().over(Window.partitionBy(query, corpus).orderBy(F.desc("score"), doc))
     out = every.withColumn("rank", rank).where(F.col("rank") <= k)
@@ -69,23 +81,51 @@ def bm25_chunks(chunks: DataFrame, queries: DataFrame, k: int = 2, **names: str)
     return found.unionByName(blank.join(first, corpus).withColumn("score", F.lit(0.0)))
 
 
-@F.pandas_udf(T.DoubleType())
-def _cosine(a: pd.Series, b: pd.Series) -> pd.Series:
-    if not len(a):
-        return pd.Series([], dtype=float)
-    x, y = np.vstack(a.to_list()).astype(np.float64), np.vstack(b.to_list()).astype(np.float64)
-    size = np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1)
-    return pd.Series(np.where(size > 0, np.einsum("ij,ij->i", x, y) / np.where(size > 0, size, 1), 0.0))
+def _packed(rows: DataFrame, corpus: str, key: str, vector: str, names: tuple[str, str]) -> DataFrame:
+    """(corpus, keys, vectors): rows of a corpus that come together in a task as one block of at most ROWS, each vector with length 1 (or 0)."""
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for name, part in batch.groupby(corpus, sort=False, dropna=True):
+                for at in range(0, len(part), ROWS):
+                    own = part.iloc[at : at + ROWS]
+                    m = np.vstack(own[vector].to_list()).astype(np.float64)
+                    size = np.linalg.norm(m, axis=1, keepdims=True)
+                    out.append((name, own[key].tolist(), (m / np.where(size > 0, size, 1)).tobytes()))
+            yield pd.DataFrame(out, columns=[corpus, *names])
+
+    return rows.select(corpus, key, vector).where(F.col(corpus).isNotNull()).mapInPandas(pack, f"`{corpus}` {kinds[corpus]}, {names[0]} array<{kinds[key]}>, {names[1]} binary")
 
 
 def cosine_topk(items: DataFrame, queries: DataFrame, k: int, *, corpus: str = "corpus", item: str = "item", vector: str = "vector", query: str = "query_id", query_vector: str = "query_vector", min_score: float | None = None) -> DataFrame:
-    """The k nearest items of the query's corpus by cosine (rounded to 6 digits); ties by item. A zero query finds nothing, a zero item scores 0."""
-    asked = queries.where(F.exists(query_vector, lambda x: x != 0)).select(query, corpus, F.col(query_vector).alias("_q"))
-    pairs = asked.join(items.select(corpus, item, F.col(vector).alias("_v")), corpus)
-    scored = pairs.select(query, corpus, item, F.round(_cosine("_q", "_v"), 6).alias("score"))
-    scored = scored if min_score is None else scored.where(F.col("score") >= min_score)
+    """The k nearest items of the query's corpus by cosine (rounded to 6 digits); ties by item. A zero query finds nothing, a zero item scores 0.
+
+    Items and queries meet in blocks: one matrix product a pair of blocks, of which each query keeps its k best. The
+    blocks of a corpus are dealt to SPREAD tasks, so no task has a whole one.
+    """
+    asked = queries.where(F.exists(query_vector, lambda x: x != 0))
+    left = _packed(items, corpus, item, vector, ("_i", "_v")).withColumn("_part", F.pmod(F.xxhash64("_v"), F.lit(SPREAD)))
+    right = _packed(asked, corpus, query, query_vector, ("_q", "_u")).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for name, ids, v, asks, u in batch.itertuples(index=False):
+                ids, asks = np.asarray(ids), np.asarray(asks)
+                scores = np.round(np.frombuffer(u).reshape(len(asks), -1) @ np.frombuffer(v).reshape(len(ids), -1).T, 6) + 0.0
+                rank = np.argsort(ids, kind="stable")
+                order = rank[np.argsort(-scores[:, rank], axis=1, kind="stable")[:, :k]]
+                for r, row in enumerate(order):
+                    out += [(asks[r], name, ids[c], scores[r, c]) for c in row if min_score is None or scores[r, c] >= min_score]
+            yield pd.DataFrame(out, columns=["q", "c", "i", "score"])
+
+    kinds = {n: d.schema[c].dataType.simpleString() for n, d, c in (("q", queries, query), ("c", items, corpus), ("i", items, item))}
+    met = left.join(right, [corpus, "_part"]).select(corpus, "_i", "_v", "_q", "_u")
+    found = met.mapInPandas(best, f"q {kinds['q']}, c {kinds['c']}, i {kinds['i']}, score double").withColumnsRenamed({"q": query, "c": corpus, "i": item})
     rank = F.row_number().over(Window.partitionBy(query).orderBy(F.desc("score"), item))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def topk_within_budget(ranked: DataFrame, *, key: str, rank: str = "rank", tokens: str = "n_tokens", k: int = 20, budget: int = 30_000, overhead: int = 0) -> DataFrame:
@@ -149,12 +189,14 @@ def system_prompt(source: Column, rules: list[tuple[str, str, str]], otherwise:
 def nearest_name(items: DataFrame, names: DataFrame, *, text: str, name: str) -> DataFrame:
     """Adds `nearest`, the name of least edit distance when both are lower-cased, and `distance`; ties go to the smallest name.
 
-    The names are a stated set: they are packed into rows of at most BLOCK names each and every item meets each row
-    once, so an item makes one row for 10,000 names, not one for each.
+    The names are a stated set: they are packed into rows of some BLOCK / 2 names each, as many as their number asks
+    for, and every different text meets each row once, so a text makes one row for thousands of names, not one for each.
+    Every row of items then gets the name of its text; a null text has none.
     """
-    packed = names.select(name).where(F.col(name).isNotNull()).distinct().groupBy(F.pmod(F.xxhash64(name), F.lit(64)).alias("_h")).agg(F.collect_set(name).alias("_n"))
-    packed = packed.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("_n"), F.lit(BLOCK)), lambda i: F.slice("_n", i, BLOCK))).alias("_n"))
-    near = F.array_min(F.transform("_n", lambda n: F.struct(F.levenshtein(F.lower(F.col(text)), F.lower(n)).alias("d"), n.alias("n"))))
-    met = items.crossJoin(packed).withColumn("_best", near)
-    rest = [c for c in items.columns]
-    return met.groupBy(*rest).agg(F.min("_best").alias("_best")).select(*rest, F.col("_best.n").alias("nearest"), F.col("_best.d").alias("distance"))
+    known = names.select(F.col(name).alias("_n")).where(F.col("_n").isNotNull()).distinct()
+    n_blocks = max(1, -(-2 * known.count() // BLOCK))
+    packed = known.groupBy(F.pmod(F.xxhash64("_n"), F.lit(n_blocks)).alias("_h")).agg(F.collect_list("_n").alias("_n"))
+    near = F.array_min(F.transform("_n", lambda n: F.struct(F.levenshtein(F.lower("_t"), F.lower(n)).alias("d"), n.alias("n"))))
+    texts = items.select(F.col(text).alias("_t")).where(F.col("_t").isNotNull()).distinct()
+    best = texts.crossJoin(packed).withColumn("_best", near).groupBy("_t").agg(F.min("_best").alias("_best"))
+    return items.join(best, items[text] == best["_t"], "left").select(*[items[c] for c in items.columns], F.col("_best.n").alias("nearest"), F.col("_best.d").alias("distance"))

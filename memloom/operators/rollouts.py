@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from memloom.functions.arrays import before
+
 EPS = 1e-6
 
 
@@ -99,28 +101,33 @@ def advantage_baseline_whiten(df: DataFrame, *, uid: str, score: str, tokens: st
     return whiten(g, value="advantage", weight=tokens)
 
 
-def _backwards(zipped: Column, start: Column, step) -> Column:
-    """Folds an array from its end; the outputs, in the array's order."""
-    state = F.struct(start.alias("s"), F.array().cast("array<double>").alias("out"))
-
-    def one(acc: Column, t: Column) -> Column:
-        s = step(acc["s"], t)
-        return F.struct(s.alias("s"), F.concat(acc["out"], F.array(s)).alias("out"))
+def _backwards(steps: Column) -> Column:
+    """From the end of an array of steps s -> a * s + b, given as struct<a, b>, beginning with 0: what each place comes to, in the array's order.
 
-    return F.reverse(F.aggregate(F.reverse(zipped), state, one)["out"])
+    Two steps one after the other are a step of the same kind, so long arrays are folded in blocks.
+    """
+    pair = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
+    whole = before(F.reverse(steps), lambda x, y: pair(y["a"] * x["a"], y["a"] * x["b"] + y["b"]), pair(F.lit(1.0), F.lit(0.0)))
+    return F.reverse(F.transform(F.slice(whole, 2, F.greatest(F.size(steps), F.lit(0))), lambda x: x["b"]))
 
 
 def reward_to_go(rewards: Column, mask: Column, gamma: float = 1.0) -> Column:
     """Array of discounted sums from each token to the end; the sum starts anew behind a token whose mask is 0."""
-    pairs = F.zip_with(rewards, mask, lambda r, m: F.struct(r.cast("double").alias("r"), m.alias("m")))
-    return _backwards(pairs, F.lit(0.0), lambda s, t: (t["r"] + gamma * s) * F.when(t["m"] > 0, 1.0).otherwise(0.0))
+    on = lambda m: F.when(m > 0, 1.0).otherwise(0.0)
+    return _backwards(F.zip_with(rewards, mask, lambda r, m: F.struct((gamma * on(m)).alias("a"), (r.cast("double") * on(m)).alias("b"))))
+
+
+def advantage_over_baseline(rewards: Column, mask: Column, baseline: Column) -> Column:
+    """Array of undiscounted sums of masked rewards from each token to the end, less the response's baseline where the mask is 1."""
+    sums = _backwards(F.zip_with(rewards, mask, lambda r, m: F.struct(F.lit(1.0).alias("a"), (r.cast("double") * m.cast("double")).alias("b"))))
+    return F.zip_with(sums, mask, lambda s, m: s - baseline * m.cast("double"))
 
 
 def gae(rewards: Column, values: Column, gamma: float, lam: float) -> Column:
     """Array of advantages: A_t = delta_t + gamma * lam * A_(t+1), delta_t = r_t + gamma * V_(t+1) - V_t, with V = 0 behind the end."""
     following = F.concat(F.slice(values, 2, F.greatest(F.size(values) - 1, F.lit(0))), F.array(F.lit(0.0)))
     deltas = F.zip_with(F.zip_with(rewards, following, lambda r, v: r + gamma * v), values, lambda x, v: x - v)
-    return _backwards(deltas, F.lit(0.0), lambda s, d: d + gamma * lam * s)
+    return _backwards(F.transform(deltas, lambda x: F.struct(F.lit(float(gamma * lam)).alias("a"), x.cast("double").alias("b"))))
 
 
 def token_kl(a: Column, b: Column, kind: str) -> Column:
@@ -170,9 +177,14 @@ def weighted_resample(df: DataFrame, *, batch: str, order: str, weight: str, see
     ranges = ranges.withColumn("_lo", F.coalesce(F.lag("_hi").over(w), F.lit(0.0)))
     point = F.conv(F.substring(seeded(seed, F.col(batch), F.col("draw")), 1, 12), 16, 10).cast("double") / float(1 << 48)
     total = df.groupBy(batch).agg(F.sum(weight).alias("_total"))
-    points = ranges.select(batch, "draw", point.alias("_u")).join(total, batch).select(batch, "draw", (F.col("_u") * F.col("_total")).alias("_at"))
-    met = points.alias("p").join(ranges.drop("draw").alias("r"), (F.col(f"p.{batch}") == F.col(f"r.{batch}")) & (F.col("_at") >= F.col("_lo")) & (F.col("_at") < F.col("_hi")))
-    return met.select("r.*", "p.draw").drop("_lo", "_hi")
+    points = ranges.select(batch, "draw", point.alias("_u")).join(total, batch).select(batch, F.col("draw").alias("_d"), (F.col("_u") * F.col("_total")).alias("_at"))
+    # points and ranges in one order of running weight: a point belongs to the last range that starts at or before it
+    none = F.lit(None)
+    marks = ranges.where("_lo < _hi").select(batch, F.col("_lo").alias("_x"), F.lit(0).alias("_side"), F.col("draw").alias("_r"), none.cast("int").alias("_d"))
+    marks = marks.unionByName(points.select(batch, F.col("_at").alias("_x"), F.lit(1).alias("_side"), none.cast("int").alias("_r"), "_d"))
+    held = F.last("_r", ignorenulls=True).over(Window.partitionBy(batch).orderBy("_x", "_side", "_r").rowsBetween(Window.unboundedPreceding, 0))
+    met = marks.withColumn("_r", held).where("_side = 1").select(batch, F.col("_r").alias("draw"), "_d")
+    return ranges.drop("_lo", "_hi").join(met, [batch, "draw"]).drop("draw").withColumnRenamed("_d", "draw").select(*df.columns, "draw")
 
 
 def _differencing(lengths: list[int], k: int, equal: bool) -> list[int]:

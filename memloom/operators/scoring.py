@@ -65,6 +65,10 @@ def recall_at_k(df: DataFrame, names: DataFrame, *, key: str, answer: str = "ans
     return named.groupBy(key).agg(*[(hit(k) / F.size(F.first(golds))).alias(f"recall_{k}") for k in ks])
 
 
+#: Weight of each order of n-grams, by the highest one: fixed values of the metric.
+WEIGHTS = {1: 1.0, 2: 0.5, 3: 0.33, 4: 0.25}
+
+
 def _bleu(pred: list[str], gold: list[str], n: int) -> float:
     if not pred:
         return 0.0
@@ -75,7 +79,7 @@ def _bleu(pred: list[str], gold: list[str], n: int) -> float:
         hit, total = sum((a & b).values()), max(1, sum(a.values()))
         if k == 1 and not hit:
             return 0.0
-        logs += log((hit or 0.1) / total) / n
+        logs += log((hit or 0.1) / total) * WEIGHTS[n]
     return exp(min(0.0, 1 - len(gold) / len(pred)) + logs)
 
 

@@ -33,7 +33,15 @@ def b2_pack_greedy(spark, d):
     return C.join_chunks(rows, C.pack_greedy(rows, group="source", order="doc_id", tokens="n", max_tokens=2000), group="source", order="doc_id", text="text")
 
 
-@query()
+_TARGET = "102 + ('0x' || substr(md5('pack|' || g || '|' || {}::VARCHAR), 1, 8))::BIGINT % 1947"
+
+
+@query(
+    f"""WITH RECURSIVE t AS (SELECT source AS g, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i, {_W.format('text')} AS n FROM documents),
+    p AS (SELECT g, i, 0::BIGINT AS c, n + 1 AS used FROM t WHERE i = 1
+      UNION ALL SELECT t.g, t.i, CASE WHEN p.used + t.n > {_TARGET.format('p.c').replace("|| g ||", "|| p.g ||")} THEN p.c + 1 ELSE p.c END, CASE WHEN p.used + t.n > {_TARGET.format('p.c').replace("|| g ||", "|| p.g ||")} THEN t.n + 1 ELSE p.used + t.n + 1 END FROM p JOIN t ON t.g = p.g AND t.i = p.i + 1)
+    SELECT g AS source, doc_id, c AS chunk_idx FROM p JOIN t USING (g, i)"""
+)
 def b2_pack_variable(spark, d):
     rows = docs(spark, d)
     return C.pack_greedy(rows, group="source", order="doc_id", tokens="n", max_tokens=2048, min_tokens=0)
@@ -47,7 +55,13 @@ def b3_chunk_sentences(spark, d):
     return C.chunk_sentences(spread(table(spark, d, "documents")), 120, key="doc_id", text="text")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE s AS ({_SENT.replace(" WHERE doc_id < 300", "")}), t AS (SELECT doc_id AS g, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS i, s, {_W.format('s')} AS n FROM s WHERE trim(s) <> ''),
+    p AS (SELECT g, i, (n > 8)::BIGINT AS c, n AS used FROM t WHERE i = 1
+      UNION ALL SELECT t.g, t.i, CASE WHEN p.used + t.n > 8 THEN p.c + 1 ELSE p.c END, CASE WHEN p.used + t.n > 8 THEN t.n ELSE p.used + t.n END FROM p JOIN t ON t.g = p.g AND t.i = p.i + 1)
+    SELECT g AS doc_id, c AS chunk_idx, count(*) AS n_items, trim(string_agg(t.s, ' ' ORDER BY i)) AS text FROM p JOIN t USING (g, i) GROUP BY g, c
+    UNION ALL SELECT g, 0, 0, '' FROM p WHERE i = 1 AND c = 1"""
+)
 def b3b_chunk_sentences_plain(spark, d):
     return C.chunk_sentences(spread(table(spark, d, "documents")), 8, key="doc_id", text="text", count_sep=False, guard=False)
 
@@ -68,13 +82,27 @@ def b6_split_long_turns(spark, d):
     return C.split_long_turns(spread(table(spark, d, "conversations")), 200, key=["conv_id", "turn"], role="role", text="text")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE t AS (SELECT conv_id AS g, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, {_W.format('text')} AS n FROM conversations),
+    p AS (SELECT g, i, n, role, 0::BIGINT AS c, 1::BIGINT AS start, n AS used, false AS moved FROM t WHERE i = 1
+      UNION ALL SELECT t.g, t.i, t.n, t.role, CASE WHEN p.used + t.n > 150 THEN p.c + 1 ELSE p.c END,
+        CASE WHEN p.used + t.n <= 150 THEN p.start WHEN p.role = 'user' AND p.i > p.start THEN p.i ELSE t.i END,
+        CASE WHEN p.used + t.n <= 150 THEN p.used + t.n WHEN p.role = 'user' AND p.i > p.start THEN p.n + t.n ELSE t.n END,
+        p.used + t.n > 150 AND p.role = 'user' AND p.i > p.start FROM p JOIN t ON t.g = p.g AND t.i = p.i + 1)
+    SELECT p.g AS conv_id, t.turn, CASE WHEN coalesce(x.moved, false) THEN x.c ELSE p.c END AS segment FROM p JOIN t ON t.g = p.g AND t.i = p.i LEFT JOIN p x ON x.g = p.g AND x.i = p.i + 1"""
+)
 def b7_segment_sessions(spark, d):
     turns = table(spark, d, "conversations").withColumn("n", token_count(F.col("text")))
     return C.segment_sessions(turns, 150, key="conv_id", turn="turn", role="role", tokens="n")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE t AS (SELECT source AS g, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i, {_W.format('text')} AS n FROM documents),
+    p AS (SELECT g, i, 0::BIGINT AS c, n AS used, n BETWEEN 1500 AND 2048 AS closed FROM t WHERE i = 1
+      UNION ALL SELECT t.g, t.i, CASE WHEN p.closed OR p.used + t.n > 2048 THEN p.c + 1 ELSE p.c END, CASE WHEN p.closed OR p.used + t.n > 2048 THEN t.n ELSE p.used + t.n END,
+        CASE WHEN p.closed OR p.used + t.n > 2048 THEN t.n ELSE p.used + t.n END BETWEEN 1500 AND 2048 FROM p JOIN t ON t.g = p.g AND t.i = p.i + 1)
+    SELECT g AS source, doc_id, c AS chunk_idx FROM p JOIN t USING (g, i)"""
+)
 def b8_merge_segments(spark, d):
     return C.merge_segments(docs(spark, d), 1500, 2048, key="source", order="doc_id", tokens="n")
 

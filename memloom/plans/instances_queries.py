@@ -42,11 +42,19 @@ def c4_link_evidence(spark, d):
     return out.select("doc_id", F.array_join(F.transform("evidence_idx", lambda x: x.cast("string")), ",").alias("evidence"))
 
 
-@query("SELECT b.item_id, d.source, max(d.doc_id) AS evidence_idx FROM benchmark b JOIN documents d ON contains(d.text, substr(b.text, 1, 40)) GROUP BY ALL")
+@query("WITH c AS (SELECT source AS instance, lang || doc_id % 11 AS context, doc_id // 7 AS chunk FROM documents), q AS (SELECT l.doc_id, d.source AS instance, d.lang || (l.doc_id + l.toxic) % 11 AS context FROM labels l JOIN documents d USING (doc_id)) SELECT doc_id, max(chunk) AS evidence_idx FROM q JOIN c USING (instance, context) GROUP BY doc_id")
+def c5b_link_evidence_by_context(spark, d):
+    rows = docs(spark, d)
+    held = rows.select(F.col("source").alias("instance"), F.concat("lang", F.col("doc_id") % 11).alias("context"), F.floor(F.col("doc_id") / 7).alias("chunk_idx"))
+    asked = table(spark, d, "labels").join(rows, "doc_id").select("doc_id", F.col("source").alias("instance"), F.concat("lang", (F.col("doc_id") + F.col("toxic")) % 11).alias("context"))
+    return C.link_evidence_by_context(asked, held, instance="instance", question="doc_id", context="context").select("doc_id", "evidence_idx")
+
+
+@query("SELECT b.item_id, d.source, max(d.doc_id) AS evidence_idx FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY ALL")
 def c5_link_evidence_by_containment(spark, d):
     # every source that the documents have; in a struct, since rows without a source are an instance too
     held = docs(spark, d).withColumn("instance", F.struct("source"))
-    asked = table(spark, d, "benchmark").select("item_id", F.substring("text", 1, 40).alias("context")).crossJoin(held.select("instance").distinct())
+    asked = table(spark, d, "benchmark").select("item_id", F.col("text").alias("context")).crossJoin(held.select("instance").distinct())
     out = C.link_evidence_by_containment(asked, held, instance="instance", question="item_id", context="context", text="text", chunk="doc_id")
     return out.select("item_id", "instance.source", "evidence_idx")
 
@@ -106,9 +114,9 @@ def c14_join_docs_questions(spark, d):
     return out.select("doc_id", F.array_join(F.transform("qas", lambda q: q["role"]), "|").alias("qas"))
 
 
-@query("WITH p AS (SELECT DISTINCT lang, doc_id::VARCHAR AS pid FROM documents WHERE doc_id < 60), c AS (SELECT lang, doc_id || '_' || n_chars AS cid FROM documents) SELECT p.lang, pid, cid FROM p LEFT JOIN c ON p.lang = c.lang AND starts_with(cid, pid)")
+@query("WITH p AS (SELECT DISTINCT lang, doc_id::VARCHAR AS pid FROM documents), c AS (SELECT lang, doc_id || '_' || n_chars AS cid FROM documents) SELECT p.lang, pid, cid FROM p LEFT JOIN c ON p.lang = c.lang AND starts_with(cid, pid)")
 def c15_prefix_join(spark, d):
-    parents = docs(spark, d).where("doc_id < 60").select("lang", F.col("doc_id").cast("string").alias("pid"))
+    parents = docs(spark, d).select("lang", F.col("doc_id").cast("string").alias("pid"))
     children = docs(spark, d).select("lang", F.concat_ws("_", "doc_id", "n_chars").alias("cid"))
     return C.prefix_join(parents, children, group="lang", parent="pid", child="cid").select("lang", "pid", "cid")
 

@@ -12,8 +12,7 @@ from memloom.plans.scoring_queries import SCORED, results
 
 
 def scored(spark, d):
-    rows = results(spark, d).where(~F.contains("gold", F.lit(";")))
-    return scoring.score_results(rows).withColumn("score", F.round("score", 6)).withColumn("instance", F.floor(F.col("doc_id") / 10))
+    return scoring.score_results(results(spark, d)).withColumn("score", F.round("score", 6)).withColumn("instance", F.floor(F.col("doc_id") / 10))
 
 
 @query(f"WITH i AS (SELECT doc_id // 10 AS instance, min(source) AS source, avg(score) AS mean, count(*) AS n FROM ({SCORED}) GROUP BY 1) SELECT source, count(*) AS n_instances, sum(n)::BIGINT AS n_results, round(avg(mean), 6) AS score FROM i GROUP BY source")
@@ -84,6 +83,16 @@ def h7_mean_std_at_n(spark, d):
     return M.mean_std_at_n(samples(spark, d), source="source", prompt="uid", value="reward").withColumns({"mean": F.round("mean", 6), "std": F.round("std", 6)})
 
 
+@query(
+    f"""WITH p AS (SELECT source, uid, count(*) AS n, avg(reward) AS m1, stddev_pop(reward) AS s1, avg(len) AS m2, stddev_pop(len) AS s2 FROM ({SAMPLES}) GROUP BY ALL),
+    v AS (SELECT source, n, 'reward' AS variable, m1 AS m, s1 AS s FROM p UNION ALL SELECT source, n, 'len', m2, s2 FROM p)
+    SELECT source, variable, n, round(avg(m), 6) AS mean, round(avg(s) FILTER (n > 1), 6) AS std, count(*) AS n_prompts FROM v GROUP BY ALL"""
+)
+def h7b_mean_std_by_variable(spark, d):
+    out = M.mean_std_at_n_by_variable(samples(spark, d), source="source", prompt="uid", variables=["reward", "l_returnflag", "len"])
+    return out.select("source", "variable", "n", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "n_prompts")
+
+
 @query(
     f"""WITH r AS (SELECT *, count(*) OVER (PARTITION BY uid) AS cn, row_number() OVER (PARTITION BY uid ORDER BY reward) AS i FROM ({SAMPLES})),
     e AS (SELECT r.*, unnest(list_distinct(list_filter([2, 4, 8, 16, 32, 64, cn], lambda x: x <= cn AND x > 1))) AS n FROM r),
@@ -103,6 +112,13 @@ def h9_majority(spark, d):
     return M.majority(rows, group="uid", pred="l_returnflag", value="reward", order="pos").select("uid", F.col("l_returnflag").alias("pred"), F.round("value", 6).alias("value"), "votes")
 
 
+@query()
+def h9b_majority_at_n(spark, d):
+    place = F.row_number().over(M.Window.partitionBy("uid").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
+    rows = samples(spark, d).withColumn("pos", place)
+    return M.majority_at_n(rows, source="source", prompt="uid", pred="l_returnflag", value="reward", order="pos", resamples=200)
+
+
 @query()
 def h10_bootstrap(spark, d):
     e = table(spark, d, "events")
@@ -172,6 +188,23 @@ def h14_trajectory_stats(spark, d):
     return out.where(F.col("dependency").isNotNull()).withColumns({"dependency": F.round("dependency", 5), "compression": F.round("compression", 5)})
 
 
+_PARTS = "SELECT conv_id, turn // 3 AS step, max(length(text) // 4) FILTER (turn % 3 = 0) AS t, max(length(text) // 4) FILTER (turn % 3 = 1) AS r, max(length(text) // 4) FILTER (turn % 3 = 2) AS i, (conv_id % 3 <> 0)::INT AS m FROM conversations GROUP BY ALL"
+
+
+@query(
+    f"""WITH p AS ({_PARTS}), q AS (SELECT conv_id, step, m, coalesce(t, 0) AS t, coalesce(r, 0) AS r, coalesce(i, 0) AS i, r IS NOT NULL AS acts FROM p),
+    c AS (SELECT *, coalesce(lag(t + r + i) OVER w, 0) AS c, coalesce(sum(t + r + i) OVER (PARTITION BY conv_id ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS f FROM q WINDOW w AS (PARTITION BY conv_id ORDER BY step)),
+    s AS (SELECT conv_id, max(m) AS m, sum(t + r + i) AS n, max(c + t + r) AS peak, sum((c + t // 2) * t + (c + t + r // 2) * r + (t + r + i // 2) * i) AS work, sum((f + t // 2) * t + (f + t + r // 2) * r + (f + t + r + i // 2) * i) AS whole, arg_max(c + t + r, step) FILTER (acts) AS last FROM c GROUP BY conv_id)
+    SELECT conv_id, CASE WHEN m <> 0 THEN n END::BIGINT AS tokens, CASE WHEN m <> 0 AND peak > 0 THEN peak END::BIGINT AS peak, round(work / n, 5) AS dependency, round(whole / n, 5) AS dependency_full, round(coalesce(last, 0) / n, 5) AS compression FROM s WHERE n > 0"""
+)
+def h14b_trajectory_steps(spark, d):
+    n = token_count(F.col("text"), "quarter")
+    part = lambda k: F.max(F.when(F.col("turn") % 3 == k, n))
+    steps = table(spark, d, "conversations").groupBy("conv_id", F.floor(F.col("turn") / 3).alias("step")).agg(part(0).alias("t"), part(1).alias("r"), part(2).alias("i"))
+    out = M.trajectory_stats_from_steps(steps.withColumn("m", (F.col("conv_id") % 3 != 0).cast("int")), key="conv_id", step="step", think="t", act="r", info="i", matched="m")
+    return out.where(F.col("dependency").isNotNull()).select("conv_id", "tokens", "peak", *[F.round(c, 5).alias(c) for c in ("dependency", "dependency_full", "compression")])
+
+
 @query("SELECT doc_id, n_chars FROM documents ORDER BY md5(concat_ws('|', 'log', doc_id::VARCHAR)) LIMIT 20")
 def h15_sample_for_logging(spark, d):
     return M.sample_for_logging(table(spark, d, "documents").select("doc_id", "n_chars"), 20, order=seeded("log", F.col("doc_id")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from memloom.functions.text import token_count, word_tokens
@@ -58,13 +59,13 @@ def f3_bm25_chunks(spark, d):
 
 @query(
     """WITH p AS (SELECT q.vec_id AS query_id, i.vec_id AS item, round(list_cosine_similarity(q.embedding::DOUBLE[], i.embedding::DOUBLE[]), 6) AS score
-      FROM embeddings q JOIN embeddings i ON q.label = i.label WHERE q.vec_id % 50 = 0)
+      FROM embeddings q JOIN embeddings i ON q.label = i.label WHERE q.vec_id % 100 = 0)
     SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item) AS rank FROM p) WHERE rank <= 5"""
 )
 def f4_cosine_topk(spark, d):
     e = table(spark, d, "embeddings")
     items = e.select(F.col("label").alias("corpus"), F.col("vec_id").alias("item"), F.col("embedding").alias("vector"))
-    asked = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("corpus"), F.col("embedding").alias("query_vector"))
+    asked = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("corpus"), F.col("embedding").alias("query_vector"))
     return R.cosine_topk(items, asked, 5).select("query_id", "item", "score", F.col("rank").cast("long").alias("rank"))
 
 
@@ -91,8 +92,10 @@ def f7_format_passages(spark, d):
 
 @query("SELECT source, 'Read.' || chr(10) || chr(10) || array_to_string(c[1:3], chr(10) || chr(10)) || chr(10) || chr(10) || 'Which?' AS full_prompt FROM (SELECT source, list(text ORDER BY doc_id) AS c FROM documents GROUP BY source)")
 def f8_build_prompts(spark, d):
+    # the first three of a source are found before texts meet
+    first = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
     chunks = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda x: x["text"])
-    rows = _docs(spark, d).groupBy("source").agg(chunks.alias("chunks")).withColumns({"prompt": F.lit("Read."), "question": F.lit("Which?"), "upto": F.lit(3)})
+    rows = _docs(spark, d).withColumn("r", first).where("r <= 3").groupBy("source").agg(chunks.alias("chunks")).withColumns({"prompt": F.lit("Read."), "question": F.lit("Which?"), "upto": F.lit(3)})
     return R.build_prompts(rows, "prefix", upto="upto").select("source", "full_prompt")
 
 
@@ -113,8 +116,8 @@ def f9_add_source_prompt(spark, d):
     return out.select("item_id", F.col("query").alias("question"), system.alias("system"))
 
 
-@query("WITH i AS (SELECT DISTINCT substr(text, 1, 5) AS item FROM documents WHERE regexp_full_match(substr(text, 1, 5), '[A-Za-z .,]+')), n AS (SELECT DISTINCT source AS name FROM documents), s AS (SELECT item, name, levenshtein(lower(item), lower(name)) AS d FROM i CROSS JOIN n) SELECT item, name AS nearest, d AS distance FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY d, name) AS r FROM s) WHERE r = 1")
+@query("WITH s AS (SELECT p_type, n_name, levenshtein(lower(p_type), lower(n_name)) AS d FROM (SELECT DISTINCT p_type FROM part) CROSS JOIN (SELECT DISTINCT n_name FROM nation)), b AS (SELECT p_type, n_name, d, row_number() OVER (PARTITION BY p_type ORDER BY d, n_name) AS r FROM s) SELECT p_partkey, n_name AS nearest, d AS distance FROM part JOIN b USING (p_type) WHERE r = 1")
 def f10_nearest_name(spark, d):
-    docs = table(spark, d, "documents")
-    items = docs.select(F.substring("text", 1, 5).alias("item")).where(F.col("item").rlike("^[A-Za-z .,]+$")).distinct()
-    return R.nearest_name(items, docs.select(F.col("source").alias("name")), text="item", name="name").select("item", "nearest", F.col("distance").cast("long").alias("distance"))
+    items = table(spark, d, "part").select("p_partkey", "p_type")
+    names = table(spark, d, "nation").select(F.col("n_name").alias("name"))
+    return R.nearest_name(items, names, text="p_type", name="name").select("p_partkey", "nearest", F.col("distance").cast("long").alias("distance"))

@@ -95,6 +95,11 @@ def i10_reward_to_go(spark, d):
     return _unrolled(rollouts(spark, d).withColumn("x", R.reward_to_go(F.col("rewards"), F.col("mask"), 0.9)), "x")
 
 
+@query(f"WITH t AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, sum(value * mask) OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS s FROM ({TOKENS})) SELECT user_id, i, round(s - (user_id % 7) * mask + 3.7e-8, 4) AS x FROM t")
+def i10b_advantage_over_baseline(spark, d):
+    return _unrolled(rollouts(spark, d).withColumn("x", R.advantage_over_baseline(F.col("rewards"), F.col("mask"), (F.col("user_id") % 7).cast("double"))), "x")
+
+
 @query(f"WITH RECURSIVE {_ORD}, dl AS (SELECT *, value + 0.95 * coalesce(lead(val) OVER (PARTITION BY user_id ORDER BY i), 0) - val AS delta FROM t), r AS (SELECT user_id, i, delta::DOUBLE AS x FROM dl WHERE i = n UNION ALL SELECT dl.user_id, dl.i, dl.delta + 0.95 * 0.9 * r.x FROM r JOIN dl ON dl.user_id = r.user_id AND dl.i = r.i - 1) SELECT user_id, i, round(x + 3.7e-8, 4) AS x FROM r")
 def i11_gae(spark, d):
     return _unrolled(rollouts(spark, d).withColumn("x", R.gae(F.col("rewards"), F.col("vals"), 0.95, 0.9)), "x")
