@@ -125,7 +125,7 @@ def advantage_over_baseline(rewards: Column, mask: Column, baseline: Column) ->
 
 def gae(rewards: Column, values: Column, gamma: float, lam: float) -> Column:
     """Array of advantages: A_t = delta_t + gamma * lam * A_(t+1), delta_t = r_t + gamma * V_(t+1) - V_t, with V = 0 behind the end."""
-    following = F.concat(F.slice(values, 2, F.greatest(F.size(values) - 1, F.lit(0))), F.array(F.lit(0.0)))
+    following = F.slice(F.concat(F.slice(values, 2, F.greatest(F.size(values), F.lit(0))), F.array(F.lit(0.0))), F.lit(1), F.size(values))
     deltas = F.zip_with(F.zip_with(rewards, following, lambda r, v: r + gamma * v), values, lambda x, v: x - v)
     return _backwards(F.transform(deltas, lambda x: F.struct(F.lit(float(gamma * lam)).alias("a"), x.cast("double").alias("b"))))
 

@@ -151,6 +151,7 @@ def test_bleu_and_rouge_goldens(spark):
     df = spark.createDataFrame([("the cat sat", "the cat sat"), ("a b c d", "a x c d"), ("", "a")], "p string, g string")
     bleu = scoring.bleu(df, pred="p", gold="g").collect()
     assert bleu[0].bleu_1 == 1.0 and bleu[0].bleu_3 == 1.0 and bleu[2].bleu_1 == 0.0
+    assert bleu[1].bleu_3 == pytest.approx((0.75 * (1 / 3) * (0.1 / 2)) ** 0.33, abs=1e-6)
     assert bleu[1].bleu_1 == 0.75 and bleu[1].bleu_2 == pytest.approx((0.75 / 3) ** 0.5, abs=1e-6)
     rouge = scoring.rouge_l(df.select("p", F.array("g", F.lit("zz")).alias("g")), pred="p", golds="g").collect()
     assert [(r.rouge_l_f, r.rouge_l_recall) for r in rouge] == [(1.0, 1.0), (0.75, 0.75), (0.0, 0.0)]
@@ -164,12 +165,110 @@ def test_bleu_and_rouge_goldens(spark):
         assert scoring._lcs(a, b) == best[-1][-1]
 
 
-def test_stated_goldens(spark):
-    rows = [("loss", 1.0), ("loss", 3.0), ("accuracy", 0.7), ("accuracy", 0.9), ("max_reward", 5.0), ("max_reward", 8.0), ("min_error", 0.1), ("min_error", 0.05)]
+def test_reduction_by_name_and_majority(spark):
+    rows = [("cost", 2.0), ("cost", 7.0), ("cost", 3.0), ("max_len", 4.0), ("max_len", -9.0), ("len_min", 4.0), ("len_min", -9.0)]
     out = {r.key: r.value for r in metrics.reduce_by_name(spark.createDataFrame(rows, "key string, value double")).collect()}
-    assert out == {"loss": 2.0, "accuracy": pytest.approx(0.8), "max_reward": 8.0, "min_error": 0.05}
-    votes = spark.createDataFrame([(1, "A", 0.9, 0), (1, "B", 0.8, 1), (1, "A", 0.7, 2)], "g long, pred string, value double, o long")
-    assert metrics.majority(votes, group="g", pred="pred", value="value", order="o").first().value == 0.9
+    assert out == {"cost": 4.0, "max_len": 4.0, "len_min": -9.0}
+    votes = spark.createDataFrame([(1, "x", 0.25, 3), (1, "y", 0.5, 1), (1, "y", 0.125, 2), (1, "x", 0.75, 0), (2, "z", 1.5, 0)], "g long, pred string, value double, o long")
+    assert {r.g: (r.pred, r.value, r.votes) for r in metrics.majority(votes, group="g", pred="pred", value="value", order="o").collect()} == {1: ("x", 0.75, 2), 2: ("z", 1.5, 1)}
+
+
+def test_bootstrapped_majority(spark):
+    rng = np.random.default_rng(5)
+    def plain(c, v):
+        first = {}
+        for x, y in zip(c, v):
+            first.setdefault(x, y)
+        return first[max(dict.fromkeys(c), key=list(c).count)]
+
+    flat = rng.random(6)
+    drawn = rng.integers(0, 6, (300, 5))
+    answers = np.array([0, 1, 1, 2, 0, 2])
+    assert metrics._majority_values(answers[drawn], flat[drawn]).tolist() == [plain(answers[d].tolist(), flat[d].tolist()) for d in drawn]
+    rows = [("s", 1, "a" if k < 5 else "b", float(k < 5), k) for k in range(6)] + [("s", 2, "a", 1.0, 0)]
+    out = {r.n: r for r in metrics.majority_at_n(spark.createDataFrame(rows, "source string, prompt long, pred string, value double, o long"), source="source", prompt="prompt", pred="pred", value="value", order="o").collect()}
+    assert set(out) == {2, 4, 6} and out[2].mean == pytest.approx(5 / 6, abs=0.05) and out[6].mean > 0.95
+
+
+def test_long_arrays_fold_as_short_ones(spark):
+    rng = random.Random(6)
+    rewards, mask, values = [rng.random() for _ in range(3000)], [int(rng.random() < 0.9) for _ in range(3000)], [rng.random() for _ in range(3000)]
+    df = spark.createDataFrame([(rewards, mask, values), ([1.0], [1], [0.5]), ([], [], [])], "r array<double>, m array<int>, v array<double>")
+    got = df.select(rollouts.reward_to_go(F.col("r"), F.col("m"), 0.99).alias("g"), rollouts.gae(F.col("r"), F.col("v"), 0.99, 0.95).alias("a"), rollouts.advantage_over_baseline(F.col("r"), F.col("m"), F.lit(2.0)).alias("b")).collect()
+    to_go, adv, over, s, a, u = [], [], [], 0.0, 0.0, 0.0
+    for t in reversed(range(3000)):
+        s = (rewards[t] + 0.99 * s) * mask[t]
+        a = rewards[t] + 0.99 * (values[t + 1] if t + 1 < 3000 else 0.0) - values[t] + 0.99 * 0.95 * a
+        u += rewards[t] * mask[t]
+        to_go.append(s), adv.append(a), over.append(u - 2.0 * mask[t])
+    for name, want in (("g", to_go), ("a", adv), ("b", over)):
+        assert got[0][name] == pytest.approx(want[::-1], abs=1e-8)
+    assert got[1].g == [1.0] and got[1].a == [0.5] and got[1].b == [-1.0] and got[2].g == got[2].a == got[2].b == []
+
+
+def test_overlap_of_repeated_words(spark):
+    rng = random.Random(8)
+    texts = [(" ".join(rng.choice("bcdefg") for _ in range(n)), " ".join(rng.choice("bcdefg") for _ in range(m))) for n, m in [(1, 1), (3, 9), (70, 90), (400, 150), (200, 200)]]
+    for r in spark.createDataFrame(texts, "p string, g string").select("p", "g", A.token_f1(F.col("p"), F.array("g")).alias("f")).collect():
+        p, g = r.p.split(), r.g.split()
+        common = sum(min(p.count(w), g.count(w)) for w in set(p))
+        assert r.f == pytest.approx(2 * common / (len(p) + len(g)))
+
+
+def test_nearest_names_of_repeated_rows(spark):
+    items = spark.createDataFrame([(1, "Rome"), (1, "Rome"), (2, None), (3, "pari")], "k long, item string")
+    names = spark.createDataFrame([("Paris",), ("rome",), (None,), ("Rome",)], "name string")
+    out = sorted((r.k, r.nearest, r.distance) for r in retrieval.nearest_name(items, names, text="item", name="name").collect())
+    assert out == [(1, "Rome", 0), (1, "Rome", 0), (2, None, None), (3, "Paris", 1)]
+
+
+def test_bm25_fills_up_from_the_first_documents(spark):
+    docs = [("c", k, "alpha" if k in (90, 95) else f"word{k}") for k in range(100)] + [("neg", k, "same same" if k else "same other") for k in range(40)] + [("e", 1, None), ("e", 2, "")]
+    queries = [(1, "c", "alpha"), (2, "c", "nothing"), (3, "neg", "same"), (4, "c", "?"), (5, "e", "x")]
+    out = {}
+    for r in retrieval.bm25_topk(spark.createDataFrame(docs, "corpus string, doc long, text string").repartition(3), spark.createDataFrame(queries, "query_id long, corpus string, query string"), 4).orderBy("query_id", "rank").collect():
+        out.setdefault(r.query_id, []).append(r.doc)
+    assert out[1] == [90, 95, 0, 1] and out[2] == [0, 1, 2, 3] and 4 not in out and out[5] == [1, 2] and len(out[3]) == 4
+
+
+def test_cosine_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    monkeypatch.setattr(retrieval, "ROWS", 16)
+    items = [(f"c{k % 3}" if k % 10 else None, k, [0.0] * 5 if k == 7 else rng.normal(size=5).tolist()) for k in range(200)]
+    queries = [(1000 + k, f"c{k % 3}", [0.0] * 5 if k == 4 else items[k + 1][2]) for k in range(12)]
+    got = retrieval.cosine_topk(spark.createDataFrame(items, "corpus string, item long, vector array<double>").repartition(5), spark.createDataFrame(queries, "query_id long, corpus string, query_vector array<double>"), 6)
+    want = []
+    for q, c, u in queries:
+        u, found = np.array(u), []
+        for x, i, v in items:
+            if x == c and u.any():
+                v = np.array(v)
+                found.append((-round(float(u @ v / (np.linalg.norm(u) * np.linalg.norm(v))), 6) + 0.0 if v.any() else 0.0, i))
+        want += [(q, r + 1, i) for r, (_, i) in enumerate(sorted(found)[:6])]
+    assert sorted((r.query_id, r["rank"], r.item) for r in got.collect()) == sorted(want)
+
+
+def test_packing_of_many_items_is_quick():
+    import time
+
+    began = time.time()
+    places = chunking.pack_places(np.full(400_000, 7), 50, 1)
+    assert places[-1] == 400_000 // 6 and time.time() - began < 20
+
+
+def test_an_empty_chunk_is_a_row(spark):
+    df = spark.createDataFrame([(1, "one two three four. five."), (2, "one. two three four five six. seven.")], "k long, t string")
+    out = sorted((r.k, r.chunk_idx, r.text, r.n_items) for r in chunking.chunk_sentences(df, 3, key="k", text="t", count_sep=False, guard=False).collect())
+    assert out == [(1, 0, "", 0), (1, 1, "one two three four.", 1), (1, 2, "five.", 1), (2, 0, "one.", 1), (2, 1, "two three four five six.", 1), (2, 2, "seven.", 1)]
+
+
+def test_trajectories_from_steps(spark):
+    rows = [(1, 0, 5, 3, 10, 1), (1, 1, 2, 4, None, 1), (2, 0, None, None, None, 1), (3, 0, 4, None, 6, 0)]
+    out = {r.k: r for r in metrics.trajectory_stats_from_steps(spark.createDataFrame(rows, "k long, step long, t long, r long, i long, m long"), key="k", step="step", think="t", act="r", info="i", matched="m").collect()}
+    # step 0: 5 thought, 3 done, 10 told behind both; step 1 begins with all 18 and keeps its own 6
+    work = (0 + 2) * 5 + (5 + 1) * 3 + (8 + 5) * 10 + (18 + 1) * 2 + (20 + 2) * 4
+    assert (out[1].tokens, out[1].peak, out[1].compression) == (24, 24, 1.0) and out[1].dependency == work / 24 == out[1].dependency_full
+    assert out[2].dependency is None and out[2].compression is None and out[3].tokens is None and out[3].compression == 0.0
 
 
 def test_best_of_n_agrees_with_resampling(spark):
