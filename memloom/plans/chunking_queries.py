@@ -77,7 +77,18 @@ def b5_render_session(spark, d):
     return C.render_session(table(spark, d, "conversations"), key="conv_id", turn="turn", role="role", text="text")
 
 
-@query()
+_LIST = r"list_filter(string_split_regex(trim({}), '[ \t\n\r\f\v]+'), lambda x: x <> '')"
+
+
+@query(
+    rf"""WITH RECURSIVE a AS (SELECT conv_id, turn, role, CASE WHEN {_W.format('text')} > 50 THEN string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) ELSE [text] END AS l, {_W.format('text')} > 50 AS big FROM conversations),
+    s AS (SELECT conv_id, turn, role, big, unnest(l) AS s, generate_subscripts(l, 1) AS k FROM a),
+    x AS (SELECT *, {_LIST.format('s')} AS w FROM s),
+    y AS (SELECT *, unnest(range(0, CASE WHEN big AND len(w) > 50 THEN ceil(len(w) / 50)::BIGINT ELSE 1 END)) AS j FROM x),
+    z AS (SELECT conv_id, turn, role, k, j, CASE WHEN big AND len(w) > 50 THEN array_to_string(w[j * 50 + 1:j * 50 + 50], ' ') ELSE s END AS piece FROM y),
+    t AS (SELECT conv_id * 1000 + turn AS g, conv_id, turn, role, piece, {_W.format('piece')} AS n, row_number() OVER (PARTITION BY conv_id, turn ORDER BY k, j) AS i FROM z), {_pack('t', 50, 0)}
+    SELECT conv_id, turn, c AS part, any_value(role) AS role, regexp_replace(regexp_replace(string_agg(t.piece, ' ' ORDER BY i), '^\s+', ''), '\s+$', '') AS text FROM p JOIN t USING (g, i) GROUP BY conv_id, turn, c"""
+)
 def b6_split_long_turns(spark, d):
     return C.split_long_turns(spread(table(spark, d, "conversations")), 200, key=["conv_id", "turn"], role="role", text="text")
 

@@ -65,7 +65,13 @@ def c6_batch_chunks(spark, d):
     return C.batch_chunks(ranked, 10, rank="rank").drop("rank")
 
 
-@query()
+@query(
+    """WITH RECURSIVE t AS (SELECT source AS g, doc_id, list_distinct(['t' || doc_id % 13, 't' || n_chars % 17]) AS h, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents),
+    p AS (SELECT g, i, 0::BIGINT AS batch, h AS held FROM t WHERE i = 1
+      UNION ALL SELECT t.g, t.i, CASE WHEN len(list_distinct(list_concat(p.held, t.h))) > 5 THEN p.batch + 1 ELSE p.batch END,
+        CASE WHEN len(list_distinct(list_concat(p.held, t.h))) > 5 THEN t.h ELSE list_distinct(list_concat(p.held, t.h)) END FROM p JOIN t ON t.g = p.g AND t.i = p.i + 1)
+    SELECT g AS source, doc_id, batch FROM p JOIN t USING (g, i)"""
+)
 def c7_batch_by_title_budget(spark, d):
     rows = docs(spark, d).select("source", "doc_id", F.array(F.concat(F.lit("t"), F.col("doc_id") % 13), F.concat(F.lit("t"), F.col("n_chars") % 17)).alias("titles"))
     return C.batch_by_title_budget(rows, 5, shard="source", order="doc_id", titles="titles")
