@@ -7,39 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from memloom.functions.arrays import before, let
+
 SPAN = "array<struct<start:bigint,end:bigint,hit:string>>"
 #: Characters of the pieces that a text is cut into to read parts of it from any place.
 PIECE = 1024
 
 
-def let(x: Column, body: Callable[[Column], Column]) -> Column:
-    """body(x) with x worked out once."""
-    return F.transform(F.array(x), body)[0]
-
-
-def before(values: Column, combine: Callable[[Column, Column], Column], zero: Column) -> Column:
-    """For each place of an array, `combine` over all values before it; one more place at the end for all of them.
-
-    An array that grows by one is copied at each step, so the values are walked in blocks of about the square root of
-    their number: block by block, then over the blocks' sums.
-    """
-
-    def walk(block: Column) -> Column:
-        return F.aggregate(block, F.array(zero), lambda a, x: F.concat(a, F.array(combine(F.element_at(a, -1), x))))
-
-    def in_blocks(v: Column) -> Column:
-        side = F.ceil(F.sqrt(F.size(v))).cast("int")
-        starts = F.sequence(F.lit(0), F.size(v) - 1, side)
-        return let(side, lambda s: F.transform(starts, lambda k: walk(F.slice(v, k + 1, s))))
-
-    def joined(w: Column) -> Column:
-        sums = walk(F.transform(w, lambda b: F.element_at(b, -1)))
-        moved = F.zip_with(F.slice(sums, 1, F.size(w)), w, lambda t, b: F.transform(F.slice(b, 1, F.size(b) - 1), lambda x: combine(t, x)))
-        return F.concat(F.flatten(moved), F.array(F.element_at(sums, -1)))
-
-    return let(values, lambda v: F.when(F.size(v) > 64, let(in_blocks(v), joined)).otherwise(walk(v)))
-
-
 def total_before(values: Column) -> Column:
     return before(values, lambda a, x: a + x, F.lit(0).cast("bigint"))
 

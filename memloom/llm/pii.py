@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memloom.llm._common import Stash, carried
-from memloom.llm._spans import hits, kept_if, labelled, let, masked, spans, touching, written  # noqa: F401  masked: for users of find()
+from memloom.functions.arrays import let
+from memloom.llm._spans import hits, kept_if, labelled, masked, spans, touching, written  # noqa: F401  masked: for users of find()
 
 #: Fixed patterns of the base kinds, in forms that take linear time: possessive runs, starts only where a run starts.
 EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"

@@ -12,7 +12,7 @@ import json
 import os
 import unicodedata
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import accumulate
 
 import numpy as np
@@ -24,12 +24,14 @@ from pyspark.sql import functions as F
 
 from memloom.llm._common import row_slices, runs, split_words
 
-#: Bytes of words whose counts a worker keeps (some 20 times as much with their tables); beyond it the store starts anew.
-STORE = 12 << 20
+#: Letters of pre-tokens, and of words, whose counts a worker keeps (some 15 times as many bytes); beyond it the store starts anew.
+STORE = 16 << 20
 #: Neighbours that a worker remembers to agree or not.
 PAIRS = 2_000_000
 #: Pre-tokens whose prefixes are not pre-tokens: the vocabulary's English endings.
 _ENDINGS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
+#: Words that lower-casing by letter and composed forms leave as long as they are: ASCII, Latin and Cyrillic letters.
+_SIMPLE = regex.compile(r"[\x21-\x7E\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u0148\u014A-\u017E\u0401\u0410-\u044F\u0451]+")
 _STATE: dict[str, Counter] = {}
 
 
@@ -59,9 +61,10 @@ class Counter:
         self.rank = {tuple(m if isinstance(m, list) else m.split(" ")): k for k, m in enumerate(spec["model"]["merges"])}
         self.letters = _byte_letters()
         self.agree: tuple[dict, dict] = ({}, {})
-        self.pieces: dict[str, array] = {part: array("i", [0, *self._encoded([part[:k] for k in range(1, len(part) + 1)])]) for part in _ENDINGS}
-        self.store: dict[str, array] = {}
-        self.size = 0
+        self.endings = {part: bytes([0, *self._encoded([part[:k] for k in range(1, len(part) + 1)])]) for part in _ENDINGS}
+        self.pieces: dict[str, Sequence[int]] = dict(self.endings)
+        self.totals: dict[str, int] = {}
+        self.size = self.known = 0
 
     def _merged(self, symbols: list[str]) -> list[str]:
         """Byte-pair encoding of a few symbols, merge by merge."""
@@ -82,10 +85,10 @@ class Counter:
         known[a, b] = found = merged == ([a, b + end] if a else [b + end])
         return found
 
-    def piece(self, s: str) -> array:
+    def piece(self, s: str) -> list[int]:
         """Tokens of each prefix of a pre-token, given as letters for bytes; [0] is 0."""
         n, kind, (inside, closing) = len(s), self.kinds.get, self.agree
-        last, inner, out = [""] * (n + 1), [0] * (n + 1), array("i", bytes(4 * (n + 1)))
+        last, inner, out = [""] * (n + 1), [0] * (n + 1), [0] * (n + 1)
         for i in range(1, n + 1):
             wanted = 3 if i < n else 2
             for j in range(max(0, i - self.longest), i):
@@ -112,59 +115,67 @@ class Counter:
     def _encoded(self, texts: list[str]) -> list[int]:
         return [len(e) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _of_piece(self, part: str) -> array:
+    def _of_piece(self, part: str) -> Sequence[int]:
         """Tokens of each prefix of a pre-token, by code points."""
-        if (found := self.pieces.get(part)) is None:
-            if part.isascii() and part.isprintable():
-                found = self.piece(part)
-            else:
-                raw = [c.encode() for c in part]
-                counts = self.piece("".join(self.letters[b] for c in raw for b in c))
-                ends = accumulate(map(len, raw))
-                found = array("i", [0, *[counts[e] for e in ends]])
-            if len(part) < STORE >> 3:
-                self.pieces[part] = found
-                self.size += len(part) + 8
+        if part.isascii() and part.isprintable():
+            counts = self.piece(part)
+        else:
+            raw = [c.encode() for c in part]
+            by_byte = self.piece("".join(self.letters[b] for c in raw for b in c))
+            counts = [0, *[by_byte[e] for e in accumulate(map(len, raw))]]
+        found = bytes(counts) if len(part) < 256 else array("i", counts)
+        if len(part) < STORE >> 3:
+            if self.size > STORE:
+                self.pieces, self.size = dict(self.endings), 0
+            self.pieces[part] = found
+            self.size += len(part) + 8
         return found
 
+    def _cut(self, word: str) -> tuple[str, list[tuple[int, int]] | None]:
+        """The word lower-cased and its pre-tokens' places; None if it is the library's to read, prefix by prefix: special strings, and normalisation that moves characters."""
+        low = word.lower()
+        if any(t in word for t in self.special):
+            return low, None
+        if _SIMPLE.fullmatch(word):
+            return low, [m.span() for m in self.pattern.finditer(low)]
+        if len(low) == len(word) and unicodedata.is_normalized("NFC", word) and self.library.normalizer.normalize_str(word) == low:
+            return low, [at for _, at in self.split.pre_tokenize_str(low)]
+        return low, None
+
     def word(self, word: str) -> array:
         """Tokens of word[:k] for each k, by code points."""
-        low = word if word.islower() and word.isascii() else word.lower()
-        plain = simple = word.isascii() and word.isprintable()
-        if not plain:
-            # a normalisation that moves characters is the library's to read
-            plain = len(low) == len(word) and unicodedata.is_normalized("NFC", word) and self.library.normalizer.normalize_str(word) == low
-        if not plain or any(t in word for t in self.special):
+        low, places = self._cut(word)
+        if places is None:
             return array("i", [0, *self._encoded([word[:k] for k in range(1, len(word) + 1)])])
-        if simple:
-            places = [m.span() for m in self.pattern.finditer(low)]
-        else:
-            places = [at for _, at in self.split.pre_tokenize_str(low)]
-        if places == [(0, len(low))]:
-            return self._of_piece(low)
         out = array("i", [0])
         for lo, hi in places:
             done = out[-1]
             out.extend([done] * (lo + 1 - len(out)))
-            out.extend([done + n for n in self._of_piece(low[lo:hi])[1:]])
+            part = low[lo:hi]
+            out.extend([done + n for n in (self.pieces.get(part) or self._of_piece(part))[1:]])
         out.extend([out[-1]] * (len(word) + 1 - len(out)))
         return out
 
-    def words(self, words: list[str]) -> list[array]:
-        """Counts of each word; only those that this worker has not met are worked out."""
-        if self.size > STORE:
-            self.store.clear()
-            self.pieces = {p: self.pieces[p] for p in _ENDINGS}
-            self.size = 0
+    def total(self, words: list[str]) -> np.ndarray:
+        """Tokens of each whole word, the last of its counts; words that this worker has met are looked up."""
+        if self.known > STORE:
+            self.totals, self.known = {}, 0
         out = []
         for w in words:
-            if (found := self.store.get(w)) is None:
-                found = self.word(w)
+            if (n := self.totals.get(w)) is None:
+                low, places = self._cut(w)
+                if places is None:
+                    n = self._encoded([w])[0]
+                else:
+                    n = 0
+                    for lo, hi in places:
+                        part = low[lo:hi]
+                        n += (self.pieces.get(part) or self._of_piece(part))[-1]
                 if len(w) < STORE >> 3:
-                    self.store[w] = found
-                    self.size += len(w) + 8
-            out.append(found)
-        return out
+                    self.totals[w] = n
+                    self.known += len(w) + 8
+            out.append(n)
+        return np.array(out, np.int64)
 
 
 def _checked(spec: dict) -> regex.Pattern:
@@ -241,8 +252,8 @@ def token_prefixes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             for batch in row_slices(whole, "text"):
                 texts = pc.fill_null(batch.column("text"), "")
                 words = split_words(texts)
-                tables = machine.words(words.vocab.to_pylist())
-                own = np.array([t[-1] for t in tables], np.int64)[words.codes] if tables else np.zeros(0, np.int64)
+                vocab_here = words.vocab.to_pylist()
+                own = machine.total(vocab_here)[words.codes] if vocab_here else np.zeros(0, np.int64)
                 total = np.concatenate([[0], np.cumsum(own)])
                 n, first = words.counts, words.offsets[:-1]
                 # counts at the start and at each word's end; those of a row never fall, so what fits a budget comes first
@@ -255,6 +266,7 @@ def token_prefixes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                 columns = [batch.column("id"), pc.cast(pc.binary_length(texts), pa.int64()), pa.array(n), pa.array(sums[starts[1:] - 1]), pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * len(budgets)), pa.array(fit.ravel()))]
                 names = ["id", "n_bytes", "n_words", "n_tokens", "words_within"]
                 if with_prefixes:
+                    tables = [machine.word(w) for w in vocab_here]
                     rows = [_by_character(t, (lo, hi), words.codes, tables) for t, lo, hi in zip(texts.to_pylist(), words.offsets[:-1], words.offsets[1:])]
                     columns += [texts, pa.array(rows, pa.list_(pa.int64()))]
                     names += ["text", "prefixes"]

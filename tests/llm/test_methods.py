@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from memloom.llm import langid, mixing, oracles, pii, quality, secret_scan
-from memloom.llm._spans import before, masked, touching
+from memloom.functions.arrays import before
+from memloom.llm._spans import masked, touching
 
 LETTERS = {name: (form, alphabet) for name, form, alphabet in secret_scan.ENCODINGS}
 
