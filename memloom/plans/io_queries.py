@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memloom.plans.memory_queries import ops
+from memloom.plans.memory_queries import STREAMED, ops
 from memloom.plans.registry import query, table
 from memloom.plans.scoring_queries import SCORED, results
 from memloom.sources import io
@@ -111,7 +111,7 @@ def streamed(spark: SparkSession, arrivals: list[DataFrame], make, mode: str, fi
     return spark.read.parquet(f"{path}/out")
 
 
-@query()
+@query(STREAMED)
 def k1_stream_memory_state(spark, d):
     log = ops(spark, d)
     # an instance's operations of some days stand in one file

@@ -27,12 +27,37 @@ def e1_extract_tool_calls(spark, d):
     return out.select("k.conv_id", "k.turn", F.col("op_idx").cast("long").alias("op_idx"), "name", "arguments.memory_type", "arguments.content")
 
 
-@query()
+_HERE = "x.t = o.memory_type AND x.id = o.memory_id"
+_SAME = "len(list_filter(p.items, lambda x: x.t = o.memory_type AND x.c = o.content)) > 0"
+_KNOWN = f"len(list_filter(p.items, lambda x: {_HERE})) > 0"
+#: Every operation with its status and what is held after it: one step of the recursion takes the next operation of all users.
+FOLD = f"""WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY chunk_idx, op_idx) AS i, count(*) OVER (PARTITION BY user_id) AS last FROM ({OPS})),
+p AS (SELECT DISTINCT user_id, 0::BIGINT AS i, '' AS core, []::STRUCT(t VARCHAR, id VARCHAR, c VARCHAR)[] AS items, '' AS status FROM o
+  UNION ALL SELECT o.user_id, o.i,
+    CASE WHEN o.memory_type <> 'core' THEN p.core WHEN o.name = 'update' THEN o.content WHEN o.name = 'delete' THEN '' ELSE p.core END,
+    CASE WHEN o.memory_type = 'core' OR (o.name = 'insert' AND {_SAME}) THEN p.items
+      WHEN o.name <> 'delete' AND {_KNOWN} THEN list_transform(p.items, lambda x: CASE WHEN {_HERE} THEN {{'t': x.t, 'id': x.id, 'c': o.content}} ELSE x END)
+      WHEN o.name = 'insert' THEN list_append(p.items, {{'t': o.memory_type, 'id': o.memory_id, 'c': o.content}})
+      WHEN o.name = 'delete' THEN list_filter(p.items, lambda x: NOT ({_HERE})) ELSE p.items END,
+    CASE WHEN o.memory_type = 'core' THEN CASE WHEN o.name = 'insert' THEN 'error' ELSE 'ok' END
+      WHEN o.name = 'insert' AND {_SAME} THEN 'skipped' WHEN o.name = 'update' AND NOT ({_KNOWN}) THEN 'error' ELSE 'ok' END
+    FROM p JOIN o ON o.user_id = p.user_id AND o.i = p.i + 1)"""
+_LOG = "o.user_id, o.chunk_idx, o.op_idx, o.name, o.memory_type, o.memory_id, o.content, p.status"
+#: As the stream gives it: with the words held after each operation.
+STREAMED = f"{FOLD} SELECT {_LOG}, (CASE WHEN p.core = '' THEN 0 ELSE len(string_split(p.core, ' ')) END + coalesce(list_sum(list_transform(p.items, lambda x: len(string_split(x.c, ' ')))), 0))::BIGINT AS n_tokens FROM o JOIN p USING (user_id, i)"
+
+
+@query(f"{FOLD} SELECT {_LOG} FROM o JOIN p USING (user_id, i)")
 def e2_apply_memory_ops(spark, d):
     return M.apply_memory_ops(ops(spark, d), instance="user_id")
 
 
-@query()
+@query(
+    f"""{FOLD}, e AS (SELECT DISTINCT o.user_id, p.core, p.items FROM o JOIN p ON p.user_id = o.user_id AND p.i = o.last),
+    u AS (SELECT user_id, unnest(items) AS x, generate_subscripts(items, 1) AS k FROM e)
+    SELECT user_id, 'core' AS memory_type, '' AS memory_id, core AS content, 0 AS pos FROM e WHERE core <> ''
+    UNION ALL SELECT user_id, x.t, x.id, x.c, row_number() OVER (PARTITION BY user_id, x.t ORDER BY k) - 1 FROM u"""
+)
 def e2_memory_state(spark, d):
     return M.memory_state(ops(spark, d), instance="user_id")
 
