@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from memloom.functions.answers import is_answer_correct
 from memloom.functions.text import seeded, token_count, within
 
+#: Characters by whose equality questions and cache keys meet.
+GRAM = 6
+
 
 def keep_unanswerable(qas: DataFrame, predictions: DataFrame, *, question: str = "question", gold: str = "gold", pred: str = "pred", max_tokens: int = 5) -> DataFrame:
     """Rows that a baseline without context does not answer: gold or prediction empty, or a gold under `max_tokens` words that is not in the prediction. A question without prediction goes, unless its gold is empty."""
@@ -50,10 +53,20 @@ def build_answer_cache(lines: DataFrame, *, order: str, text: str, mark: str = "
 
 
 def lookup_cache(qas: DataFrame, cache: DataFrame, *, key: str, question: str, position: str, tail: int = 100) -> DataFrame:
-    """Adds `value` of the first cache key with which the question ends, or that stands in its last `tail` characters; null without one. The cache is a log's worth of keys."""
-    q = F.col(f"q.{question}")
-    hit = q.endswith(F.col("c.key")) | F.contains(F.right(q, F.lit(tail)), F.col("c.key"))
-    found = qas.alias("q").join(cache.alias("c"), hit).groupBy(F.col(f"q.{key}").alias(key)).agg(F.min_by("c.value", f"c.{position}").alias("value"))
+    """Adds `value` of the first cache key with which the question ends, or that stands in its last `tail` characters; null without one.
+
+    Either way the key's last GRAM characters stand in the question's tail: questions and keys meet by these. Keys that
+    are shorter, of which there can be few, are held against every question.
+    """
+    q, k = F.col(question), F.col("key")
+    end = F.right(q, F.lit(max(tail, GRAM)))
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(end) - GRAM + 1, F.lit(1))), lambda i: F.substring(end, i, F.lit(GRAM))))
+    keys = cache.select(k, F.col("value").alias("_value"), F.col(position).alias("_at"))
+    asked = qas.select(F.col(key).alias("_k"), q.alias("_q")).where(q.isNotNull())
+    by_gram = qas.where(q.isNotNull()).select(F.col(key).alias("_k"), q.alias("_q"), F.explode(grams).alias("_g")).join(keys.where(F.length(k) >= GRAM).withColumn("_g", F.right(k, F.lit(GRAM))), "_g").drop("_g")
+    short = asked.join(keys.where(F.length(k) < GRAM), F.contains("_q", F.col("key")))
+    hit = F.endswith("_q", F.col("key")) | F.contains(F.right("_q", F.lit(tail)), F.col("key"))
+    found = by_gram.unionByName(short.select(by_gram.columns)).where(hit).groupBy(F.col("_k").alias(key)).agg(F.min_by("_value", "_at").alias("value"))
     return qas.join(found, key, "left")
 
 

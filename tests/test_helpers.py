@@ -215,6 +215,26 @@ def test_overlap_of_repeated_words(spark):
         assert r.f == pytest.approx(2 * common / (len(p) + len(g)))
 
 
+def test_cache_keys_of_any_length(spark):
+    rng = random.Random(4)
+    keys = ["", "a", "xyz", "tell me", "about this", "x" * 150 + "end", "missing one"]
+    asked = ["tell me about this", "tell me about this" + "." * 95, "q xyz", "x" * 200 + "end", "b", None, "".join(rng.choice("ab ") for _ in range(300)), "about this and then nothing that is known at all, whatever more is said of it here and there, on and on and on"]
+    for used in (keys, keys[2:], keys[3:]):
+        cache = spark.createDataFrame([(k, str(n), n) for n, k in enumerate(used)], "key string, value string, at long")
+        got = {r.k: r.value for r in curation.lookup_cache(spark.createDataFrame(list(enumerate(asked)), "k long, q string"), cache, key="k", question="q", position="at").collect()}
+        assert got == {i: next((str(n) for n, k in enumerate(used) if q is not None and (q.endswith(k) or k in q[-100:])), None) for i, q in enumerate(asked)}
+
+
+def test_evidence_by_containment(spark):
+    chunks = [("i", 1, "one two  three four five"), ("i", 2, "zone two  three fourth"), ("i", 3, "two three"), ("j", 4, "one two  three four"), (None, 5, "one two  three")]
+    asked = [("i", 1, "one two  three four"), ("i", 2, "two three"), ("i", 3, "thr"), ("i", 4, "e two  three f"), ("j", 5, "three four five"), (None, 6, "one"), ("i", 7, "")]
+    args = dict(instance="instance", question="q", context="c", text="t", chunk="chunk")
+    qas, held = spark.createDataFrame(asked, "instance string, q long, c string"), spark.createDataFrame(chunks, "instance string, chunk long, t string")
+    want = {q: [k for x, k, t in chunks if x == i and i is not None and c in t] for i, q, c in asked}
+    assert {r.q: r.evidence_idx for r in instances.link_evidence_by_containment(qas, held, **args).collect()} == {q: max(k) for q, k in want.items() if k}
+    assert sorted(r.q for r in instances.link_evidence_by_containment(qas, held, **args, strict=True).collect()) == sorted(q for q, k in want.items() for _ in k)
+
+
 def test_nearest_names_of_repeated_rows(spark):
     items = spark.createDataFrame([(1, "Rome"), (1, "Rome"), (2, None), (3, "pari")], "k long, item string")
     names = spark.createDataFrame([("Paris",), ("rome",), (None,), ("Rome",)], "name string")
