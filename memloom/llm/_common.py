@@ -54,7 +54,7 @@ def carried(columns: Iterable[str], outputs: Iterable[str]) -> dict[str, tuple[s
 
 
 class Stash:
-    """Tables written to the shared folder to cut lineage and to share work between jobs; drop() removes one."""
+    """Tables written to the shared folder to cut lineage and to share work between jobs. drop() removes one, only() all others than those that a result still reads."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root, self.paths = spark, f"{shared_dir(spark)}/stash-{uuid.uuid4().hex}", {}
@@ -66,6 +66,9 @@ class Stash:
         self.paths[id(kept)] = (path, kept)
         return kept
 
+    def only(self, *kept: DataFrame) -> None:
+        self.drop(*[df for _, df in list(self.paths.values()) if not any(df is k for k in kept)])
+
     def drop(self, *kept: DataFrame) -> None:
         for df in kept:
             path = self.paths.pop(id(df), (None,))[0]

@@ -62,11 +62,11 @@ def render(role: str, text: str) -> tuple[str, int]:
 
 
 def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, list[tuple[str, str]]]]:
-    """Conversations of rows that arrive sorted; one may go on in the next batch."""
+    """Conversations of rows that arrive sorted; one may go on in the next batch. Rows without an id are one each."""
     key, turns, begun = None, [], False
     for batch in batches:
         for conv, role, text in zip(batch.column("conv_id").to_pylist(), batch.column("role").to_pylist(), batch.column("text").to_pylist()):
-            if begun and conv != key:
+            if begun and (conv is None or conv != key):
                 yield key, turns
                 turns = []
             key, begun = conv, True
@@ -79,8 +79,8 @@ def format_conversations(turns: DataFrame, *, id_col: str = "conv_id", turn_col:
     """One row per conversation: formatted, loss (start and end, in code points, of each written text under the loss mask), n_escaped.
 
     Rows are dealt by conversation and sorted by (turn, role, text) on disk-backed Spark sorts, then read in one pass; a
-    conversation is one output string, so only its own length bounds it. A null role or text is empty; a null id is a
-    conversation like others; equal turn numbers go by role, then text, nulls first; repeated rows are repeated turns;
+    conversation is one output string, so only its own length bounds it. A null role or text is empty; a row without an
+    id is a conversation of its own, so that very many of them do not meet in one task; equal turn numbers go by role, then text, nulls first; repeated rows are repeated turns;
     other columns are left out; no rows give no rows. Every turn and every conversation is parsed back; a difference
     stops the job.
     """
@@ -110,7 +110,8 @@ def format_conversations(turns: DataFrame, *, id_col: str = "conv_id", turn_col:
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((as_pa, pa.string(), span, pa.int64()))], names=["conv_id", "formatted", "loss", "n_escaped"])
 
-    out = source.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(work, f"conv_id {kind}, formatted string, loss array<struct<start:long,end:long>>, n_escaped long")
+    own = F.when(F.col("conv_id").isNull(), F.xxhash64("turn", "role", "text"))
+    out = source.repartition("conv_id", own).sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(work, f"conv_id {kind}, formatted string, loss array<struct<start:long,end:long>>, n_escaped long")
     return out.withColumnRenamed("conv_id", id_col)
 
 

@@ -220,6 +220,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     rest = stash.keep(rest)
     more = _linked(rest, sets, percent, stash)
     groups = stash.keep(components(links.unionByName(more), stash))
+    stash.only(rows, nodes, groups)
 
     named = nodes.select(*name, "id").join(groups, "id", "left").select(*name, F.coalesce("component", "id").alias("component"))
     out = rows.select("id", *name).join(named, name, "left")

@@ -20,9 +20,9 @@ FROM k LEFT JOIN s USING (doc_id)
 # a backslash before something that parsing would take, or at its end, backslashes too.
 OP3 = r"""
 WITH t AS (
-  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
-  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok', NULL
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok', NULL),
 e AS (
   SELECT *, CASE
     WHEN contains(text, '\') THEN length(text) + length(regexp_replace(text, '[^<>\\]', '', 'g'))
@@ -33,7 +33,7 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   sum(17 + role_written + written)::BIGINT AS formatted_chars
-FROM e GROUP BY conv_id
+FROM e GROUP BY conv_id, alone
 """
 
 OP8 = f"""

@@ -152,6 +152,7 @@ def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sup
     evidence = found.where(F.size("tokens") > 0).select(F.explode("tokens").alias("t")).select("t.lead", "t.core", "t.known")
     patterns = stash.keep(confident_patterns(evidence, docs.select(F.col(text_col).alias("text")), stash, support=support, confidence=confidence, rounds=rounds))
     n_patterns = patterns.count()
+    stash.only(found, patterns)
     names = [F.col(k).alias(c) for k, (_, c) in through.items()]
     if not n_patterns:
         return found.select(*names, "base", F.col("base").alias("spans"))

@@ -162,8 +162,11 @@ def test_chat_query(spark):
     data = [(c, t, r, x) for c in (1, 2, None) for t, (r, x) in enumerate(zip(["user", "assistant", "<odd>", None] * 3, [*NASTY[:11], None]))]
     data += [(1, 0, "user", "tie"), (1, 0, "user", "tie"), (5, None, "assistant", "x" * 300_000)]
     df = spark.createDataFrame(data, "conv_id long, turn long, role string, text string").withColumn("formatted", F.lit("clash")).repartition(5)
-    got = {r.conv_id: r for r in chat.read_back(chat.format_conversations(df)).collect()}
-    assert set(got) == {1, 2, 5, None}
+    found = chat.read_back(chat.format_conversations(df)).collect()
+    alone = [(r.n_turns, r.turns_sha256) for r in found if r.conv_id is None]
+    assert sorted(alone) == sorted((1, brute.sha(f"{x[2] or ''}\n{x[3] or ''}\n")) for x in data if x[0] is None)
+    got = {r.conv_id: r for r in found if r.conv_id is not None}
+    assert set(got) == {1, 2, 5}
     for c in got:
         own = sorted((x for x in data if x[0] == c), key=lambda x: (x[1] is not None, x[1] or 0, x[2] is not None, x[2] or "", x[3] is not None, (x[3] or "").encode()))
         said = "".join(x[3] or "" for x in own if x[2] == "assistant")
