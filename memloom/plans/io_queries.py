@@ -16,8 +16,12 @@ from memloom.streaming import memory_stream
 
 
 def shared(spark: SparkSession) -> str:
-    """A new folder under the session's shared one; a temporary one only where the session names none."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="memloom-")
+    """A new folder under the session's shared one; a temporary one only in a local session that names none."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="memloom-")
     return f"{root.rstrip('/')}/io-{uuid.uuid4().hex}"
 
 
@@ -40,7 +44,8 @@ def a1_a5_instances_round_trip(spark, d):
 def a2_read_nested_json(spark, d):
     path = shared(spark)
     one = F.to_json(F.map_from_entries(F.collect_list(F.struct("doc_id", F.struct("source", "n_chars")))))
-    table(spark, d, "documents").groupBy("source", F.col("source").alias("dir")).agg(one.alias("value")).select("dir", "value").write.partitionBy("dir").text(path)
+    folder = F.concat_ws("-", "source", F.floor(F.col("doc_id") / 100))  # a hundred documents a file at most
+    table(spark, d, "documents").groupBy(folder.alias("dir")).agg(one.alias("value")).select("dir", "value").write.partitionBy("dir").text(path)
     rows = io.read_keyed_json(spark, path, "struct<source:string,n_chars:bigint>")
     return rows.groupBy(F.col("value.source").alias("id")).agg(F.count("*").alias("n"), F.sum("value.n_chars").alias("chars"))
 
