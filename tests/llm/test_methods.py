@@ -8,7 +8,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from memloom.llm import langid, mixing, oracles, pii, quality, secret_scan
+from memloom.llm import langid, mixing, near_dedup, oracles, pii, quality, secret_scan
 from memloom.functions.arrays import before
 from memloom.llm._spans import masked, touching
 
@@ -354,3 +354,15 @@ def test_mix_sql(spark, tmp_path):
     want = sorted(con.sql(oracles.OP8).fetchall())
     got = mixing.pareto_mix(spark.read.parquet(f"{tmp_path}/documents")).select("doc_id", "size", "source_size", "target", "taken").collect()
     assert sorted(map(tuple, got)) == [pytest.approx(w) for w in want]
+
+
+def test_cells_bound_what_two_sets_share(spark):
+    rng = random.Random(3)
+    sets = [[rng.randrange(-(2**63), 2**63) for _ in range(n)] for n in (0, 1, 5, 300, 2000)]
+    sets += [sets[3][: 300 - k] + [rng.randrange(2**62) for _ in range(k)] for k in (3, 40, 200)]
+    rows = spark.createDataFrame([(k, s) for k, xs in enumerate(sets) for s in xs], "id long, s long").groupBy("id").agg(near_dedup._cells(F.col("s")).alias("cells"), F.count("*").alias("n"))
+    side = lambda x: rows.select(*[F.col(c).alias(f"{c}_{x}") for c in ("id", "cells", "n")], F.col("n").alias(f"most_{x}"))
+    for r in side("a").crossJoin(side("b")).select("id_a", "id_b", near_dedup._in_common().alias("most")).collect():
+        a, b = sets[r.id_a], sets[r.id_b]
+        cells = lambda xs: Counter(x % near_dedup.CELLS for x in xs)
+        assert r.most == sum((cells(a) & cells(b)).values()) >= len(set(a) & set(b))
