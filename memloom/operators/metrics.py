@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -10,8 +10,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from memloom.operators.grouped import by_group
-
 
 def instance_then_source(df: DataFrame, *, instance: str, source: str, score: str = "score", memory: str | None = None) -> DataFrame:
     """Mean per instance, then mean over instances per source (macro). An instance's source is its least one; memory is averaged where present."""
@@ -113,30 +111,50 @@ def bootstrap(df: DataFrame, *, group: str, value: str, statistics: dict[str, Ca
 
 
 def _majority_values(codes: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Of each row of drawn answers, the first value of the most frequent one (ties: the one drawn first)."""
-    votes = (codes[:, :, None] == codes[:, None, :]).sum(axis=2)
-    return values[np.arange(len(codes)), votes.argmax(axis=1)]
+    """Of each row (last axis) of drawn answers, the first value of the most frequent one (ties: the one drawn first)."""
+    votes = (codes[..., :, None] == codes[..., None, :]).sum(axis=-1)
+    return np.take_along_axis(values, votes.argmax(axis=-1)[..., None], axis=-1)[..., 0]
+
+
+def _draws(keys: np.ndarray, shape: tuple[int, int], among: int, salt: int) -> np.ndarray:
+    """For each key a matrix of places 0..among-1, pseudo-random in key, salt and place: a 64-bit finaliser of a counter."""
+    x = keys.astype(np.uint64)[:, None] + (np.arange(shape[0] * shape[1], dtype=np.uint64) + np.uint64(salt << 32)) * np.uint64(0x9E3779B97F4A7C15)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return ((x ^ (x >> np.uint64(31))) % np.uint64(among)).astype(np.int64).reshape(len(keys), *shape)
 
 
 def majority_at_n(df: DataFrame, *, source: str, prompt: str, pred: str, value: str, order: str, resamples: int = 1000, seed: int = 42) -> DataFrame:
     """(source, n, mean, std): the majority answer's value over resamples of n draws with replacement, for n = 2, 4, .. below a prompt's N, and N; averaged over a source's prompts.
 
-    The generator is seeded by prompt and n, and responses are put in order first, so results do not depend on where a
-    prompt is worked on. A prompt's responses (some tens) are held by one task.
+    Draws are a hash of prompt, n and place, and responses are put in order first, so results do not depend on where a
+    prompt is worked on. A prompt is one row with its responses (some tens); prompts of a batch with as many responses
+    are worked on together.
     """
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        codes, values, n_all = np.unique(rows["p"].to_numpy(), return_inverse=True)[1], rows["v"].to_numpy(float), len(rows)
-        out = []
-        for n in sorted({n for n in (2**k for k in range(1, 31)) if n < n_all} | ({n_all} if n_all > 1 else set())):
-            at = np.random.default_rng([seed, n, *rows["g"].iloc[0].encode()]).integers(0, n_all, (resamples, n))
-            found = _majority_values(codes[at], values[at])
-            out.append((rows["s"].iloc[0], n, float(found.mean()), float(found.std())))
-        return pd.DataFrame(out, columns=["s", "n", "m", "d"])
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out: list[pd.DataFrame] = []
+            sizes = batch["p"].map(len)
+            for n_all in sorted(set(sizes[sizes > 1])):
+                rows = batch[sizes == n_all]
+                codes = np.unique(np.array(rows["p"].tolist(), dtype=str), return_inverse=True)[1].reshape(len(rows), n_all)
+                values, keys = np.array(rows["v"].tolist(), float), rows["h"].to_numpy(np.int64).view(np.uint64)
+                for n in sorted({n for n in (2**k for k in range(1, 31)) if n < n_all} | {n_all}):
+                    step = max(1, 4_000_000 // (resamples * n * n))
+                    for lo in range(0, len(rows), step):
+                        part = slice(lo, lo + step)
+                        at = _draws(keys[part], (resamples, n), n_all, seed * 1000 + n)
+                        here = np.arange(len(at))[:, None, None]
+                        found = _majority_values(codes[part][here, at], values[part][here, at])
+                        out.append(pd.DataFrame({"s": rows["s"].iloc[part].to_numpy(), "n": n, "m": found.mean(axis=1), "d": found.std(axis=1)}))
+            yield pd.concat(out, ignore_index=True) if out else pd.DataFrame(columns=["s", "n", "m", "d"])
 
     kind = df.schema[source].dataType.simpleString()
-    rows = df.select(F.to_json(F.struct(source, prompt)).alias("g"), F.col(source).alias("s"), F.coalesce(F.col(pred).cast("string"), F.lit("")).alias("p"), F.col(value).cast("double").alias("v"), F.col(order).alias("o"))
-    per = by_group(rows, "g", ["o"], one, f"s {kind}, n long, m double, d double")
+    answers = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.coalesce(F.col(pred).cast("string"), F.lit("")).alias("p"), F.col(value).cast("double").alias("v"))))
+    rows = df.groupBy(F.col(source).alias("s"), F.col(prompt).alias("g")).agg(answers.alias("r"))
+    rows = rows.select("s", F.xxhash64("s", "g").alias("h"), F.transform("r", lambda x: x["p"]).alias("p"), F.transform("r", lambda x: x["v"]).alias("v"))
+    per = rows.mapInPandas(work, f"s {kind}, n long, m double, d double")
     return per.groupBy(F.col("s").alias(source), "n").agg(F.avg("m").alias("mean"), F.avg("d").alias("std"))
 
 
