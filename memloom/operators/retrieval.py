@@ -33,14 +33,15 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, *, corpus: str = "corpus",
     asked = wanted.select(corpus, "term").distinct()
     # frequencies in documents only of words that are asked for; document frequencies of all, for the vocabulary's mean
     tf = tokens.select(corpus, doc, F.size("_w").alias("dl"), F.explode("_w").alias("term")).join(asked, [corpus, "term"], "left_semi").groupBy(corpus, doc, "dl", "term").agg(F.count("*").alias("tf"))
-    # a document's row without a word carries its length
-    held = F.concat(F.array_distinct("_w"), F.array(F.lit(None).cast("string")))
-    counted = tokens.select(corpus, F.explode(held).alias("term"), F.size("_w").alias("dl")).groupBy(corpus, "term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("term").isNull(), F.col("dl"))).alias("dl"))
-    stats = counted.where(F.col("term").isNull()).select(corpus, F.col("df").alias("n_docs"), (F.col("dl") / F.col("df")).alias("avgdl"))
-    df = counted.where(F.col("term").isNotNull()).select(corpus, "term", "df").join(stats, corpus)
+    # a document's row without a word carries its length; the two kinds are told apart by sums, which no filter moves
+    # below the counting, so both come from one exchange
+    held = F.concat(F.coalesce(F.array_distinct("_w"), F.array().cast("array<string>")), F.array(F.lit(None).cast("string")))
+    counted = tokens.select(corpus, F.explode(held).alias("term"), F.coalesce(F.size("_w"), F.lit(0)).alias("dl")).groupBy(corpus, "term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("term").isNull(), F.col("dl"))).alias("dl"))
+    stats = counted.where(F.col("dl").isNotNull()).select(corpus, F.col("df").alias("n_docs"), (F.col("dl") / F.col("df")).alias("avgdl"))
+    df = counted.where(F.col("dl").isNull()).select(corpus, "term", "df").join(stats, corpus)
     df = df.withColumn("raw", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = df.groupBy(corpus).agg(F.avg("raw").alias("mean_idf"))
-    idf = df.join(asked, [corpus, "term"], "left_semi").join(mean, corpus)
+    idf = df.join(asked, [corpus, "term"]).join(mean, corpus)
     idf = idf.select(corpus, "term", "avgdl", F.when(F.col("raw") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
     met = tf.join(wanted.join(idf, [corpus, "term"]), [corpus, "term"])
     part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
@@ -62,7 +63,7 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, k: int, *, corpus: str = "cor
     place = F.row_number().over(Window.partitionBy(corpus).orderBy(doc))
     first = docs.select(corpus, doc, place.alias("place")).where(F.col("place") <= NEAR * k)
     fill = short.where(F.col("reach") <= NEAR * k).join(first, corpus).where("place <= reach").select(query, corpus, doc)
-    far = short.where(F.col("reach") > NEAR * k).select(query, corpus).join(docs.select(corpus, doc), corpus).join(scored.select(query, corpus, doc), [query, corpus, doc], "left_anti")
+    far = short.where(F.col("reach") > NEAR * k).select(query, corpus).join(docs.select(corpus, doc), corpus).join(scored, [query, corpus, doc], "left").where(F.col("score").isNull()).drop("score")
     far = far.withColumn("place", F.row_number().over(Window.partitionBy(query, corpus).orderBy(doc))).where(F.col("place") <= k).drop("place")
     every = scored.unionByName(fill.unionByName(far).withColumn("score", F.lit(0.0))).groupBy(query, corpus, doc).agg(F.max_by("score", F.abs("score")).alias("score"))
     every = every.withColumn("score", F.round("score", 9))
