@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memloom.llm import chat, decontam, langid, mixing, near_dedup, oracles, pii, quality, secret_scan, substring_dedup, token_counts
+from memloom.llm import chat, decontam, langid, mixing, near_dedup, oracles, pii, piece_bpe, quality, secret_scan, substring_dedup, token_alignment, token_counts, whitening
 from memloom.llm._common import table
 
 
@@ -58,12 +58,29 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(table(spark, sf_dir, "embeddings"), components=4)
+    at = F.posexplode(F.arrays_zip("whitened", "explained")).alias("place", "x")
+    return found.select("vec_id", "n", "deviation", "identity_error", at).select("vec_id", (F.col("place") + 1).alias("component"), "n", "deviation", F.col("x.whitened").alias("whitened"), F.col("x.explained").alias("explained"), "identity_error")
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = token_alignment.link_scores(token_alignment.align(table(spark, sf_dir, "documents")))
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def op13_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = piece_bpe.encode_pieces(table(spark, sf_dir, "documents"))
+    ids, text = piece_bpe.packed(F.col("ids")), piece_bpe.decoded(F.col("ids"))
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2(text.cast("binary"), 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_substring_dedup, op3_chat_formatting, op4_secret_scan, op5_token_counts, op6_language_id, op7_personal_data, op8_pareto_mix, op9_decontaminate, op10_near_duplicates)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_substring_dedup, op3_chat_formatting, op4_secret_scan, op5_token_counts, op6_language_id, op7_personal_data, op8_pareto_mix, op9_decontaminate, op10_near_duplicates, op11_embedding_whitening, op12_token_alignment, op13_piece_encoding)}
 
 
 def oracle_sql() -> dict[str, str]:
-    """op1 holds documents against trained references, op4 to op7 add what SQL cannot say: those are tested by brute force."""
+    """op1 holds documents against trained references, op4 to op7 add what SQL cannot say, op11 has eigenvectors of either sign, op12 and op13 tokenizers: those are tested by brute force."""
     return {
         "op2_substring_dedup": oracles.OP2,
         "op3_chat_formatting": oracles.OP3,
