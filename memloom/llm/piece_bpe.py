@@ -28,7 +28,9 @@ SPACE = "▁"
 #: Symbols of a word from which on its merges come from a heap: in a long word nearly every round merges one pair only.
 LONG = 512
 #: Characters of different strings whose ids a worker keeps (some 20 times as many bytes).
-KEPT_CHARS = 4 << 20
+KEPT_CHARS = 2 << 20
+#: Characters that are worked on at once, and bytes of texts that go through a task together.
+BLOCK, SLICE = 1 << 19, 1 << 20
 #: Rank of two symbols that are no piece together.
 NONE = np.iinfo(np.int64).max
 #: What the library gives for the id of unknown characters.
@@ -84,11 +86,53 @@ def _room(x: np.ndarray, n: int) -> np.ndarray:
 
 
 def by_part(texts: pa.Array, starts_at: Callable[[np.ndarray], np.ndarray], kept: Kept) -> Encoded:
-    """Ids of each text, put together from those of its parts: a part starts with a text and where `starts_at` says so of the code points of all texts."""
-    raw = b"".join(t.encode() for t in texts.to_pylist())
-    row_at = np.concatenate([[0], np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))])
+    """Ids of each text, put together from those of its parts: a part starts with a text and where `starts_at` says so of the code points around it. About BLOCK characters are worked on at once."""
+    found, sizes, block, n = [], [], [], 0
+    rows: list[int] = []
+
+    def work() -> None:
+        one = _block(block, starts_at, kept)
+        found.append(one.ids)
+        sizes.extend(np.diff(one.offsets).tolist())
+        block.clear()
+
+    for k, text in enumerate(texts.to_pylist()):
+        for piece in _stretches(text, starts_at):
+            block.append(piece)
+            rows.append(k)
+            n += len(piece)
+            if n >= BLOCK:
+                work()
+                n = 0
+    if block:
+        work()
+    total = np.bincount(np.array(rows, np.int64), np.array(sizes, np.float64), len(texts)).astype(np.int64)
+    return Encoded(np.concatenate([np.zeros(0, np.int32), *found]), np.concatenate([[0], np.cumsum(total)]))
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32)
+
+
+def _stretches(text: str, starts_at: Callable[[np.ndarray], np.ndarray]) -> Iterator[str]:
+    """The text, in stretches of about BLOCK characters that end where a part does."""
+    at, size = 0, BLOCK
+    while len(text) - at > size:
+        cuts = np.flatnonzero(starts_at(_codes(text[at : at + size])))
+        if not len(cuts) or not cuts[-1]:
+            size *= 2
+            continue
+        yield text[at : at + int(cuts[-1])]
+        at, size = at + int(cuts[-1]), BLOCK
+    yield text[at:] if at else text
+
+
+def _block(texts: list[str], starts_at: Callable[[np.ndarray], np.ndarray], kept: Kept) -> Encoded:
+    raw = [t.encode() for t in texts]
+    row_at = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
+    raw = b"".join(raw)
     byte_at = np.flatnonzero((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)
-    cut = starts_at(np.frombuffer(raw.decode().encode("utf-32-le"), np.uint32))
+    cut = starts_at(_codes("".join(texts)))
     cut[np.searchsorted(byte_at, row_at[:-1][np.diff(row_at) > 0])] = True
     starts = byte_at[cut]
     ends = np.append(starts, len(raw)).astype(np.int64)
@@ -338,7 +382,7 @@ def encode_pieces(docs: DataFrame, *, text_col: str = "text", model: str = "piec
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = pieces(model)
         for whole in batches:
-            for batch in row_slices(whole, "_text"):
+            for batch in row_slices(whole, "_text", SLICE):
                 found = _surrounded(machine.encode(pc.fill_null(batch.column("_text"), "")), machine.begin if begin else None, machine.end if end else None)
                 ids = pa.ListArray.from_arrays(pa.array(found.offsets.astype(np.int32)), pa.array(found.ids))
                 yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in through], ids], names=[*[name for _, name in through.values()], "ids"])

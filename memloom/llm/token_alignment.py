@@ -12,6 +12,7 @@ import json
 import os
 import unicodedata
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -21,10 +22,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from memloom.llm._common import Stash, carried, row_slices, runs
-from memloom.llm.piece_bpe import Encoded, Kept, by_part, pieces
+from memloom.llm.piece_bpe import SLICE, Encoded, Kept, by_part, pieces
 
 #: Bytes of a stretch of a document: the most steps that a batch takes.
 STRETCH = 1024
+#: Bytes of documents that are aligned at once; a longer document is parted.
+PART = 1 << 19
 #: Pairs of ids whose counts are sent to all tasks, at most; documents' other pairs meet their counts by shuffle.
 SENT_PAIRS = 1_000_000
 #: Characters that the library is given as one text where its tokens end with the parts of it.
@@ -51,7 +54,7 @@ class ByteLevel:
         # the usual pattern never joins the character before a lone space to it, nor looks past it
         spec = json.loads(self.library.to_str())
         self.spaces_divide = spec["normalizer"] is None and spec["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": spec["pre_tokenizer"].get("trim_offsets"), "use_regex": True}
-        self.blank = np.array([unicodedata.category(chr(c))[0] in "ZC" for c in range(0x110000)])
+        self.blank = np.fromiter((unicodedata.category(chr(c))[0] in "ZC" for c in range(0x110000)), bool, 0x110000)
         vocab = self.library.get_vocab(with_added_tokens=True)
         self.surface = np.full(max(vocab.values()) + 1, b"", object)
         for token, i in vocab.items():
@@ -159,6 +162,21 @@ class Spelling:
         return out[keep].tobytes(), np.concatenate([[0], np.cumsum(np.bincount(doc, keep.sum(axis=1), n_docs).astype(np.int64))])
 
 
+class _Found(NamedTuple):
+    """What a part's documents have: numbers and, for each, a stretch of the spelled groups, of the pairs, and its links (places of tokens)."""
+
+    n_groups: np.ndarray
+    n_links: np.ndarray
+    text: bytes
+    text_at: np.ndarray
+    pairs: np.ndarray
+    pair_links: np.ndarray
+    pairs_at: np.ndarray
+    link_doc: np.ndarray
+    links_a: np.ndarray
+    links_b: np.ndarray
+
+
 class Aligner:
     """Aligns the texts of a slice with the worker's two tokenizers."""
 
@@ -168,63 +186,114 @@ class Aligner:
         self.spelling = Spelling(max(len(self.lengths_a), len(self.lengths_b)))
 
     def align(self, texts: list[str | None], with_links: bool = False) -> dict[str, pa.Array]:
-        rows = np.array([k for k, t in enumerate(texts) if t], np.int64)
-        spaced = [" " + texts[k] for k in rows.tolist()]
+        total = len(texts)
+        rows = [k for k, t in enumerate(texts) if t]
+        spaced = [" " + texts[k] for k in rows]
         a = self.a.encode(pa.array(spaced, pa.string()))
         b = self.b.encode(pa.array([t[1:] for t in spaced], pa.string()))
-        # documents whose tokens do not spell the text have none
-        right = np.zeros(len(rows), bool)
-        surfaces = [(t.surface[x.ids].tolist(), x.offsets.tolist()) for t, x in ((self.a, a), (self.b, b))]
-        for k, text in enumerate(spaced):
+        n = {c: np.zeros(total, np.int64) for c in ("n_a", "n_b", "n_groups", "n_links", "pairs")}
+        digest, spelled = [""] * total, [""] * total
+        hashes: dict[int, object] = {}
+        pairs, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        links: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in texts]
+        own_pairs: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in texts]
+        for part in self._parts(rows, spaced, a, b):
+            at = np.array([p[0] for p in part], np.int64)
+            found = self._aligned([a.ids[p[1] : p[2]] for p in part], [b.ids[p[3] : p[4]] for p in part])
+            np.add.at(n["n_a"], at, [p[2] - p[1] for p in part])
+            np.add.at(n["n_b"], at, [p[4] - p[3] for p in part])
+            np.add.at(n["n_groups"], at, found.n_groups)
+            np.add.at(n["n_links"], at, found.n_links)
+            view, places, cuts = memoryview(found.text), found.text_at.tolist(), found.pairs_at.tolist()
+            for j, k in enumerate(at.tolist()):
+                if k not in hashes:
+                    hashes[k] = hashlib.sha256()
+                else:  # a long text goes on
+                    hashes[k].update(b";")
+                    spelled[k] += ";" * with_links
+                hashes[k].update(view[places[j] : places[j + 1]])
+                own_pairs[k].append((found.pairs[cuts[j] : cuts[j + 1]], found.pair_links[cuts[j] : cuts[j + 1]]))
+                if with_links:
+                    spelled[k] += found.text[places[j] : places[j + 1]].decode()
+                    mine = found.link_doc == j
+                    first = (part[j][1] - part[j][5], part[j][3] - part[j][6])
+                    links[k].append((found.links_a[mine] + first[0], found.links_b[mine] + first[1]))
+        for k, held in enumerate(own_pairs):
+            if not held:
+                continue
+            if len(held) > 1:
+                pair, inverse = np.unique(np.concatenate([p for p, _ in held]), return_inverse=True)
+                held = [(pair, np.bincount(inverse, np.concatenate([c for _, c in held]), len(pair)).astype(np.int64))]
+            pairs.append(held[0][0])
+            counts.append(held[0][1])
+            n["pairs"][k] = len(held[0][0])
+            digest[k] = hashes[k].hexdigest()
+        of_pairs = pa.array(np.concatenate([[0], np.cumsum(n.pop("pairs"))]).astype(np.int32))
+        out = {k: pa.array(v) for k, v in n.items()} | {
+            "groups_sha256": pa.array(digest, pa.string()),
+            "pairs": pa.ListArray.from_arrays(of_pairs, pa.array(np.concatenate(pairs))),
+            "pair_links": pa.ListArray.from_arrays(of_pairs, pa.array(np.concatenate(counts))),
+        }
+        if with_links:
+            listed = [[{"a": int(x), "b": int(y)} for la, lb in part for x, y in sorted(zip(la, lb))] for part in links]
+            out |= {"groups": pa.array(spelled, pa.string()), "links": pa.array(listed, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))}
+        return out
+
+    def _parts(self, rows: list[int], spaced: list[str], a: Encoded, b: Encoded) -> Iterator[list[tuple[int, ...]]]:
+        """Documents whose tokens spell them, about PART bytes at a time: (row, first and last A and B token, first tokens of the document). A longer one is parted where an A and a B token end together."""
+        part, size = [], 0
+        for k, row, text in zip(range(len(rows)), rows, spaced):
+            lo_a, hi_a, lo_b, hi_b = (int(x) for x in (a.offsets[k], a.offsets[k + 1], b.offsets[k], b.offsets[k + 1]))
             raw = text.encode()
-            right[k] = all(b"".join(surface[at[k] : at[k + 1]]) == raw for surface, at in surfaces)
-        rows, m = rows[right], int(right.sum())
-        n_a, n_b = np.diff(a.offsets), np.diff(b.offsets)
-        ids_a, ids_b = a.ids[np.repeat(right, n_a)], b.ids[np.repeat(right, n_b)].astype(np.int64)
-        n_a, n_b = n_a[right], n_b[right]
+            if any(b"".join(t.surface[x.ids[lo:hi]].tolist()) != raw for t, x, lo, hi in ((self.a, a, lo_a, hi_a), (self.b, b, lo_b, hi_b))):
+                continue
+            if size and size + len(raw) > PART:
+                yield part
+                part, size = [], 0
+            if len(raw) <= PART:
+                part.append((row, lo_a, hi_a, lo_b, hi_b, lo_a, lo_b))
+                size += len(raw)
+                continue
+            ends_a, ends_b = np.cumsum(self.lengths_a[a.ids[lo_a:hi_a]]), np.cumsum(self.lengths_b[b.ids[lo_b:hi_b]])
+            both = np.intersect1d(ends_a, ends_b, assume_unique=True)
+            stops = both[np.unique(np.minimum(np.searchsorted(both, np.arange(PART, len(raw) + PART, PART)), len(both) - 1))]
+            at_a, at_b = lo_a + np.searchsorted(ends_a, stops) + 1, lo_b + np.searchsorted(ends_b, stops) + 1
+            for p, q, u, v in zip([lo_a, *at_a.tolist()], at_a.tolist(), [lo_b, *at_b.tolist()], at_b.tolist()):
+                yield [(row, p, q, u, v, lo_a, lo_b)]
+        if part:
+            yield part
+
+    def _aligned(self, listed_a: list[np.ndarray], listed_b: list[np.ndarray]) -> _Found:
+        """Documents, given by their tokens' ids, in lockstep."""
+        m = len(listed_a)
+        n_a, n_b = (np.array([len(x) for x in listed]) for listed in (listed_a, listed_b))
+        ids_a, ids_b = np.concatenate(listed_a).astype(np.int64), np.concatenate(listed_b).astype(np.int64)
         a_ends, b_ends = np.cumsum(self.lengths_a[ids_a]), np.cumsum(self.lengths_b[ids_b])
-        doc_ends = a_ends[np.cumsum(n_a) - 1]
-        links_a, links_b, cuts_a, cuts_b = lockstep(a_ends, b_ends, doc_ends)
+        links_a, links_b, cuts_a, cuts_b = lockstep(a_ends, b_ends, a_ends[np.cumsum(n_a) - 1])
         doc_a, doc_b = np.repeat(np.arange(m), n_a), np.repeat(np.arange(m), n_b)
         # the distinct linked pairs of ids of each document, and how many links each stands for
         base = len(self.lengths_b)
         span = len(self.lengths_a) * base
         keys, n_each = np.unique(doc_a[links_a] * span + ids_a[links_a] * base + ids_b[links_b], return_counts=True)
-        pair_doc, pair = keys // span, keys % span
+        pair = keys % span
         # groups: tokens in order of their group, A before B
-        group_a, group_b = self._group(len(ids_a), cuts_a), self._group(len(ids_b), cuts_b)
-        group, side = np.concatenate([group_a, group_b]), np.repeat([0, 1], [len(ids_a), len(ids_b)])
+        group = np.concatenate([self._group(len(ids_a), cuts_a), self._group(len(ids_b), cuts_b)])
+        side = np.repeat([0, 1], [len(ids_a), len(ids_b)])
         order = np.argsort(group * 2 + side, kind="stable")
         text, at = self.spelling.groups(np.concatenate([ids_a, ids_b])[order], group[order], side[order], np.concatenate([doc_a, doc_b])[order], m)
-        view, places = memoryview(text), at.tolist()
-        total = len(texts)
-        of_pairs = pa.array(np.concatenate([[0], np.cumsum(self._spread(np.bincount(pair_doc, minlength=m), rows, total))]).astype(np.int32))
-        digest = [""] * total
-        spelled = [""] * total
-        for k, (lo, hi) in enumerate(zip(places, places[1:])):
-            digest[rows[k]] = hashlib.sha256(view[lo:hi]).hexdigest()
-            if with_links:
-                spelled[rows[k]] = text[lo:hi].decode()
-        out = {
-            "n_a": self._spread(n_a, rows, total),
-            "n_b": self._spread(n_b, rows, total),
-            "n_groups": self._spread(np.bincount(doc_a[cuts_a], minlength=m), rows, total),
-            "n_links": self._spread(np.bincount(doc_a[links_a], minlength=m), rows, total),
-        }
-        out = {k: pa.array(v) for k, v in out.items()} | {
-            "groups_sha256": pa.array(digest, pa.string()),
-            "pairs": pa.ListArray.from_arrays(of_pairs, pa.array(pair // base << 32 | pair % base)),
-            "pair_links": pa.ListArray.from_arrays(of_pairs, pa.array(n_each.astype(np.int64))),
-        }
-        if with_links:
-            order = np.lexsort((links_b, links_a))
-            links_a, links_b = links_a[order], links_b[order]
-            first_a, first_b = np.cumsum(n_a) - n_a, np.cumsum(n_b) - n_b
-            doc = doc_a[links_a]
-            offsets = np.concatenate([[0], np.cumsum(self._spread(np.bincount(doc, minlength=m), rows, total))]).astype(np.int32)
-            link = pa.StructArray.from_arrays([pa.array((links_a - first_a[doc]).astype(np.int32)), pa.array((links_b - first_b[doc]).astype(np.int32))], names=["a", "b"])
-            out |= {"groups": pa.array(spelled, pa.string()), "links": pa.ListArray.from_arrays(pa.array(offsets), link)}
-        return out
+        link_doc = doc_a[links_a]
+        return _Found(
+            np.bincount(doc_a[cuts_a], minlength=m),
+            np.bincount(link_doc, minlength=m),
+            text,
+            at,
+            pair // base << 32 | pair % base,
+            n_each.astype(np.int64),
+            np.searchsorted(keys // span, np.arange(m + 1)),
+            link_doc,
+            links_a - (np.cumsum(n_a) - n_a)[link_doc],
+            links_b - (np.cumsum(n_b) - n_b)[link_doc],
+        )
 
     @staticmethod
     def _group(n: int, cuts: np.ndarray) -> np.ndarray:
@@ -233,12 +302,6 @@ class Aligner:
         ends[cuts + 1] = 1
         return np.cumsum(ends[:-1])
 
-    @staticmethod
-    def _spread(values: np.ndarray, rows: np.ndarray, total: int) -> np.ndarray:
-        out = np.zeros(total, np.int64)
-        out[rows] = values
-        return out
-
 
 def align(docs: DataFrame, *, text_col: str = "text", vocab_a: str = "byte_bpe_50k.json", model_b: str = "piece_bpe_32k.model", with_links: bool = False, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """One row per document row: the columns of `carry`, n_a and n_b (tokens), n_groups, n_links, groups_sha256, pairs (the distinct linked id pairs, a * 2**32 + b) and pair_links (links of each pair).
@@ -256,7 +319,7 @@ def align(docs: DataFrame, *, text_col: str = "text", vocab_a: str = "byte_bpe_5
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = Aligner(vocab_a, model_b)
         for whole in batches:
-            for batch in row_slices(whole, "_text"):
+            for batch in row_slices(whole, "_text", SLICE):
                 found = machine.align(batch.column("_text").to_pylist(), with_links)
                 yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in through], *[found[k] for k in names]], names=[*[name for _, name in through.values()], *names])
 

@@ -164,6 +164,30 @@ def test_links_and_groups(spark, tokenizer, library):
         assert [tuple(x) for x in got[k].links] == links and got[k].groups == groups
 
 
+def test_long_texts_in_parts(monkeypatch, tokenizer, library):
+    monkeypatch.setattr(piece_bpe, "BLOCK", 37)
+    monkeypatch.setattr(token_alignment, "PART", 50)
+    machine = token_alignment.Aligner("byte_bpe_50k.json", "piece_bpe_32k.model")
+    some = [*EDGES[:12], *texts(60, 31, 300), " ".join(texts(10, 33, 60))]
+    got = machine.align(some, with_links=True)
+    for k, t in enumerate(some):
+        a, b, links, groups = brute_alignment(t, tokenizer, library)
+        assert [(x["a"], x["b"]) for x in got["links"][k].as_py()] == links and got["groups"][k].as_py() == groups
+        assert got["groups_sha256"][k].as_py() == (hashlib.sha256(groups.encode()).hexdigest() if groups else "")
+        assert dict(zip(got["pairs"][k].as_py(), got["pair_links"][k].as_py())) == Counter(a[i] << 32 | b[j] for i, j in links)
+        assert [got[c][k].as_py() for c in ("n_a", "n_b", "n_groups", "n_links")] == [len(a), len(b), groups.count(";") + bool(groups), len(links)]
+
+
+def test_a_text_of_a_million_characters(tokenizer, library):
+    rng = random.Random(4)
+    some = texts(200, 41, 60)
+    text = " ".join(rng.choice(some) for _ in range(60_000))[:1_000_000]
+    got = piece_bpe.pieces("piece_bpe_32k.model").encode(pa.array([text]))
+    assert got.ids.tolist() == library.encode(text)
+    found = token_alignment.Aligner("byte_bpe_50k.json", "piece_bpe_32k.model").align([text])
+    assert found["n_a"][0].as_py() == len(tokenizer.encode(" " + text, add_special_tokens=False).ids) and found["n_b"][0].as_py() == len(got.ids)
+
+
 @pytest.mark.parametrize("stretch", [1, 3, 50, 10_000])
 def test_stretches_change_nothing(stretch):
     rng = random.Random(stretch)
