@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memloom.functions.text import SENTENCE_END, seeded, seeded_int, split_words, strip, token_count
-from memloom.operators.curation import global_rank
 from memloom.operators.grouped import by_group
+from memloom.operators.ranking import global_rank
 
 
 def pack_places(sizes: np.ndarray, target, sep: int, guard: bool = True) -> np.ndarray:
@@ -206,7 +206,7 @@ def reformat_labeled_blocks(text: Column, mark: str = "label:") -> Column:
 def distribute_even(df: DataFrame, n_chunks: int, *, key: str, seed: str = "even", needed: int | None = None) -> DataFrame:
     """Adds `chunk_idx`: rows in seeded order, total // n to a chunk and one more to the first total % n. With `needed` rows wanted the rows are repeated in turn. Ranks are global, so places are arithmetic and no task sorts the table."""
     h = seeded(seed, F.col(key))
-    ranked = global_rank(df, [h, F.col(key)], F.substring(h, 1, 3))
+    ranked = global_rank(df, [h, F.col(key)])
     if needed is not None:
         n = df.count()
         copies = -(-needed // max(n, 1))

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memloom.functions.answers import is_answer_correct
-from memloom.functions.text import seeded, token_count, within
+from memloom.functions.text import seeded, strip, token_count, within
+from memloom.operators.ranking import global_rank, rank_within
 
 #: Characters by whose equality questions and cache keys meet.
 GRAM = 6
+#: Lines of one key that are folded at once.
+SLICE_LINES = 1000
 
 
 def keep_unanswerable(qas: DataFrame, predictions: DataFrame, *, question: str = "question", gold: str = "gold", pred: str = "pred", max_tokens: int = 5) -> DataFrame:
@@ -43,13 +48,43 @@ def keep_answerable(qas: DataFrame, *, instance: str, gold: str = "gold", pred:
     return rows.join(enough, instance, "left_semi")
 
 
-def build_answer_cache(lines: DataFrame, *, order: str, text: str, mark: str = "✓") -> DataFrame:
-    """(key, value) from log lines `✓ ...key`: value is whether the line starts with the mark, key what follows the first `...`. A value that conflicts with the one held removes the key; a later line adds it anew."""
-    rows = lines.where(F.contains(text, F.lit("..."))).select(order, F.col(text).startswith(mark).alias("v"), F.trim(F.expr(f"substring({text}, instr({text}, '...') + 3)")).alias("key"))
-    log = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), "v"))), lambda x: x["v"])
-    none = F.lit(None).cast("boolean")
-    step = lambda held, v: F.when(held.isNull(), v).when(held == v, held).otherwise(none)
-    return rows.groupBy("key").agg(F.aggregate(log, none, step).alias("value")).where(F.col("value").isNotNull())
+def build_answer_cache(lines: DataFrame, *, order: str, text: str, mark: str = "✓", slice_lines: int = SLICE_LINES) -> DataFrame:
+    """(key, value, place) from log lines `✓ ...key`: value is whether the stripped line starts with the mark, key what follows the first `...`, `&#39;` read as an apostrophe. A value that conflicts with the one held removes the key; a later line adds it anew. place is the order of the line that added the key as it is held.
+
+    A line is a map of what is held (nothing, true or false) to what is held after it, and such maps compose. So each
+    slice of `slice_lines` lines of a key becomes one map, slices of slices become one, and so on: no task holds more
+    than a slice, however many lines a key has. Lines of equal order are taken by their values.
+    """
+    line = strip(F.col(text))
+    key = F.regexp_replace(strip(F.expr("substring(_line, instr(_line, '...') + 3)")), "&#39;", "'")
+    rows = lines.select(F.col(order).alias("o"), line.alias("_line")).where(F.contains("_line", F.lit("..."))).select("o", F.col("_line").startswith(mark).alias("v"), key.alias("key"))
+    kind = f"struct<v:boolean,o:{rows.schema['o'].dataType.simpleString()}>"
+    held = lambda v, o: F.struct(v.alias("v"), o.alias("o")).cast(kind)
+    nothing = held(F.lit(None), F.lit(None))
+
+    def after_line(s: Column, x: Column) -> Column:
+        return F.when(s["v"].isNull(), held(x["v"], x["o"])).when(s["v"] == x["v"], s).otherwise(nothing)
+
+    def after_map(s: Column, x: Column) -> Column:
+        """What a slice's map makes of what is held; a place of before stays if the slice gives none."""
+        to = F.when(s["v"].isNull(), x["none"]).when(s["v"], x["yes"]).otherwise(x["no"])
+        return held(to["v"], F.when(to["v"].isNotNull(), F.coalesce(to["o"], s["o"])))
+
+    starts = {"none": nothing, "yes": held(F.lit(True), F.lit(None)), "no": held(F.lit(False), F.lit(None))}
+
+    def folded(rows: DataFrame, step: Callable[[Column, Column], Column]) -> DataFrame:
+        log = F.array_sort(F.collect_list(F.struct("place", "x")))
+        maps = rows.withColumn("place", F.col("at")).groupBy("key", F.floor(F.col("at") / slice_lines).alias("at")).agg(log.alias("log"))
+        made = F.struct(*[F.aggregate("log", start, lambda s, e: step(s, e["x"])).alias(name) for name, start in starts.items()])
+        return maps.select("key", "at", made.alias("x"))
+
+    ranked = rank_within(rows, ["key"], [F.col("o"), F.col("v")], name="at")
+    slices = folded(ranked.select("key", "at", F.struct("v", "o").alias("x")), after_line)
+    longest = ranked.agg(F.max("at").alias("n")).first().n or 0
+    while longest >= slice_lines:
+        longest //= slice_lines
+        slices = folded(slices, after_map)
+    return slices.where(F.col("x.none.v").isNotNull()).select("key", F.col("x.none.v").alias("value"), F.col("x.none.o").alias("place"))
 
 
 def lookup_cache(qas: DataFrame, cache: DataFrame, *, key: str, question: str, position: str, tail: int = 100) -> DataFrame:
@@ -78,21 +113,11 @@ def standardize(df: DataFrame, *, core: list[str], qas: str = "qas") -> DataFram
     return df.select(*core, F.transform(qas, lambda q: F.struct(q["question"].alias("question"), answer(q).alias("answer"))).alias(qas), meta.alias("metadata"))
 
 
-def global_rank(df: DataFrame, order: list[Column], bucket: Column) -> DataFrame:
-    """Adds `rank` 0..n-1 in the whole table's order. `bucket` is a value that never falls along that order: buckets are counted, offsets summed over the counts, and only rows of one bucket are sorted together."""
-    rows = df.withColumn("_b", bucket)
-    counts = rows.groupBy("_b").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.select("_b", before.alias("_before"))
-    place = F.row_number().over(Window.partitionBy("_b").orderBy(*order))
-    return rows.join(offsets, "_b").withColumn("rank", F.col("_before") + place - 1).drop("_b", "_before")
-
-
 def split_ratio(df: DataFrame, ratio: float, *, key: str, seed: str = "split") -> DataFrame:
     """Adds `split`: the first floor(n * ratio) rows of a seeded order are train, the rest test."""
     h = seeded(seed, F.col(key))
     n = df.agg(F.count("*").alias("_total"))
-    ranked = global_rank(df, [h, F.col(key)], F.substring(h, 1, 3)).crossJoin(F.broadcast(n))  # one row: the count
+    ranked = global_rank(df, [h, F.col(key)]).crossJoin(F.broadcast(n))  # one row: the count
     return ranked.withColumn("split", F.when(F.col("rank") < F.floor(F.col("_total") * ratio), "train").otherwise("test")).drop("rank", "_total")
 
 
@@ -125,8 +150,21 @@ def merge_sources(sets: dict[str, DataFrame], *, key: str, limit: int | None = N
     return train.unionByName(out.where("split <> 'train'"))
 
 
-def reindex(df: DataFrame, order: list[Column], bucket: Column, *, name: str = "instance_id") -> DataFrame:
-    return global_rank(df, order, bucket).withColumnRenamed("rank", name)
+def reindex(df: DataFrame, order: list[Column], *, name: str = "instance_id") -> DataFrame:
+    return global_rank(df, order, name=name)
+
+
+def bin_accuracies(df: DataFrame, *, accuracy: str, bins: int = 10) -> DataFrame:
+    """Adds `bin`, the label `lo-hi` of the tenth that an accuracy of 0 to 1 falls into (1 into the last); null for a null."""
+    k = F.when(F.col(accuracy).isNotNull(), F.least(F.floor(F.round(F.col(accuracy) * bins, 9)), F.lit(bins - 1)))
+    edge = lambda c: F.format_number(c / bins, 1)
+    return df.withColumn("bin", F.concat(edge(k), F.lit("-"), edge(k + 1)))
+
+
+def levels_of(instances: DataFrame, binned: DataFrame, *, key: str, bin: str = "bin", strict: bool = True) -> DataFrame:
+    """Instances with the level of their bin; those without one go. An instance that several bins name has a row for each of its levels."""
+    levels = split_difficulty(binned.select(key, bin).where(F.col(bin).isNotNull()), bin=bin, strict=strict).select(key, "level").distinct()
+    return instances.join(levels, key)
 
 
 def split_difficulty(df: DataFrame, *, bin: str, strict: bool = True) -> DataFrame:

@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 
-def by_group(df: DataFrame, group: str, order: list[str], work: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """work() on each group's rows in order. Rows are dealt by group and sorted by Spark, which spills; a task reads its groups one after the other and holds one at a time. A null group is a group."""
+def by_group(df: DataFrame, group: str, order: list[str], work: Callable[[pd.DataFrame], pd.DataFrame], schema: str, df_group: Column | None = None) -> DataFrame:
+    """work() on each group's rows in order. Rows are dealt by group and sorted by Spark, which spills; a task reads its groups one after the other and holds one at a time. A null group is a group. With `df_group` a group is a value of that expression, which work() sees as the column `group`, in JSON."""
+    if df_group is not None:
+        df = df.withColumn(group, F.to_json(df_group))
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts: list[pd.DataFrame] = []

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, MutableMapping
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -11,8 +11,14 @@ from pyspark.sql import functions as F
 
 from memloom.functions.text import split_words, token_count
 from memloom.operators.grouped import by_group
+from memloom.operators.ranking import rank_within
+from memloom.sources.tables import Tables
 
 TYPES = ("core", "semantic", "episodic")
+#: Words of core memory, and what stands behind one that was cut.
+CORE_LIMIT, CORE_MARKER = 512, "[cut]"
+#: Operations of an instance and type that a task folds at once.
+SLICE_OPS = 100_000
 #: Columns of an operation log, in order of use.
 LOG = ("chunk_idx", "op_idx", "name", "memory_type", "memory_id", "content")
 
@@ -27,67 +33,89 @@ def extract_tool_calls(df: DataFrame, *, key: str, text: str, result_mark: str =
 
 
 class MemoryState:
-    """One instance's memory. The batch job and the stream run the same fold."""
+    """One instance's memory. The batch job and the stream run the same fold.
 
-    def __init__(self, core: str = "", items: dict[str, dict[str, str]] | None = None, enabled: Iterable[str] = TYPES):
-        self.core = core
-        self.items = items or {t: {} for t in TYPES[1:]}
+    `items` maps (type, id) to (content, place), `held` (type, content) to how many items have it. Any mutable mapping
+    will do: an operation reads and writes only its own keys.
+    """
+
+    def __init__(self, *, items: MutableMapping | None = None, held: MutableMapping | None = None, core: str = "", words: dict[str, int] | None = None, next_place: int = 0, enabled: Iterable[str] = TYPES, core_limit: int | None = CORE_LIMIT, marker: str = CORE_MARKER):
+        self.items = {} if items is None else items
+        self.held = {} if held is None else held
+        self.core, self.next_place = core, next_place
+        self.words = words or dict.fromkeys(TYPES, 0)
         self.enabled = set(enabled)
-        # how often each content is held, and how many words all of them have
-        self.held = {t: Counter(self.items[t].values()) for t in TYPES[1:]}
-        self.words = {t: sum(len((c or "").split()) * n for c, n in self.held[t].items()) for t in TYPES[1:]}
+        self.core_limit, self.marker = core_limit, marker
+
+    def _count(self, kind: str, content: str, n: int) -> None:
+        now = self.held.get((kind, content), 0) + n
+        if now > 0:
+            self.held[kind, content] = now
+        else:
+            self.held.pop((kind, content), None)
+        self.words[kind] += n * len(content.split())
 
     def _put(self, kind: str, memory_id: str, content: str | None) -> None:
-        """The item as it is from now on; None: gone."""
-        items, held = self.items[kind], self.held[kind]
-        if memory_id in items:
-            old = items[memory_id]
-            held[old] -= 1
-            self.words[kind] -= len((old or "").split())
-            if not held[old]:
-                del held[old]
+        """The item as it is from now on; None: gone. One that is there keeps its place."""
+        old = self.items.get((kind, memory_id))
+        if old is not None:
+            self._count(kind, old[0], -1)
         if content is None:
-            items.pop(memory_id, None)
-        else:
-            items[memory_id] = content
-            held[content] += 1
-            self.words[kind] += len(content.split())
+            self.items.pop((kind, memory_id), None)
+            return
+        if old is None:
+            self.next_place += 1
+        self.items[kind, memory_id] = (content, self.next_place - 1 if old is None else old[1])
+        self._count(kind, content, 1)
+
+    def _cut(self, content: str) -> str:
+        """Over the limit, the first words that fit before the marker, and the marker."""
+        words = content.split()
+        if self.core_limit is None or len(words) <= self.core_limit:
+            return content
+        return " ".join([*words[: max(0, self.core_limit - len(self.marker.split()))], self.marker])
 
     def apply(self, name: str, kind: str | None, memory_id: str | None, content: str | None, new_id: str, strict: bool = True) -> str:
-        """ok, skipped or error. An insert of content that its type holds is skipped; an update of an unknown id is an error (ok if not strict); deleting an unknown id is ok."""
+        """ok, skipped or error. An insert of content that its type holds is skipped; an update of an unknown id is an error (ok if not strict); deleting an unknown id is ok; core is cut to its limit."""
         kind = (kind or "").removesuffix("_memory")
         if kind not in self.enabled:
             return "error"
+        content = content if isinstance(content, str) else ""
         if kind == "core":
-            if name == "update":
-                self.core = content or ""
-            elif name == "delete":
-                self.core = ""
-            return "ok" if name in ("update", "delete") else "error"
-        held = self.items[kind]
+            if name not in ("update", "delete"):
+                return "error"
+            self.core = self._cut(content) if name == "update" else ""
+            self.words["core"] = len(self.core.split())
+            return "ok"
         if name == "insert":
-            if content in self.held[kind]:
+            if self.held.get((kind, content), 0):
                 return "skipped"
-            self._put(kind, new_id, content or "")
+            self._put(kind, new_id, content)
             return "ok"
+        memory_id = memory_id if isinstance(memory_id, str) else ""
         if name == "update":
-            if memory_id in held:
-                self._put(kind, memory_id, content or "")
-                return "ok"
-            return "error" if strict else "ok"
+            if self.items.get((kind, memory_id)) is None:
+                return "error" if strict else "ok"
+            self._put(kind, memory_id, content)
+            return "ok"
         if name == "delete":
             self._put(kind, memory_id, None)
             return "ok"
         return "error"
 
     def size(self) -> int:
-        return (len(self.core.split()) if "core" in self.enabled else 0) + sum(self.words[t] for t in TYPES[1:] if t in self.enabled)
+        return sum(self.words[t] for t in TYPES if t in self.enabled)
+
+    def fold(self, log: pd.DataFrame, strict: bool = True) -> list[str]:
+        """Status of each operation of a log in order."""
+        return [self.apply(name, kind, memory_id, content, item_id(chunk, op, name, memory_id), strict) for chunk, op, name, kind, memory_id, content in log[list(LOG)].itertuples(index=False)]
 
     def rows(self) -> Iterator[tuple[str, str, str, int]]:
         if self.core:
             yield "core", "", self.core, 0
         for t in TYPES[1:]:
-            for at, (i, c) in enumerate(self.items[t].items()):
+            mine = sorted(((place, i, c) for (k, i), (c, place) in self.items.items() if k == t))
+            for at, (_, i, c) in enumerate(mine):
                 yield t, i, c, at
 
 
@@ -96,39 +124,142 @@ def new_id(chunk_idx: int, op_idx: int) -> str:
     return f"{chunk_idx:x}-{op_idx:x}"
 
 
-def _fold(ops: pd.DataFrame, enabled: Iterable[str], strict: bool) -> tuple[MemoryState, list[str]]:
-    state, statuses = MemoryState(enabled=enabled), []
-    for chunk, op, name, kind, memory_id, content in ops.itertuples(index=False):
-        made = memory_id if isinstance(memory_id, str) and memory_id and name == "insert" else new_id(int(chunk), int(op))
-        statuses.append(state.apply(name, kind, memory_id, content, made, strict))
-    return state, statuses
+def item_id(chunk: int, op: int, name: str, memory_id: str | None) -> str:
+    """The id that an insert makes: its own, or one from its place."""
+    return memory_id if isinstance(memory_id, str) and memory_id and name == "insert" else new_id(int(chunk), int(op))
 
 
 def _log(ops: DataFrame, instance: str) -> tuple[DataFrame, str]:
+    """The log with `i` and `k`: types share nothing, so each type of an instance is folded by itself."""
     rows = ops.select(F.col(instance).alias("i"), F.col("chunk_idx").cast("long").alias("chunk_idx"), F.col("op_idx").cast("long").alias("op_idx"), "name", "memory_type", "memory_id", "content")
-    return rows, rows.schema["i"].dataType.simpleString()
-
-
-def apply_memory_ops(ops: DataFrame, *, instance: str, enabled: tuple[str, ...] = TYPES, strict: bool = True) -> DataFrame:
-    """The log with a `status` for each operation, by folding each instance's operations in (chunk_idx, op_idx) order. An insert may carry its own id, else it gets one from its place. Serial within an instance, whose log one task holds."""
-    rows, kind = _log(ops, instance)
+    return rows.withColumn("k", F.coalesce(F.regexp_replace("memory_type", "_memory$", ""), F.lit(""))), rows.schema["i"].dataType.simpleString()
+
+
+_LOG_DDL = "chunk_idx long, op_idx long, name string, memory_type string, memory_id string, content string"
+
+
+class _Folded:
+    """Statuses and what is held at the end, of groups (instance, type) of any size."""
+
+    def __init__(self, ops: DataFrame, instance: str, slice_ops: int, strict: bool, options: dict):
+        self.tables = Tables(ops.sparkSession)
+        self.rows, self.kind = _log(ops, instance)
+        self.slice_ops, self.strict, self.options = slice_ops, strict, options
+        large = self.rows.groupBy("i", "k").agg(F.count("*").alias("_n")).where(F.col("_n") > slice_ops)
+        # at most one group for each slice_ops rows
+        self.large = self.tables.keep(large)
+        self.hot = bool(self.large.take(1))
+        match = self.rows.i.eqNullSafe(F.col("_i")) & (F.col("k") == F.col("_k"))
+        names = F.broadcast(self.large.select(F.col("i").alias("_i"), F.col("k").alias("_k")))
+        self.small = self.rows.join(names, match, "left_anti") if self.hot else self.rows
+        self.big = self.rows.join(names, match, "left_semi") if self.hot else None
+
+    def small_groups(self, work: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+        return by_group(self.small, "g", ["chunk_idx", "op_idx"], work, schema, df_group=F.struct("i", "k"))
+
+    def slices(self) -> tuple[list[DataFrame], DataFrame]:
+        """Large groups in rounds: each round folds one slice of every group against the items that it touches, and hands the items on. Statuses by round, and the items left."""
+        keep, n = self.tables.keep, self.slice_ops
+        log = keep(rank_within(self.big, ["i", "k"], [F.col("chunk_idx"), F.col("op_idx")]).withColumn("round", F.floor(F.col("rank") / n)))
+        held = keep(log.select("i", "k", F.lit("").alias("memory_id"), F.lit("").alias("content"), F.lit(0).cast("long").alias("place")).limit(0))
+        done = []
+        for r in range(log.agg(F.max("round").alias("r")).first().r + 1):
+            now = log.where(F.col("round") == r)
+            out = keep(self._round(now, held, r * n))
+            done.append(out.where("what = 'log'"))
+            item = out.where("what = 'item'")
+            kept = held.join(item.select("i", "k", "memory_id"), _same(held, item, "memory_id"), "left_anti")
+            left = keep(kept.unionByName(item.where("content is not null").select("i", "k", "memory_id", "content", "place")))
+            self.tables.drop(held)
+            held = left
+        return done, held
+
+    def _round(self, now: DataFrame, held: DataFrame, first: int) -> DataFrame:
+        """One slice of each group with the items whose id it names, and how many others hold a content that it names."""
+        ids = now.select("i", "k", F.explode(F.array("memory_id", _made_id(), F.lit(""))).alias("memory_id")).distinct()
+        texts = now.select("i", "k", F.coalesce("content", F.lit("")).alias("content")).distinct()
+        items = held.join(ids, _same(held, ids, "memory_id"), "left_semi").select("i", "k", F.lit("item").alias("what"), "memory_id", "content", "place")
+        counts = held.join(texts, _same(held, texts, "content"), "left_semi").groupBy("i", "k", "content").agg(F.count("*").alias("place"))
+        before = items.unionByName(counts.select("i", "k", F.lit("held").alias("what"), F.lit("").alias("memory_id"), "content", "place"))
+        strict, options = self.strict, self.options
+
+        def fold(log: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
+            rows = log if len(log) else before
+            key = (rows["i"].iloc[0], rows["k"].iloc[0])
+            known = before[before["what"] == "item"]
+            items = {(key[1], i): (c, int(p)) for i, c, p in known[["memory_id", "content", "place"]].itertuples(index=False)}
+            held = {(key[1], c): int(n) for c, n in before.loc[before["what"] == "held", ["content", "place"]].itertuples(index=False)}
+            # contents of touched items count whether the slice names them or not
+            for (_, c), n in Counter((key[1], c) for c, _ in items.values()).items():
+                held.setdefault((key[1], c), n)
+            core = items.get(("core", ""), ("", 0))[0]  # which is kept as an item without an id
+            state = MemoryState(items=dict(items), held=held, core=core, next_place=first, **options)
+            log = log.sort_values("rank")
+            statuses = state.fold(log, strict)
+            out = log[[*LOG]].assign(status=statuses, place=0, what="log")
+            if key[1] == "core":
+                touched = {("core", ""): (state.core, 0) if state.core else None}
+            else:
+                touched = {at: state.items.get(at) for at in set(items) | set(state.items)}
+                touched = {at: now for at, now in touched.items() if now != items.get(at)}
+            changed = pd.DataFrame([(None, None, None, None, i, None if x is None else x[0], None, 0 if x is None else x[1], "item") for (_, i), x in touched.items()], columns=[*LOG, "status", "place", "what"])
+            parts = [p for p in (out, changed) if len(p)]
+            return pd.concat(parts, ignore_index=True).assign(i=key[0], k=key[1])
+
+        schema = f"i {self.kind}, k string, {_LOG_DDL}, status string, place long, what string"
+        columns = [c.split(" ")[0] for c in schema.split(", ")]
+
+        def ordered(log: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
+            return fold(log, before)[columns].astype({"chunk_idx": "Int64", "op_idx": "Int64"})
+
+        return now.groupBy("i", "k").cogroup(before.groupBy("i", "k")).applyInPandas(ordered, schema)
+
+
+def _made_id() -> Column:
+    """item_id() of an insert, as a column."""
+    own = F.when((F.col("name") == "insert") & (F.coalesce("memory_id", F.lit("")) != ""), F.col("memory_id"))
+    return F.coalesce(own, F.concat_ws("-", F.lower(F.hex("chunk_idx")), F.lower(F.hex("op_idx"))))
+
+
+def _same(a: DataFrame, b: DataFrame, column: str) -> Column:
+    return a.i.eqNullSafe(b.i) & (a.k == b.k) & (a[column] == b[column])
+
+
+def apply_memory_ops(ops: DataFrame, *, instance: str, enabled: tuple[str, ...] = TYPES, strict: bool = True, core_limit: int | None = CORE_LIMIT, marker: str = CORE_MARKER, slice_ops: int = SLICE_OPS) -> DataFrame:
+    """The log with a `status` for each operation, by folding each instance's operations in (chunk_idx, op_idx) order. An insert may carry its own id, else it gets one from its place; core is cut to `core_limit` words.
+
+    Types of an instance share nothing and are folded apart. A type with more than `slice_ops` operations is folded in
+    slices, one a round, against a table of its items that each round hands on: a task holds one slice and the items
+    that it names, never the log.
+    """
+    options = {"enabled": enabled, "core_limit": core_limit, "marker": marker}
+    f = _Folded(ops, instance, slice_ops, strict, options)
 
     def one(log: pd.DataFrame) -> pd.DataFrame:
-        return log.assign(status=_fold(log[list(LOG)], enabled, strict)[1])
+        return log.assign(status=MemoryState(**options).fold(log, strict)).drop(columns=["g", "k"])
 
-    schema = f"i {kind}, chunk_idx long, op_idx long, name string, memory_type string, memory_id string, content string, status string"
-    return by_group(rows, "i", ["chunk_idx", "op_idx"], one, schema).withColumnRenamed("i", instance)
+    out = f.small_groups(one, f"i {f.kind}, {_LOG_DDL}, status string")
+    if f.hot:
+        for part in f.slices()[0]:
+            out = out.unionByName(part.select(out.columns))
+    return out.withColumnRenamed("i", instance)
 
 
-def memory_state(ops: DataFrame, *, instance: str, enabled: tuple[str, ...] = TYPES, strict: bool = True) -> DataFrame:
-    """(instance, memory_type, memory_id, content, pos): what is held after the last operation."""
-    rows, kind = _log(ops, instance)
+def memory_state(ops: DataFrame, *, instance: str, enabled: tuple[str, ...] = TYPES, strict: bool = True, core_limit: int | None = CORE_LIMIT, marker: str = CORE_MARKER, slice_ops: int = SLICE_OPS) -> DataFrame:
+    """(instance, memory_type, memory_id, content, pos): what is held after the last operation; large groups as in apply_memory_ops."""
+    options = {"enabled": enabled, "core_limit": core_limit, "marker": marker}
+    f = _Folded(ops, instance, slice_ops, strict, options)
 
     def one(log: pd.DataFrame) -> pd.DataFrame:
-        state, _ = _fold(log[list(LOG)], enabled, strict)
+        state = MemoryState(**options)
+        state.fold(log, strict)
         return pd.DataFrame([(log["i"].iloc[0], *r) for r in state.rows()], columns=["i", "memory_type", "memory_id", "content", "pos"])
 
-    return by_group(rows, "i", ["chunk_idx", "op_idx"], one, f"i {kind}, memory_type string, memory_id string, content string, pos long").withColumnRenamed("i", instance)
+    out = f.small_groups(one, f"i {f.kind}, memory_type string, memory_id string, content string, pos long")
+    if f.hot:
+        left = rank_within(f.slices()[1], ["i", "k"], [F.col("place")], name="pos")
+        out = out.unionByName(left.select("i", F.col("k").alias("memory_type"), "memory_id", "content", "pos"))
+    return out.withColumnRenamed("i", instance)
 
 
 def final_state_by_id(ops: DataFrame, *, keys: list[str], order: list[str], name: str, content: str) -> DataFrame:
@@ -143,7 +274,7 @@ def dedup_inserts(ops: DataFrame, *, keys: list[str], content: str, order: list[
     return ops.groupBy(*keys, F.sha2(content, 256).alias("_h")).agg(F.min_by(F.struct(*order, content), F.struct(*order)).alias("r")).select(*keys, "r.*")
 
 
-def truncate_core(text: Column, limit: int = 512, marker: str = "[cut]") -> Column:
+def truncate_core(text: Column, limit: int = CORE_LIMIT, marker: str = CORE_MARKER) -> Column:
     """Over `limit` words, the first ones that fit before the marker, and the marker."""
     words = split_words(text)
     return F.when(F.size(words) > limit, F.concat_ws(" ", F.slice(words, 1, limit - len(marker.split())), F.lit(marker))).otherwise(text)

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memloom.functions import answers as A
+from memloom.functions.text import strip
 from memloom.operators.retrieval import nearest_name
 
 #: Scorers by source: (test of the source, score of prediction, gold and judge's words); the first test that holds decides.
@@ -48,21 +49,41 @@ def max_raw_parsed(df: DataFrame, metrics: dict[str, Callable[[Column], Column]]
 
 
 def set_label_f1(predicted: Column, gold: Column) -> Column:
-    """F1 of two label lists, with 1e-5 in each denominator; 0 for a list that could not be read."""
+    """F1 of two label lists: labels of both, over the lengths of the lists (repeats count there), with 1e-5 in the F1's denominator; 0 for a list that is empty or could not be read."""
     common = F.size(F.array_intersect(predicted, gold))
-    precision, recall = common / (F.size(F.array_distinct(predicted)) + 1e-5), common / (F.size(F.array_distinct(gold)) + 1e-5)
-    return F.when(predicted.isNull() | gold.isNull(), 0.0).otherwise(2 * precision * recall / (precision + recall + 1e-5))
+    precision, recall = common / F.nullif(F.size(predicted), F.lit(0)), common / F.nullif(F.size(gold), F.lit(0))
+    return F.coalesce(F.when(predicted.isNotNull() & gold.isNotNull(), 2 * precision * recall / (precision + recall + 1e-5)), F.lit(0.0))
+
+
+def label_f1(df: DataFrame, labels: DataFrame, *, key: str, said: str = "said", golds: str = "golds") -> DataFrame:
+    """(key, f1): `said` is a JSON list of labels, of which each is taken as its nearest known one (`labels` has a column name); a text that is no list scores 0. Keys are unique."""
+    read = df.select(key, golds, F.from_json(said, "array<string>").alias("_said"))
+    # a null in the list is the empty word
+    words = read.select(key, F.explode("_said").alias("_w")).withColumn("_w", F.coalesce("_w", F.lit("")))
+    near = nearest_name(words.select("_w").distinct(), labels, text="_w", name="name").select("_w", "nearest")
+    named = words.join(near, "_w").groupBy(key).agg(F.collect_list("nearest").alias("_named"))
+    out = read.join(named, key, "left")
+    return out.select(key, F.when(F.col("_said").isNull(), 0.0).otherwise(set_label_f1(F.col("_named"), F.col(golds))).alias("f1"))
+
+
+def listed_items(answer: Column) -> Column:
+    """Items of a recommendation: the lines from the first `1.` on or, where there is none, what commas and lines part; parts in brackets, numbers and spare white space go. Blank lines are items, too, as they take a place."""
+    at = F.instr(answer, F.lit("1."))
+    lines = F.split(F.when(at > 0, F.substring(answer, at + 2, F.length(answer))).otherwise(F.translate(answer, ",", "\n")), "\n")
+    bare = lambda x: F.regexp_replace(strip(x), r"\([^()]*\)", "")
+    return F.transform(lines, lambda x: strip(F.regexp_replace(F.regexp_replace(bare(x), r"^(?:\d+[.)、]?\s*[-—–]?\s*)?", ""), r"\s+", " ")))
 
 
 def recall_at_k(df: DataFrame, names: DataFrame, *, key: str, answer: str = "answer", golds: str = "golds", ks: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
-    """recall_k for each row: the share of golds among the first k items of a numbered list, each taken as its nearest known name."""
-    lines = F.filter(F.split(F.regexp_replace(answer, r"(?s)^.*?(?=1\.)", ""), r"\n"), lambda x: x.rlike(r"^\s*\d+\."))
-    items = F.transform(lines, lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, r"^\s*\d+\.\s*", ""), r"\([^)]*\)", "")))
-    listed = df.select(key, golds, F.posexplode(items).alias("at", "item"))
-    near = nearest_name(listed.select("item").distinct(), names, text="item", name="name")
-    named = listed.join(near.select("item", "nearest"), "item")
-    hit = lambda k: F.size(F.array_intersect(F.collect_set(F.when(F.col("at") < k, F.col("nearest"))), F.first(golds)))
-    return named.groupBy(key).agg(*[(hit(k) / F.size(F.first(golds))).alias(f"recall_{k}") for k in ks])
+    """recall_k for each row: the share of golds (repeats count) among the first k items of an answer, each taken as its nearest known name. Every row stays: a null answer finds nothing, and so do golds that are null or none. Keys are unique."""
+    # no k looks beyond the first items
+    items = F.slice(listed_items(F.col(answer)), 1, max(ks))
+    listed = df.select(key, F.posexplode(items).alias("at", "item"))
+    near = nearest_name(listed.select("item").distinct(), names, text="item", name="name").select("item", "nearest")
+    named = listed.join(near, "item").groupBy(key).agg(*[F.collect_set(F.when(F.col("at") < k, F.col("nearest"))).alias(f"_{k}") for k in ks])
+    hit = lambda k: F.size(F.filter(golds, lambda g: F.coalesce(F.array_contains(f"_{k}", g), F.lit(False))))
+    share = lambda k: F.coalesce(F.when(F.size(golds) > 0, hit(k) / F.size(golds)), F.lit(0.0))
+    return df.select(key, golds).join(named, key, "left").select(key, *[share(k).alias(f"recall_{k}") for k in ks])
 
 
 #: Weight of each order of n-grams, by the highest one: fixed values of the metric.

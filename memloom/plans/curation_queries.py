@@ -43,27 +43,32 @@ def d4_keep_answerable(spark, d):
     return C.keep_answerable(rows, instance="source", min_count=14).select("doc_id", "gold")
 
 
-_LINES = "SELECT doc_id AS pos, CASE WHEN doc_id % 3 = 0 THEN '✓' ELSE '✗' END || ' q...' || source || '-' || (doc_id % 40) AS line FROM documents"
+_LINES = "SELECT doc_id AS pos, '  ' || CASE WHEN doc_id % 3 = 0 THEN '✓' ELSE '✗' END || ' it&#39;s...' || source || CASE WHEN doc_id % 5 = 0 THEN '&#39;s ' ELSE '-' END || (doc_id % 40) || ' ' AS line FROM documents"
 
 
 def lines(spark, d):
-    text = F.concat(F.when(F.col("doc_id") % 3 == 0, "✓").otherwise("✗"), F.lit(" q..."), F.col("source"), F.lit("-"), F.col("doc_id") % 40)
+    joint = F.when(F.col("doc_id") % 5 == 0, "&#39;s ").otherwise("-")
+    text = F.concat(F.lit("  "), F.when(F.col("doc_id") % 3 == 0, "✓").otherwise("✗"), F.lit(" it&#39;s..."), "source", joint, F.col("doc_id") % 40, F.lit(" "))
     return table(spark, d, "documents").select(F.col("doc_id").alias("pos"), text.alias("line"))
 
 
-_CACHE = f"WITH RECURSIVE l AS (SELECT pos, starts_with(line, '✓') AS v, trim(substr(line, instr(line, '...') + 3)) AS key, row_number() OVER (PARTITION BY trim(substr(line, instr(line, '...') + 3)) ORDER BY pos) AS i FROM ({_LINES})), f AS (SELECT key, i, v AS held FROM l WHERE i = 1 UNION ALL SELECT l.key, l.i, CASE WHEN f.held IS NULL THEN l.v WHEN f.held = l.v THEN f.held END FROM f JOIN l ON l.key = f.key AND l.i = f.i + 1), c AS (SELECT key, arg_max(held, i) AS value, bool_or(true) FROM f GROUP BY key), n AS (SELECT key, max(i) AS i FROM f GROUP BY key), g AS (SELECT f.key, f.held AS value FROM f JOIN n USING (key, i) WHERE f.held IS NOT NULL)"
+#: One step of the recursion takes the next line of every key.
+_CACHE = f"""WITH RECURSIVE k AS (SELECT pos, starts_with(trim(line), '✓') AS v, replace(trim(substr(trim(line), instr(trim(line), '...') + 3)), '&#39;', chr(39)) AS key FROM ({_LINES}) WHERE line IS NOT NULL),
+l AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY pos) AS i FROM k),
+f AS (SELECT key, i, v AS held, pos AS place FROM l WHERE i = 1 UNION ALL SELECT l.key, l.i, CASE WHEN f.held IS NULL THEN l.v WHEN f.held = l.v THEN f.held END, CASE WHEN f.held IS NULL THEN l.pos WHEN f.held = l.v THEN f.place END FROM f JOIN l ON l.key = f.key AND l.i = f.i + 1),
+n AS (SELECT key, max(i) AS i FROM f GROUP BY key), g AS (SELECT f.key, f.held AS value, f.place FROM f JOIN n USING (key, i) WHERE f.held IS NOT NULL)"""
 
 
-@query(f"{_CACHE} SELECT key, value FROM g")
+@query(f"{_CACHE} SELECT key, value, place FROM g")
 def d5_build_answer_cache(spark, d):
     return C.build_answer_cache(lines(spark, d), order="pos", text="line")
 
 
-@query(f"{_CACHE}, q AS (SELECT item_id, 'Tell me about src' || (item_id % 20) || '-' || (item_id % 40) || CASE WHEN item_id % 2 = 0 THEN ' please' ELSE '' END AS question FROM benchmark), h AS (SELECT item_id, arg_min(value, key) AS value FROM q JOIN g ON ends_with(question, key) OR contains(right(question, 100), key) GROUP BY item_id) SELECT item_id, value FROM q LEFT JOIN h USING (item_id)")
+@query(f"{_CACHE}, q AS (SELECT item_id, 'Tell me about src' || (item_id % 20) || '-' || (item_id % 40) || CASE WHEN item_id % 2 = 0 THEN ' please' ELSE '' END AS question FROM benchmark), h AS (SELECT item_id, arg_min(value, place) AS value FROM q JOIN g ON ends_with(question, key) OR contains(right(question, 100), key) GROUP BY item_id) SELECT item_id, value FROM q LEFT JOIN h USING (item_id)")
 def d6_lookup_cache(spark, d):
     q = F.concat(F.lit("Tell me about src"), F.col("item_id") % 20, F.lit("-"), F.col("item_id") % 40, F.when(F.col("item_id") % 2 == 0, " please").otherwise(""))
     asked = table(spark, d, "benchmark").select("item_id", q.alias("question"))
-    return C.lookup_cache(asked, C.build_answer_cache(lines(spark, d), order="pos", text="line"), key="item_id", question="question", position="key").select("item_id", "value")
+    return C.lookup_cache(asked, C.build_answer_cache(lines(spark, d), order="pos", text="line"), key="item_id", question="question", position="place").select("item_id", "value")
 
 
 def nested(spark, d):
@@ -107,7 +112,7 @@ def d10_merge_sources(spark, d):
 @query("SELECT doc_id, row_number() OVER (ORDER BY n_chars, doc_id) - 1 AS instance_id FROM documents")
 def d11_reindex(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "n_chars")
-    return C.reindex(docs, [F.col("n_chars"), F.col("doc_id")], F.floor(F.col("n_chars") / 256)).select("doc_id", "instance_id")
+    return C.reindex(docs, [F.col("n_chars"), F.col("doc_id")]).select("doc_id", "instance_id")
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 10 > 7 THEN 'easy' WHEN doc_id % 10 >= 6 THEN 'medium' ELSE 'hard' END AS level FROM documents")
@@ -116,6 +121,12 @@ def d12_split_difficulty(spark, d):
     return C.split_difficulty(table(spark, d, "documents").select("doc_id", label.alias("bin")), bin="bin").select("doc_id", "level")
 
 
+@query("WITH a AS (SELECT doc_id, least(floor(round((doc_id % 13) / 12 * 10, 9)), 9) AS k FROM documents) SELECT doc_id, quality, CASE WHEN k / 10 > 0.7 THEN 'easy' WHEN k / 10 >= 0.6 THEN 'medium' ELSE 'hard' END AS level FROM a JOIN labels USING (doc_id)")
+def d12_levels_of_accuracies(spark, d):
+    raw = table(spark, d, "documents").select("doc_id", ((F.col("doc_id") % 13) / 12).alias("acc"))
+    return C.levels_of(table(spark, d, "labels").select("doc_id", "quality"), C.bin_accuracies(raw, accuracy="acc"), key="doc_id")
+
+
 @query("SELECT conv_id AS instance_id, string_agg(CASE WHEN contains(lower(text), 'the') THEN 'k' || conv_id || ', z' ELSE role END, '|' ORDER BY turn) AS answers FROM conversations WHERE conv_id % 2 = 0 GROUP BY conv_id")
 def d13_replace_answers(spark, d):
     mapping = table(spark, d, "conversations").where("conv_id % 2 = 0").select(F.col("conv_id").alias("instance_id")).distinct().withColumn("keywords", F.array(F.concat(F.lit("k"), F.col("instance_id")), F.lit("z")))

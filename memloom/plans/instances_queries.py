@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from memloom.functions.text import seeded, token_count
-from memloom.operators import curation, instances as C
+from memloom.operators import curation, instances as C, ranking
 from memloom.plans.registry import query, table
 
 
@@ -61,7 +61,7 @@ def c5_link_evidence_by_containment(spark, d):
 
 @query("SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 10 AS instance_id, (row_number() OVER (ORDER BY doc_id) - 1) % 10 AS chunk_idx FROM documents")
 def c6_batch_chunks(spark, d):
-    ranked = curation.global_rank(docs(spark, d).select("doc_id"), [F.col("doc_id")], F.floor(F.col("doc_id") / 1000))
+    ranked = ranking.global_rank(docs(spark, d).select("doc_id"), [F.col("doc_id")])
     return C.batch_chunks(ranked, 10, rank="rank").drop("rank")
 
 
@@ -103,7 +103,7 @@ def c11_filter_chunk_count(spark, d):
 @query("WITH r AS (SELECT doc_id, text, row_number() OVER (ORDER BY md5(concat_ws('|', 'disjoint', doc_id::VARCHAR)), doc_id) - 1 AS r, count(*) OVER () AS n FROM documents) SELECT doc_id, r // 12 AS instance_id, CASE WHEN r % 12 < 9 THEN 'chunk' ELSE 'qa' END AS role, length(CASE WHEN r % 12 = 0 THEN substr(text, 1, 1000) ELSE text END) AS chars FROM r WHERE r // 12 < 50 AND (r // 12 + 1) * 12 <= n")
 def c12_assign_disjoint(spark, d):
     h = seeded("disjoint", F.col("doc_id"))
-    ranked = curation.global_rank(docs(spark, d).select("doc_id", "text"), [h, F.col("doc_id")], F.substring(h, 1, 3))
+    ranked = ranking.global_rank(docs(spark, d).select("doc_id", "text"), [h, F.col("doc_id")])
     return C.assign_disjoint(ranked, 50, 9, 3, rank="rank", text="text").select("doc_id", "instance_id", "role", F.length("text").cast("long").alias("chars"))
 
 

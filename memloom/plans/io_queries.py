@@ -2,27 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memloom.plans.memory_queries import STREAMED, ops
+from memloom.plans.memory_queries import LIMIT, STREAMED, ops
 from memloom.plans.registry import query, table
 from memloom.plans.scoring_queries import SCORED, results
 from memloom.sources import io
+from memloom.sources.tables import shared_dir
 from memloom.streaming import memory_stream
 
 
 def shared(spark: SparkSession) -> str:
-    """A new folder under the session's shared one; a temporary one only in a local session that names none."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = tempfile.mkdtemp(prefix="memloom-")
-    return f"{root.rstrip('/')}/io-{uuid.uuid4().hex}"
+    return shared_dir(spark, "io")
 
 
 def instances(spark, d) -> DataFrame:
@@ -40,14 +32,25 @@ def a1_a5_instances_round_trip(spark, d):
     return io.read_instances(spark, path).select("instance_id", F.array_join("chunks", "|").alias("chunks"), qas.alias("qas"), "num_chunks", "broken")
 
 
-@query("SELECT source AS id, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY source")
-def a2_read_nested_json(spark, d):
+def _written_json(spark, d, one: str) -> str:
+    """Documents as JSON texts of a hundred records each, several a file; `one` makes the text of a group's records in the column r."""
     path = shared(spark)
-    one = F.to_json(F.map_from_entries(F.collect_list(F.struct("doc_id", F.struct("source", "n_chars")))))
-    folder = F.concat_ws("-", "source", F.floor(F.col("doc_id") / 100))  # a hundred documents a file at most
-    table(spark, d, "documents").groupBy(folder.alias("dir")).agg(one.alias("value")).select("dir", "value").write.partitionBy("dir").text(path)
-    rows = io.read_keyed_json(spark, path, "struct<source:string,n_chars:bigint>")
-    return rows.groupBy(F.col("value.source").alias("id")).agg(F.count("*").alias("n"), F.sum("value.n_chars").alias("chars"))
+    record = F.struct("doc_id", "source", "n_chars", F.concat(F.lit('a "}{[" \\ '), "lang").alias("odd"))
+    group = F.floor(F.col("doc_id") / 100)
+    table(spark, d, "documents").select(group.alias("g"), record.alias("r")).groupBy("g").agg(F.expr(one).alias("value")).select("value").write.text(path)
+    return path
+
+
+@query("SELECT source AS id, count(*) AS n, sum(n_chars)::BIGINT AS chars, min('a \"}{[\" \\ ' || lang) AS odd FROM documents GROUP BY source")
+def a2_read_nested_json(spark, d):
+    rows = io.read_nested_json(spark, _written_json(spark, d, "to_json(collect_list(r))"), "doc_id long, source string, n_chars long, odd string")
+    return rows.groupBy(F.col("source").alias("id")).agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"), F.min("odd").alias("odd"))
+
+
+@query("SELECT doc_id::VARCHAR AS id, source, n_chars FROM documents")
+def a2_read_keyed_json(spark, d):
+    path = _written_json(spark, d, "to_json(map_from_entries(collect_list(struct(r.doc_id, r))))")
+    return io.read_keyed_json(spark, path, "struct<source:string,n_chars:bigint>").select("id", "value.source", "value.n_chars")
 
 
 @query("SELECT count(*) FILTER (doc_id % 7 <> 0) AS good, count(*) FILTER (doc_id % 7 = 0) AS broken FROM documents")
@@ -121,7 +124,8 @@ def k1_stream_memory_state(spark, d):
     log = ops(spark, d)
     # an instance's operations of some days stand in one file
     arrivals = [log.where(F.floor(F.col("chunk_idx") / 8) == k).repartition("user_id") for k in range(4)]
-    return streamed(spark, arrivals, lambda s: memory_stream.stream_memory_state(s, instance="user_id"), "append")
+    spark.conf.set(*memory_stream.STATE_STORE)
+    return streamed(spark, arrivals, lambda s: memory_stream.stream_memory_state(s, instance="user_id", core_limit=LIMIT), "append")
 
 
 @query(f"SELECT data_source, count(*) AS n, round(avg(score), 6) AS score FROM ({SCORED}) GROUP BY data_source")

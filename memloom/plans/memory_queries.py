@@ -8,14 +8,18 @@ from memloom.operators import memory as M
 from memloom.plans.registry import query, table
 
 _NAMES = "['insert', 'update', 'delete', 'insert', 'insert'][(event_id % 5) + 1]"
-OPS = f"SELECT user_id, day(ts) AS chunk_idx, event_id AS op_idx, {_NAMES} AS name, CASE WHEN event_id % 11 = 0 THEN 'core' WHEN event_id % 2 = 0 THEN 'semantic' ELSE 'episodic' END AS memory_type, 'k' || (event_id % 23) AS memory_id, event_type || ' ' || (event_id % 37) AS content FROM events"
+OPS = f"SELECT user_id, day(ts) AS chunk_idx, event_id AS op_idx, {_NAMES} AS name, CASE WHEN event_id % 11 = 0 THEN 'core' WHEN event_id % 2 = 0 THEN 'semantic' ELSE 'episodic' END AS memory_type, 'k' || (event_id % 23) AS memory_id, repeat(event_type || ' ', CASE WHEN event_id % 11 = 0 THEN 1 + event_id % 7 ELSE 1 END) || (event_id % 37) AS content FROM events"
+#: Words of core memory in these queries; operations on it have 2 to 8.
+LIMIT = 5
 
 
 def ops(spark, d):
     e = table(spark, d, "events")
     name = F.element_at(F.array(*[F.lit(x) for x in ("insert", "update", "delete", "insert", "insert")]), (F.col("event_id") % 5 + 1).cast("int"))
     kind = F.when(F.col("event_id") % 11 == 0, "core").when(F.col("event_id") % 2 == 0, "semantic").otherwise("episodic")
-    return e.select("user_id", F.day("ts").cast("long").alias("chunk_idx"), F.col("event_id").alias("op_idx"), name.alias("name"), kind.alias("memory_type"), F.concat(F.lit("k"), F.col("event_id") % 23).alias("memory_id"), F.concat_ws(" ", "event_type", F.col("event_id") % 37).alias("content"))
+    times = F.when(F.col("event_id") % 11 == 0, 1 + F.col("event_id") % 7).otherwise(1).cast("int")
+    content = F.concat(F.repeat(F.concat("event_type", F.lit(" ")), times), F.col("event_id") % 37)
+    return e.select("user_id", F.day("ts").cast("long").alias("chunk_idx"), F.col("event_id").alias("op_idx"), name.alias("name"), kind.alias("memory_type"), F.concat(F.lit("k"), F.col("event_id") % 23).alias("memory_id"), content.alias("content"))
 
 
 @query("SELECT conv_id, turn, n::BIGINT AS op_idx, CASE n WHEN 0 THEN 'insert' ELSE 'delete' END AS name, CASE n WHEN 0 THEN 'semantic' ELSE 'episodic' END AS memory_type, CASE n WHEN 0 THEN role ELSE NULL END AS content FROM conversations, (VALUES (0), (1)) t(n) WHERE role = 'assistant' AND (n = 0 OR turn % 2 = 1)")
@@ -30,11 +34,12 @@ def e1_extract_tool_calls(spark, d):
 _HERE = "x.t = o.memory_type AND x.id = o.memory_id"
 _SAME = "len(list_filter(p.items, lambda x: x.t = o.memory_type AND x.c = o.content)) > 0"
 _KNOWN = f"len(list_filter(p.items, lambda x: {_HERE})) > 0"
+_CUT = f"CASE WHEN len(string_split(o.content, ' ')) > {LIMIT} THEN array_to_string(string_split(o.content, ' ')[1:{LIMIT - 1}] || ['[cut]'], ' ') ELSE o.content END"
 #: Every operation with its status and what is held after it: one step of the recursion takes the next operation of all users.
 FOLD = f"""WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY chunk_idx, op_idx) AS i, count(*) OVER (PARTITION BY user_id) AS last FROM ({OPS})),
 p AS (SELECT DISTINCT user_id, 0::BIGINT AS i, '' AS core, []::STRUCT(t VARCHAR, id VARCHAR, c VARCHAR)[] AS items, '' AS status FROM o
   UNION ALL SELECT o.user_id, o.i,
-    CASE WHEN o.memory_type <> 'core' THEN p.core WHEN o.name = 'update' THEN o.content WHEN o.name = 'delete' THEN '' ELSE p.core END,
+    CASE WHEN o.memory_type <> 'core' THEN p.core WHEN o.name = 'update' THEN {_CUT} WHEN o.name = 'delete' THEN '' ELSE p.core END,
     CASE WHEN o.memory_type = 'core' OR (o.name = 'insert' AND {_SAME}) THEN p.items
       WHEN o.name <> 'delete' AND {_KNOWN} THEN list_transform(p.items, lambda x: CASE WHEN {_HERE} THEN {{'t': x.t, 'id': x.id, 'c': o.content}} ELSE x END)
       WHEN o.name = 'insert' THEN list_append(p.items, {{'t': o.memory_type, 'id': o.memory_id, 'c': o.content}})
@@ -49,7 +54,7 @@ STREAMED = f"{FOLD} SELECT {_LOG}, (CASE WHEN p.core = '' THEN 0 ELSE len(string
 
 @query(f"{FOLD} SELECT {_LOG} FROM o JOIN p USING (user_id, i)")
 def e2_apply_memory_ops(spark, d):
-    return M.apply_memory_ops(ops(spark, d), instance="user_id")
+    return M.apply_memory_ops(ops(spark, d), instance="user_id", core_limit=LIMIT)
 
 
 @query(
@@ -59,7 +64,7 @@ def e2_apply_memory_ops(spark, d):
     UNION ALL SELECT user_id, x.t, x.id, x.c, row_number() OVER (PARTITION BY user_id, x.t ORDER BY k) - 1 FROM u"""
 )
 def e2_memory_state(spark, d):
-    return M.memory_state(ops(spark, d), instance="user_id")
+    return M.memory_state(ops(spark, d), instance="user_id", core_limit=LIMIT)
 
 
 @query(f"WITH o AS ({OPS}) SELECT user_id, memory_type, memory_id, arg_max(content, op_idx) AS content, min(op_idx) FILTER (name = 'insert') AS first FROM o GROUP BY ALL HAVING arg_max(name, op_idx) <> 'delete'")

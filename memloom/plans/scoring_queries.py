@@ -171,23 +171,42 @@ def g17_option_match(spark, d):
     return pairs(spark, d).select("conv_id", "turn", A.option_match(F.col("pred"), F.col("pw")[0], F.col("aw")[0]).alias("score"))
 
 
+#: Every third answer is no numbered list: commas part it.
 @query(
     """WITH n AS (SELECT DISTINCT source AS name FROM documents),
     q AS (SELECT doc_id, source AS gold, unnest([1, 2, 3]) AS rank, unnest(['Src' || (doc_id % 20), source || 'x', 'src' || ((doc_id + 7) % 20)]) AS item FROM documents),
     m AS (SELECT doc_id, gold, rank, (SELECT arg_min(name, [levenshtein(lower(item), lower(name))::VARCHAR, name]) FROM n) AS name FROM q)
-    SELECT doc_id, max((rank <= 1 AND name = gold)::INT)::DOUBLE AS recall_1, max((rank <= 5 AND name = gold)::INT)::DOUBLE AS recall_5, max((rank <= 10 AND name = gold)::INT)::DOUBLE AS recall_10 FROM m GROUP BY doc_id"""
+    SELECT doc_id, max((rank <= 1 AND name = gold)::INT)::DOUBLE * 2 / 3 AS recall_1, max((rank <= 5 AND name = gold)::INT)::DOUBLE * 2 / 3 AS recall_5, max((rank <= 10 AND name = gold)::INT)::DOUBLE * 2 / 3 AS recall_10 FROM m GROUP BY doc_id"""
 )
 def g18_recall_at_k(spark, d):
     docs = table(spark, d, "documents")
-    text = F.concat(F.lit("Sure.\n1. Src"), F.col("doc_id") % 20, F.lit(" (best)\n2. "), F.col("source"), F.lit("x\n3. src"), (F.col("doc_id") + 7) % 20)
-    names = table(spark, d, "documents").select(F.col("source").alias("name")).distinct()
-    return scoring.recall_at_k(docs.select("doc_id", text.alias("answer"), F.array("source").alias("golds")), names, key="doc_id")
+    one, two, three = F.concat(F.lit("Src"), F.col("doc_id") % 20), F.concat("source", F.lit("x")), F.concat(F.lit("src"), (F.col("doc_id") + 7) % 20)
+    listed = F.concat(F.lit("Sure.\n1. "), one, F.lit(" (best)\n2. "), two, F.lit("\n3)- "), three)
+    text = F.when(F.col("doc_id") % 3 == 0, F.concat(one, F.lit(", "), two, F.lit(" (a), "), three)).otherwise(listed)
+    names = docs.select(F.col("source").alias("name")).distinct()
+    return scoring.recall_at_k(docs.select("doc_id", text.alias("answer"), F.array("source", "source", F.lit("none")).alias("golds")), names, key="doc_id")
 
 
-@query(_q("CASE WHEN turn % 2 = 1 THEN round(2 * (2 / (2 + 1e-5)) * (2 / (3 + 1e-5)) / ((2 / (2 + 1e-5)) + (2 / (3 + 1e-5)) + 1e-5), 6) ELSE 0.0 END", "f1"))
+#: A turn's words as its labels, all of them, each meant as the nation of nearest name; every fifth turn says no list.
+@query(
+    r"""WITH n AS (SELECT DISTINCT n_name AS name FROM nation), k AS (SELECT n_nationkey AS i, n_name AS name FROM nation),
+    t AS (SELECT conv_id, turn, list_filter(string_split_regex(text, '[ \t\n\r\f\v]+'), lambda x: x <> '') AS w FROM conversations WHERE turn % 5 <> 0),
+    u AS (SELECT conv_id, turn, unnest(w) AS item FROM t), d AS (SELECT DISTINCT item FROM u),
+    b AS (SELECT item, name, row_number() OVER (PARTITION BY item ORDER BY levenshtein(lower(item), lower(name)), name) AS r FROM d CROSS JOIN n),
+    p AS (SELECT conv_id, turn, list(b.name) AS named FROM u JOIN b USING (item) WHERE r = 1 GROUP BY ALL),
+    g AS (SELECT conv_id, turn, [a.name, b.name, c.name] AS golds FROM conversations JOIN k a ON a.i = conv_id % 25 JOIN k b ON b.i = (conv_id + 3) % 25 JOIN k c ON c.i = 5),
+    c AS (SELECT g.conv_id, g.turn, len(list_intersect(named, golds)) / len(named) AS a, len(list_intersect(named, golds)) / len(golds) AS r FROM g LEFT JOIN p USING (conv_id, turn))
+    SELECT conv_id, turn, round(coalesce(2 * a * r / (a + r + 1e-5), 0), 6) AS f1 FROM c"""
+)
 def g19_set_label_f1(spark, d):
-    said = F.when(F.col("turn") % 2 == 1, F.lit('["one","two"]')).otherwise(F.lit("not a list"))
-    return pairs(spark, d).select("conv_id", "turn", F.round(scoring.set_label_f1(F.from_json(said, "array<string>"), F.array(*[F.lit(x) for x in ("one", "two", "three")])), 6).alias("f1"))
+    nation = table(spark, d, "nation")
+    by_key = F.broadcast(nation.agg(F.map_from_entries(F.collect_list(F.struct(F.col("n_nationkey").cast("long"), "n_name"))).alias("k")))  # 25 names
+    rows = table(spark, d, "conversations").crossJoin(by_key)
+    name = lambda i: F.element_at("k", i.cast("long"))
+    said = F.when(F.col("turn") % 5 == 0, F.col("text")).otherwise(F.to_json(split_words(F.col("text"))))
+    golds = F.array(name(F.col("conv_id") % 25), name((F.col("conv_id") + 3) % 25), name(F.lit(5)))
+    out = scoring.label_f1(rows.select(F.struct("conv_id", "turn").alias("k"), said.alias("said"), golds.alias("golds")), nation.select(F.col("n_name").alias("name")), key="k")
+    return out.select("k.conv_id", "k.turn", F.round("f1", 6).alias("f1"))
 
 
 @query(_q(f"CASE WHEN turn % 3 = 0 THEN 0.0 ELSE 1.0 + CASE WHEN {norm('aw[1]')} = {norm('pw[1]')} THEN 1.0 ELSE 0.0 END END::DOUBLE", "score", f"SELECT * FROM ({PAIRS}) WHERE regexp_full_match(aw[1] || pw[1], '[A-Za-z]+')"))

@@ -2,47 +2,122 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Callable, Iterator, MutableMapping
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
-from memloom.operators.memory import LOG, TYPES, MemoryState, new_id
+from memloom.operators.memory import CORE_LIMIT, CORE_MARKER, LOG, TYPES, MemoryState, item_id
 from memloom.operators.scoring import score_results
 
+#: What state of this kind is kept in.
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 _OUT = "chunk_idx long, op_idx long, name string, memory_type string, memory_id string, content string, status string, n_tokens long"
-_STATE = "core string, items string, last_chunk long"
+_GONE = object()
 
 
-def stream_memory_state(ops: DataFrame, *, instance: str, enabled: tuple[str, ...] = TYPES, strict: bool = True) -> DataFrame:
-    """Every operation with its status and the instance's size after it; the fold is apply_memory_ops's.
+class Touched(MutableMapping):
+    """A map in the state store of which only the keys that are asked for are read, once, and only those that changed are written back."""
 
-    Inside a micro-batch operations go by (chunk_idx, op_idx); one of a chunk before the last seen gets the status
-    `late` and changes nothing. An instance's memory is its state.
-    """
-    rows = ops.select(F.col(instance).alias("i"), F.col("chunk_idx").cast("long").alias("chunk_idx"), F.col("op_idx").cast("long").alias("op_idx"), "name", "memory_type", "memory_id", "content")
-    kind = rows.schema["i"].dataType.simpleString()
+    def __init__(self, state, to_key: Callable[[tuple], tuple] = lambda k: k, single: bool = False):
+        self.state, self.to_key, self.single = state, to_key, single
+        self.seen: dict[tuple, object] = {}
+        self.changed: set[tuple] = set()
+
+    def __getitem__(self, key: tuple):
+        if key not in self.seen:
+            found = self.state.getValue(self.to_key(key))
+            self.seen[key] = _GONE if found is None else found[0] if self.single else tuple(found)
+        if self.seen[key] is _GONE:
+            raise KeyError(key)
+        return self.seen[key]
+
+    def __setitem__(self, key: tuple, value: object) -> None:
+        self.seen[key] = value
+        self.changed.add(key)
+
+    def __delitem__(self, key: tuple) -> None:
+        self[key]
+        self.seen[key] = _GONE
+        self.changed.add(key)
+
+    def __iter__(self) -> Iterator[tuple]:
+        return (k for k, v in self.seen.items() if v is not _GONE)
+
+    def __len__(self) -> int:
+        return sum(1 for _ in self)
+
+    def flush(self) -> None:
+        for key in self.changed:
+            value = self.seen[key]
+            if value is not _GONE:
+                self.state.updateValue(self.to_key(key), (value,) if self.single else value)
+            elif self.state.containsKey(self.to_key(key)):
+                self.state.removeKey(self.to_key(key))
+
+
+def _by_digest(key: tuple[str, str]) -> tuple[str, str]:
+    return key[0], hashlib.sha256(key[1].encode("utf-8", "surrogatepass")).hexdigest()
 
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        core, items, last = state.get if state.exists else ("", None, -1)
-        memory = MemoryState(core, json.loads(items) if items else None, enabled)
-        log = pd.concat(list(parts)).sort_values(["chunk_idx", "op_idx"], ignore_index=True)
+
+class MemoryProcessor(StatefulProcessor):
+    """The fold of one instance: an item a key, a content's digest a key, and one row of totals."""
+
+    def __init__(self, options: dict, strict: bool, idle_ms: int | None):
+        self.options, self.strict, self.idle_ms = options, strict, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.items = handle.getMapState("items", "memory_type string, memory_id string", "content string, place long")
+        self.held = handle.getMapState("held", "memory_type string, digest string", "n long")
+        self.totals = handle.getValueState("totals", "core string, last_chunk long, next_place long, words array<long>")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        core, last, place, words = self.totals.get() if self.totals.exists() else ("", -1, 0, [0] * len(TYPES))
+        items, held = Touched(self.items), Touched(self.held, _by_digest, single=True)
+        memory = MemoryState(items=items, held=held, core=core, words=dict(zip(TYPES, map(int, words))), next_place=place, **self.options)
+        log = pd.concat(list(rows)).sort_values(["chunk_idx", "op_idx"], ignore_index=True)
         statuses, sizes = [], []
         for chunk, op, name, kind, memory_id, content in log[list(LOG)].itertuples(index=False):
             if chunk < last:
                 statuses.append("late")
             else:
-                made = memory_id if isinstance(memory_id, str) and memory_id and name == "insert" else new_id(int(chunk), int(op))
-                statuses.append(memory.apply(name, kind, memory_id, content, made, strict))
+                statuses.append(memory.apply(name, kind, memory_id, content, item_id(chunk, op, name, memory_id), self.strict))
                 last = int(chunk)
             sizes.append(memory.size())
-        state.update((memory.core, json.dumps(memory.items), last))
+        items.flush()
+        held.flush()
+        self.totals.update((memory.core, last, memory.next_place, [memory.words[t] for t in TYPES]))
+        if self.idle_ms is not None:
+            for at in list(self.handle.listTimers()):
+                self.handle.deleteTimer(at)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
         yield log.assign(i=key[0], status=statuses, n_tokens=sizes)[["i", *LOG, "status", "n_tokens"]]
 
-    out = rows.groupBy("i").applyInPandasWithState(step, f"i {kind}, {_OUT}", _STATE, "append", GroupStateTimeout.NoTimeout)
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        for state in (self.items, self.held, self.totals):
+            state.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def stream_memory_state(ops: DataFrame, *, instance: str, enabled: tuple[str, ...] = TYPES, strict: bool = True, core_limit: int | None = CORE_LIMIT, marker: str = CORE_MARKER, idle_ms: int | None = None) -> DataFrame:
+    """Every operation with its status and the instance's size after it; the fold is apply_memory_ops's.
+
+    Inside a micro-batch operations go by (chunk_idx, op_idx); one of a chunk before the last seen gets the status
+    `late` and changes nothing. A micro-batch reads and writes the keys that its operations name, whatever else the
+    instance holds. With `idle_ms`, an instance without operations for so long is forgotten: what comes after starts
+    anew. The session's state store must be the one in STATE_STORE when the stream starts.
+    """
+    rows = ops.select(F.col(instance).alias("i"), F.col("chunk_idx").cast("long").alias("chunk_idx"), F.col("op_idx").cast("long").alias("op_idx"), "name", "memory_type", "memory_id", "content")
+    kind = rows.schema["i"].dataType.simpleString()
+    processor = MemoryProcessor({"enabled": enabled, "core_limit": core_limit, "marker": marker}, strict, idle_ms)
+    out = rows.groupBy("i").transformWithStateInPandas(processor, f"i {kind}, {_OUT}", "Append", "None" if idle_ms is None else "ProcessingTime")
     return out.withColumnRenamed("i", instance)
 
 
