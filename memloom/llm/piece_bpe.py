@@ -368,51 +368,70 @@ def _surrounded(found: Encoded, begin: int | None, end: int | None) -> Encoded:
     return Encoded(ids, offsets)
 
 
-def encode_pieces(docs: DataFrame, *, text_col: str = "text", model: str = "piece_bpe_32k.model", begin: bool = True, end: bool = True, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """One row per document row: the columns of `carry` and ids (array of int), as the library encodes the text with the model.
+#: What encode_pieces can give of a text.
+_OUTPUTS = {"ids": "array<int>", "packed": "binary", "decoded": "string"}
+
+
+def encode_pieces(docs: DataFrame, *, text_col: str = "text", model: str = "piece_bpe_32k.model", begin: bool = True, end: bool = True, outputs: tuple[str, ...] = ("ids",), carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """One row per document row: the columns of `carry` and those of `outputs`: ids (array of int), as the library encodes the text with the model, packed (the ids as little-endian unsigned 32-bit integers) and decoded (the text that the library decodes from the ids).
 
     `model` names a public tokenizer, or a path that every worker can read; models of another kind than BPE with byte
     fallback and without normalisation are an error. Null and empty texts have no ids but those of begin and end;
-    repeated rows and ids stay as they are; other columns are left out, and a carried one named `ids` becomes `ids_in`;
+    repeated rows and ids stay as they are; other columns are left out, and a carried one of an output's name gets `_in`;
     no documents give no rows. Strings of control pieces inside texts are text. A text of any length is one row; a
     stretch without a cut of more than LONG characters is merged from a heap, in n log n.
     """
-    through = carried(carry, ("ids",))
+    through = carried(carry, outputs)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = pieces(model)
         for whole in batches:
             for batch in row_slices(whole, "_text", SLICE):
                 found = _surrounded(machine.encode(pc.fill_null(batch.column("_text"), "")), machine.begin if begin else None, machine.end if end else None)
-                ids = pa.ListArray.from_arrays(pa.array(found.offsets.astype(np.int32)), pa.array(found.ids))
-                yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in through], ids], names=[*[name for _, name in through.values()], "ids"])
+                made = [_output(machine, found, name) for name in outputs]
+                yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in through], *made], names=[*[name for _, name in through.values()], *outputs])
 
-    schema = T.StructType([*[T.StructField(name, docs.schema[c].dataType) for c, name in through.values()], T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    schema = T.StructType([*[T.StructField(name, docs.schema[c].dataType) for c, name in through.values()], *[T.StructField(name, T._parse_datatype_string(_OUTPUTS[name])) for name in outputs]])
     return docs.select(*[F.col(c).alias(k) for k, (c, _) in through.items()], F.col(text_col).alias("_text")).mapInArrow(work, schema)
 
 
+def _output(machine: Pieces, found: Encoded, name: str) -> pa.Array:
+    if name == "ids":
+        return pa.ListArray.from_arrays(pa.array(found.offsets.astype(np.int32)), pa.array(found.ids))
+    if name == "decoded":
+        return pa.array(machine.decode(found), pa.string())
+    raw = found.ids.astype("<u4").tobytes()
+    return pa.array([raw[4 * lo : 4 * hi] for lo, hi in zip(found.offsets[:-1].tolist(), found.offsets[1:].tolist())], pa.binary())
+
+
+def _by_row(column: pa.Array, model: str, name: str, kind: pa.DataType) -> pa.Array:
+    """An output of each row of ids, for about SLICE ids at once; null for null."""
+    size = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    part = (np.cumsum(size + 16)) // SLICE
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(column)]
+    made = []
+    for lo, hi in zip(cuts, cuts[1:]):
+        rows = column.slice(lo, hi - lo)
+        found = Encoded(rows.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(size[lo:hi])]))
+        made.append(pc.if_else(rows.is_null(), pa.scalar(None, kind), _output(pieces(model), found, name)))
+    return pa.concat_arrays(made)
+
+
 def decoded(ids: Column, model: str = "piece_bpe_32k.model") -> Column:
     """Text of an array of ids, as the library decodes it; null ids give null, an id out of the vocabulary is an error."""
 
     @F.arrow_udf("string")
     def run(column: pa.Array) -> pa.Array:
-        # a null row has no ids; flatten() leaves out what a sliced or null row only reserves
-        size = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        flat = column.flatten().to_numpy(zero_copy_only=False)
-        text = pieces(model).decode(Encoded(flat, np.concatenate([[0], np.cumsum(size)])))
-        return pa.array(text, pa.string(), mask=column.is_null().to_numpy(zero_copy_only=False))
+        return _by_row(column, model, "decoded", pa.string())
 
     return run(ids)
 
 
-def packed(ids: Column) -> Column:
+def packed(ids: Column, model: str = "piece_bpe_32k.model") -> Column:
     """The ids as little-endian unsigned 32-bit integers, one after the other (null: null)."""
 
     @F.arrow_udf("binary")
     def run(column: pa.Array) -> pa.Array:
-        size = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        raw = column.flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes()
-        ends = np.cumsum(size) * 4
-        return pa.array([raw[hi - 4 * n : hi] for hi, n in zip(ends.tolist(), size.tolist())], pa.binary(), mask=column.is_null().to_numpy(zero_copy_only=False))
+        return _by_row(column, model, "packed", pa.binary())
 
     return run(ids)

@@ -70,9 +70,9 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = piece_bpe.encode_pieces(table(spark, sf_dir, "documents"))
-    ids, text = piece_bpe.packed(F.col("ids")), piece_bpe.decoded(F.col("ids"))
-    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2(text.cast("binary"), 256).alias("decoded_sha256"))
+    found = piece_bpe.encode_pieces(table(spark, sf_dir, "documents"), outputs=("packed", "decoded"))
+    n = (F.octet_length("packed") / 4).cast("long")
+    return found.select("doc_id", n.alias("n_tokens"), F.sha2("packed", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
