@@ -11,7 +11,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -150,12 +150,14 @@ def _temperature(logits: np.ndarray, y: np.ndarray) -> float:
 def train(labelled: DataFrame, *, sample_rows: int = SAMPLE_ROWS) -> Model | None:
     """A model of rows (id, text, lang); None without any labelled text that has a letter.
 
-    Document frequencies are counted over all rows. Weights are fitted on about `sample_rows` rows at most, spread over
-    the languages, of which only n-gram counts reach the driver. Every labelled language is known; more of them than
-    `sample_rows` / LEAST_ROWS are an error, as their sample would have no bound. Rows are drawn by a hash of id and
-    text; equal rows are drawn together, and then stand in the sample once.
+    Document frequencies are counted over all rows. Weights are fitted on about `sample_rows` rows, spread over the
+    languages by the number of their different rows (id and text), of which only n-gram counts reach the driver: 131 KB
+    a row at most, as there are PLACES of them, and 2 * `sample_rows` rows at most. Rows are drawn by a hash of id and
+    text, and each language has its LEAST_ROWS rows of least hash besides, or all if it has fewer: so every language
+    with a text that has a letter is known. More languages than `sample_rows` / LEAST_ROWS are an error. Equal rows
+    stand in the sample once.
     """
-    labelled = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
+    labelled = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros(PLACES, np.int64), 0
@@ -181,13 +183,18 @@ def train(labelled: DataFrame, *, sample_rows: int = SAMPLE_ROWS) -> Model | Non
     df[found.place[found.place >= 0]] = found.n[found.place >= 0]
     idf = np.log((1 + n_docs) / (1 + df)) + 1.0
     most = max(1, sample_rows // LEAST_ROWS)
-    counts = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").limit(most + 1).collect()
+    own = labelled.withColumn("h", F.xxhash64(F.col("id").cast("string"), F.col("text"), F.lit("sample")))
+    different = own.groupBy("lang", "h").agg(F.lit(1).alias("one")).select("lang", "h")
+    counts = different.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").limit(most + 1).collect()
     if len(counts) > most:
         raise ValueError(f"more than {most} languages: raise sample_rows")
     share = sample_rows / len(counts)
     rates = labelled.sparkSession.createDataFrame([(r["lang"], min(1.0, share / r["n"])) for r in counts], "lang string, rate double")
-    draw = F.pmod(F.xxhash64(F.col("id").cast("string"), F.col("text"), F.lit("sample")), F.lit(1 << 40)).cast("double") / float(1 << 40)
-    sample = labelled.withColumn("draw", draw).join(F.broadcast(rates), "lang").where("draw < rate")
+    # of each language the rows of least hash, which a task finds in its own part first; `sample_rows` at most in all
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    least = different.withColumn("place", place).where(F.col("place") <= LEAST_ROWS).select("lang", "h", F.lit(True).alias("first"))
+    draw = F.pmod(F.col("h"), F.lit(1 << 40)).cast("double") / float(1 << 40)
+    sample = own.withColumn("draw", draw).join(F.broadcast(rates), "lang").join(F.broadcast(least), ["lang", "h"], "left").where(F.col("first") | (F.col("draw") < F.col("rate")))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -200,12 +207,13 @@ def train(labelled: DataFrame, *, sample_rows: int = SAMPLE_ROWS) -> Model | Non
                             own = np.bincount(flat[lo:hi], minlength=PLACES)
                             counts[first + k] = own + counts[first + k] if len(counts[first + k]) else own
                 held = [np.flatnonzero(c) for c in counts]
-                yield pa.RecordBatch.from_arrays([batch.column("draw"), batch.column("lang"), pa.array([at.astype("<i4").tobytes() for at in held], pa.binary()), pa.array([c[at].astype("<i4").tobytes() for c, at in zip(counts, held)], pa.binary())], names=["draw", "lang", "places", "counts"])
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("draw", "lang", "h", "first")], pa.array([at.astype("<i4").tobytes() for at in held], pa.binary()), pa.array([c[at].astype("<i4").tobytes() for c, at in zip(counts, held)], pa.binary())], names=["draw", "lang", "h", "first", "places", "counts"])
 
     # rows alike (one id and text, one language) are one row of the sample, so a draw of any text brings one row; what
     # is drawn beyond twice the sample, which takes hashes far from even, is left in the tables
-    drawn = sample.select("draw", "lang", "text").mapInArrow(vectors, "draw double, lang string, places binary, counts binary").where(F.length("places") > 0)
-    got = drawn.groupBy("draw", "lang").agg(F.min(F.struct("places", "counts")).alias("v")).orderBy("draw", "lang").limit(2 * sample_rows).select("draw", "lang", "v.*").collect()
+    drawn = sample.select("draw", "lang", "h", "first", "text").mapInArrow(vectors, "draw double, lang string, h long, first boolean, places binary, counts binary").where(F.length("places") > 0)
+    drawn = drawn.groupBy("draw", "lang", "h", "first").agg(F.min(F.struct("places", "counts")).alias("v"))
+    got = drawn.orderBy(F.col("first").desc_nulls_last(), "draw", "lang", "h").limit(2 * sample_rows).select("draw", "lang", "v.*").collect()
     got = sorted(got, key=lambda r: (r["draw"] * 7919 % 1, r["lang"], bytes(r["places"]), bytes(r["counts"])))
     languages = sorted({r["lang"] for r in got}, key=lambda x: x.encode())
     if not languages:
