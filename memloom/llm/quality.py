@@ -22,6 +22,9 @@ SYMBOLS = "#*$%&|<>"
 LEAST_WORDS, LEAST_WORD = 10_000, 1 / 500
 #: (distance above which a document fails, words below which the rule says nothing): character classes, common words.
 CLASS_RULE, WORD_RULE = (0.27, 50), (0.33, 100)
+#: Share of words outside of a reference's common ones, and of letters among the characters, from which on a text is in
+#: a language that has no reference: texts in one that has use its common words for half of theirs or so.
+FOREIGN, LETTERS = 0.9, 0.7
 
 #: Character classes. ASCII by the sets below; beyond it by the general category of Unicode, so that every script has
 #: letters with and without case, marks, digits and points of its own.
@@ -173,20 +176,22 @@ def duplicate_lines(text: str | None) -> int:
 
 
 def quality(docs: DataFrame, references: dict[str, Reference] | None = None, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", class_rule: tuple[float, int] = CLASS_RULE, word_rule: tuple[float, int] = WORD_RULE) -> DataFrame:
-    """One row per document row: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, class_distance, word_distance, base_failed, kept.
+    """One row per document row: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, class_distance, word_distance, base_failed, kept, foreign.
 
     A document's histograms of character classes and of common words are held against every reference, and the nearest
     counts, so a missing or wrong language does not matter. It fails the rule if the distance is above the rule's bound
     and the document has the rule's least number of words; shorter ones pass that rule, as their histograms say little.
-    A language with LEAST_WORDS words or more has a reference, however large the others are. A document whose own
-    language has none is held against nothing: its distances are null and only the base rules decide.
+    A language with LEAST_WORDS words or more has a reference, however large the others are. A document of letters that
+    has hardly a common word of any reference is in a language without one (foreign): its distances are null and only
+    the base rules decide. That is told by its words alone, never by its label, so a document without label, or with a
+    wrong one, gets the same verdict; a text of invented words passes as a foreign one.
     base_failed: under 20 words, or over 30% of words in 8-word windows that occur again in the text.
 
     Null and empty texts have no words: all counts 0, distances 1, base_failed. Without any language (or no documents
     at all) there is no reference: distances are null and only the base rules decide. Repeated rows and ids give repeated
     results; a text of any length is one row, whose memory is some 20 times its size; other columns are left out.
     """
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))  # a null label makes no reference
     refs = language_references(source, LEAST_WORDS) if references is None else references
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -198,16 +203,20 @@ def quality(docs: DataFrame, references: dict[str, Reference] | None = None, *,
                 n, rows, small = words.counts, words.rows(), _lower(words)
                 chars = class_counts(texts)
                 by_class = by_word = None
+                mute = np.zeros(len(n), bool)
                 if refs:
                     by_class = np.min([distances(chars, r.classes) for r in refs.values()], axis=0)
-                    found = []
+                    found, unknown, whole_low = [], np.ones(len(n)), pc.utf8_lower(small)
                     for r in refs.values():
                         k = len(r.words)
                         place = pc.fill_null(pc.index_in(small, pa.array(r.words, pa.string())), k).to_numpy().astype(np.int64)
-                        found.append(distances(np.bincount(rows * (k + 1) + place[words.codes], minlength=len(n) * (k + 1)).reshape(len(n), k + 1), r.shares))
+                        cased = pc.fill_null(pc.index_in(whole_low, pa.array(r.words, pa.string())), k).to_numpy()
+                        counts = np.bincount(rows * (k + 1) + place[words.codes], minlength=len(n) * (k + 1)).reshape(len(n), k + 1)
+                        found.append(distances(counts, r.shares))
+                        unknown = np.minimum(unknown, np.bincount(rows, (cased == k)[words.codes], len(n)) / np.maximum(n, 1))
                     by_word = np.min(found, axis=0)
-                own = batch.column("lang")
-                mute = pc.and_(pc.is_valid(own), pc.invert(pc.is_in(own, pa.array(list(refs), pa.string())))).to_numpy(zero_copy_only=False)
+                    letters = chars[:, [CLASSES.index(c) for c in ("lower", "upper", "letter", "mark")]].sum(axis=1)
+                    mute = (n > 0) & (unknown >= FOREIGN) & (letters >= LETTERS * (chars.sum(axis=1) - chars[:, CLASSES.index("white")]))
                 repeats = repeated_words(words)
                 failed = (n < 20) | (100 * repeats > 30 * n)
                 good = ~failed
@@ -227,9 +236,10 @@ def quality(docs: DataFrame, references: dict[str, Reference] | None = None, *,
                         none if by_word is None else pa.array(by_word, mask=mute),
                         pa.array(failed),
                         pa.array(good),
+                        pa.array(mute) if refs else pa.nulls(len(n), pa.bool_()),
                     ],
-                    names=["id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "class_distance", "word_distance", "base_failed", "kept"],
+                    names=["id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "class_distance", "word_distance", "base_failed", "kept", "foreign"],
                 )
 
-    schema = f"id {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, class_distance double, word_distance double, base_failed boolean, kept boolean"
+    schema = f"id {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, class_distance double, word_distance double, base_failed boolean, kept boolean, foreign boolean"
     return source.mapInArrow(work, schema).withColumnRenamed("id", id_col)

@@ -224,6 +224,17 @@ def test_a_repeated_id_brings_one_row_to_the_sample(spark):
         langid.train(spark.createDataFrame([(k, "ab", f"l{k}") for k in range(9)], "id long, text string, lang string"), sample_rows=8)
 
 
+def test_every_labelled_language_is_known(spark):
+    letters = [chr(c) for c in range(0x4E00, 0x4E00 + 1000)]
+    rows = [(k * 20 + j, letters[k] * (j + 1), f"l{k}") for k in range(1000) for j in range(3)]
+    model = langid.train(spark.createDataFrame(rows, "id long, text string, lang string").repartition(4), sample_rows=4000)
+    assert len(model.languages) == 1000
+    # one language of different rows, one of a single row five thousand times, one whose rows have no letter but one
+    rows = [(k, f"abc {k}", "many") for k in range(5000)] + [(9000, "xyz", "same")] * 5000 + [(9100 + k, "123", "bare") for k in range(500)] + [(9999, "qqq", "bare")]
+    model = langid.train(spark.createDataFrame(rows, "id long, text string, lang string").repartition(4), sample_rows=100)
+    assert model.languages == ["bare", "many", "same"]
+
+
 def verdicts(docs):
     """Distances and verdicts of (id, text, lang) rows, one character and one word at a time."""
     import re
@@ -250,7 +261,11 @@ def verdicts(docs):
         for own, common, total in refs.values():
             by_class.append(distance(Counter(map(quality.class_of, t or "")), own))
             by_word.append(distance(Counter(x if x in common else None for x in w), {**common, None: total - sum(common.values())}))
-        if lang is not None and lang not in refs:
+        # hardly a word that any reference knows, in whatever case, in a text of letters: a language without reference
+        unknown = [sum(x.lower() not in common for x in w) / max(1, len(w)) for _, common, _ in refs.values()]
+        kinds = Counter(map(quality.class_of, t or ""))
+        letters, full = sum(kinds[c] for c in ("lower", "upper", "letter", "mark")), sum(kinds.values()) - kinds["white"]
+        if w and min(unknown) >= quality.FOREIGN and letters >= quality.LETTERS * full:
             by_class, by_word = [], []
         seen = Counter(tuple(w) for w in zip(*[(re.findall(r"[^\x20\x09-\x0D]+", t or ""))[k:] for k in range(8)]))
         hit = {k + j for k, x in enumerate(zip(*[(re.findall(r"[^\x20\x09-\x0D]+", t or ""))[k:] for k in range(8)])) if seen[x] > 1 for j in range(8)}
@@ -279,6 +294,31 @@ def test_quality_verdicts(spark):
     assert got[0][2] and not got[200][2]
 
 
+def test_quality_verdict_does_not_hang_on_the_label(spark):
+    rng = random.Random(13)
+
+    def prose(letters):
+        common, rare = ["".join(rng.choice(letters) for _ in range(3)) for _ in range(6)], ["".join(rng.choice(letters) for _ in range(6)) for _ in range(300)]
+        return lambda k: " ".join(rng.choice(common) if rng.random() < 0.45 else rng.choice(rare) for _ in range(k))
+
+    latin, greek, arabic = prose(string.ascii_lowercase), prose("αβγδεζηθικλμνξοπρ"), prose("ابتثجحخدذرزس")
+    data = [(k, latin(200), "la") for k in range(300) if k < 100 or k >= 160]
+    texts = [greek(300), arabic(300), greek(60), latin(300), latin(300).replace(" ", " $%# "), "12 45% " * 60]
+    data += [(100 + 10 * k + j, t, lang) for k, t in enumerate(texts) for j, lang in enumerate((None, "el", "la", "zz"))]
+    got = {r.doc_id: r for r in quality.quality(spark.createDataFrame(data, "doc_id long, text string, lang string").repartition(3)).collect()}
+    for k, (kept, foreign) in enumerate([(True, True), (True, True), (True, True), (True, False), (False, False), (False, False)]):
+        assert {(got[100 + 10 * k + j].kept, got[100 + 10 * k + j].foreign) for j in range(4)} == {(kept, foreign)}, k
+
+
+@pytest.mark.parametrize("words", [quality.LEAST_WORDS - 1, quality.LEAST_WORDS])
+def test_a_language_becomes_a_reference_at_its_least_words(spark, words):
+    rng = random.Random(14)
+    vocab = ["".join(rng.choice("αβγδεζ") for _ in range(3)) for _ in range(30)]
+    data = [(1, " ".join(rng.choice(vocab) for _ in range(words)), "el"), (2, " ".join(["the of and to"] * 3000), "en")]
+    got = {r.doc_id: r for r in quality.quality(spark.createDataFrame(data, "doc_id long, text string, lang string")).collect()}
+    assert got[1].foreign == (words < quality.LEAST_WORDS) and (got[1].word_distance is None) == got[1].foreign
+
+
 def mixed(rows, targets):
     """Copies of each (place in rows), by sorting every source: the draw, a draw among what still fits, the best fitting one."""
     import hashlib
