@@ -11,7 +11,11 @@ from pyspark.sql import functions as F
 
 from memloom.functions.text import SENTENCE_END, seeded, seeded_int, split_words, strip, token_count
 from memloom.operators.grouped import by_group
-from memloom.operators.ranking import global_rank
+from memloom.operators.ranking import global_rank, rank_within
+from memloom.sources.tables import Tables
+
+#: Items of one group that a task packs at once.
+SLICE_ITEMS = 200_000
 
 
 def pack_places(sizes: np.ndarray, target, sep: int, guard: bool = True) -> np.ndarray:
@@ -38,11 +42,66 @@ def pack_places(sizes: np.ndarray, target, sep: int, guard: bool = True) -> np.n
     return out
 
 
-def pack_greedy(df: DataFrame, *, group: str, order: str, tokens: str, max_tokens: int, sep_tokens: int = 1, min_tokens: int | None = None, seed: str = "pack", guard: bool = True) -> DataFrame:
-    """(group, order, chunk_idx). Only ids and sizes travel to the packing, which is serial within a group; texts are joined back by join_chunks().
+def _slice_map(sizes: np.ndarray, most: int, sep: int) -> tuple[list[int], list[int], list[int], int]:
+    """What a slice of a group makes of an open chunk: (reach, made, left, total).
+
+    A chunk that `used` tokens are in breaks before the first item j with used + reach[j] > most; then `made[j]` chunks
+    start in the slice, and `left[j]` tokens are in the last of them. Without such an item, `total` is added to it.
+    reach has only items at which an open chunk can break.
+    """
+    m = len(sizes)
+    run = np.concatenate([[0], np.cumsum(sizes + sep)])
+    reach = run[:-1] + sizes
+    after = np.maximum(np.searchsorted(reach, run[:-1] + most, "right"), np.arange(m) + 1).tolist()
+    first = min(m, int(np.searchsorted(reach, most, "right")) + 1)
+    made, left = [0] * m, [0] * m
+    for at in range(m - 1, -1, -1):
+        made[at], left[at] = (1, int(run[m] - run[at])) if after[at] >= m else (made[after[at]] + 1, left[after[at]])
+    return reach[:first].tolist(), made[:first], left[:first], int(run[m])
+
+
+def _pack_in_slices(rows: DataFrame, kinds: dict[str, str], most: int, sep: int, guard: bool, slice_items: int, tables: Tables) -> DataFrame:
+    """(g, o, chunk_idx) of groups of any size: each slice of a group becomes a map of what an open chunk holds before it to what is open behind it, the maps are chained, and then each slice is packed by itself."""
+    log = tables.keep(rank_within(rows, ["g"], [F.col("o")], name="at").withColumn("part", F.floor(F.col("at") / slice_items)))
+
+    def maps(items: pd.DataFrame) -> pd.DataFrame:
+        reach, made, left, total = _slice_map(items["n"].to_numpy(np.int64), most, sep)
+        return pd.DataFrame({"g": items["g"].iloc[:1], "part": items["part"].iloc[:1], "reach": [reach], "made": [made], "left": [left], "total": total, "first": int(items["n"].iloc[0])})
+
+    made = by_group(log, "key", ["at"], maps, f"g {kinds['g']}, part long, reach array<long>, made array<long>, left array<long>, total long, first long", df_group=F.struct("g", "part"))
+
+    def chain(slices: pd.DataFrame) -> pd.DataFrame:
+        used, chunk, out = 0, -1, []
+        for k, (reach, n, left, total) in enumerate(slices[["reach", "made", "left", "total"]].itertuples(index=False)):
+            out.append((used, chunk))
+            at = int(np.searchsorted(reach, most - used, "right")) if k else 0  # the first item opens a chunk whatever its size
+            if at < len(reach):
+                used, chunk = int(left[at]), chunk + int(n[at])
+            else:
+                used += int(total)
+        lead = int(not guard and int(slices["first"].iloc[0]) > most)
+        return slices[["g", "part"]].assign(used=[u for u, _ in out], chunk=[c + lead for _, c in out])
+
+    opened = tables.keep(by_group(made, "g", ["part"], chain, f"g {kinds['g']}, part long, used long, chunk long"))
+    names = opened.select(F.col("g").alias("_g"), F.col("part").alias("_part"), "used", "chunk")
+    # one row a slice
+    log = log.join(F.broadcast(names), log.g.eqNullSafe(F.col("_g")) & (F.col("part") == F.col("_part")))
+
+    def places(items: pd.DataFrame) -> pd.DataFrame:
+        sizes, used, chunk = items["n"].to_numpy(np.int64), int(items["used"].iloc[0]), int(items["chunk"].iloc[0])
+        reach = np.concatenate([[0], np.cumsum(sizes + sep)[:-1]]) + sizes
+        at = int(np.searchsorted(reach, most - used, "right")) if int(items["part"].iloc[0]) else 0
+        rest = pack_places(sizes[at:], most, sep) + chunk + 1
+        return items.assign(chunk_idx=np.concatenate([np.full(at, chunk), rest]))[["g", "o", "chunk_idx"]]
+
+    return by_group(log, "key", ["at"], places, f"g {kinds['g']}, o {kinds['o']}, chunk_idx long", df_group=F.struct("g", "part"))
+
+
+def pack_greedy(df: DataFrame, *, group: str, order: str, tokens: str, max_tokens: int, sep_tokens: int = 1, min_tokens: int | None = None, seed: str = "pack", guard: bool = True, slice_items: int = SLICE_ITEMS) -> DataFrame:
+    """(group, order, chunk_idx). Only ids and sizes travel to the packing; texts are joined back by join_chunks(). A group of more than `slice_items` items is packed in slices, so no task holds more than one.
 
     With `min_tokens` (0: max(100, max // 20)) each chunk has its own target between it and `max_tokens`, from a digest of seed, group and
-    chunk number.
+    chunk number; such a group is one task's work, as a chunk's target is known only when all before it are.
     """
     low = None if min_tokens is None else min_tokens or max(100, max_tokens // 20)
 
@@ -56,7 +115,21 @@ def pack_greedy(df: DataFrame, *, group: str, order: str, tokens: str, max_token
 
     rows = df.select(F.col(group).alias("g"), F.col(order).alias("o"), F.col(tokens).cast("long").alias("n"))
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    return by_group(rows, "g", ["o"], one, f"g {kinds['g']}, o {kinds['o']}, chunk_idx long").withColumnsRenamed({"g": group, "o": order})
+    schema = f"g {kinds['g']}, o {kinds['o']}, chunk_idx long"
+    with Tables(df.sparkSession) as tables:
+        hot = None
+        if low is None:
+            rows = tables.keep(rows)  # sizes are counted once, for the look at the groups and for the packing
+            # at most one group for each slice_items rows
+            hot = rows.groupBy(F.col("g").alias("_g")).agg(F.count("*").alias("_n")).where(F.col("_n") > slice_items).select("_g")
+        if hot is None or not hot.take(1):
+            out = by_group(rows, "g", ["o"], one, schema)
+        else:
+            hot = F.broadcast(tables.keep(hot))
+            same = F.col("g").eqNullSafe(F.col("_g"))
+            out = by_group(rows.join(hot, same, "left_anti"), "g", ["o"], one, schema)
+            out = out.unionByName(_pack_in_slices(rows.join(hot, same, "left_semi"), kinds, max_tokens, sep_tokens, guard, slice_items, tables))
+    return out.withColumnsRenamed({"g": group, "o": order})
 
 
 def join_chunks(df: DataFrame, places: DataFrame, *, group: str, order: str, text: str, sep: str = "\n") -> DataFrame:
