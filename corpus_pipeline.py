@@ -34,7 +34,7 @@ def _own(found: DataFrame, names: dict[str, str]) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the model knows and is sure of; texts without letters go."""
+    """Documents in a language that the model knows and is sure of; null and empty texts and texts without letters go, as do all documents where none has a language to learn from. Repeated rows stay repeated."""
     held, names = _private(docs)
     at = {f"{c}_col": _name(names, x) for c, x in (("id", "doc_id"), ("text", "text"), ("lang", "lang"))}
     found = langid.identify(held, **at, carry=tuple(names))
@@ -42,20 +42,21 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each group of near duplicates; rows without an id stay, as do all rows of an id that stays."""
+    """The document of least id of each group of near duplicates; rows without an id stay, as do all rows of an id that stays. Texts without words are near nothing, and stay."""
     gone = near_dedup.near_duplicates(docs.select("doc_id", "text"), percent=ALIKE).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    held, names = _private(docs)
+    return _own(held.join(gone, held[_name(names, "doc_id")] == gone["doc_id"], "left_anti"), names)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any window of a benchmark item."""
+    """Documents without any window of a benchmark item; null and empty texts have none, and stay."""
     held, names = _private(docs)
     found = decontam.decontaminate(held, table(spark, sf_dir, "benchmark"), id_col=_name(names, "doc_id"), text_col=_name(names, "text"), carry=tuple(names))
     return _own(found.where("n_hit = 0"), names)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with each found span replaced by its kind; n_chars follows the new text."""
+    """All documents, with each found span replaced by its kind; n_chars follows the new text. A null text stays null."""
     held, names = _private(docs)
     text, n_chars = _name(names, "text"), _name(names, "n_chars")
     found = pii.find(held, id_col=_name(names, "doc_id"), text_col=text, carry=tuple(names))
@@ -64,7 +65,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mix takes, a row for each copy, numbered from 0 in the column `copy` (in place of any of that name)."""
+    """Documents that the mix takes, a row for each copy, numbered from 0 in the column `copy` (in place of any of that name). Texts without words have no size and are not taken; rows of one id are rows of their own."""
     held, names = _private(docs.drop("copy"))
     found = mixing.pareto_mix(held, id_col=_name(names, "doc_id"), source_col=_name(names, "source"), text_col=_name(names, "text"), carry=tuple(names)).where("copies > 0")
     copies = found.select(*names, F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"))
@@ -84,6 +85,11 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages applied to the documents of a folder, each to all that the one before kept.
+
+    Nulls may stand in any column, texts may be empty or of any length, rows and ids may repeat, tables may be empty
+    (the result is then), and further columns, of whatever names, pass through; each stage says what it makes of them.
+    """
     stash = Stash(spark)
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
