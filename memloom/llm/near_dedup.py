@@ -192,6 +192,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     Null, empty or white texts: an empty set, linked with nothing, component of itself. A null id: not linked,
     component null, kept. Repeated rows are one node; an id with several texts is linked by any of them. Other columns are left out; no documents give no rows. Sets hold 64-bit hashes of shingles.
+    A text of any length is one row, whose set a task holds: some 16 bytes a word.
     """
     spark = docs.sparkSession
     stash = Stash(spark)

@@ -55,13 +55,13 @@ def test_stages(spark, folder):
 
 
 def test_columns_of_any_name_pass_through(spark, folder, tmp_path):
-    clash = [*"id n key tag ranges size source_size target taken kept items spans base step u x copies copy score lang_pred n_words n_hit quotient bands more tokens _row _id _text _source _keep0 _doc0 _last".split()]
+    clash = [*"id n key tag ranges size source_size target taken kept items spans base step u x copies copy score lang_pred n_words n_hit quotient bands more tokens _row _id _text _source _keep0 _doc0 _last meta.url a`b".split()]
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     docs.withColumns({c: F.lit(f"own {c}") for c in clash}).write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{folder}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
     out = P.run(spark, str(tmp_path))
     kept = [c for c in clash if c != "copy"]
-    assert out.columns == [*docs.columns, *kept, "copy"] and out.where(" and ".join(f"`{c}` = 'own {c}'" for c in kept)).count() == out.count() > 0
+    assert out.columns == [*docs.columns, *kept, "copy"] and out.where(" and ".join("`{}` = 'own {}'".format(c.replace("`", "``"), c) for c in kept)).count() == out.count() > 0
     assert sorted(map(repr, out.select(*docs.columns, "copy").collect())) == sorted(map(repr, P.run(spark, folder).collect()))
 
 
