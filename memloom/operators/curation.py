@@ -9,10 +9,9 @@ from pyspark.sql import functions as F
 
 from memloom.functions.answers import is_answer_correct
 from memloom.functions.text import seeded, strip, token_count, within
+from memloom.operators.containing import containing
 from memloom.operators.ranking import global_rank, rank_within
 
-#: Characters by whose equality questions and cache keys meet.
-GRAM = 6
 #: Lines of one key that are folded at once.
 SLICE_LINES = 1000
 
@@ -90,18 +89,16 @@ def build_answer_cache(lines: DataFrame, *, order: str, text: str, mark: str = "
 def lookup_cache(qas: DataFrame, cache: DataFrame, *, key: str, question: str, position: str, tail: int = 100) -> DataFrame:
     """Adds `value` of the first cache key with which the question ends, or that stands in its last `tail` characters; null without one.
 
-    Either way the key's last GRAM characters stand in the question's tail: questions and keys meet by these. Keys that
-    are shorter, of which there can be few, are held against every question.
+    Either way the question contains the key: they meet by rolling hashes (see containing), keys of any length alike.
     """
-    q, k = F.col(question), F.col("key")
-    end = F.right(q, F.lit(max(tail, GRAM)))
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(end) - GRAM + 1, F.lit(1))), lambda i: F.substring(end, i, F.lit(GRAM))))
-    keys = cache.select(k, F.col("value").alias("_value"), F.col(position).alias("_at"))
-    asked = qas.select(F.col(key).alias("_k"), q.alias("_q")).where(q.isNotNull())
-    by_gram = qas.where(q.isNotNull()).select(F.col(key).alias("_k"), q.alias("_q"), F.explode(grams).alias("_g")).join(keys.where(F.length(k) >= GRAM).withColumn("_g", F.right(k, F.lit(GRAM))), "_g").drop("_g")
-    short = asked.join(keys.where(F.length(k) < GRAM), F.contains("_q", F.col("key")))
-    hit = F.endswith("_q", F.col("key")) | F.contains(F.right("_q", F.lit(tail)), F.col("key"))
-    found = by_gram.unionByName(short.select(by_gram.columns)).where(hit).groupBy(F.col("_k").alias(key)).agg(F.min_by("_value", "_at").alias("value"))
+    one = F.lit(1)
+    asked = qas.select(F.col(key).alias("_k"), F.col(question).alias("_q"), one.alias("_g")).where(F.col("_q").isNotNull())
+    keys = cache.select(F.col("key").alias("_n"), F.col("value").alias("_value"), F.col(position).alias("_at"), one.alias("_g"))
+    # only a question's end is looked at: a key that ends it may be longer than the tail, one inside may not
+    texts = asked.select("_g", "_k", "_q")
+    near = containing(texts, keys, group="_g", id="_k", text="_q", needle="_n")
+    hit = F.endswith("_q", F.col("_n")) | F.contains(F.right("_q", F.lit(tail)), F.col("_n"))
+    found = near.join(keys, ["_g", "_n"]).join(asked, ["_g", "_k"]).where(hit).groupBy(F.col("_k").alias(key)).agg(F.min_by("_value", "_at").alias("value"))
     return qas.join(found, key, "left")
 
 

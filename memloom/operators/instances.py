@@ -6,7 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from memloom.functions.text import seeded, split_words
+from memloom.functions.text import seeded
+from memloom.operators.containing import containing
 
 
 def _in_order(items: Column) -> Column:
@@ -50,20 +51,14 @@ def link_evidence_by_context(qas: DataFrame, contexts: DataFrame, *, instance: s
 def link_evidence_by_containment(qas: DataFrame, chunks: DataFrame, *, instance: str, question: str, context: str, text: str, chunk: str, strict: bool = False) -> DataFrame:
     """Each question with the chunks of its own instance that hold its context. The last chunk wins; `strict` repeats the row for every such chunk, each time with that last index.
 
-    A context's inner words, those with white space on both sides, stand in a chunk that holds it as words too: so a
-    context meets only the chunks that have its longest inner word, by a join on instance and word, and is looked for in
-    these. One without inner words is looked for in all chunks of its instance.
+    Contexts meet chunks by rolling hashes of the chunks' texts (see containing), so no word, however common, gathers
+    rows, and texts are sent only to where a context's start is in them. Rows without an instance link nothing.
     """
-    inner = F.filter(split_words(F.col(context)), lambda w, k: (k > 0) & (k < F.size(split_words(F.col(context))) - 1))
-    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    asked = qas.withColumn("_w", longest)
-    held = chunks.select(instance, chunk, F.col(text).alias("_t"))
-    wanted = asked.where(F.col("_w").isNotNull()).select(instance, "_w").distinct()
-    having = held.select(instance, chunk, F.explode(F.array_distinct(split_words(F.col("_t")))).alias("_w")).distinct().join(wanted, [instance, "_w"], "left_semi")
-    few = asked.join(having, [instance, "_w"]).join(held, [instance, chunk])
-    every = asked.where(F.col("_w").isNull()).join(held, instance)
-    met = few.unionByName(every.select(few.columns)).where(F.contains("_t", F.col(context)))
-    last = met.groupBy(instance, question).agg(F.max(chunk).alias("evidence_idx"), F.count("*").alias("_n"))
+    chunks, qas = (x.where(F.col(instance).isNotNull()) for x in (chunks, qas))
+    held = containing(chunks, qas, group=instance, id=chunk, text=text, needle=context)
+    asked = qas.select(F.col(instance).alias("_i"), F.col(question).alias("_q"), F.col(context).alias("_c"))
+    met = held.join(asked, held[instance].eqNullSafe(F.col("_i")) & (held[context] == F.col("_c")))
+    last = met.groupBy(F.col("_i").alias(instance), F.col("_q").alias(question)).agg(F.max(chunk).alias("evidence_idx"), F.count("*").alias("_n"))
     if strict:
         last = last.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))))
     return last.drop("_n")
