@@ -10,14 +10,15 @@ from memloom.plans.registry import query, table
 
 _W = r"list_filter(string_split_regex(text, '[ \t\n\r\f\v]+'), lambda x: x <> '')"
 _D = f"SELECT doc_id, source, lang, n_chars, text, {_W} AS w FROM documents"
-_BASE = f"SELECT doc_id, source, n_chars, CASE WHEN doc_id % 9 = 0 THEN '' WHEN doc_id % 4 = 0 THEN array_to_string(w[3:9], ' ') ELSE w[3] END AS gold, CASE WHEN doc_id % 5 = 0 THEN '' ELSE array_to_string(w[1:CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 8 END], ' ') END AS pred FROM ({_D}) WHERE len(w) >= 9"
+_BASE = f"SELECT doc_id, source, n_chars, CASE WHEN doc_id % 9 = 0 THEN '' WHEN doc_id % 4 = 0 THEN array_to_string(w[3:9], ' ') ELSE coalesce(w[3], '') END AS gold, CASE WHEN doc_id % 5 = 0 THEN '' WHEN doc_id % 2 = 0 THEN array_to_string(w[4:], ' ') ELSE text END AS pred FROM ({_D})"
 _OK = "(trim(pred) <> '' AND trim(gold) <> '' AND contains(lower(trim(pred)), lower(trim(gold))))"
 
 
 def base(spark, d):
-    docs = table(spark, d, "documents").withColumn("w", split_words(F.col("text"))).where(F.size("w") >= 9)
-    gold = F.when(F.col("doc_id") % 9 == 0, "").when(F.col("doc_id") % 4 == 0, F.array_join(F.slice("w", 3, 7), " ")).otherwise(F.col("w")[2])
-    pred = F.when(F.col("doc_id") % 5 == 0, "").otherwise(F.array_join(F.when(F.col("doc_id") % 2 == 0, F.slice("w", 1, 2)).otherwise(F.slice("w", 1, 8)), " "))
+    docs = table(spark, d, "documents").withColumn("w", split_words(F.col("text")))
+    gold = F.when(F.col("doc_id") % 9 == 0, "").when(F.col("doc_id") % 4 == 0, F.array_join(F.slice("w", 3, 7), " ")).otherwise(F.coalesce(F.get("w", F.lit(2)), F.lit("")))
+    # the whole text, or all of it from the word after a short gold on
+    pred = F.when(F.col("doc_id") % 5 == 0, "").when(F.col("doc_id") % 2 == 0, F.array_join(F.slice("w", F.lit(4), F.greatest(F.size("w"), F.lit(0))), " ")).otherwise(F.col("text"))
     return docs.select("doc_id", "source", "n_chars", gold.alias("gold"), pred.alias("pred"))
 
 
@@ -152,10 +153,11 @@ def d16_reuse_answers(spark, d):
     return C.reuse_answers(e.select("event_type", "user_id").distinct(), done, keys=["event_type", "user_id"], pred="pred", order="event_id")
 
 
-@query(f"SELECT doc_id, len(w) % 5 <= 3 AS ok FROM ({_D}) WHERE len(w) >= 9 AND NOT contains(array_to_string(w[1:6], ' '), ';')")
+@query(f"SELECT doc_id, len(list_filter(string_split(t, ';'), lambda k: len(list_filter(string_split(trim(k), ' '), lambda x: x <> '')) > 3)) = 0 AS ok FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN array_to_string(w, '; ') ELSE array_to_string(w, ' ') END AS t FROM ({_D}))")
 def d17_validate_keywords(spark, d):
-    docs = table(spark, d, "documents").withColumn("w", split_words(F.col("text"))).where((F.size("w") >= 9) & ~F.contains(F.array_join(F.slice("w", 1, 6), " "), F.lit(";")))
-    text = F.concat(F.col("w")[0], F.lit("; "), F.array_join(F.slice("w", F.lit(2), F.size("w") % 5), " "))
+    docs = table(spark, d, "documents")
+    words = split_words(F.col("text"))
+    text = F.when(F.col("doc_id") % 2 == 0, F.array_join(words, "; ")).otherwise(F.array_join(words, " "))
     return docs.select("doc_id", C.validate_keywords(text).alias("ok"))
 
 

@@ -11,7 +11,9 @@ from memloom.plans.registry import query, spread, table
 
 _TOK = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]+')"
 SCORES = f"""
-q AS (SELECT item_id, 'src' || (item_id % 20) AS source, text FROM benchmark),
+s AS (SELECT source, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place, count(*) OVER () AS n FROM (SELECT DISTINCT coalesce(source, '') AS source FROM documents)),
+q AS (SELECT item_id, source, text FROM benchmark JOIN s ON s.place = item_id % n),
+documents AS (SELECT doc_id, coalesce(source, '') AS source, text FROM documents),
 t AS (SELECT source, doc_id, {_TOK.format("text")} AS w FROM documents),
 z AS (SELECT source, count(*) AS n, sum(len(w)) / count(*) AS avgdl FROM t GROUP BY source),
 tf AS (SELECT source, doc_id, len(w) AS dl, term, count(*) AS tf FROM (SELECT source, doc_id, w, unnest(w) AS term FROM t) GROUP BY source, doc_id, w, term),
@@ -27,11 +29,15 @@ r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY s DESC, doc_id)
 
 
 def _docs(spark, d):
-    return spread(table(spark, d, "documents").select("doc_id", "source", "text"))
+    """Documents; those without a source are a corpus, too."""
+    return spread(table(spark, d, "documents").select("doc_id", F.coalesce("source", F.lit("")).alias("source"), "text"))
 
 
 def _asked(spark, d):
-    return table(spark, d, "benchmark").select("item_id", F.concat(F.lit("src"), F.col("item_id") % 20).alias("source"), F.col("text").alias("query"))
+    """Each item asks one of the sources that the documents have, in turn."""
+    known = F.array_sort(F.collect_set(F.coalesce("source", F.lit("")))).alias("known")  # a name a source
+    one = F.broadcast(table(spark, d, "documents").agg(known))
+    return table(spark, d, "benchmark").crossJoin(one).select("item_id", F.get("known", F.pmod("item_id", F.size("known"))).alias("source"), F.col("text").alias("query"))
 
 
 _NAMES = {"corpus": "source", "doc": "doc_id", "query": "item_id"}
@@ -108,7 +114,7 @@ def f8b_fit_prompt(spark, d):
     return table(spark, d, "documents").select("doc_id", R.fit_prompt(F.col("text"), 100).alias("tail"), R.fit_prompt(F.col("text"), 400, other, 50).alias("fitted"))
 
 
-@query("SELECT item_id, CASE WHEN source IN ('src1', 'src2') THEN 'Choose: ' || query ELSE query END AS question, CASE WHEN contains(source, '9') THEN 'nine' WHEN starts_with(source, 'src1') THEN 'teen' WHEN source = 'src2' THEN 'two' ELSE 'other' END AS system FROM (SELECT item_id, 'src' || (item_id % 20) AS source, text AS query FROM benchmark)")
+@query(f"WITH {SCORES} SELECT item_id, CASE WHEN source IN ('src1', 'src2') THEN 'Choose: ' || query ELSE query END AS question, CASE WHEN contains(source, '9') THEN 'nine' WHEN starts_with(source, 'src1') THEN 'teen' WHEN source = 'src2' THEN 'two' ELSE 'other' END AS system FROM (SELECT item_id, source, text AS query FROM q)")
 def f9_add_source_prompt(spark, d):
     config = table(spark, d, "documents").select("source").distinct().withColumn("query_prompt", F.when(F.col("source").isin("src1", "src2"), "Choose:"))
     out = R.add_source_prompt(_asked(spark, d), config, source="source", question="query")

@@ -139,6 +139,15 @@ def i16_balance_by_length(spark, d):
     return R.balance_by_length(table(spark, d, "documents"), 4, batch="source", key="doc_id", length="n_chars", equal_size=True)
 
 
+#: The differencing method's parts depend on its ties, but not their sizes, nor that no two totals differ by more than one row.
+@query("SELECT source, count(*) AS n, sum(n_chars)::BIGINT AS total, least(4, count(*)) AS parts, count(*) // 4 AS smallest, (count(*) + 3) // 4 AS largest, true AS even FROM documents GROUP BY source")
+def i16_totals_of_balanced_parts(spark, d):
+    parts = R.balance_by_length(table(spark, d, "documents"), 4, batch="source", key="doc_id", length="n_chars", equal_size=True)
+    per = parts.groupBy("source", "part").agg(F.count("*").alias("n"), F.sum("n_chars").alias("total"), F.max("n_chars").alias("most"))
+    even = F.max("total") - F.min("total") <= F.max("most")
+    return per.groupBy("source").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.count("*").alias("parts"), F.min("n").alias("smallest"), F.max("n").alias("largest"), even.alias("even"))
+
+
 @query("SELECT doc_id, CASE WHEN r % 8 < 4 THEN r % 8 ELSE 7 - r % 8 END AS part FROM (SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) - 1 AS r FROM documents)")
 def i16_snake_balance(spark, d):
     return R.snake_balance(table(spark, d, "documents"), 4, batch="source", key="doc_id", length="n_chars").select("doc_id", "part")
@@ -149,6 +158,12 @@ def i17_micro_batches(spark, d):
     return R.micro_batches(table(spark, d, "documents"), 30_000, batch="source", key="doc_id", length="n_chars")
 
 
+@query("SELECT source, count(*) AS n, sum(n_chars)::BIGINT AS total, least(ceil(sum(n_chars) / 30000), count(*))::BIGINT AS parts FROM documents GROUP BY source")
+def i17_parts_of_micro_batches(spark, d):
+    parts = R.micro_batches(table(spark, d, "documents"), 30_000, batch="source", key="doc_id", length="n_chars")
+    return parts.groupBy("source").agg(F.count("*").alias("n"), F.sum("n_chars").alias("total"), F.count_distinct("part").alias("parts"))
+
+
 @query("WITH r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) - 1 AS r FROM documents), p AS (SELECT source, n_chars, doc_id % 4 AS b, CASE WHEN r % 8 < 4 THEN r % 8 ELSE 7 - r % 8 END AS a FROM r), o AS (SELECT source, min(t) AS min_before, max(t) AS max_before, avg(t) AS mean FROM (SELECT source, b, sum(n_chars)::BIGINT AS t FROM p GROUP BY ALL) GROUP BY source), n AS (SELECT source, min(t) AS min_after, max(t) AS max_after FROM (SELECT source, a, sum(n_chars)::BIGINT AS t FROM p GROUP BY ALL) GROUP BY source) SELECT source, min_before, max_before, round(mean, 4) AS mean, min_after, max_after, max_before - min_before AS diff_before FROM o JOIN n USING (source)")
 def i18_imbalance_stats(spark, d):
     rows = R.snake_balance(table(spark, d, "documents"), 4, batch="source", key="doc_id", length="n_chars").withColumn("b", F.col("doc_id") % 4)

@@ -137,11 +137,10 @@ def g12_containment(spark, d):
     return pairs(spark, d).select("conv_id", "turn", A.containment(F.col("pred"), F.col("aw")[0]).alias("score"))
 
 
-@query(_q("CASE WHEN turn % 2 = 1 THEN round(len(list_filter(list_transform(aw[1:4], lambda k: lower(trim(k))), lambda k: contains(pred, k))) / len(aw[1:4]), 6) ELSE contains(lower(pred), lower(trim(aw[1])))::INT::DOUBLE END", "score", f"SELECT * FROM ({PAIRS}) WHERE NOT contains(array_to_string(aw[1:4], ''), ';')"))
+@query(_q("CASE WHEN turn % 2 = 1 OR contains(gold, ';') THEN round(len(list_filter(list_transform(string_split(gold, ';'), lambda k: lower(trim(k))), lambda k: contains(pred, k))) / len(string_split(gold, ';')), 6) ELSE contains(lower(pred), lower(trim(gold)))::INT::DOUBLE END", "score", f"SELECT *, CASE WHEN turn % 2 = 1 THEN array_to_string(aw, '; ') ELSE aw[1] END AS gold FROM ({PAIRS})"))
 def g13_multi_part_recall(spark, d):
-    gold = F.when(F.col("turn") % 2 == 1, F.array_join(F.slice("aw", 1, 4), "; ")).otherwise(F.col("aw")[0])
-    base = pairs(spark, d).where(~F.contains(F.array_join(F.slice("aw", 1, 4), ""), F.lit(";")))
-    return base.select("conv_id", "turn", F.round(A.multi_part_recall(F.col("pred"), gold), 6).alias("score"))
+    gold = F.when(F.col("turn") % 2 == 1, F.array_join("aw", "; ")).otherwise(F.get("aw", F.lit(0)))
+    return pairs(spark, d).select("conv_id", "turn", F.round(A.multi_part_recall(F.col("pred"), gold), 6).alias("score"))
 
 
 @query(_q("(turn % 4 = 1 AND conv_id % 3 = 0)::INT::DOUBLE", "score"))
