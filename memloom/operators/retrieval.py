@@ -9,13 +9,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from memloom.functions.edits import nearest
 from memloom.functions.text import split_words, word_tokens
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: A query that few documents answer is filled up from the first NEAR * k of its corpus.
 NEAR = 8
-#: Names compared with an item at once; vectors of items, and of queries, multiplied at once.
-BLOCK, ROWS = 10_000, 4096
+#: Names and texts compared at once, and the characters of either.
+NAMES, TEXTS, CHARS = 4096, 512, 1 << 20
+#: Vectors of items, and of queries, multiplied at once.
+ROWS = 4096
 #: Tasks that share the item blocks of one corpus.
 SPREAD = 8
 
@@ -187,17 +190,58 @@ def system_prompt(source: Column, rules: list[tuple[str, str, str]], otherwise:
     return F.lit(otherwise) if out is None else out.otherwise(F.lit(otherwise))
 
 
-def nearest_name(items: DataFrame, names: DataFrame, *, text: str, name: str) -> DataFrame:
-    """Adds `nearest`, the name of least edit distance when both are lower-cased, and `distance`; ties go to the smallest name.
+def _in_blocks(df: DataFrame, rows: int) -> DataFrame:
+    """(own, key) of strings as rows of arrays, each of `rows` strings or CHARS characters at most (one string is never cut). Blocks are made where the rows lie."""
 
-    The names are a stated set: they are packed into rows of some BLOCK / 2 names each, as many as their number asks
-    for, and every different text meets each row once, so a text makes one row for thousands of names, not one for each.
-    Every row of items then gets the name of its text; a null text has none.
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, key, size = [], [], 0
+        for batch in batches:
+            done = []
+            for a, b in batch.itertuples(index=False):
+                if own and (len(own) >= rows or size + len(b) > CHARS):
+                    done.append((own, key))
+                    own, key, size = [], [], 0
+                own.append(a)
+                key.append(b)
+                size += len(b)
+            if done:
+                yield pd.DataFrame(done, columns=["own", "key"])
+        if own:
+            yield pd.DataFrame([(own, key)], columns=["own", "key"])
+
+    return df.mapInPandas(pack, "own array<string>, key array<string>")
+
+
+def nearest_name(items: DataFrame, names: DataFrame, *, text: str, name: str, by: str = "edits") -> DataFrame:
+    """Adds `nearest` and how near it is; ties go to the smallest name.
+
+    By `edits` both are lower-cased and `distance` is the edit distance; by `ratio` they are taken as they are and `ratio`
+    is 200 times their longest common subsequence over both lengths (100 for equal ones). Texts that equal a name are
+    joined with it. The names are a stated set: blocks of NAMES of them meet blocks of TEXTS different texts, and in a
+    block the characters that two can share bound the pairs that are worked out. Every row of items stays; a null text,
+    or any where there are no names, has no nearest one.
     """
-    known = names.select(F.col(name).alias("_n")).where(F.col("_n").isNotNull()).distinct()
-    n_blocks = max(1, -(-2 * known.count() // BLOCK))
-    packed = known.groupBy(F.pmod(F.xxhash64("_n"), F.lit(n_blocks)).alias("_h")).agg(F.collect_list("_n").alias("_n"))
-    near = F.array_min(F.transform("_n", lambda n: F.struct(F.levenshtein(F.lower("_t"), F.lower(n)).alias("d"), n.alias("n"))))
-    texts = items.select(F.col(text).alias("_t")).where(F.col("_t").isNotNull()).distinct()
-    best = texts.crossJoin(packed).withColumn("_best", near).groupBy("_t").agg(F.min("_best").alias("_best"))
-    return items.join(best, items[text] == best["_t"], "left").select(*[items[c] for c in items.columns], F.col("_best.n").alias("nearest"), F.col("_best.d").alias("distance"))
+    form = {"edits": F.lower, "ratio": lambda c: c}[by]
+    known = names.select(F.col(name).alias("own")).where(F.col("own").isNotNull()).distinct().withColumn("key", form(F.col("own")))
+    texts = items.select(F.col(text).alias("own")).where(F.col("own").isNotNull()).distinct().withColumn("key", form(F.col("own")))
+    told = texts.join(known.groupBy("key").agg(F.min("own").alias("name")), "key", "left")
+    left = _in_blocks(told.where(F.col("name").isNull()).select("own", "key"), TEXTS).toDF("t", "tk")
+    right = _in_blocks(known, NAMES).toDF("n", "nk")
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for t, tk, n, nk in batch.itertuples(index=False):
+                order = sorted(range(len(n)), key=lambda k: n[k])
+                place, cost, _ = nearest(list(tk), [nk[k] for k in order], ratio=by == "ratio")
+                yield pd.DataFrame({"t": t, "cost": cost.astype(float), "name": [n[order[k]] for k in place]})
+
+    met = left.crossJoin(right).mapInPandas(best, "t string, cost double, name string")
+    far = met.groupBy("t").agg(F.min(F.struct("cost", "name")).alias("x")).select("t", "x.cost", "x.name")
+    equal = told.where(F.col("name").isNotNull()).select("own", F.lit(0.0 if by == "edits" else -1.0), "name").toDF("t", "cost", "name")
+    # names of their own, whatever the items' columns are called
+    found = equal.unionByName(far).toDF("_text", "_cost", "_name")
+    own = {f"_own{k}": c for k, c in enumerate(items.columns)}
+    held = items.toDF(*own)
+    near = F.col("_cost").cast("int").alias("distance") if by == "edits" else (-100 * F.col("_cost")).alias("ratio")
+    at = next(k for k, c in own.items() if c == text)
+    return held.join(found, F.col(at) == F.col("_text"), "left").select(*[F.col(k).alias(c) for k, c in own.items()], F.col("_name").alias("nearest"), near)

@@ -127,3 +127,17 @@ def f10_nearest_name(spark, d):
     items = table(spark, d, "part").select("p_partkey", "p_type")
     names = table(spark, d, "nation").select(F.col("n_name").alias("name"))
     return R.nearest_name(items, names, text="p_type", name="name").select("p_partkey", "nearest", F.col("distance").cast("long").alias("distance"))
+
+
+# the longest common subsequence, a row of its table a step: the running maximum of what the row before gives
+_LCS = """p AS (SELECT t, n FROM (SELECT DISTINCT p_type AS t FROM part) CROSS JOIN (SELECT DISTINCT n_name AS n FROM nation)),
+r AS (SELECT t, n, 0 AS i, list_transform(range(0, length(n) + 1), lambda j: 0::BIGINT) AS w FROM p
+  UNION ALL SELECT t, n, i + 1, list_prepend(0::BIGINT, list_transform(range(1, length(n) + 1), lambda j: list_max(c[1:j])))
+  FROM (SELECT t, n, i, list_transform(range(1, length(n) + 1), lambda j: greatest(w[j + 1], w[j] + CASE WHEN substr(n, j, 1) = substr(t, i + 1, 1) THEN 1 ELSE 0 END)) AS c FROM r WHERE i < length(t)))"""
+
+
+@query(f"WITH RECURSIVE {_LCS}, s AS (SELECT t, n, round(200 * w[-1] / (length(t) + length(n)), 6) AS ratio FROM r WHERE i = length(t)), b AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY ratio DESC, n) AS place FROM s) SELECT p_partkey, n AS nearest, ratio FROM part JOIN b ON p_type = t WHERE place = 1")
+def f10b_nearest_by_ratio(spark, d):
+    items = table(spark, d, "part").select("p_partkey", "p_type")
+    names = table(spark, d, "nation").select(F.col("n_name").alias("name"))
+    return R.nearest_name(items, names, text="p_type", name="name", by="ratio").select("p_partkey", "nearest", F.round("ratio", 6).alias("ratio"))
