@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: A word: letters, digits and underscore of any script.
-WORD = r"[\p{L}\p{N}_]+"
+#: What parts words: all but letters, digits and underscore of any script.
+NO_WORD = r"[^\p{L}\p{N}_]+"
 #: White space that splitting looks at, in both engines.
 SPACE = r"[ \t\n\r\f\x0B]+"
 SENTENCE_END = r"(?<=[.!?])\s+"
@@ -16,7 +16,7 @@ SENTENCE_END = r"(?<=[.!?])\s+"
 
 def word_tokens(text: Column) -> Column:
     """Lower-cased words in order; null for null."""
-    return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
+    return F.filter(F.split(F.lower(text), NO_WORD), lambda w: w != "")
 
 
 def split_words(text: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from memloom.functions.edits import nearest
 from memloom.functions.text import split_words, word_tokens
+from memloom.sources.tables import Tables
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: A query that few documents answer is filled up from the first NEAR * k of its corpus.
@@ -57,9 +58,10 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, k: int, *, corpus: str = "cor
     Documents without a common word score 0 and fill the list where fewer than k score more. With s scored documents the
     fill is among the first k + s of the corpus: a query of few looks at the first NEAR * k, which every task cuts down
     to before any meet; one of many documents of which fewer than k score above 0 (a matter of negative idf) is held
-    against its whole corpus. `min_score` cuts afterwards. A query without words finds nothing.
+    against its whole corpus. `min_score` cuts afterwards. A query without words finds nothing. Scores are written once,
+    a row for each document that shares a word with a query, and read by each of these steps.
     """
-    scored = bm25_scores(docs, queries, corpus=corpus, doc=doc, text=text, query=query, query_text=query_text)
+    scored = Tables(docs.sparkSession).keep(bm25_scores(docs, queries, corpus=corpus, doc=doc, text=text, query=query, query_text=query_text))
     asked = queries.where(F.size(word_tokens(F.col(query_text))) > 0).select(query, corpus)
     counts = scored.groupBy(query, corpus).agg(F.count("*").alias("scored"), F.count_if(F.col("score") > 0).alias("above"))
     short = asked.join(counts, [query, corpus], "left").fillna(0, ["scored", "above"]).where(F.col("above") < k).select(query, corpus, (F.col("scored") + k).alias("reach"))
