@@ -111,8 +111,10 @@ def bootstrap(df: DataFrame, *, group: str, value: str, statistics: dict[str, Ca
 
 
 def _majority_values(codes: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Of each row (last axis) of drawn answers, the first value of the most frequent one (ties: the one drawn first)."""
-    votes = (codes[..., :, None] == codes[..., None, :]).sum(axis=-1)
+    """Of each row (last axis) of drawn answers, the first value of the most frequent one (ties: the one drawn first). Votes are counted by code, so codes are best small."""
+    flat = codes.reshape(-1, codes.shape[-1])
+    at = np.arange(len(flat))[:, None] * (int(flat.max(initial=0)) + 1) + flat
+    votes = np.bincount(at.ravel())[at].reshape(codes.shape)
     return np.take_along_axis(values, votes.argmax(axis=-1)[..., None], axis=-1)[..., 0]
 
 
@@ -139,9 +141,12 @@ def majority_at_n(df: DataFrame, *, source: str, prompt: str, pred: str, value:
             for n_all in sorted(set(sizes[sizes > 1])):
                 rows = batch[sizes == n_all]
                 codes = np.unique(np.array(rows["p"].tolist(), dtype=str), return_inverse=True)[1].reshape(len(rows), n_all)
+                # numbered anew within each prompt
+                codes = np.unique(np.arange(len(rows))[:, None] * (codes.max() + 1) + codes, return_inverse=True)[1].reshape(len(rows), n_all)
+                codes = codes - codes.min(axis=1, keepdims=True)
                 values, keys = np.array(rows["v"].tolist(), float), rows["h"].to_numpy(np.int64).view(np.uint64)
                 for n in sorted({n for n in (2**k for k in range(1, 31)) if n < n_all} | {n_all}):
-                    step = max(1, 4_000_000 // (resamples * n * n))
+                    step = max(1, 4_000_000 // (resamples * n_all))
                     for lo in range(0, len(rows), step):
                         part = slice(lo, lo + step)
                         at = _draws(keys[part], (resamples, n), n_all, seed * 1000 + n)

@@ -185,6 +185,9 @@ def test_bootstrapped_majority(spark):
     drawn = rng.integers(0, 6, (300, 5))
     answers = np.array([0, 1, 1, 2, 0, 2])
     assert metrics._majority_values(answers[drawn], flat[drawn]).tolist() == [plain(answers[d].tolist(), flat[d].tolist()) for d in drawn]
+    # two thousand drawn answers a row: no square of them
+    many = rng.integers(0, 1500, (20, 2000))
+    assert metrics._majority_values(many, many * 1.0).tolist() == [plain(d.tolist(), (d * 1.0).tolist()) for d in many]
     rows = [("s", 1, "a" if k < 5 else "b", float(k < 5), k) for k in range(6)] + [("s", 2, "a", 1.0, 0)]
     out = {r.n: r for r in metrics.majority_at_n(spark.createDataFrame(rows, "source string, prompt long, pred string, value double, o long"), source="source", prompt="prompt", pred="pred", value="value", order="o").collect()}
     assert set(out) == {2, 4, 6} and out[2].mean == pytest.approx(5 / 6, abs=0.05) and out[6].mean > 0.95
