@@ -55,12 +55,12 @@ def set_label_f1(predicted: Column, gold: Column) -> Column:
     return F.coalesce(F.when(predicted.isNotNull() & gold.isNotNull(), 2 * precision * recall / (precision + recall + 1e-5)), F.lit(0.0))
 
 
-def label_f1(df: DataFrame, labels: DataFrame, *, key: str, said: str = "said", golds: str = "golds") -> DataFrame:
-    """(key, f1): `said` is a JSON list of labels, of which each is taken as its nearest known one (`labels` has a column name); a text that is no list scores 0. Keys are unique."""
+def label_f1(df: DataFrame, labels: DataFrame, *, key: str, said: str = "said", golds: str = "golds", by: str = "edits") -> DataFrame:
+    """(key, f1): `said` is a JSON list of labels, of which each is taken as its nearest known one (`labels` has a column name) by edits or by ratio, as nearest_name has it; a text that is no list scores 0. Keys are unique."""
     read = df.select(key, golds, F.from_json(said, "array<string>").alias("_said"))
     # a null in the list is the empty word
     words = read.select(key, F.explode("_said").alias("_w")).withColumn("_w", F.coalesce("_w", F.lit("")))
-    near = nearest_name(words.select("_w").distinct(), labels, text="_w", name="name").select("_w", "nearest")
+    near = nearest_name(words.select("_w").distinct(), labels, text="_w", name="name", by=by).select("_w", "nearest")
     named = words.join(near, "_w").groupBy(key).agg(F.collect_list("nearest").alias("_named"))
     out = read.join(named, key, "left")
     return out.select(key, F.when(F.col("_said").isNull(), 0.0).otherwise(set_label_f1(F.col("_named"), F.col(golds))).alias("f1"))

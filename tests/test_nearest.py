@@ -5,7 +5,7 @@ import random
 import pytest
 
 from memloom.functions.edits import nearest
-from memloom.operators import retrieval
+from memloom.operators import retrieval, scoring
 
 
 def edits(a, b):
@@ -83,3 +83,11 @@ def test_no_names_and_no_texts(spark):
     none = spark.createDataFrame([], "n string")
     assert [(r.nearest, r.distance) for r in retrieval.nearest_name(items, none, text="t", name="n").collect()] == [(None, None)]
     assert retrieval.nearest_name(items.limit(0), spark.createDataFrame([("a",)], "n string"), text="t", name="n", by="ratio").collect() == []
+
+
+def test_labels_by_edits_and_by_ratio(spark):
+    # four edits to "x", five to "abcdefghi", of which it has four letters in order
+    labels = spark.createDataFrame([("x",), ("abcdefghi",)], "name string")
+    rows = spark.createDataFrame([(1, '["abcd"]', ["abcdefghi"])], "k long, said string, golds array<string>")
+    got = {by: scoring.label_f1(rows, labels, key="k", by=by).first().f1 for by in ("edits", "ratio")}
+    assert got["edits"] == 0.0 and got["ratio"] == pytest.approx(1.0, abs=1e-4)
