@@ -244,3 +244,16 @@ def select_benchmark(df: DataFrame, name: str, subsets: dict[str, tuple[str, obj
 def sample_rows(df: DataFrame, n: int, *, key: str, seed: str = "rows") -> DataFrame:
     """n rows by seeded order; all for -1."""
     return df if n < 0 else df.orderBy(seeded(seed, F.col(key)), key).limit(n)
+
+
+def sample_share(df: DataFrame, share: float, *, group: str, key: str, above: int = 50, seed: str = "share") -> DataFrame:
+    """Of each group of more than `above` rows the first int(rows * share) by seeded order; smaller groups stay whole.
+
+    Null is a group. Rows are numbered by range partitions, so no group is in one task; rows of one key stand in any order.
+    """
+    names = {f"_own{k}": c for k, c in enumerate(df.columns)}
+    at = {c: k for k, c in names.items()}
+    held = df.toDF(*names).withColumn("_order", seeded(seed, F.col(at[key])))
+    ranked = rank_within(held, [at[group]], [F.col("_order"), F.col(at[key])], name="_rank", size="_rows")
+    kept = ranked.where((F.col("_rows") <= above) | (F.col("_rank") < F.floor(F.col("_rows") * F.lit(share))))
+    return kept.select(*[F.col(k).alias(c) for k, c in names.items()])

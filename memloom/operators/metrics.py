@@ -10,6 +10,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from memloom.functions.text import seeded
+from memloom.operators.ranking import rank_within
+
+#: Hex digits of a digest that name a draw: 60 bits, far more than any group has values.
+DIGITS = 15
+
 
 def instance_then_source(df: DataFrame, *, instance: str, source: str, score: str = "score", memory: str | None = None) -> DataFrame:
     """Mean per instance, then mean over instances per source (macro). An instance's source is its least one; memory is averaged where present."""
@@ -89,25 +95,31 @@ def majority(df: DataFrame, *, group: str, pred: str, value: str, order: str) ->
     return best.select(group, F.col(f"x.{pred}").alias(pred), F.col("x.value").alias("value"), F.col("x.votes").alias("votes"))
 
 
-def bootstrap(df: DataFrame, *, group: str, value: str, statistics: dict[str, Callable[[np.ndarray], np.ndarray]], size: int | None = None, resamples: int = 1000, seed: int = 42) -> DataFrame:
+def bootstrap(df: DataFrame, *, group: str, value: str, statistics: dict[str, Callable[[Column], Column]], size: int | None = None, resamples: int = 1000, seed: int = 42) -> DataFrame:
     """(group, statistic, mean, std): mean and population deviation of each statistic over resamples with replacement.
 
-    A statistic takes a matrix, a row a resample. The generator is seeded by group, so results do not depend on where a
-    group is worked on; values are sorted first, so neither on their order. A group's values are held by one task (a
-    prompt's samples, some tens).
+    A statistic is an aggregate of a column (F.max, F.avg, ..). A resample has `size` draws, or as many as the group has
+    values. Values are numbered in order within their group, and a draw is a digest of seed, group, resample and draw
+    that names such a number, so results hang on nothing but the values. Draws meet values by group and number and a
+    resample's statistics are partial sums: no group, however large, is in one task, and its draws are made where its
+    values lie. Null values are left out, null groups are one group; a group without values has no row.
     """
-    names = list(statistics)
-
-    def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        v = np.sort(rows["v"].to_numpy(float))
-        rng = np.random.default_rng([seed, *str(key[0]).encode()])
-        draws = v[rng.integers(0, len(v), (resamples, size or len(v)))]
-        found = [statistics[n](draws) for n in names]
-        return pd.DataFrame({"g": [key[0]] * len(names), "statistic": names, "mean": [float(np.mean(x)) for x in found], "std": [float(np.std(x)) for x in found]})
-
-    kind = df.schema[group].dataType.simpleString()
-    rows = df.where(F.col(value).isNotNull()).select(F.col(group).alias("g"), F.col(value).cast("double").alias("v"))
-    return rows.groupBy("g").applyInPandas(one, f"g {kind}, statistic string, mean double, std double").withColumnRenamed("g", group)
+    held = df.where(F.col(value).isNotNull()).select(F.col(group).alias("g"), F.col(value).cast("double").alias("v"))
+    values = rank_within(held, ["g"], [F.col("v")], name="place", size="n")
+    tries = F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("r")
+    if size is None:
+        # the draw of a value's own number: a hot group's draws are as spread as its values
+        drawn = values.select("g", "n", F.col("place").alias("j"), tries)
+    else:
+        drawn = values.where(F.col("place") == 0).select("g", "n", tries).select("*", F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("j"))
+    at = F.pmod(F.conv(F.substring(seeded(str(seed), F.col("g"), F.col("r"), F.col("j")), 1, DIGITS), 16, 10).cast("long"), F.col("n"))
+    drawn = drawn.select(F.col("g").alias("_g"), "r", at.alias("_place"))
+    met = drawn.join(values, F.col("g").eqNullSafe(F.col("_g")) & (F.col("place") == F.col("_place")))
+    names = {f"s{k}": name for k, name in enumerate(statistics)}
+    each = met.groupBy("g", "r").agg(*[f(F.col("v")).cast("double").alias(k) for k, f in zip(names, statistics.values())])
+    over = each.groupBy("g").agg(*[f(k).alias(f"{k}{x}") for k in names for x, f in (("m", F.avg), ("d", F.stddev_pop))])
+    rows = F.explode(F.array(*[F.struct(F.lit(name).alias("statistic"), F.col(f"{k}m").alias("mean"), F.col(f"{k}d").alias("std")) for k, name in names.items()])).alias("x")
+    return over.select(F.col("g").alias(group), rows).select(group, "x.*")
 
 
 def _majority_values(codes: np.ndarray, values: np.ndarray) -> np.ndarray:

@@ -28,13 +28,16 @@ def global_rank(df: DataFrame, order: list[Column], *, name: str = "rank") -> Da
         return rows.withColumn("_part", F.shiftright("_at", 33)).join(offsets, "_part").withColumn(name, place).drop("_part", "_before", "_at")
 
 
-def rank_within(df: DataFrame, keys: list[str], order: list[Column], *, name: str = "rank") -> DataFrame:
-    """Adds `rank` 0..n-1 within each group of equal keys, however large: the place in the whole order after the group's first."""
+def rank_within(df: DataFrame, keys: list[str], order: list[Column], *, name: str = "rank", size: str | None = None) -> DataFrame:
+    """Adds `rank` 0..n-1 within each group of equal keys, however large: the place in the whole order after the group's first. `size` names a column for the rows of the group."""
     with Tables(df.sparkSession) as tables:
         ranked = tables.keep(global_rank(df, [*[F.col(k) for k in keys], *order], name="_place"))
-        first = ranked.groupBy(*[F.col(k).alias(f"_k{j}") for j, k in enumerate(keys)]).agg(F.min("_place").alias("_first"))
+        first = ranked.groupBy(*[F.col(k).alias(f"_k{j}") for j, k in enumerate(keys)]).agg(F.min("_place").alias("_first"), F.count("*").alias("_size"))
         same = None
         for j, k in enumerate(keys):
             one = F.col(k).eqNullSafe(F.col(f"_k{j}"))
             same = one if same is None else same & one
-        return ranked.join(first, same).withColumn(name, F.col("_place") - F.col("_first")).drop("_place", "_first", *[f"_k{j}" for j in range(len(keys))])
+        told = ranked.join(first, same).withColumn(name, F.col("_place") - F.col("_first"))
+        if size:
+            told = told.withColumn(size, F.col("_size"))
+        return told.drop("_place", "_first", "_size", *[f"_k{j}" for j in range(len(keys))])

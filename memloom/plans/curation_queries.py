@@ -197,3 +197,8 @@ def d21_select_benchmark(spark, d):
 @query(f"SELECT doc_id FROM documents ORDER BY {_H.format('rows')}, doc_id LIMIT 100")
 def d22_sample_rows(spark, d):
     return C.sample_rows(table(spark, d, "documents").select("doc_id"), 100, key="doc_id")
+
+
+@query(f"SELECT doc_id, source FROM (SELECT doc_id, source, count(*) OVER (PARTITION BY source) AS n, row_number() OVER (PARTITION BY source ORDER BY {_H.format('share')}, doc_id) AS r FROM documents) WHERE n <= 50 OR r <= floor(n * 0.3)")
+def d22b_sample_share(spark, d):
+    return C.sample_share(table(spark, d, "documents").select("doc_id", "source"), 0.3, group="source", key="doc_id")

@@ -119,10 +119,30 @@ def h9b_majority_at_n(spark, d):
     return M.majority_at_n(rows, source="source", prompt="uid", pred="l_returnflag", value="reward", order="pos", resamples=200)
 
 
-@query()
+def _drawn(size: str, tries: int) -> str:
+    """Mean and maximum of a user's event values over resamples; a draw is the value of the number that a digest names."""
+    return f"""WITH e AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY value) - 1 AS place, count(*) OVER (PARTITION BY user_id) AS n FROM events WHERE value IS NOT NULL),
+    k AS (SELECT user_id, max(n) AS n, unnest(range(0, {tries})) AS r FROM e GROUP BY user_id),
+    j AS (SELECT user_id, n, r, unnest(range(0, {size})) AS j FROM k),
+    d AS (SELECT user_id, r, ('0x' || substr(md5(concat_ws('|', '42', user_id::VARCHAR, r::VARCHAR, j::VARCHAR)), 1, 15))::BIGINT % n AS place FROM j),
+    s AS (SELECT user_id, r, max(value) AS a, avg(value) AS b FROM d JOIN e USING (user_id, place) GROUP BY ALL),
+    o AS (SELECT user_id, 'max' AS statistic, avg(a) AS mean, stddev_pop(a) AS std FROM s GROUP BY user_id UNION ALL SELECT user_id, 'mean', avg(b), stddev_pop(b) FROM s GROUP BY user_id)
+    SELECT user_id, statistic, round(mean, 9) AS mean, round(std, 9) AS std FROM o"""
+
+
+def _bootstrap(spark, d, **how):
+    out = M.bootstrap(table(spark, d, "events"), group="user_id", value="value", statistics={"max": F.max, "mean": F.avg}, **how)
+    return out.withColumns({"mean": F.round("mean", 9), "std": F.round("std", 9)})
+
+
+@query(_drawn("8", 200))
 def h10_bootstrap(spark, d):
-    e = table(spark, d, "events")
-    return M.bootstrap(e, group="user_id", value="value", statistics={"max": lambda x: x.max(axis=1), "mean": lambda x: x.mean(axis=1)}, size=8, resamples=200)
+    return _bootstrap(spark, d, size=8, resamples=200)
+
+
+@query(_drawn("n", 50))
+def h10b_bootstrap_whole(spark, d):
+    return _bootstrap(spark, d, resamples=50)
 
 
 def rollouts(spark, d):

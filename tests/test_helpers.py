@@ -299,7 +299,7 @@ def test_best_of_n_agrees_with_resampling(spark):
     df = spark.createDataFrame([("s", 1, float(v)) for v in rng.normal(size=12)], "source string, prompt long, value double")
     exact = {r.n: r for r in metrics.best_worst_at_n(df, source="source", prompt="prompt", value="value").collect()}
     assert set(exact) == {2, 4, 8, 12}
-    drawn = {r.statistic: r for r in metrics.bootstrap(df, group="prompt", value="value", statistics={"max": lambda x: x.max(axis=1), "min": lambda x: x.min(axis=1)}, size=4, resamples=20_000).collect()}
+    drawn = {r.statistic: r for r in metrics.bootstrap(df, group="prompt", value="value", statistics={"max": F.max, "min": F.min}, size=4, resamples=20_000).collect()}
     assert exact[4].best == pytest.approx(drawn["max"].mean, abs=0.03) and exact[4].worst_std == pytest.approx(drawn["min"].std, abs=0.03)
 
 
