@@ -22,6 +22,8 @@ WINDOWS = 500_000
 HOT_SHARE, HOT = 1e-5, 100_000
 #: Text bytes cut into runs at once: larger slices make fewer, better packed blocks.
 SLICE = 8 << 20
+#: Equal windows of a slice of which only the smallest document's leave it, wherever they stand.
+OFTEN = 8
 #: What blocks are packed with.
 LEVEL = 3
 
@@ -80,29 +82,25 @@ def plan_of(docs: DataFrame) -> tuple[int, np.ndarray]:
     return total, np.sort(hot.astype(np.int64).view(np.uint64))
 
 
-def _repeats(words: Words, start: np.ndarray, size: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Which runs (of `size` words from `start`) occur, word for word, in an earlier document of the same slice.
+def _settled(words: Words, start: np.ndarray, n: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of runs of n windows from `start`: the windows' starts and runs, which of them an earlier document of the slice covers, and which need not travel.
 
-    They are known to be covered, so they need not travel: a passage that many documents share leaves a task once.
+    A window that OFTEN windows of the slice equal leaves the slice for its smallest document only, whatever stands
+    around it; a rarer one stays in its run, which is then not cut, unless all of the run is covered.
     """
-    flat = runs(size)
-    at = np.repeat(start, size) + flat
-    per_word = mix(mix(words.codes[at].astype(np.uint64) + np.uint64(1)) * PLACES[flat % 64] + flat.astype(np.uint64))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(per_word, dtype=np.uint64)])
-    ends = np.cumsum(size)
-    keys = mix(sums[ends] - sums[ends - size] + size.astype(np.uint64))
-    order = np.lexsort((start, ids, keys))
-    k, same = keys[order], np.zeros(len(order), bool)
-    lead = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-    leader = order[np.repeat(lead, np.diff(np.append(lead, len(order))))]  # the run of the smallest id with this hash
-    later = np.flatnonzero((ids[order] > ids[leader]) & (size[order] == size[leader]))
-    own, its = order[later], leader[later]
-    n = size[own]
-    flat = runs(n)
-    equal = words.codes[np.repeat(start[own], n) + flat] == words.codes[np.repeat(start[its], n) + flat]
-    ok = np.add.reduceat(~equal, np.cumsum(n) - n) == 0 if len(n) else np.zeros(0, bool)
-    same[own[ok]] = True
-    return same
+    at, run = np.repeat(start, n) + runs(n), np.repeat(np.arange(len(n)), n)
+    covered, alike = _covered(words.codes, at, ids[run])
+    whole = np.bincount(run[covered], minlength=len(n)) == n
+    return at, run, np.flatnonzero(covered), covered & ((alike >= OFTEN) | whole[run])
+
+
+def _pieces(at: np.ndarray, run: np.ndarray, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place among the windows, windows) of each stretch of neighbouring windows of one run, of those at `some`."""
+    if not len(some):
+        return some, some
+    new = np.concatenate([[True], (some[1:] != some[:-1] + 1) | (run[some[1:]] != run[some[:-1]])])
+    first = np.flatnonzero(new)
+    return some[first], np.diff(np.append(first, len(some)))
 
 
 def _pack(words: Words, ids: np.ndarray, tags: np.ndarray, firsts: np.ndarray, row: np.ndarray, start: np.ndarray, n: np.ndarray) -> bytes:
@@ -111,7 +109,7 @@ def _pack(words: Words, ids: np.ndarray, tags: np.ndarray, firsts: np.ndarray, r
     codes = words.codes[np.repeat(start, size) + runs(size)]
     text = " ".join(words.vocab.take(pa.array(codes)).to_pylist()) if len(codes) < 64 else _joined(words.vocab.take(pa.array(codes)))
     body = text if isinstance(text, bytes) else text.encode("utf-8", "surrogatepass")
-    head = np.array([len(row)], np.int64).tobytes() + np.diff(ids[row], prepend=0).astype(np.int64).tobytes() + tags[row].astype(np.int32).tobytes() + (start - firsts[row]).astype(np.int32).tobytes() + n.astype(np.int32).tobytes()
+    head = np.array([len(row)], np.int64).tobytes() + np.diff(ids[row], prepend=0).astype(np.int64).tobytes() + tags[row].astype(np.int64).tobytes() + (start - firsts[row]).astype(np.int32).tobytes() + n.astype(np.int32).tobytes()
     return zstandard.ZstdCompressor(level=LEVEL).compress(head + body)
 
 
@@ -126,18 +124,18 @@ def _unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray,
     k = int(np.frombuffer(raw, np.int64, 1)[0])
     at = 8
     out = []
-    for kind in (np.int64, np.int32, np.int32, np.int32):
+    for kind in (np.int64, np.int64, np.int32, np.int32):
         out.append(np.frombuffer(raw, kind, k, at).astype(np.int64))
         at += k * np.dtype(kind).itemsize
     return np.cumsum(out[0]), out[1], out[2], out[3], raw[at:]
 
 
 def _ranges(ids: np.ndarray, tags: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(tags.astype(np.int32)), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], names=["id", "tag", "lo", "hi"])
+    return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(tags.astype(np.int64)), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], names=["id", "tag", "lo", "hi"])
 
 
 def _spread(batches: Iterator[pa.RecordBatch], n_buckets: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Texts to packed runs, one block for each bucket that a slice of texts meets; and ranges already known, as blocks of their own."""
+    """Texts to packed runs, one block for each bucket that a slice of texts meets; and ranges that the slice itself settles, as blocks of their own."""
     for whole in batches:
         for batch in row_slices(whole, "text", SLICE):
             words = split_words(batch.column("text"))
@@ -146,17 +144,20 @@ def _spread(batches: Iterator[pa.RecordBatch], n_buckets: int, hot: np.ndarray)
             if not len(start):
                 continue
             row = np.searchsorted(words.offsets, start, "right") - 1
-            known = _repeats(words, start, n + WIDTH - 1, ids[row])
-            bucket = (least % np.uint64(n_buckets)).astype(np.int64)
+            at, run, covered, gone = _settled(words, start, n, ids[row])
+            own_bucket = (least % np.uint64(n_buckets)).astype(np.int64)
             out_b, out_n, out_p = [], [], []
-            if known.any():
-                r, s, c = row[known], start[known] - words.offsets[row[known]], n[known]
-                head = np.array([-len(r)], np.int64).tobytes() + ids[r].astype(np.int64).tobytes() + tags[r].astype(np.int32).tobytes() + s.astype(np.int32).tobytes() + (s + c + WIDTH - 1).astype(np.int32).tobytes()
+            head, many = _pieces(at, run, covered[gone[covered]])
+            if len(head):
+                r = row[run[head]]
+                s = at[head] - words.offsets[r]
+                known = np.array([-len(r)], np.int64).tobytes() + ids[r].astype(np.int64).tobytes() + tags[r].astype(np.int64).tobytes() + s.astype(np.int32).tobytes() + (s + many + WIDTH - 1).astype(np.int32).tobytes()
                 out_b.append(int(mix(ids[r[:1]].astype(np.uint64))[0] % np.uint64(n_buckets)))
                 out_n.append(0)
-                out_p.append(zstandard.ZstdCompressor(level=LEVEL).compress(head))
-            sent = np.flatnonzero(~known)
-            by = sent[np.argsort(bucket[sent], kind="stable")]
+                out_p.append(zstandard.ZstdCompressor(level=LEVEL).compress(known))
+            head, n = _pieces(at, run, np.flatnonzero(~gone))
+            start, row, bucket = at[head], row[run[head]], own_bucket[run[head]]
+            by = np.argsort(bucket, kind="stable")
             b = bucket[by]
             cuts = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]])) if len(b) else np.zeros(0, np.int64)
             for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(b)]):
@@ -167,17 +168,18 @@ def _spread(batches: Iterator[pa.RecordBatch], n_buckets: int, hot: np.ndarray)
             yield pa.RecordBatch.from_arrays([pa.array(out_b, pa.int32()), pa.array(out_n, pa.int64()), pa.array(out_p, pa.binary())], names=["bucket", "n", "block"])
 
 
-def _covered(codes: np.ndarray, starts: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    """Which windows also start in a document of smaller id: windows are sorted, and each group of equals knows its smallest."""
+def _covered(codes: np.ndarray, starts: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which windows also start in a document of smaller id, and how many windows equal each: windows are sorted, and each group of equals knows its smallest."""
     if not len(starts):
-        return np.zeros(0, bool)
+        return np.zeros(0, bool), np.zeros(0, np.int64)
     hashes = window_hashes(mix(codes.astype(np.uint64) + np.uint64(1)), WIDTH)[starts]
     order, group = equal_windows(codes, starts, hashes, WIDTH)
     heads = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
     least = np.minimum.reduceat(owner[order], heads)
-    covered = np.zeros(len(starts), bool)
+    covered, alike = np.zeros(len(starts), bool), np.zeros(len(starts), np.int64)
     covered[order] = owner[order] > least[group]
-    return covered
+    alike[order] = np.bincount(group)[group]
+    return covered, alike
 
 
 def _count(blocks: list[bytes]) -> pa.RecordBatch | None:
@@ -191,7 +193,7 @@ def _count(blocks: list[bytes]) -> pa.RecordBatch | None:
     size = n + WIDTH - 1
     first = np.cumsum(size) - size
     starts = np.repeat(first, n) + runs(n)
-    at = np.flatnonzero(_covered(words.codes, starts, np.repeat(ids, n)))
+    at = np.flatnonzero(_covered(words.codes, starts, np.repeat(ids, n))[0])
     if not len(at):
         return None
     run = np.repeat(np.arange(len(n)), n)
@@ -220,7 +222,7 @@ def _count_in_parts(blocks: list[bytes], parts: int) -> Iterator[pa.RecordBatch]
             run = np.repeat(np.arange(len(n)), n)[mine]
             held.append((codes[starts[mine][:, None] + np.arange(WIDTH)].astype(np.int32), ids[run], tags[run], begin[run] + starts[mine] - first[run]))
         codes, ids, tags, lo = (np.concatenate([h[k] for h in held]) for k in range(4))
-        at = np.flatnonzero(_covered(codes.ravel().astype(np.int64), np.arange(len(ids)) * WIDTH, ids))
+        at = np.flatnonzero(_covered(codes.ravel().astype(np.int64), np.arange(len(ids)) * WIDTH, ids)[0])
         if len(at):
             yield _ranges(ids[at], tags[at], lo[at], lo[at] + WIDTH)
 
@@ -249,7 +251,7 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 raw = zstandard.ZstdDecompressor().decompress(block)
                 k = -int(np.frombuffer(raw, np.int64, 1)[0])
                 at, cols = 8, []
-                for kind in (np.int64, np.int32, np.int32, np.int32):
+                for kind in (np.int64, np.int64, np.int32, np.int32):
                     cols.append(np.frombuffer(raw, kind, k, at))
                     at += k * np.dtype(kind).itemsize
                 yield _ranges(*cols)
@@ -257,12 +259,12 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def covered_ranges(docs: DataFrame) -> DataFrame:
-    """(id, tag, lo, hi): word ranges of documents (id long, tag int, text) that a smaller id's windows cover."""
+    """(id, tag, lo, hi): word ranges of documents (id long, tag long, text) that a smaller id's windows cover."""
     total, hot = plan_of(docs)
     n_buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // WINDOWS))
     blocks = docs.mapInArrow(lambda it: _spread(it, n_buckets, hot), "bucket int, n long, block binary")
     n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_buckets // 16)
-    return blocks.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_gather, "id long, tag int, lo int, hi int")
+    return blocks.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_gather, "id long, tag long, lo int, hi int")
 
 
 def _cut(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.RecordBatch]:
@@ -293,8 +295,9 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     A word goes if a window of 13 words over it also starts in a document with a smaller id. Each text is cut into
     super-k-mers, which are dealt by their minimiser: a window and its equals always meet in one bucket. There are as
     many buckets as the windows, counted first, ask for; windows of a hot minimiser are dealt by a longer one. A slice
-    of texts sends a passage that repeats in it once, for its smallest document (the others are settled there), so a
-    passage that very many documents share arrives as often as there are slices, not documents. A bucket sorts its
+    of texts sends a passage that repeats in it once, for its smallest document (the others are settled there), and so a
+    window that is frequent in it, whatever stands around that: a passage that very many documents share arrives as often
+    as there are slices, not documents. A bucket sorts its
     windows, compares neighbours word by word, and gives only the covered ranges back, which are joined to the texts; a
     bucket that is too large all the same is sorted in parts.
 
@@ -306,7 +309,7 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     # ids that repeat need their texts told apart; where none does, the mark costs nothing
     repeats = rows.where(F.col("id").isNotNull()).groupBy("id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
-    rows = rows.withColumn("tag", F.pmod(F.xxhash64("text"), F.lit(1 << 30)).cast("int") if repeats else F.lit(0))
+    rows = rows.withColumn("tag", F.xxhash64("text") if repeats else F.lit(0).cast("long"))
     found = covered_ranges(rows.where(F.col("id").isNotNull() & (F.length("text") >= 2 * WIDTH - 1)))
     found = found.groupBy("id", "tag").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
     joined = rows.join(found, ["id", "tag"], "left").select("id", "text", "ranges")

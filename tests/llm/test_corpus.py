@@ -125,6 +125,33 @@ def test_substring_dedup_of_a_hot_passage(spark):
     assert collected(substring_dedup.dedup_substrings(df), "doc_id", "n_words", "n_removed", "kept_sha256") == sorted(brute.substrings(data), key=repr)
 
 
+def test_substring_dedup_of_a_hot_window(spark):
+    rng = random.Random(11)
+    passage = [f"p{k}" for k in range(20)]
+    data = []
+    for k in range(600):
+        own = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+        data.append((1000 - k, " ".join(own(rng.randrange(30)) + passage + own(rng.randrange(30)))))
+    # a slice sends each window of the passage for its smallest document only, though no two runs are alike at their ends
+    batch = pa.record_batch({"id": pa.array([i for i, _ in data], pa.int64()), "text": pa.array([t for _, t in data]), "tag": pa.array([0] * len(data), pa.int64())})
+    sent, known = [], 0
+    for out in substring_dedup._spread(iter([batch]), 4, np.zeros(0, np.uint64)):
+        for n, block in zip(out.column("n").to_pylist(), out.column("block").to_pylist()):
+            raw = zstandard.ZstdDecompressor().decompress(block)
+            if not n:
+                known += 1
+                continue
+            ids, _, _, runs_, text = substring_dedup._unpack(raw)
+            words, at = text.decode().split(" "), 0
+            for i, m in zip(ids, runs_):
+                sent += [(tuple(words[at + j : at + j + 13]), i) for j in range(m)]
+                at += m + 12
+    inside = [(w, i) for w, i in sent if w[0].startswith("p") and w[12].startswith("p")]
+    assert known == 1 and len(inside) == 8 and {i for _, i in inside} == {401}
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    assert collected(substring_dedup.dedup_substrings(df), "doc_id", "n_words", "n_removed", "kept_sha256") == sorted(brute.substrings(data), key=repr)
+
+
 def test_substring_dedup_of_a_hot_minimiser(spark, monkeypatch):
     rng = random.Random(5)
     vocab = [f"v{k}" for k in range(400)]
