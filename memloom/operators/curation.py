@@ -39,7 +39,7 @@ def keep_until_quota(qas: DataFrame, *, instance: str, order: str, gold: str, pr
 
 def keep_answerable(qas: DataFrame, *, instance: str, gold: str = "gold", pred: str = "pred", min_count: int = 20) -> DataFrame:
     """Rows whose gold is in the prediction; of a gold with `;` only the parts found stay, and the row if any does. Instances with fewer than `min_count` rows go. A missing prediction finds nothing."""
-    parts = F.transform(F.split(gold, ";"), F.trim)
+    parts = F.transform(F.split(gold, ";"), lambda p: F.trim(p))  # by itself trim() would take a part's place as what to trim
     found = F.filter(parts, lambda p: within(p, F.col(pred)))
     new = F.when(F.contains(gold, F.lit(";")), F.when(F.size(found) > 0, F.concat_ws(";", found))).otherwise(F.when(within(F.col(gold), F.col(pred)), F.col(gold)))
     rows = qas.where(F.col(pred).isNotNull()).withColumn(gold, new).where(F.col(gold).isNotNull())

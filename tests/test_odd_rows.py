@@ -31,3 +31,10 @@ def documents(*texts, source="s"):
 def test_numbers_that_follow_each_other(spark, tmp_path):
     got = agree(spark, tmp_path, "b11_newline_numbered", documents("56.187.2.1 is", "so. 7. 8. 9. x", "plain", None))
     assert got[0]["text"] == "Do.\n1. 56.187.2.1 is.\n22. end"
+
+
+def test_parts_that_begin_with_their_place(spark, tmp_path):
+    # the gold of every fourth row is its third to ninth word, of which the prediction has those from the fourth on
+    rows = documents(*["w w no 196.3 2and 33 44 5 6 end"] * 61)
+    got = agree(spark, tmp_path, "d4_keep_answerable", rows)
+    assert {r["gold"] for r in got if r["doc_id"] in (4, 8, 28)} == {"196.3;2and;33;44;5;6"}
