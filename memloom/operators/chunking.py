@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -132,25 +133,25 @@ def pack_greedy(df: DataFrame, *, group: str, order: str, tokens: str, max_token
     return out.withColumnsRenamed({"g": group, "o": order})
 
 
-def join_chunks(df: DataFrame, places: DataFrame, *, group: str, order: str, text: str, sep: str = "\n") -> DataFrame:
-    """(group, chunk_idx, text, n_items): chunk texts in order, trimmed."""
+def join_chunks(df: DataFrame, places: DataFrame, *, group: str, order: str, text: str, sep: str = "\n", trim: Callable[[Column], Column] = strip) -> DataFrame:
+    """(group, chunk_idx, text, n_items): chunk texts in order, trimmed (of white space of any kind, if `trim` says nothing else)."""
     items = df.select(group, order, text).join(places, [group, order])
     parts = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t")))), lambda x: x["t"])
-    return items.groupBy(group, "chunk_idx").agg(strip(F.array_join(parts, sep)).alias("text"), F.count("*").alias("n_items"))
+    return items.groupBy(group, "chunk_idx").agg(trim(F.array_join(parts, sep)).alias("text"), F.count("*").alias("n_items"))
 
 
-def sentences(df: DataFrame, *, key: str, text: str, end_mark: str = "<|endoftext|>") -> DataFrame:
-    """(key, pos, sentence): the text, with the end mark as a new line, cut behind . ! ? and white space."""
+def sentences(df: DataFrame, *, key: str, text: str, end_mark: str = "<|endoftext|>", trim: Callable[[Column], Column] = strip) -> DataFrame:
+    """(key, pos, sentence): the text, with the end mark as a new line, cut behind . ! ? and white space. A sentence of which trimming leaves nothing goes."""
     clean = F.regexp_replace(F.col(text), F.lit(end_mark.replace("|", "\\|")), F.lit("\n"))
     rows = df.select(key, F.posexplode(F.split(clean, SENTENCE_END)).alias("pos", "sentence"))
-    return rows.where(strip(F.col("sentence")) != "")
+    return rows.where(trim(F.col("sentence")) != "")
 
 
-def chunk_sentences(df: DataFrame, max_tokens: int, *, key: str, text: str, counter="words", count_sep: bool = True, guard: bool = True) -> DataFrame:
+def chunk_sentences(df: DataFrame, max_tokens: int, *, key: str, text: str, counter="words", count_sep: bool = True, guard: bool = True, trim: Callable[[Column], Column] = strip) -> DataFrame:
     """Sentences packed with a space between. Plain variant: count_sep=False, guard=False; there a first sentence that is too large leaves an empty chunk before it, which is a row."""
-    rows = sentences(df, key=key, text=text).withColumn("n", token_count(F.col("sentence"), counter))
+    rows = sentences(df, key=key, text=text, trim=trim).withColumn("n", token_count(F.col("sentence"), counter))
     places = pack_greedy(rows, group=key, order="pos", tokens="n", max_tokens=max_tokens, sep_tokens=int(count_sep), guard=guard)
-    chunks = join_chunks(rows, places, group=key, order="pos", text="sentence", sep=" ")
+    chunks = join_chunks(rows, places, group=key, order="pos", text="sentence", sep=" ", trim=trim)
     if guard:
         return chunks
     # chunk 1 is then the first that holds anything, and knows it from its own place: no other look at the groups
@@ -158,15 +159,15 @@ def chunk_sentences(df: DataFrame, max_tokens: int, *, key: str, text: str, coun
     return chunks.unionByName(first.select(key, F.lit(0).cast("long").alias("chunk_idx"), F.lit("").alias("text"), F.lit(0).cast("long").alias("n_items")))
 
 
-def pack_titled(df: DataFrame, max_tokens: int, *, group: str, order: str, title: str, text: str, counter="words") -> DataFrame:
-    """Articles as `Title: text`, packed; one larger than the target is cut to (target - 100) * 4 characters and left out if still too large. Each chunk keeps its titles."""
+def pack_titled(df: DataFrame, max_tokens: int, *, group: str, order: str, title: str, text: str, counter="words", trim: Callable[[Column], Column] = strip) -> DataFrame:
+    """Articles as `Title: text`, packed; one larger than the target is cut to (target - 100) * 4 characters and left out if still too large, or without a title or text. Each chunk keeps its titles."""
     whole = F.concat(F.col(title), F.lit(": "), F.col(text))
     cut = F.when(token_count(whole, counter) > max_tokens, F.substring(whole, 1, max(0, (max_tokens - 100) * 4))).otherwise(whole)
-    rows = df.select(group, order, title, cut.alias("_t")).withColumn("_n", token_count(F.col("_t"), counter)).where(F.col("_n") <= max_tokens)
+    rows = df.select(group, order, title, cut.alias("_t")).withColumn("_n", token_count(F.col("_t"), counter)).where(F.col("_t").isNotNull() & (F.col("_n") <= max_tokens))
     places = pack_greedy(rows, group=group, order=order, tokens="_n", max_tokens=max_tokens)
     met = rows.join(places, [group, order])
     parts = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("_t").alias("t"), F.col(title).alias("h"))))
-    return met.groupBy(group, "chunk_idx").agg(parts.alias("p")).select(group, "chunk_idx", strip(F.array_join(F.transform("p", lambda x: x["t"]), "\n")).alias("text"), F.transform("p", lambda x: x["h"]).alias("titles"))
+    return met.groupBy(group, "chunk_idx").agg(parts.alias("p")).select(group, "chunk_idx", trim(F.array_join(F.transform("p", lambda x: x["t"]), "\n")).alias("text"), F.transform("p", lambda x: x["h"]).alias("titles"))
 
 
 def render_session(df: DataFrame, *, key: str, turn: str, role: str, text: str, header: str = "Conversation") -> DataFrame:

@@ -30,7 +30,7 @@ def b1_token_count(spark, d):
 @query(f"WITH RECURSIVE t AS (SELECT source AS g, doc_id, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i, {_W.format('text')} AS n FROM documents), {_pack('t', 2000, 1)} SELECT g AS source, c AS chunk_idx, count(*) AS n_items, trim(string_agg(t.text, chr(10) ORDER BY i)) AS text FROM p JOIN t USING (g, i) GROUP BY g, c")
 def b2_pack_greedy(spark, d):
     rows = docs(spark, d)
-    return C.join_chunks(rows, C.pack_greedy(rows, group="source", order="doc_id", tokens="n", max_tokens=2000), group="source", order="doc_id", text="text")
+    return C.join_chunks(rows, C.pack_greedy(rows, group="source", order="doc_id", tokens="n", max_tokens=2000), group="source", order="doc_id", text="text", trim=F.trim)
 
 
 _TARGET = "102 + ('0x' || substr(md5('pack|' || g || '|' || {}::VARCHAR), 1, 8))::BIGINT % 1947"
@@ -52,7 +52,7 @@ _SENT = r"SELECT doc_id, unnest(string_split(regexp_replace(text, '([.!?])\s+',
 
 @query(f"WITH RECURSIVE s AS ({_SENT}), t AS (SELECT doc_id AS g, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS i, s, {_W.format('s')} AS n FROM s WHERE trim(s) <> ''), {_pack('t', 120, 1)} SELECT g AS doc_id, c AS chunk_idx, count(*) AS n_items, trim(string_agg(t.s, ' ' ORDER BY i)) AS text FROM p JOIN t USING (g, i) GROUP BY g, c".replace(" WHERE doc_id < 300", ""))
 def b3_chunk_sentences(spark, d):
-    return C.chunk_sentences(spread(table(spark, d, "documents")), 120, key="doc_id", text="text")
+    return C.chunk_sentences(spread(table(spark, d, "documents")), 120, key="doc_id", text="text", trim=F.trim)
 
 
 @query(
@@ -63,13 +63,13 @@ def b3_chunk_sentences(spark, d):
     UNION ALL SELECT g, 0, 0, '' FROM p WHERE i = 1 AND c = 1"""
 )
 def b3b_chunk_sentences_plain(spark, d):
-    return C.chunk_sentences(spread(table(spark, d, "documents")), 8, key="doc_id", text="text", count_sep=False, guard=False)
+    return C.chunk_sentences(spread(table(spark, d, "documents")), 8, key="doc_id", text="text", count_sep=False, guard=False, trim=F.trim)
 
 
 @query(f"WITH RECURSIVE a AS (SELECT source AS g, doc_id, 'd' || doc_id AS title, 'd' || doc_id || ': ' || text AS w FROM documents), b AS (SELECT g, doc_id, title, CASE WHEN {_W.format('w')} > 800 THEN substr(w, 1, 2800) ELSE w END AS w FROM a), t AS (SELECT g, row_number() OVER (PARTITION BY g ORDER BY doc_id) AS i, title, w, {_W.format('w')} AS n FROM b WHERE {_W.format('w')} <= 800), {_pack('t', 800, 1)} SELECT g AS source, c AS chunk_idx, trim(string_agg(w, chr(10) ORDER BY i)) AS text, string_agg(title, ',' ORDER BY i) AS titles FROM p JOIN t USING (g, i) GROUP BY g, c")
 def b4_pack_titled(spark, d):
     rows = spread(table(spark, d, "documents")).withColumn("title", F.concat(F.lit("d"), "doc_id"))
-    return C.pack_titled(rows, 800, group="source", order="doc_id", title="title", text="text").withColumn("titles", F.array_join("titles", ","))
+    return C.pack_titled(rows, 800, group="source", order="doc_id", title="title", text="text", trim=F.trim).withColumn("titles", F.array_join("titles", ","))
 
 
 @query("SELECT conv_id, 'Conversation' || chr(10) || string_agg('<' || upper(role[1]) || role[2:] || '>' || text, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id")

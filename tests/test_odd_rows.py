@@ -38,3 +38,15 @@ def test_parts_that_begin_with_their_place(spark, tmp_path):
     rows = documents(*["w w no 196.3 2and 33 44 5 6 end"] * 61)
     got = agree(spark, tmp_path, "d4_keep_answerable", rows)
     assert {r["gold"] for r in got if r["doc_id"] in (4, 8, 28)} == {"196.3;2and;33;44;5;6"}
+
+
+def test_articles_cut_at_a_new_line(spark, tmp_path):
+    # with its title the first text of 700 words has its new line at the last place that is kept
+    long = ("abc " * 900)[: 2800 - len("d0: ") - 1] + "\n" + "x " * 400
+    got = agree(spark, tmp_path, "b4_pack_titled", documents(long, None))
+    assert [(r["titles"], r["text"][-1]) for r in got] == [("d0", "\n")]
+
+
+@pytest.mark.parametrize("name", ["b2_pack_greedy", "b3_chunk_sentences", "b3b_chunk_sentences_plain"])
+def test_new_lines_at_the_ends_of_chunks(spark, tmp_path, name):
+    agree(spark, tmp_path, name, documents("\nOne two. Three\n", "\n", " Four five six. Seven\n\n", "\tEight ", "Nine\n"))
