@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import bisect
 import heapq
+import itertools
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -188,42 +190,104 @@ def weighted_resample(df: DataFrame, *, batch: str, order: str, weight: str, see
 
 
 def _differencing(lengths: list[int], k: int, equal: bool) -> list[int]:
-    """Group of each row by largest differencing: partial partitions are merged, always the two whose groups differ most, largest group to smallest."""
-    order = sorted(range(len(lengths)), key=lambda i: (-lengths[i], i))
-    heap: list[tuple] = []
-    count = 0
-
-    def push(parts: list[tuple[int, list[int]]]) -> None:
-        nonlocal count
-        parts.sort(key=lambda p: (-p[0], len(p[1]), p[1]))
-        heapq.heappush(heap, (-(parts[0][0] - parts[-1][0]), count, parts))
-        count += 1
+    """Group of each row by largest differencing: partial partitions are merged, always the two whose groups differ most, largest group to smallest.
 
+    A group is (-total, rows, first row, last row); rows of a group are chained by number. A partition has its groups of
+    a positive total, then as many without rows as make up k, which are not written down, then those of no total. So a
+    partition takes the room of its rows, not of k groups, and a small one is put into a large one group by group.
+    """
+    n, k = len(lengths), max(k, 1)
+    if k == 1 or not n:
+        return [0] * n
+    order = sorted(range(n), key=lambda i: (-lengths[i], i))
+    following = [-1] * n
+    heap: list[tuple] = []
+    count = itertools.count(n)
+
+    def spread(full: list[tuple], low: list[tuple]) -> int:
+        most = full[0] if full else low[0] if len(low) == k else (0,)
+        least = low[-1] if low else full[-1] if len(full) == k else (0,)
+        return least[0] - most[0]
+
+    def push(full: list[tuple], low: list[tuple], at: int | None = None) -> None:
+        heapq.heappush(heap, (-spread(full, low), next(count) if at is None else at, full, low))
+
+    def single(i: int) -> tuple[list[tuple], list[tuple]]:
+        one = (-lengths[i], 1, i, i)
+        return ([one], []) if lengths[i] > 0 else ([], [one])
+
+    def joined(x: tuple | None, y: tuple | None) -> tuple:
+        if x is None or y is None:
+            return x or y
+        following[x[3]] = y[2]
+        return x[0] + y[0], x[1] + y[1], x[2], y[3]
+
+    def put_in(full: list[tuple], low: list[tuple], own: list[tuple[int, tuple]], first: bool) -> None:
+        """Groups with their places from the other end into a partition; `first` if the partition's rows stand first."""
+        gone, made = [], []
+        for at, y in own:
+            here, where = (full, at) if at < len(full) else (low, at - (k - len(low)))
+            x = here[where] if where >= 0 else None
+            if x is not None:
+                gone.append((here, where))
+            made.append(joined(x, y) if first else joined(y, x))
+        for here, where in sorted(gone, key=lambda g: -g[1]):
+            del here[where]
+        for g in made:
+            bisect.insort(full if g[0] < 0 else low, g)
+
+    def merge(a: tuple[list[tuple], list[tuple]], b: tuple[list[tuple], list[tuple]]) -> None:
+        sizes = len(a[0]) + len(a[1]), len(b[0]) + len(b[1])
+        if 8 * min(sizes) <= max(sizes):
+            big, small = (a, b) if sizes[0] >= sizes[1] else (b, a)
+            own = [(k - 1 - j, y) for j, y in enumerate(small[0])] + [(len(small[1]) - 1 - j, y) for j, y in enumerate(small[1])]
+            put_in(*big, own, big is a)
+            return push(*big)
+        # both by place, b from its end; between lo and hi neither has rows
+        lo = min(k, max(len(a[0]), len(b[1])))
+        hi = max(lo, k - max(len(a[1]), len(b[0])))
+        at = lambda p, i: p[0][i] if i < len(p[0]) else p[1][i - k + len(p[1])] if i >= k - len(p[1]) else None
+        groups = [joined(at(a, i), at(b, k - 1 - i)) for i in itertools.chain(range(lo), range(hi, k))]
+        groups = sorted(g for g in groups if g is not None)
+        cut = bisect.bisect_left(groups, (0,))
+        push(groups[:cut], groups[cut:])
+
+    alone = 0  # rows that are not yet in a partition, in order: they differ least from each other and come before partitions that differ as much
     if equal:
-        for at in range(0, len(order), k):
-            part = order[at : at + k]
-            push([(lengths[i], [i]) for i in part] + [(0, []) for _ in range(k - len(part))])
-    else:
-        for i in order:
-            push([(lengths[i], [i])] + [(0, []) for _ in range(k - 1)])
-    while len(heap) > 1:
-        a, b = heapq.heappop(heap)[2], heapq.heappop(heap)[2]
-        push([(x[0] + y[0], x[1] + y[1]) for x, y in zip(a, reversed(b))])
-    out = [0] * len(lengths)
-    for g, (_, rows) in enumerate(heap[0][2] if heap else []):
-        for i in rows:
-            out[i] = g
+        for at in range(0, n, k):
+            rows = [single(i) for i in order[at : at + k]]
+            push([g for full, _ in rows for g in full], sorted(g for _, low in rows for g in low), at)
+        alone = n
+
+    def pop() -> tuple[list[tuple], list[tuple]]:
+        nonlocal alone
+        if alone < n:
+            one = single(order[alone])
+            if not heap or (-spread(*one), alone) < heap[0][:2]:
+                alone += 1
+                return one
+        return heapq.heappop(heap)[2:]
+
+    while n - alone + len(heap) > 1:
+        merge(pop(), pop())
+    out = [0] * n
+    full, low = pop()
+    for places, groups in ((range(len(full)), full), (range(k - len(low), k), low)):
+        for part, g in zip(places, groups):
+            i = g[2]
+            while i >= 0:
+                out[i], i = part, following[i]
     return out
 
 
 def balance_by_length(df: DataFrame, k: int | Column, *, batch: str, key: str, length: str, equal_size: bool = False) -> DataFrame:
-    """(batch, key, length, part): each batch's rows in k parts of nearly equal total length, by the differencing method; a batch is one task's work."""
+    """(batch, key, length, part): each batch's rows in k parts of nearly equal total length, by the differencing method (a missing length counts as 0). A batch is one task's work, of its rows' memory and of about n log n steps, however many parts."""
     count = k if isinstance(k, Column) else F.lit(k)
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("key", ignore_index=True)
         n = min(int(rows["k"].iloc[0]), len(rows))
-        return rows.assign(part=_differencing(rows["length"].tolist(), n, equal_size))[["batch", "key", "length", "part"]]
+        return rows.assign(part=_differencing(rows["length"].fillna(0).astype("int64").tolist(), n, equal_size))[["batch", "key", "length", "part"]]
 
     rows = df.select(F.col(batch).alias("batch"), F.col(key).alias("key"), F.col(length).cast("long").alias("length"), count.cast("int").alias("k"))
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}

@@ -355,3 +355,42 @@ def test_text_edges(spark):
     assert [r[0] for r in df.select(token_count(F.col("t"))).collect()] == [0, 0, 0, 2]
     with pytest.raises(Exception, match="too many tokens"):
         spark.createDataFrame([([1, 2, 3],)], "k array<int>").select(sft.truncate_tokens(F.col("k"), 2, "error")).collect()
+
+
+def slow_differencing(lengths, k, equal):
+    """Every partition with all its k groups as lists."""
+    order = sorted(range(len(lengths)), key=lambda i: (-lengths[i], i))
+    step = k if equal else 1
+    open_ = []
+    for at in range(0, len(order), step):
+        part = [(lengths[i], [i]) for i in order[at : at + step]]
+        open_.append(sorted(part + [(0, [])] * (k - len(part)), key=lambda p: (-p[0], len(p[1]), p[1])))
+    spread = lambda p: p[0][0] - p[-1][0]
+    while len(open_) > 1:
+        a, b = sorted(open_, key=lambda p: -spread(p))[:2]
+        open_ = [p for p in open_ if p is not a and p is not b]
+        open_.append(sorted([(x[0] + y[0], x[1] + y[1]) for x, y in zip(a, reversed(b))], key=lambda p: (-p[0], len(p[1]), p[1])))
+    return [next(g for g, (_, rows) in enumerate(open_[0]) if i in rows) for i in range(len(lengths))]
+
+
+def test_differencing_is_the_same_without_empty_groups():
+    rng = random.Random(8)
+    for _ in range(300):
+        n = rng.randint(1, 40)
+        lengths, k = [rng.choice([0, 0, 1, 2, 7, rng.randint(0, 500)]) for _ in range(n)], rng.randint(1, n)
+        for equal in (False, True):
+            assert rollouts._differencing(lengths, k, equal) == slow_differencing(lengths, k, equal)
+
+
+def test_differencing_takes_the_room_of_its_rows():
+    import tracemalloc
+
+    rng = random.Random(9)
+    lengths = [rng.randint(0, 3000) for _ in range(8000)]
+    tracemalloc.start()
+    parts = rollouts._differencing(lengths, 800, False)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    totals = np.bincount(parts, weights=lengths, minlength=800)
+    # 6.4 million pairs of a row and a group, written down, would take some 700 MB
+    assert peak < 20_000_000 and totals.max() - totals.min() <= 3000 and sorted(set(parts)) == list(range(800))
