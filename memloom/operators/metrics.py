@@ -76,8 +76,9 @@ def best_worst_at_n(df: DataFrame, *, source: str, prompt: str, value: str, most
 
     In closed form: with values in order, the chance that the largest of n draws is the i-th is (i/N)^n - ((i-1)/N)^n.
     """
-    w = Window.partitionBy(source, prompt)
-    ranked = df.withColumns({"_n": F.count("*").over(w), "_i": F.row_number().over(w.orderBy(value))})
+    # one order for both, so that rows are sorted once
+    w = Window.partitionBy(source, prompt).orderBy(value)
+    ranked = df.select(source, prompt, value).withColumns({"_n": F.count("*").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), "_i": F.row_number().over(w)})
     powers = [2**k for k in range(1, most.bit_length())]
     draws = F.array_distinct(F.filter(F.array(*[F.lit(p) for p in powers], F.col("_n").cast("int")), lambda n: (n <= F.col("_n")) & (n > 1)))
     each = ranked.select(source, prompt, F.col(value).alias("v"), "_n", "_i", F.explode(draws).alias("n"))

@@ -68,11 +68,17 @@ def h6_offline_eval(spark, d):
     return M.offline_eval(rows, source="o_orderpriority", scores="scores").withColumn("score", F.round("score", 4))
 
 
+#: Samples that a task sorts and groups by prompt.
+SAMPLES_A_TASK = 250_000
+
+
 def samples(spark, d):
     """Orders as prompts (uid), lineitems as their samples: reward, an order within the prompt, and a source."""
     l = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("uid"), (F.col("l_extendedprice") / 1000).alias("reward"), F.col("l_quantity").cast("long").alias("len"), "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("uid"), F.col("o_orderpriority").alias("source"))
-    return l.join(o, "uid")
+    # as many tasks as rows ask for: what they sort and group by prompt does not grow with the table
+    n = max(spark.sparkContext.defaultParallelism, l.count() // SAMPLES_A_TASK + 1)
+    return l.repartition(n, "uid").join(o.repartition(n, "uid"), "uid")
 
 
 SAMPLES = "SELECT l_orderkey AS uid, l_extendedprice / 1000 AS reward, l_quantity::BIGINT AS len, l_linenumber, l_partkey, l_suppkey, l_returnflag, o_orderpriority AS source FROM lineitem JOIN orders ON l_orderkey = o_orderkey"

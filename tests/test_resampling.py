@@ -74,3 +74,14 @@ def test_share_of_large_groups_only(spark):
     order = sorted(range(101), key=lambda k: hashlib.md5(f"share|{k}".encode()).hexdigest())
     assert [k for g, k in kept if g == "big"] == sorted(order[:25], key=lambda k: repr(("big", k)))
     assert curation.sample_share(df.limit(0), 0.5, group="g", key="_rank").count() == 0
+
+
+def test_tasks_grow_with_samples(spark, monkeypatch):
+    from memloom.plans import metrics_queries
+
+    monkeypatch.setattr(metrics_queries, "SAMPLES_A_TASK", 100)
+    out = metrics_queries.samples(spark, "/root/testdata/sf0.001")
+    assert out.rdd.getNumPartitions() > 50
+    best = metrics.best_worst_at_n(out, source="source", prompt="uid", value="reward")
+    plan = best._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("+- Window") == 1
