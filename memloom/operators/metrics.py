@@ -15,6 +15,8 @@ from memloom.operators.ranking import rank_within
 
 #: Hex digits of a digest that name a draw: 60 bits, far more than any group has values.
 DIGITS = 15
+#: Values of a group that are one row's array, and draws that a task makes.
+WHOLE, DRAWS = 10_000, 2_000_000
 
 
 def instance_then_source(df: DataFrame, *, instance: str, source: str, score: str = "score", memory: str | None = None) -> DataFrame:
@@ -96,26 +98,49 @@ def majority(df: DataFrame, *, group: str, pred: str, value: str, order: str) ->
     return best.select(group, F.col(f"x.{pred}").alias(pred), F.col("x.value").alias("value"), F.col("x.votes").alias("votes"))
 
 
-def bootstrap(df: DataFrame, *, group: str, value: str, statistics: dict[str, Callable[[Column], Column]], size: int | None = None, resamples: int = 1000, seed: int = 42) -> DataFrame:
+def bootstrap(df: DataFrame, *, group: str, value: str, statistics: dict[str, Callable[[Column], Column]], size: int | None = None, resamples: int = 1000, seed: int = 42, whole: int = WHOLE) -> DataFrame:
     """(group, statistic, mean, std): mean and population deviation of each statistic over resamples with replacement.
 
     A statistic is an aggregate of a column (F.max, F.avg, ..). A resample has `size` draws, or as many as the group has
     values. Values are numbered in order within their group, and a draw is a digest of seed, group, resample and draw
-    that names such a number, so results hang on nothing but the values. Draws meet values by group and number and a
-    resample's statistics are partial sums: no group, however large, is in one task, and its draws are made where its
-    values lie. Null values are left out, null groups are one group; a group without values has no row.
+    that names such a number, so results hang on nothing but the values. A group of at most `whole` values is a sorted
+    array from which its draws are taken; the draws of a larger one meet its values by group and number, so that it is
+    not in one task. Tasks are as many as draws ask for. Null values are left out, null groups are one group; a group
+    without values has no row.
     """
     held = df.where(F.col(value).isNotNull()).select(F.col(group).alias("g"), F.col(value).cast("double").alias("v"))
-    values = rank_within(held, ["g"], [F.col("v")], name="place", size="n")
+    sizes = held.groupBy(F.col("g").alias("_g")).agg(F.count("*").alias("n"))
+    large = sizes.where(F.col("n") > whole).select("_g")
+    told = sizes.select("n", F.when(F.col("n") > whole, F.col("n")).alias("l")).agg(F.count("*").alias("groups"), F.sum("n").alias("n"), F.count("l").alias("large"), F.sum("l").alias("n_large")).first()
+
+    def tasks(groups: int, n: int) -> int:
+        return max(df.sparkSession.sparkContext.defaultParallelism, resamples * (n if size is None else groups * size) // DRAWS + 1)
+
     tries = F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("r")
-    if size is None:
-        # the draw of a value's own number: a hot group's draws are as spread as its values
-        drawn = values.select("g", "n", F.col("place").alias("j"), tries)
-    else:
-        drawn = values.where(F.col("place") == 0).select("g", "n", tries).select("*", F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("j"))
-    at = F.pmod(F.conv(F.substring(seeded(str(seed), F.col("g"), F.col("r"), F.col("j")), 1, DIGITS), 16, 10).cast("long"), F.col("n"))
-    drawn = drawn.select(F.col("g").alias("_g"), "r", at.alias("_place"))
-    met = drawn.join(values, F.col("g").eqNullSafe(F.col("_g")) & (F.col("place") == F.col("_place")))
+
+    def place(g: Column, r: Column, j: Column, n: Column) -> Column:
+        return F.pmod(F.conv(F.substring(seeded(str(seed), g, r, j), 1, DIGITS), 16, 10).cast("long"), n)
+
+    small = held
+    if told.large:
+        large = F.broadcast(large)  # at most one group for each `whole` values
+        small = held.join(large, F.col("g").eqNullSafe(F.col("_g")), "left_anti")
+    n_small = tasks(told.groups - told.large, (told.n or 0) - (told.n_large or 0))
+    arrays = small.repartition(n_small, "g").groupBy("g").agg(F.array_sort(F.collect_list("v")).alias("values"))
+    last = F.size("values") - 1 if size is None else F.lit(size - 1)
+    one = lambda j: F.get("values", place(F.col("g"), F.col("r"), j, F.size("values").cast("long")).cast("int"))
+    met = arrays.select("g", "values", tries).select("g", "r", F.explode(F.transform(F.sequence(F.lit(0), last), one)).alias("v"))
+    if told.large:
+        values = rank_within(held.join(large, F.col("g").eqNullSafe(F.col("_g")), "left_semi"), ["g"], [F.col("v")], name="place", size="n")
+        n_large = tasks(told.large, told.n_large)
+        if size is None:
+            # the draw of a value's own number: a hot group's draws are as spread as its values
+            drawn = values.select("g", "n", F.col("place").alias("j"), tries)
+        else:
+            drawn = values.where(F.col("place") == 0).select("g", "n", tries).repartition(n_large, "g", "r").select("*", F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("j"))
+        drawn = drawn.select(F.col("g").alias("_g"), "r", place(F.col("g"), F.col("r"), F.col("j"), F.col("n")).alias("_place")).repartition(n_large, "_g", "_place")
+        same = F.col("g").eqNullSafe(F.col("_g")) & (F.col("place") == F.col("_place"))
+        met = met.unionByName(drawn.join(values.repartition(n_large, "g", "place"), same).select("g", "r", "v"))
     names = {f"s{k}": name for k, name in enumerate(statistics)}
     each = met.groupBy("g", "r").agg(*[f(F.col("v")).cast("double").alias(k) for k, f in zip(names, statistics.values())])
     over = each.groupBy("g").agg(*[f(k).alias(f"{k}{x}") for k in names for x, f in (("m", F.avg), ("d", F.stddev_pop))])

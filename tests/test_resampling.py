@@ -76,6 +76,28 @@ def test_share_of_large_groups_only(spark):
     assert curation.sample_share(df.limit(0), 0.5, group="g", key="_rank").count() == 0
 
 
+@pytest.mark.parametrize("size", [None, 3])
+def test_bootstrap_of_arrays_and_of_joins_is_the_same(spark, size):
+    rows = [(g, float(k * 7 % 11) if k % 5 else None) for g, n in ((1, 40), (2, 9), (None, 30), (3, 1)) for k in range(n)]
+    df = spark.createDataFrame(rows, "g long, value double").repartition(3)
+    run = lambda whole: {(r.g, r.statistic): (r.mean, r.std) for r in metrics.bootstrap(df, group="g", value="value", statistics=STATISTICS, size=size, resamples=20, whole=whole).collect()}
+    arrays = run(100)
+    for whole in (0, 10):
+        joins = run(whole)
+        assert set(joins) == set(arrays) and all(joins[k] == pytest.approx(arrays[k]) for k in arrays)
+
+
+def shuffles(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_draws_of_small_groups_are_not_shuffled(spark):
+    df = spark.range(2000).select((F.col("id") % 50).alias("g"), F.col("id").cast("double").alias("value"))
+    out = metrics.bootstrap(df, group="g", value="value", statistics=STATISTICS, size=8, resamples=20)
+    # the values by group, and nothing after them
+    assert shuffles(out) <= 1 and "Join" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_tasks_grow_with_samples(spark, monkeypatch):
     from memloom.plans import metrics_queries
 
