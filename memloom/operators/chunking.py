@@ -140,23 +140,55 @@ def join_chunks(df: DataFrame, places: DataFrame, *, group: str, order: str, tex
     return items.groupBy(group, "chunk_idx").agg(trim(F.array_join(parts, sep)).alias("text"), F.count("*").alias("n_items"))
 
 
+def _sentences(text: Column, end_mark: str = "<|endoftext|>") -> Column:
+    clean = F.regexp_replace(text, F.lit(end_mark.replace("|", "\\|")), F.lit("\n"))
+    return F.split(clean, SENTENCE_END)
+
+
 def sentences(df: DataFrame, *, key: str, text: str, end_mark: str = "<|endoftext|>", trim: Callable[[Column], Column] = strip) -> DataFrame:
     """(key, pos, sentence): the text, with the end mark as a new line, cut behind . ! ? and white space. A sentence of which trimming leaves nothing goes."""
-    clean = F.regexp_replace(F.col(text), F.lit(end_mark.replace("|", "\\|")), F.lit("\n"))
-    rows = df.select(key, F.posexplode(F.split(clean, SENTENCE_END)).alias("pos", "sentence"))
+    rows = df.select(key, F.posexplode(_sentences(F.col(text), end_mark)).alias("pos", "sentence"))
     return rows.where(trim(F.col("sentence")) != "")
 
 
+def _chunk_starts(max_tokens: int, sep: int, guard: bool):
+    """The first item of each chunk that holds any, for an array of sizes."""
+
+    @F.pandas_udf("array<int>")
+    def starts(sizes: pd.Series) -> pd.Series:
+        places = [pack_places(np.asarray(n, np.int64), max_tokens, sep, guard) for n in sizes]
+        return pd.Series([np.flatnonzero(np.diff(p, prepend=-1)) for p in places], dtype=object)
+
+    return starts
+
+
 def chunk_sentences(df: DataFrame, max_tokens: int, *, key: str, text: str, counter="words", count_sep: bool = True, guard: bool = True, trim: Callable[[Column], Column] = strip) -> DataFrame:
-    """Sentences packed with a space between. Plain variant: count_sep=False, guard=False; there a first sentence that is too large leaves an empty chunk before it, which is a row."""
-    rows = sentences(df, key=key, text=text, trim=trim).withColumn("n", token_count(F.col("sentence"), counter))
-    places = pack_greedy(rows, group=key, order="pos", tokens="n", max_tokens=max_tokens, sep_tokens=int(count_sep), guard=guard)
-    chunks = join_chunks(rows, places, group=key, order="pos", text="sentence", sep=" ", trim=trim)
-    if guard:
-        return chunks
-    # chunk 1 is then the first that holds anything, and knows it from its own place: no other look at the groups
-    first = chunks.where("chunk_idx = 1").join(chunks.where("chunk_idx = 0").select(key), key, "left_anti")
-    return chunks.unionByName(first.select(key, F.lit(0).cast("long").alias("chunk_idx"), F.lit("").alias("text"), F.lit(0).cast("long").alias("n_items")))
+    """(key, chunk_idx, text, n_items): sentences packed with a space between; a row's sentences are packed where it is read, as a text is a group. Rows without a key go. Plain variant: count_sep=False, guard=False; there a first sentence that is too large leaves an empty chunk before it, which is a row.
+
+    A counter that is a function is applied to a column with a row a sentence.
+    """
+    if callable(counter):
+        rows = sentences(df, key=key, text=text, trim=trim).where(F.col(key).isNotNull()).withColumn("n", token_count(F.col("sentence"), counter))
+        one = F.array_sort(F.collect_list(F.struct("pos", "sentence", F.col("n").cast("long").alias("n"))))
+        rows = rows.groupBy(F.col(key).alias("k")).agg(one.alias("x")).select("k", F.col("x.sentence").alias("s"), F.col("x.n").alias("n"))
+    else:
+        held = F.filter(_sentences(F.col(text)), lambda s: trim(s) != "")
+        rows = df.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), held.alias("s")).where(F.size("s") > 0)
+        rows = rows.withColumn("n", F.transform("s", lambda s: token_count(s, counter)))
+    rows = rows.withColumn("at", _chunk_starts(max_tokens, int(count_sep), guard)("n"))
+    # without guard chunk 0 is empty before a first sentence that is too large
+    lead = F.lit(0) if guard else (F.get("n", F.lit(0)) > max_tokens).cast("int")
+    chunk = lambda idx, text, n: F.struct(idx.cast("long").alias("chunk_idx"), text.alias("text"), n.cast("long").alias("n_items"))
+
+    def made(at: Column, i: Column) -> Column:
+        n = F.coalesce(F.get("at", i + 1), F.size("s")) - at
+        return chunk(i + lead, trim(F.array_join(F.slice("s", at + 1, n), " ")), n)
+
+    chunks = F.transform("at", made)
+    if not guard:
+        empty = F.array(chunk(F.lit(0), F.lit(""), F.lit(0)))
+        chunks = F.when(lead == 1, F.concat(empty, chunks)).otherwise(chunks)
+    return rows.select(F.col("k").alias(key), F.explode(chunks).alias("c")).select(key, "c.*")
 
 
 def pack_titled(df: DataFrame, max_tokens: int, *, group: str, order: str, title: str, text: str, counter="words", trim: Callable[[Column], Column] = strip) -> DataFrame:

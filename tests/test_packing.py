@@ -57,3 +57,27 @@ def test_a_whole_table_as_one_group(spark):
     sizes = [r.n for r in docs.orderBy("doc_id").collect()]
     got = chunking.pack_greedy(docs, group="g", order="doc_id", tokens="n", max_tokens=5000, slice_items=100).orderBy("doc_id").collect()
     assert [r.chunk_idx for r in got] == slow_pack(sizes, 5000, 1, True)
+
+
+@pytest.mark.parametrize("guard", [True, False])
+def test_sentences_are_packed_where_they_are_read(spark, guard):
+    rng = random.Random(4)
+    sizes = {k: [rng.choice([1, 2, 3, 9, 12]) for _ in range(rng.randint(1, 30))] for k in range(60)}
+    text = lambda n: " ".join(" ".join(["w"] * x) + "." for x in n)
+    df = spark.createDataFrame([(k, text(n)) for k, n in sizes.items()] + [(None, "w."), (100, None), (101, " ")], "k long, t string").repartition(3)
+    words = lambda c: F.size(F.split(c, " ")).cast("long")
+    for counter in ("words", words):
+        out = chunking.chunk_sentences(df, 8, key="k", text="t", counter=counter, guard=guard)
+        if counter == "words":
+            assert "hashpartitioning" not in out._jdf.queryExecution().executedPlan().toString()
+        got = {}
+        for r in out.collect():
+            got.setdefault(r.k, {})[r.chunk_idx] = (r.text, r.n_items)
+        assert set(got) == set(sizes)
+        for k, n in sizes.items():
+            want = {} if guard or n[0] <= 8 else {0: ("", 0)}
+            places = slow_pack(n, 8, 1, guard)
+            for c in sorted(set(places)):
+                own = [x for x, p in zip(n, places) if p == c]
+                want[c] = (text(own), len(own))
+            assert got[k] == want
