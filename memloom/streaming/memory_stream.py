@@ -20,17 +20,18 @@ _GONE = object()
 
 
 class Touched(MutableMapping):
-    """A map in the state store of which only the keys that are asked for are read, once, and only those that changed are written back."""
+    """A map in the state store of which only the keys that are asked for are read, once, and only those that changed are written back. One that is known to be empty is not read at all."""
 
-    def __init__(self, state, to_key: Callable[[tuple], tuple] = lambda k: k, single: bool = False):
-        self.state, self.to_key, self.single = state, to_key, single
+    def __init__(self, state, to_key: Callable[[tuple], tuple] = lambda k: k, single: bool = False, empty: bool = False):
+        self.state, self.to_key, self.single, self.empty = state, to_key, single, empty
         self.seen: dict[tuple, object] = {}
+        self.stored: dict[tuple, object] = {}
         self.changed: set[tuple] = set()
 
     def __getitem__(self, key: tuple):
         if key not in self.seen:
-            found = self.state.getValue(self.to_key(key))
-            self.seen[key] = _GONE if found is None else found[0] if self.single else tuple(found)
+            found = None if self.empty else self.state.getValue(self.to_key(key))
+            self.seen[key] = self.stored[key] = _GONE if found is None else found[0] if self.single else tuple(found)
         if self.seen[key] is _GONE:
             raise KeyError(key)
         return self.seen[key]
@@ -53,9 +54,13 @@ class Touched(MutableMapping):
     def flush(self) -> None:
         for key in self.changed:
             value = self.seen[key]
+            # a key that was written without being asked for is not known to be there
+            stored = self.stored.get(key, _GONE if self.empty else None)
+            if value == stored:
+                continue
             if value is not _GONE:
                 self.state.updateValue(self.to_key(key), (value,) if self.single else value)
-            elif self.state.containsKey(self.to_key(key)):
+            elif stored is not None or self.state.containsKey(self.to_key(key)):
                 self.state.removeKey(self.to_key(key))
 
 
@@ -76,8 +81,9 @@ class MemoryProcessor(StatefulProcessor):
         self.totals = handle.getValueState("totals", "core string, last_chunk long, next_place long, words array<long>")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        core, last, place, words = self.totals.get() if self.totals.exists() else ("", -1, 0, [0] * len(TYPES))
-        items, held = Touched(self.items), Touched(self.held, _by_digest, single=True)
+        known = self.totals.get()
+        core, last, place, words = known or ("", -1, 0, [0] * len(TYPES))
+        items, held = Touched(self.items, empty=known is None), Touched(self.held, _by_digest, single=True, empty=known is None)
         memory = MemoryState(items=items, held=held, core=core, words=dict(zip(TYPES, map(int, words))), next_place=place, **self.options)
         log = pd.concat(list(rows)).sort_values(["chunk_idx", "op_idx"], ignore_index=True)
         statuses, sizes = [], []

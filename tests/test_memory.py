@@ -135,3 +135,52 @@ def test_ranks_by_range(spark):
         assert [k for _, k in sorted(within[g])] == [k for h, k, _ in sorted(rows, key=lambda r: -r[2]) if h == g]
         assert [p for p, _ in sorted(within[g])] == list(range(len(within[g])))
     assert ranking.global_rank(df.limit(0), [F.col("v")]).count() == 0
+
+
+class Calls:
+    """Map state that counts its calls."""
+
+    def __init__(self, held=()):
+        self.held, self.calls = dict(held), []
+
+    def __getattr__(self, name):
+        def call(key, *value):
+            self.calls.append(name)
+            if name == "updateValue":
+                self.held[key] = value[0]
+            elif name == "removeKey":
+                del self.held[key]
+            else:
+                return self.held.get(key) if name == "getValue" else key in self.held
+
+        return call
+
+
+def test_a_new_instance_reads_nothing_from_its_state():
+    from memloom.streaming.memory_stream import Touched
+
+    state = Calls()
+    items = Touched(state, empty=True)
+    items["a",] = ("x", 1)
+    items["b",] = ("y", 2)
+    assert items.pop(("b",), None) == ("y", 2) and items.get(("c",)) is None and items.pop(("d",), None) is None
+    items.flush()
+    assert state.held == {("a",): ("x", 1)} and state.calls == ["updateValue"]
+
+
+def test_keys_that_end_as_they_were_are_not_written():
+    from memloom.streaming.memory_stream import Touched
+
+    state = Calls({("a",): ("x", 1), ("b",): ("y", 2), ("c",): ("z", 3), ("e",): ("v", 5)})
+    items = Touched(state)
+    items["a",] = items["a",]
+    del items["b",]
+    items["c",] = ("other", 3)
+    items["new",] = ("w", 4)
+    assert items.get(("d",)) is None
+    items["d",] = ("q", 6)
+    del items["d",]
+    items["e",] = ("unread", 7)
+    items.flush()
+    assert state.held == {("a",): ("x", 1), ("c",): ("other", 3), ("new",): ("w", 4), ("e",): ("unread", 7)}
+    assert state.calls.count("removeKey") == 1 and state.calls.count("updateValue") == 3 and "containsKey" not in state.calls
