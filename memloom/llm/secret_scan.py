@@ -32,8 +32,9 @@ ENCODINGS = (
 )
 #: Length classes (8 characters wide, the last open), steps of p, allowed false share.
 WIDTH, CLASSES, STEPS, FALSE_SHARE = 8, 16, 100, 0.1
-#: Letters of prose that give one plain token, for the null of the false-discovery control.
-STRETCH, LEAST = 256, 20
+#: Least length of a token under test, and the lengths that prose is cut into for the null of the false-discovery control: one of each class, in turn.
+LEAST = 20
+LENGTHS = tuple(range(LEAST, (CLASSES + 1) * WIDTH, WIDTH))
 _P = "struct<start:bigint,end:bigint,class:int,p:double,encoding:string>"
 
 
@@ -63,24 +64,28 @@ def randomness(token: Column) -> Column:
 
     # stage by stage, so that each figure is worked out once
     def read(s: Column) -> Column:
-        chars = F.filter(F.split(s["body"], ""), lambda c: c != "")
-        places = F.transform(chars, lambda c: F.call_function("locate", c, s["alphabet"]).cast("double") - 1)
-        return F.struct(s["encoding"].alias("encoding"), F.length(s["alphabet"]).cast("double").alias("k"), s["n"].alias("n"), s["body"].alias("body"), F.array_distinct(chars).alias("used"), places.alias("v"))
+        k, chars = F.length(s["alphabet"]), F.split(s["body"], "")
+        place = lambda c: F.call_function("locate", c, s["alphabet"]).cast("double") - 1
+        often = lambda c: s["n"] - F.length(F.replace(s["body"], c, F.lit("")))  # noqa: E731  how often a character stands there
+        half = (k / 2).cast("int")
+        sides = F.when(k > 0, F.call_function("translate", s["body"], s["alphabet"], F.concat(F.repeat(F.lit("l"), half), F.repeat(F.lit("h"), half)))).otherwise(F.lit(""))
+        used = F.transform(F.array_distinct(chars), lambda c: F.struct(often(c).alias("n"), place(c).alias("at")))
+        return F.struct(s["encoding"].alias("encoding"), k.cast("double").alias("k"), s["n"].alias("n"), sides.alias("sides"), used.alias("used"), F.transform(chars, place).alias("v"))
 
     def figures(s: Column) -> Column:
-        k, n, v, zero = s["k"], s["n"], s["v"], F.lit(0.0)
-        often = lambda c: n - F.length(F.replace(s["body"], c, F.lit("")))  # noqa: E731  how often a character stands there
-        following = F.slice(v, 2, F.size(v))
+        v, zero = s["v"], F.lit(0.0)
+        sides = lambda x: ((F.length(s["sides"]) - F.length(F.replace(s["sides"], F.lit(x), F.lit("")))) / len(x)).cast("double")
+        over = lambda term: F.aggregate(s["used"], zero, lambda a, c: a + term(c))  # noqa: E731  a sum over the characters, by how often each is there
         return F.struct(
             s["encoding"].alias("encoding"),
-            k.alias("k"),
-            n.alias("n"),
-            F.aggregate(F.transform(s["used"], often), zero, lambda a, c: a + c * c).alias("squares"),
-            F.size(F.filter(v, lambda x: x >= k / 2)).cast("double").alias("high"),
-            F.size(F.filter(F.zip_with(F.slice(v, 1, F.size(v) - 1), following, lambda a, b: (a >= k / 2) != (b >= k / 2)), lambda x: x)).cast("double").alias("changes"),
-            F.aggregate(v, zero, lambda a, x: a + x).alias("sum"),
-            F.aggregate(v, zero, lambda a, x: a + x * x).alias("sum2"),
-            F.aggregate(F.zip_with(F.slice(v, 1, F.size(v) - 1), following, lambda a, b: a * b), zero, lambda a, x: a + x).alias("lagged"),
+            s["k"].alias("k"),
+            s["n"].alias("n"),
+            over(lambda c: c["n"] * c["n"]).alias("squares"),
+            sides("h").alias("high"),
+            (sides("lh") + sides("hl")).alias("changes"),
+            over(lambda c: c["n"] * c["at"]).alias("sum"),
+            over(lambda c: c["n"] * c["at"] * c["at"]).alias("sum2"),
+            F.aggregate(F.zip_with(F.slice(v, 1, F.size(v) - 1), F.slice(v, 2, F.size(v)), lambda a, b: a * b), zero, lambda a, x: a + x).alias("lagged"),
             (v[0] + F.element_at(v, -1)).alias("ends"),
         )
 
@@ -126,17 +131,27 @@ def _step(p: Column) -> Column:
 def plain_tokens(text: Column) -> Column:
     """Tokens that are no secrets: what the letters of a text's prose (all but tokens under test) read as when all between them is left out.
 
-    Every stretch of 256 letters of the whole text gives one, its start; lengths run through the length classes from
-    stretch to stretch, from a place that the text's digest sets, so that short texts fill all classes too.
+    All letters are cut into tokens, one after the other, whose lengths run through the length classes from a place that
+    the text's digest sets, so that short texts fill all classes too. Fewer than LEAST letters at the end belong to the
+    token before them; a text of fewer has none.
     """
     letters = F.regexp_replace(F.regexp_replace(text, TOKEN, " "), "[^A-Za-z]++", "")
-    stretches = F.regexp_extract_all(letters, F.lit(f"[A-Za-z]{{{LEAST},{STRETCH}}}"), F.lit(0))
-    turns = CLASSES - LEAST // WIDTH + 1
+    turns, whole = len(LENGTHS), sum(LENGTHS)
+    # whole rounds of all lengths; the last stretch takes what is left
+    stretches = F.regexp_extract_all(letters, F.lit(f".{{{whole}}}(?=.{{{LEAST}}})|.+"), F.lit(0))
+    twice = LENGTHS * 2
+    sizes, starts = F.array(*map(F.lit, twice)), F.array(*[F.lit(sum(twice[:k])) for k in range(2 * turns)])
 
     def cut(first: Column) -> Column:
-        return F.transform(stretches, lambda s, k: F.substring(s, F.lit(1), (F.lit(LEAST) + WIDTH * F.pmod(first + k, F.lit(turns))).cast("int")))
+        def token(s: Column, k: Column) -> Column:
+            start, size = starts[k] - starts[first], sizes[k]
+            left = F.length(s) - start - size
+            return F.substring(s, start + 1, F.when(left < LEAST, size + LEAST).otherwise(size))
 
-    return let(F.xxhash64(text), cut)
+        places = F.sequence(first, first + turns - 1)
+        return F.filter(F.flatten(F.transform(stretches, lambda s: F.transform(places, lambda k: token(s, k)))), lambda t: F.length(t) >= LEAST)
+
+    return let(F.pmod(F.xxhash64(text), F.lit(turns)).cast("int"), cut)
 
 
 def p_histogram(docs: DataFrame, tokens: Column) -> DataFrame:
