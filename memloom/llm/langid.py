@@ -6,7 +6,7 @@ Trained by follow-the-regularised-leader with elastic-net penalties, then calibr
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from memloom.llm._common import carried, mix, row_slices, runs, window_starts
+from memloom.llm._common import Stash, carried, mix, row_slices, runs, window_starts
 
 SIZES = (1, 2, 3)
 #: Places that n-grams are hashed into.
@@ -100,6 +100,18 @@ def stretches(texts: list[str | None], limit: int) -> Iterator[tuple[int, int, l
         yield lo, len(texts), texts[lo:]
 
 
+class _Rows:
+    """Rows of the sample as (places, values, language). The counts stay packed as they came; a row's values are made when it is its turn."""
+
+    def __init__(self, packed: list[tuple[bytes, bytes, int]], idf: np.ndarray):
+        self.packed, self.idf = packed, idf
+
+    def __iter__(self) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+        for places, counts, y in self.packed:
+            at, c = np.frombuffer(places, "<i4").astype(np.int64), np.frombuffer(counts, "<i4").astype(float)
+            yield np.append(at, PLACES), np.append(SCALE * c / c.sum() * self.idf[at], 1.0), y
+
+
 class Model(NamedTuple):
     languages: list[str]
     weights: np.ndarray  # PLACES x languages, times idf and SCALE
@@ -112,7 +124,7 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def _ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], n_languages: int) -> np.ndarray:
+def _ftrl(rows: Iterable[tuple[np.ndarray, np.ndarray, int]], n_languages: int) -> np.ndarray:
     """Weights (PLACES + 1 rows, the last of them the bias) of FTRL-proximal over the rows, in their order, EPOCHS times."""
     z = np.zeros((PLACES + 1, n_languages))
     n = np.zeros_like(z)
@@ -213,20 +225,23 @@ def train(labelled: DataFrame, *, sample_rows: int = SAMPLE_ROWS) -> Model | Non
     # is drawn beyond twice the sample, which takes hashes far from even, is left in the tables
     drawn = sample.select("draw", "lang", "h", "first", "text").mapInArrow(vectors, "draw double, lang string, h long, first boolean, places binary, counts binary").where(F.length("places") > 0)
     drawn = drawn.groupBy("draw", "lang", "h", "first").agg(F.min(F.struct("places", "counts")).alias("v"))
-    got = drawn.orderBy(F.col("first").desc_nulls_last(), "draw", "lang", "h").limit(2 * sample_rows).select("draw", "lang", "v.*").collect()
-    got = sorted(got, key=lambda r: (r["draw"] * 7919 % 1, r["lang"], bytes(r["places"]), bytes(r["counts"])))
-    languages = sorted({r["lang"] for r in got}, key=lambda x: x.encode())
+    # written, then read partition by partition: neither Spark's driver nor Python holds the sample more than once
+    stash = Stash(labelled.sparkSession)
+    kept = stash.keep(drawn.select("draw", "lang", "h", "first", "v.*"))
+    if kept.count() > 2 * sample_rows:
+        kept = stash.keep(kept.orderBy(F.col("first").desc_nulls_last(), "draw", "lang", "h").limit(2 * sample_rows))
+    got = [(r["draw"] * 7919 % 1, r["lang"], bytes(r["places"]), bytes(r["counts"])) for r in kept.select("draw", "lang", "places", "counts").toLocalIterator()]
+    stash.only()
+    got.sort()
+    languages = sorted({r[1] for r in got}, key=lambda x: x.encode())
     if not languages:
         return None
     number = {x: k for k, x in enumerate(languages)}
-    rows = []
-    for r in got:
-        at, c = np.frombuffer(r["places"], "<i4").astype(np.int64), np.frombuffer(r["counts"], "<i4").astype(float)
-        rows.append((np.append(at, PLACES), np.append(SCALE * c / c.sum() * idf[at], 1.0), number[r["lang"]]))
+    rows = [(places, c, number[lang]) for _, lang, places, c in got]
     held = rows[::5] if len(rows) >= 50 else []
-    fit = [r for k, r in enumerate(rows) if k % 5 or not held]
+    fit = _Rows([r for k, r in enumerate(rows) if k % 5 or not held], idf)
     w = _ftrl(fit, len(languages))
-    t = _temperature(np.array([x @ w[at] for at, x, _ in held]), np.array([y for *_, y in held], int))
+    t = _temperature(np.array([x @ w[at] for at, x, _ in _Rows(held, idf)]), np.array([y for *_, y in held], int))
     return Model(languages, (w[:-1] * idf[:, None] * SCALE).astype(np.float32), w[-1].astype(np.float32), t)
 
 

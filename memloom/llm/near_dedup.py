@@ -149,17 +149,14 @@ def _cells(s: Column) -> Column:
 
 def _in_common() -> Column:
     """The most that nodes a and b can have in common: in each cell the lesser of their shingles."""
-    most = F.least("most_a", "most_b")
-    parts = []
-    for j in range(CELLS // 4):
-        for shift in (0, 16, 32, 48):
-            a, b = (F.shiftrightunsigned(F.col(f"cells_{x}")[j], shift).bitwiseAND(F.lit(0xFFFF).cast("long")) for x in "ab")
-            parts.append(F.least(a, b))
-    total = parts[0]
-    for x in parts[1:]:
-        total = total + x
+
+    def lesser(a: Column, b: Column) -> Column:
+        parts = [F.least(*[F.shiftrightunsigned(x, shift).bitwiseAND(F.lit(0xFFFF).cast("long")) for x in (a, b)]) for shift in (0, 16, 32, 48)]
+        return parts[0] + parts[1] + parts[2] + parts[3]
+
+    total = F.aggregate(F.zip_with("cells_a", "cells_b", lesser), F.lit(0).cast("long"), lambda t, x: t + x)
     # a cell of a larger set may not fit its 16 bits
-    return F.when((F.col("n_a") < 1 << 16) & (F.col("n_b") < 1 << 16), total).otherwise(most)
+    return F.when((F.col("n_a") < 1 << 16) & (F.col("n_b") < 1 << 16), total).otherwise(F.least("most_a", "most_b"))
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int, stash: Stash) -> DataFrame:

@@ -237,6 +237,23 @@ def test_a_repeated_id_brings_one_row_to_the_sample(spark):
         langid.train(spark.createDataFrame([(k, "ab", f"l{k}") for k in range(9)], "id long, text string, lang string"), sample_rows=8)
 
 
+def test_the_sample_stands_in_the_driver_once(spark):
+    import tracemalloc
+
+    rng = random.Random(6)
+    chars = string.ascii_lowercase + "".join(map(chr, range(0x430, 0x450)))
+    data = [(k, "".join(rng.choices(chars, k=12_000)), "xy"[k % 2]) for k in range(240)]
+    df = spark.createDataFrame(data, "id long, text string, lang string").repartition(4).localCheckpoint()
+    entries = sum(len(set(langid.grams([t])[0].tolist())) for _, t, _ in data)
+    tracemalloc.start()
+    try:
+        assert langid.train(df).languages == ["x", "y"]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 16 * entries  # eight bytes an entry
+
+
 def test_every_labelled_language_is_known(spark):
     letters = [chr(c) for c in range(0x4E00, 0x4E00 + 1000)]
     rows = [(k * 20 + j, letters[k] * (j + 1), f"l{k}") for k in range(1000) for j in range(3)]
