@@ -15,8 +15,9 @@ from memloom.llm._spans import apart, hits, labelled, spans, written
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
-#: Tokens that the tests look at.
+#: Tokens that the tests look at, and the characters that they have besides letters.
 TOKEN = r"[A-Za-z0-9+/_-]{20,}={0,2}"
+NO_LETTERS = "0123456789+/_-"
 
 #: Encodings, the first that fits: name, form, alphabet.
 _DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -35,6 +36,8 @@ WIDTH, CLASSES, STEPS, FALSE_SHARE = 8, 16, 100, 0.1
 #: Least length of a token under test, and the lengths that prose is cut into for the null of the false-discovery control: one of each class, in turn.
 LEAST = 20
 LENGTHS = tuple(range(LEAST, (CLASSES + 1) * WIDTH, WIDTH))
+#: Characters after which a long text is cut for its words, at the end of a word.
+PIECE = 1 << 16
 _P = "struct<start:bigint,end:bigint,class:int,p:double,encoding:string>"
 
 
@@ -47,6 +50,11 @@ def upper_tail(z: Column) -> Column:
     return F.when(z >= 0, tail).otherwise(1 - tail)
 
 
+def _places(letters: str) -> Column:
+    """The place of each ASCII character in an alphabet, by its code; -1 for others."""
+    return F.expr(f"array({','.join(f'{letters.find(chr(code))}D' for code in range(128))})")
+
+
 def randomness(token: Column) -> Column:
     """struct<encoding, p>: p is how likely a random string of the token's encoding is to look as regular as it does.
 
@@ -55,26 +63,25 @@ def randomness(token: Column) -> Column:
     above and below the middle; correlation of neighbours. Their p-values are put together by Fisher's sum of logs.
     """
     body = F.regexp_replace(token, "=+$", "")
-    encoding = F.lit(None).cast("string")
-    alphabet = F.lit("")
+    kind = F.lit(None).cast("struct<encoding:string,k:double,places:array<double>,halves:string,letters:string>")
     for name, form, letters in reversed(ENCODINGS):
-        encoding = F.when(token.rlike(form), F.lit(name)).otherwise(encoding)
-        alphabet = F.when(token.rlike(form), F.lit(letters)).otherwise(alphabet)
-    state = F.struct(encoding.alias("encoding"), alphabet.alias("alphabet"), body.alias("body"), F.length(body).cast("double").alias("n"))
+        halves = "l" * (len(letters) // 2) + "h" * (len(letters) - len(letters) // 2)
+        kind = F.when(token.rlike(form), F.struct(F.lit(name).alias("encoding"), F.lit(float(len(letters))).alias("k"), _places(letters).alias("places"), F.lit(halves).alias("halves"), F.lit(letters).alias("letters"))).otherwise(kind)
+    state = F.struct(kind.alias("kind"), body.alias("body"))
 
     # stage by stage, so that each figure is worked out once
     def read(s: Column) -> Column:
-        k, chars = F.length(s["alphabet"]), F.split(s["body"], "")
-        place = lambda c: F.call_function("locate", c, s["alphabet"]).cast("double") - 1
-        often = lambda c: s["n"] - F.length(F.replace(s["body"], c, F.lit("")))  # noqa: E731  how often a character stands there
-        half = (k / 2).cast("int")
-        sides = F.when(k > 0, F.call_function("translate", s["body"], s["alphabet"], F.concat(F.repeat(F.lit("l"), half), F.repeat(F.lit("h"), half)))).otherwise(F.lit(""))
+        kind, chars = s["kind"], F.split(s["body"], "")
+        place = lambda c: F.coalesce(F.get(kind["places"], F.ascii(c)), F.lit(-1.0))
+        # tokens of an encoding are ASCII, so octets are characters
+        often = lambda c: (F.octet_length(s["body"]) - F.octet_length(F.replace(s["body"], c, F.lit("")))).cast("double")  # noqa: E731  how often a character stands there
+        sides = F.coalesce(F.call_function("translate", s["body"], kind["letters"], kind["halves"]), F.lit(""))
         used = F.transform(F.array_distinct(chars), lambda c: F.struct(often(c).alias("n"), place(c).alias("at")))
-        return F.struct(s["encoding"].alias("encoding"), k.cast("double").alias("k"), s["n"].alias("n"), sides.alias("sides"), used.alias("used"), F.transform(chars, place).alias("v"))
+        return F.struct(kind["encoding"].alias("encoding"), F.coalesce(kind["k"], F.lit(0.0)).alias("k"), F.length(s["body"]).cast("double").alias("n"), sides.alias("sides"), used.alias("used"), F.transform(chars, place).alias("v"))
 
     def figures(s: Column) -> Column:
         v, zero = s["v"], F.lit(0.0)
-        sides = lambda x: ((F.length(s["sides"]) - F.length(F.replace(s["sides"], F.lit(x), F.lit("")))) / len(x)).cast("double")
+        sides = lambda x: ((F.octet_length(s["sides"]) - F.octet_length(F.replace(s["sides"], F.lit(x), F.lit("")))) / len(x)).cast("double")
         over = lambda term: F.aggregate(s["used"], zero, lambda a, c: a + term(c))  # noqa: E731  a sum over the characters, by how often each is there
         return F.struct(
             s["encoding"].alias("encoding"),
@@ -128,6 +135,17 @@ def _step(p: Column) -> Column:
     return F.least(F.floor(p * STEPS), F.lit(STEPS - 1)).cast("int")
 
 
+def prose_letters(text: Column) -> Column:
+    """All letters of a text but those of tokens under test. Only the words of one piece of PIECE characters (and the word it ends in) stand in an array at once."""
+    word = f"[A-Za-z{NO_LETTERS}]"
+
+    def of_piece(piece: Column) -> Column:
+        words = F.filter(F.regexp_extract_all(piece, F.lit(f"{word}++"), F.lit(0)), lambda w: F.length(w) < LEAST)
+        return F.translate(F.array_join(words, ""), NO_LETTERS, "")
+
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}{word}*+"), F.lit(0)), of_piece), "")
+
+
 def plain_tokens(text: Column) -> Column:
     """Tokens that are no secrets: what the letters of a text's prose (all but tokens under test) read as when all between them is left out.
 
@@ -135,7 +153,7 @@ def plain_tokens(text: Column) -> Column:
     the text's digest sets, so that short texts fill all classes too. Fewer than LEAST letters at the end belong to the
     token before them; a text of fewer has none.
     """
-    letters = F.regexp_replace(F.regexp_replace(text, TOKEN, " "), "[^A-Za-z]++", "")
+    letters = prose_letters(text)
     turns, whole = len(LENGTHS), sum(LENGTHS)
     # whole rounds of all lengths; the last stretch takes what is left
     stretches = F.regexp_extract_all(letters, F.lit(f".{{{whole}}}(?=.{{{LEAST}}})|.+"), F.lit(0))

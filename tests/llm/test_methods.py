@@ -81,6 +81,24 @@ def test_plain_tokens_hold_every_letter_of_the_prose(spark):
     assert {len(x) for r in got for x in r.p} >= set(secret_scan.LENGTHS)
 
 
+def test_prose_letters_over_ends_of_pieces(spark):
+    import re
+
+    rng = random.Random(8)
+    size = secret_scan.PIECE
+    marks = string.ascii_letters + "0123456789+/_-"
+    word = lambda: "".join(rng.choice(marks) for _ in range(rng.choice([1, 4, 19, 20, 21, 60]))) + rng.choice([" ", "\n", "==", "\u00e9", "\U0001f600"])
+    texts = ["", "=", "ab 1c", " " * size + "ab", "\u00e9" * (size - 4) + "abcdefgh" * 3 + " end", "a" * (size + 9) + " end", "".join(word() for _ in range(9000))]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", secret_scan.prose_letters(F.col("t")).alias("p")).collect()
+    for r in got:
+        assert r.p == re.sub("[^A-Za-z]", "", re.sub(secret_scan.TOKEN, " ", r.t)), len(r.t)
+
+
+def test_a_token_is_held_against_each_form_once_and_no_alphabet_is_searched(spark):
+    written = spark.createDataFrame([("x" * 20,)], "t string").select(secret_scan.randomness(F.col("t"))).columns[0]
+    assert written.upper().count("RLIKE(T, ") == len(secret_scan.ENCODINGS) and "locate(" not in written
+
+
 def test_running_sums_and_touching(spark):
     rng = random.Random(2)
     for n in (0, 1, 5, 64, 65, 100, 1000):
