@@ -29,18 +29,20 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, *, corpus: str = "corpus",
 
     Okapi BM25 within each corpus: idf = ln(N - df + 0.5) - ln(df + 0.5), a negative one replaced by EPSILON times the
     mean idf of the corpus's vocabulary; a repeated query word counts again. One pass over the documents counts how many
-    have each word, how many there are and how long they are; another one counts, of the words that are asked for only,
-    how often each document has them. Both add up before anything is shuffled, and only words of queries are joined.
+    have each word, how many there are and how long they are, and is written, as three steps read it; another one
+    counts, of the words that are asked for only, how often each document has them. Both add up before anything is
+    shuffled, and only words of queries are joined.
     """
     tokens = docs.select(corpus, doc, word_tokens(F.col(text)).alias("_w"))
     wanted = queries.select(query, corpus, F.explode(word_tokens(F.col(query_text))).alias("term")).groupBy(query, corpus, "term").agg(F.count("*").alias("times"))
     asked = wanted.select(corpus, "term").distinct()
     # frequencies in documents only of words that are asked for; document frequencies of all, for the vocabulary's mean
-    tf = tokens.select(corpus, doc, F.size("_w").alias("dl"), F.explode("_w").alias("term")).join(asked, [corpus, "term"], "left_semi").groupBy(corpus, doc, "dl", "term").agg(F.count("*").alias("tf"))
-    # a document's row without a word carries its length; the two kinds are told apart by sums, which no filter moves
-    # below the counting, so both come from one exchange
+    # explode() would first filter by the size of the words, for which Spark splits each text once more; a null term meets no word
+    tf = tokens.select(corpus, doc, F.size("_w").alias("dl"), F.explode_outer("_w").alias("term")).join(asked, [corpus, "term"], "left_semi").groupBy(corpus, doc, "dl", "term").agg(F.count("*").alias("tf"))
+    # a document's row without a word carries its length; written, as a step's own filter would move below the counting and have it done again
     held = F.concat(F.coalesce(F.array_distinct("_w"), F.array().cast("array<string>")), F.array(F.lit(None).cast("string")))
     counted = tokens.select(corpus, F.explode(held).alias("term"), F.coalesce(F.size("_w"), F.lit(0)).alias("dl")).groupBy(corpus, "term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("term").isNull(), F.col("dl"))).alias("dl"))
+    counted = Tables(docs.sparkSession).keep(counted)
     stats = counted.where(F.col("dl").isNotNull()).select(corpus, F.col("df").alias("n_docs"), (F.col("dl") / F.col("df")).alias("avgdl"))
     df = counted.where(F.col("dl").isNull()).select(corpus, "term", "df").join(stats, corpus)
     df = df.withColumn("raw", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from memloom.functions.text import token_count, word_tokens
 from memloom.operators import retrieval as R
 from memloom.plans.registry import query, spread, table
+from memloom.sources.tables import Tables
 
 _TOK = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]+')"
 SCORES = f"""
@@ -44,7 +45,8 @@ _NAMES = {"corpus": "source", "doc": "doc_id", "query": "item_id"}
 
 
 def _top(spark, d, k):
-    return R.bm25_topk(_docs(spark, d), _asked(spark, d), k, **_NAMES)
+    """Written, so that Spark knows how few rows there are before it joins them with the texts."""
+    return Tables(spark).keep(R.bm25_topk(_docs(spark, d), _asked(spark, d), k, **_NAMES))
 
 
 @query(f"SELECT doc_id, array_to_string({_TOK.format('text')}, ' ') AS words FROM documents")

@@ -394,3 +394,12 @@ def test_differencing_takes_the_room_of_its_rows():
     totals = np.bincount(parts, weights=lengths, minlength=800)
     # 6.4 million pairs of a row and a group, written down, would take some 700 MB
     assert peak < 20_000_000 and totals.max() - totals.min() <= 3000 and sorted(set(parts)) == list(range(800))
+
+
+def test_bm25_splits_each_text_once_for_the_vocabulary_and_once_for_the_words_asked_for(spark):
+    docs = spark.createDataFrame([("a", 1, "one two two"), ("a", 2, "three"), ("b", 1, ""), (None, 1, "one"), ("a", 3, None)], "corpus string, doc long, body string")
+    asked = spark.createDataFrame([(1, "a", "two four"), (2, "b", "one")], "query_id long, corpus string, query string")
+    scores = retrieval.bm25_scores(docs, asked, text="body")
+    plan = scores._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(lower(body") == 1 and "array_distinct" not in plan
+    assert [(r.query_id, r.corpus, r.doc) for r in scores.collect()] == [(1, "a", 1)]
