@@ -3,10 +3,12 @@
 import random
 import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from memloom.operators import memory, ranking
+from memloom.plans.io_queries import streamed
 from memloom.streaming import memory_stream
 from tests.test_helpers import log_of, slow_fold
 
@@ -184,3 +186,108 @@ def test_keys_that_end_as_they_were_are_not_written():
     items.flush()
     assert state.held == {("a",): ("x", 1), ("c",): ("other", 3), ("new",): ("w", 4), ("e",): ("unread", 7)}
     assert state.calls.count("removeKey") == 1 and state.calls.count("updateValue") == 3 and "containsKey" not in state.calls
+
+
+class Handle:
+    """What a processor asks of a session, over plain maps."""
+
+    def __init__(self):
+        self.states, self.timers = {}, []
+
+    def getMapState(self, name, *schemas):
+        return self.states.setdefault(name, Store())
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+
+class Clock:
+    def __init__(self, now):
+        self.now = now
+
+    def getCurrentProcessingTimeInMs(self):
+        return self.now
+
+    getExpiryTimeInMs = getCurrentProcessingTimeInMs
+
+
+def processor(idle_ms=None):
+    p, handle = memory_stream.MemoryProcessor({}, True, idle_ms), Handle()
+    p.init(handle)
+    return p, handle
+
+
+def micro_batch(p, logs, now=0):
+    rows = pd.DataFrame([(u, *op) for u, ops in logs.items() for op in ops], columns=["i", *memory.LOG]).sample(frac=1, random_state=now)
+    out = pd.concat(p.handleInputRows((0,), iter([rows[::2], rows[1::2]]), Clock(now)))
+    return {u: g.sort_values("op_idx") for u, g in out.groupby("i", dropna=False)}
+
+
+def test_small_memories_are_read_once_and_written_once_in_a_micro_batch():
+    rng = random.Random(3)
+    logs = {f"u{u}": log_of(rng, 60) for u in range(20)}
+    p, handle = processor()
+    found = {u: [] for u in logs}
+    for k in range(4):
+        for u, g in micro_batch(p, {u: ops[15 * k : 15 * k + 15] for u, ops in logs.items()}).items():
+            found[u] += list(g["status"])
+    assert found == {u: slow_fold(ops)[2] for u, ops in logs.items()}
+    assert sum(s.calls for s in handle.states.values()) == 2 * 4 * len(logs)
+
+
+def test_large_memories_are_read_by_the_pages_that_operations_name(monkeypatch):
+    monkeypatch.setattr(memory_stream, "PACKED", 2000)
+    monkeypatch.setattr(memory_stream, "PAGE", 500)
+    rng = random.Random(4)
+    kinds, names = ["semantic", "episodic_memory"], ["insert"] * 6 + ["update", "delete"]
+    ops = [(k, k, rng.choice(names), rng.choice(kinds), f"m{rng.randint(0, 900)}", f"c{rng.randint(0, 1500)} \u4e2d") for k in range(3000)]
+    p, handle = processor(idle_ms=50)
+    other = [(0, 0, "insert", "semantic", "a", "x")]
+    found, sizes, most = [], [], 0
+    for k in range(0, 3000, 10):
+        before = handle.states["pages"].calls
+        now = micro_batch(p, {"large": ops[k : k + 10], **({"other": other} if k == 0 else {})}, k)["large"]
+        found, sizes = found + list(now["status"]), sizes + list(now["n_tokens"])
+        most = max(most, handle.states["pages"].calls - before if k > 300 else 0)
+    core, held, statuses = slow_fold(ops)
+    assert found == statuses and sizes[-1] == sum(len(c.split()) for t in held.values() for _, c in t)
+    pages = handle.states["pages"].values
+    assert sum(what == "items" for _, what, _ in pages) > 40 and max(len(text[0]) for text in pages.values()) < 4000
+    assert most < 120 and handle.states["memories"].values["large",][6] == "[]"
+    memories = handle.states["memories"].values
+    for at in sorted(set(handle.timers)):
+        list(p.handleExpiredTimer((0,), Clock(at), Clock(at)))
+        assert (("large",) in memories) == (at < handle.timers[-1]) and ("other",) not in memories
+    assert not memories and not handle.states["ending"].values and not pages
+
+
+def test_a_task_has_few_pages_open(monkeypatch):
+    monkeypatch.setattr(memory_stream, "PACKED", 2000)
+    monkeypatch.setattr(memory_stream, "PAGE", 500)
+    monkeypatch.setattr(memory_stream, "OPEN", 12)
+    rng, seen, bound = random.Random(8), [], memory_stream.Kept.bound
+    monkeypatch.setattr(memory_stream.Kept, "bound", lambda kept: (seen.append(len(kept.memory.items.read) + len(kept.memory.held.read)) if kept.n else None, bound(kept)))
+    ops = [(k, k, rng.choice(["insert"] * 6 + ["update", "delete"]), "semantic", f"m{rng.randint(0, 500)}", f"c{rng.randint(0, 900)}") for k in range(2400)]
+    p, handle = processor()
+    found = [s for k in range(0, 2400, 800) for s in micro_batch(p, {"large": ops[k : k + 800]})["large"]["status"]]
+    assert found == slow_fold(ops)[2] and len(handle.states["pages"].values) > 40
+    assert len(seen) == 1600 and max(seen) <= 12 + 6
+
+
+def test_one_page_more_takes_from_one_page_only():
+    for n in range(1, 70):
+        moved = {(memory_stream._page(d, n), memory_stream._page(d, n + 1)) for d in range(1000)}
+        assert {b for a, b in moved if a != b} == {n} and len({a for a, b in moved if a != b}) == 1
+
+
+def test_stream_of_null_and_large_instances(spark):
+    rng = random.Random(6)
+    big = [(k // 50, k, rng.choice(["insert", "insert", "insert", "update", "delete"]), "semantic", f"m{rng.randint(0, 700)}", f"c{rng.randint(0, 600)} " + "w" * 100) for k in range(1500)]
+    ids = (None, 2**60 + 1, 2**60 + 2, -1)
+    logs = {u: big if u == -1 else log_of(rng, 60) for u in ids}
+    df = table_of(spark, logs)
+    assert memory_stream.PACKED < sum(len(c) for _, c in slow_fold(big)[1]["semantic"])
+    parts = [df.where(f"chunk_idx between {a} and {b}").coalesce(1) for a, b in ((0, 4), (5, 9), (10, 19), (20, 99))]
+    got = streamed(spark, parts, lambda s: memory_stream.stream_memory_state(s, instance="user_id", buckets=2), "append", 1)
+    assert got.schema["user_id"].dataType == df.schema["user_id"].dataType
+    assert sorted(((r.user_id, r.op_idx, r.status) for r in got.collect()), key=str) == sorted(((u, op[1], s) for u, ops in logs.items() for op, s in zip(ops, slow_fold(ops)[2])), key=str)
