@@ -13,6 +13,10 @@ from memloom.sources.tables import shared_dir
 from memloom.streaming import memory_stream
 
 
+#: Operations that a file of an arrival holds, about.
+FILE_OPS = 500_000
+
+
 def shared(spark: SparkSession) -> str:
     return shared_dir(spark, "io")
 
@@ -122,8 +126,9 @@ def streamed(spark: SparkSession, arrivals: list[DataFrame], make, mode: str, fi
 @query(STREAMED)
 def k1_stream_memory_state(spark, d):
     log = ops(spark, d)
-    # an instance's operations of some days stand in one file
-    arrivals = [log.where(F.floor(F.col("chunk_idx") / 8) == k).repartition("user_id") for k in range(4)]
+    # an instance's operations of some days stand in one file; a micro-batch is so many files, which the session's partitions must not make many
+    files = log.count() // (4 * FILE_OPS) + 1
+    arrivals = [log.where(F.floor(F.col("chunk_idx") / 8) == k).repartition("user_id").coalesce(files) for k in range(4)]
     spark.conf.set(*memory_stream.STATE_STORE)
     return streamed(spark, arrivals, lambda s: memory_stream.stream_memory_state(s, instance="user_id", core_limit=LIMIT), "append")
 

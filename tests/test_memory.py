@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from memloom.operators import memory, ranking
+from memloom.plans import io_queries
 from memloom.plans.io_queries import streamed
 from memloom.streaming import memory_stream
 from tests.test_helpers import log_of, slow_fold
@@ -291,3 +292,19 @@ def test_stream_of_null_and_large_instances(spark):
     got = streamed(spark, parts, lambda s: memory_stream.stream_memory_state(s, instance="user_id", buckets=2), "append", 1)
     assert got.schema["user_id"].dataType == df.schema["user_id"].dataType
     assert sorted(((r.user_id, r.op_idx, r.status) for r in got.collect()), key=str) == sorted(((u, op[1], s) for u, ops in logs.items() for op, s in zip(ops, slow_fold(ops)[2])), key=str)
+
+
+def test_micro_batches_do_not_grow_with_partitions(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(io_queries, "shared", lambda _: str(tmp_path))
+    confs = {"spark.sql.shuffle.partitions": "9", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in confs}
+    try:
+        for k, v in confs.items():
+            spark.conf.set(k, v)
+        d = "/root/testdata/sf0.001"
+        rows = io_queries.k1_stream_memory_state(spark, d)
+        assert rows.count() == spark.read.parquet(f"{d}/events.parquet").count()
+        assert len(list((tmp_path / "in").glob("*.parquet"))) == 4 and len(list((tmp_path / "at" / "commits").glob("[0-9]*"))) == 1
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
